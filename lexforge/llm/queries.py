@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, mixing, token_count, token_file
+from . import decontaminate, html_text, language, mixing, token_count, token_file
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def _tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -34,4 +38,4 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op4_decontamination, op6_token_file, op7_token_counts, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op3_language_id, op4_decontamination, op5_html_text, op6_token_file, op7_token_counts, op10_source_mix)}
