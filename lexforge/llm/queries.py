@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, language, mixing, substrings, token_count, token_file
+from . import decontaminate, html_text, language, mixing, near_copies, substrings, token_count, token_file
 from .common import table
 
 
@@ -38,8 +38,12 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicate(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies.groups(table(spark, sf_dir, "documents"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op4_decontamination, op5_html_text, op6_token_file, op7_token_counts, op8_substring_dedup, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op3_language_id, op4_decontamination, op5_html_text, op6_token_file, op7_token_counts, op8_substring_dedup, op9_jaccard_join, op10_source_mix)}
