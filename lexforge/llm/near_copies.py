@@ -9,7 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from . import words as K
+from . import bitset, words as K
 from .common import release, ship, stored
 from .components import components
 
@@ -17,9 +17,8 @@ from .components import components
 SHINGLE, SHARE = 3, 90
 #: Longest extension of a prefix; what verifying a pair costs, in pairs looked at.
 LONGEST, VERIFY = 4, 8
-#: Counters of the frequency sketch, and bits of the filter of wanted sets; both are
-#: sent in CHUNKS pieces and have these sizes however large the input is.
-COUNTERS, FILTER_BITS, CHUNKS = 1 << 20, 1 << 26, 64
+#: Counters of the frequency sketch, however large the input is, summed in CHUNKS pieces.
+COUNTERS, CHUNKS = 1 << 20, 64
 #: Documents that share a prefix token are first compared to one of them if they are
 #: more than so many.
 CROWD = 8
@@ -134,27 +133,6 @@ def _poster(sketch, noise: int, seed: int):
     return post
 
 
-def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for batch in batches:
-        at = _bit(batch.column("fp").to_numpy(zero_copy_only=False))
-        np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-    for k, x in enumerate(bits.reshape(CHUNKS, -1)):
-        if x.any():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["chunk", "blob"])
-
-
-def _bit(fp: np.ndarray) -> np.ndarray:
-    return (K.mix(fp.astype(np.int64).view(np.uint64)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
-
-
-def _or(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(FILTER_BITS // 8 // CHUNKS, np.uint8)
-    for b in pdf["blob"]:
-        total |= np.frombuffer(b, np.uint8)
-    return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "blob": [total.tobytes()]})
-
-
 def _setter(wanted, seed: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
@@ -162,9 +140,8 @@ def _setter(wanted, seed: int):
             for rows in K.slices(batch, "text"):
                 h, off = shingles(rows.column("text"))
                 fp, _ = _prints(h, off, seed)
-                at = _bit(fp)
                 _, one = np.unique(fp, return_index=True)
-                use = one[(bits[at[one] >> 3] >> (at[one] & 7) & 1).astype(bool) & (np.diff(off)[one] > 0)]
+                use = one[bitset.has(bits, fp[one]) & (np.diff(off)[one] > 0)]
                 # six bytes of each hash tell the shingles of two documents apart
                 low = np.ascontiguousarray(K.mix(h)).view(np.uint8).reshape(-1, 8)[:, :6]
                 yield pa.RecordBatch.from_arrays([pa.array(fp[use]), pa.array(np.diff(off)[use]), pa.array([low[off[d] : off[d + 1]].tobytes() for d in use], pa.binary())], ["fp", "n", "hashes"])
@@ -202,17 +179,12 @@ class _Join:
         """Whether different sets got the same fingerprint (of 64 bits)."""
         return bool(self.members.groupBy("fp").agg((F.min("fp2") != F.max("fp2")).alias("odd")).where("odd").take(1))
 
-    def _gather(self, pieces: DataFrame, add, schema: str, size: int) -> np.ndarray:
-        kind = np.int64 if add is _add else np.uint8
-        out = np.zeros((CHUNKS, size // CHUNKS), kind)
-        for r in pieces.groupBy("chunk").applyInPandas(add, schema).collect():
-            out[r["chunk"]] = np.frombuffer(r["blob"], kind)
-        return out.reshape(-1)
-
     def postings(self) -> DataFrame:
         """Prefix tokens that two different sets have in their prefixes, with the sets."""
-        chunk = "chunk int, blob binary"
-        sketch = self._gather(self.summary.where("chunk is not null").select("chunk", "blob"), _add, chunk, COUNTERS)
+        sketch = np.zeros((CHUNKS, COUNTERS // CHUNKS), np.int64)
+        for r in self.summary.where("chunk is not null").select("chunk", "blob").groupBy("chunk").applyInPandas(_add, "chunk int, blob binary").collect():
+            sketch[r["chunk"]] = np.frombuffer(r["blob"], np.int64)
+        sketch = sketch.reshape(-1)
         noise = int(sketch.sum() // COUNTERS)
         send = self.spark.sparkContext.broadcast(sketch.astype(np.int32) if sketch.max() < 1 << 31 else sketch)
         every = stored(self.docs.select("text").mapInArrow(_poster(send, noise, self.seed), _POSTING), "near-postings")
@@ -271,8 +243,7 @@ class _Join:
         """Those of ``pairs`` (a, b) whose whole sets link."""
         pairs = stored(pairs, "near-pairs")
         wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-        bits = self._gather(wanted.mapInArrow(_bits, "chunk int, blob binary"), _or, "chunk int, blob binary", FILTER_BITS // 8)
-        send = self.spark.sparkContext.broadcast(bits)
+        send = self.spark.sparkContext.broadcast(bitset.gather(wanted))
         sets = self.docs.select("text").mapInArrow(_setter(send, self.seed), _SET).join(wanted, "fp", "left_semi").dropDuplicates(["fp"])
         sets = stored(sets.select("fp", "hashes"), "near-sets")
         a, b = (sets.select(F.col("fp").alias(s), F.col("hashes").alias(f"hashes_{s}")) for s in "ab")
