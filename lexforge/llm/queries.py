@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bit_sliced, decontaminate, html_text, language, mixing, near_copies, substrings, token_count, token_file
+from . import bit_sliced, decontaminate, html_text, kneser_ney, language, mixing, near_copies, substrings, token_count, token_file
 from .common import table
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_bit_sliced_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return bit_sliced.search(vectors, vectors.where("vec_id % 20 = 0"))
@@ -25,18 +29,18 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
 def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_file.round_trip(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    return token_file.round_trip(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_count.counts(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    return token_count.counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,4 +55,4 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
-QUERIES = {f.__name__: f for f in (op2_bit_sliced_search, op3_language_id, op4_decontamination, op5_html_text, op6_token_file, op7_token_counts, op8_substring_dedup, op9_jaccard_join, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_bit_sliced_search, op3_language_id, op4_decontamination, op5_html_text, op6_token_file, op7_token_counts, op8_substring_dedup, op9_jaccard_join, op10_source_mix)}
