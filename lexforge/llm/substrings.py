@@ -22,7 +22,7 @@ from .common import partitions, ship
 #: Words of an edge.
 EDGE = 20
 #: Text that one task turns into edges at a time; text whose edges make a shard at most.
-SLICE, SHARD = 16 << 20, 24 << 20
+SLICE, SHARD = 8 << 20, 24 << 20
 
 _ENTRIES = "k long, src long, docs binary, hashes binary, rows binary, starts binary"
 _REPLIES = "src long, docs binary, keys binary, counts binary, rows binary, starts binary"
@@ -61,6 +61,7 @@ def _ids(column: pa.Array) -> np.ndarray:
 def edges(w: K.Words, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, row, start) of each edge that may be first of its kind, and below these
     the rest: edges that these very documents show to be repeats, as (row, start).
+    ``ids`` ascend.
 
     Of each kind, the first edge in each row with the smallest id is left in.
     """
@@ -70,9 +71,9 @@ def edges(w: K.Words, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray,
     at = np.flatnonzero(inside)
     h, row = h[at], doc[at]
     _, rank = np.unique(ids, return_inverse=True)
-    # by kind, then id, then row, then start
-    order = np.lexsort((at, row, rank[row], h))
+    order = np.argsort(h, kind="stable")  # rows ascend by id, so also by id, row and start
     h, row, at = h[order], row[order], at[order]
+    del order, doc, inside
     new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
     group = np.cumsum(new) - 1
     least = rank[row[new]][group] if len(h) else rank[:0]
