@@ -23,7 +23,7 @@ COUNTERS, CHUNKS = 1 << 20, 64
 #: more than so many.
 CROWD = 8
 
-_SUMMARY = "chunk int, doc_id long, n long, fp long, fp2 long, blob binary"
+_SUMMARY = "chunk int, doc_id long, tag long, n long, fp long, fp2 long, blob binary"
 _POSTING = "h long, fp long, n long, i long, ell long"
 _SET = "fp long, n long, hashes binary"
 _SALT = np.uint64(0xA24BAED4963EE407)
@@ -68,18 +68,18 @@ def _prints(h: np.ndarray, off: np.ndarray, seed: int) -> tuple[np.ndarray, np.n
 def _summarise(seed: int):
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(COUNTERS, np.int64)
-        names = ["chunk", "doc_id", "n", "fp", "fp2", "blob"]
+        names = ["chunk", "doc_id", "tag", "n", "fp", "fp2", "blob"]
         for batch in batches:
             for rows in K.slices(batch, "text"):
                 h, off = shingles(rows.column("text"))
                 counters += np.bincount((h & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
                 fp, fp2 = _prints(h, off, seed)
                 none = pa.nulls(rows.num_rows, pa.int32()), pa.nulls(rows.num_rows, pa.binary())
-                yield pa.RecordBatch.from_arrays([none[0], rows.column("doc_id"), pa.array(np.diff(off), pa.int64()), pa.array(fp), pa.array(fp2), none[1]], names)
+                yield pa.RecordBatch.from_arrays([none[0], rows.column("doc_id"), rows.column("tag"), pa.array(np.diff(off), pa.int64()), pa.array(fp), pa.array(fp2), none[1]], names)
         for k, x in enumerate(counters.astype(np.int64).reshape(CHUNKS, -1)):
             if x.any():
                 blob = x.astype("<i4" if x.max() < 1 << 31 else "<i8").tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.nulls(1, pa.int64()) for _ in range(4)), pa.array([blob], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.nulls(1, pa.int64()) for _ in range(5)), pa.array([blob], pa.binary())], names)
 
     return summarise
 
@@ -168,12 +168,12 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Join:
-    """The join of the distinct sets of ``docs`` (doc_id, text)."""
+    """The join of the distinct sets of ``docs`` (doc_id, tag, text)."""
 
     def __init__(self, docs: DataFrame, seed: int = 0):
         self.docs, self.seed, self.spark = docs, seed, docs.sparkSession
         self.summary = stored(docs.mapInArrow(_summarise(seed), _SUMMARY), "near-summary")
-        self.members = self.summary.where("chunk is null").select("doc_id", "n", "fp", "fp2")
+        self.members = self.summary.where("chunk is null").select("doc_id", "tag", "n", "fp", "fp2")
 
     def ambiguous(self) -> bool:
         """Whether different sets got the same fingerprint (of 64 bits)."""
@@ -192,19 +192,14 @@ class _Join:
         out = every.join(shared, "h").groupBy("h", "fp").agg(*(F.max(c).alias(c) for c in ("n", "i", "ell")))
         out = stored(out, "near-shared")
         release(every)
-        first = out.groupBy("fp").agg(F.min("i").alias("before"))
-        out = stored(out.join(first, "fp").withColumn("rest", F.col("n") - F.col("before")), "near-shared")
         return out
 
     def pairs_with_one(self, posts: DataFrame) -> DataFrame:
         """Where many sets share a token: each with the set that has fewest rarer tokens."""
-        pivot = posts.groupBy("h").agg(F.count("*").alias("many"), F.min(F.struct("i", "fp", "n", "rest")).alias("p")).where(F.col("many") > CROWD)
-        pivot = pivot.select("h", F.col("p.fp").alias("b"), F.col("p.n").alias("n_b"), F.col("p.rest").alias("rest_b"))
-        both = posts.join(pivot, "h").where((F.col("fp") != F.col("b")) & _possible(F.col("n"), F.col("rest"), F.col("n_b"), F.col("rest_b")))
-        pairs = both.select(F.col("fp").alias("a"), "b").distinct()
-        a = posts.select(F.col("fp").alias("a"), "h", F.col("n").alias("n_a"), F.col("i").alias("i_a"), F.col("ell").alias("ell_a"), F.col("rest").alias("rest_a"))
-        b = posts.select(F.col("fp").alias("b"), "h", F.col("n").alias("n_b"), F.col("i").alias("i_b"), F.col("ell").alias("ell_b"), F.col("rest").alias("rest_b"))
-        return self._counted(pairs.join(a, "a").join(b, ["b", "h"]))
+        pivot = posts.groupBy("h").agg(F.count("*").alias("many"), F.min(F.struct("i", "fp", "n")).alias("p")).where(F.col("many") > CROWD)
+        pivot = pivot.select("h", F.col("p.fp").alias("b"), F.col("p.n").alias("n_b"), F.col("p.i").alias("i_b"))
+        both = posts.join(pivot, "h").where((F.col("fp") != F.col("b")) & _possible(F.col("n"), F.col("i"), F.col("n_b"), F.col("i_b")))
+        return self._counted(posts, both.select(F.col("fp").alias("a"), "b"))
 
     def pairs_across(self, posts: DataFrame, roots: DataFrame) -> DataFrame:
         """All pairs that are not connected yet and that share enough of their prefixes."""
@@ -214,15 +209,15 @@ class _Join:
         rows = rows.join(token.select("h", F.col("p.root").alias("main")), "h")
 
         def side(s: str) -> DataFrame:
-            return rows.select("h", "main", *(F.col(c).alias(f"{c}_{s}") for c in ("fp", "n", "i", "ell", "rest", "root")))
+            return rows.select("h", "main", *(F.col(c).alias(f"{c}_{s}") for c in ("fp", "n", "i", "root")))
 
         odd, all_ = side("a").where("root_a != main"), side("b").drop("main")
         once = (F.col("root_b") == F.col("main")) | (F.col("fp_a") < F.col("fp_b"))
-        both = odd.join(all_, "h").where((F.col("root_a") != F.col("root_b")) & once & _possible(F.col("n_a"), F.col("rest_a"), F.col("n_b"), F.col("rest_b")))
-        return self._counted(both.withColumnsRenamed({"fp_a": "a", "fp_b": "b"}))
+        both = odd.join(all_, "h").where((F.col("root_a") != F.col("root_b")) & once & _possible(F.col("n_a"), F.col("i_a"), F.col("n_b"), F.col("i_b")))
+        return self._counted(posts, both.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")))
 
-    def _counted(self, both: DataFrame) -> DataFrame:
-        """Of rows (a, b, a shared token): the pairs that share enough tokens to be linked.
+    def _counted(self, posts: DataFrame, pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs`` (a, b) whose prefixes share enough tokens for a link.
 
         At the smaller ell of the two, a set's prefix has n - least(n) + ell tokens.
         All that two sets share up to the end of the prefix that ends first is seen
@@ -234,6 +229,11 @@ class _Join:
             n = F.col(f"n_{s}")
             return F.least(n - _least_col(n) + ell, n)
 
+        def side(s: str) -> DataFrame:
+            return posts.select("h", F.col("fp").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("n", "i", "ell")))
+
+        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        both = pairs.join(side("a"), "a").join(side("b"), ["b", "h"])
         seen = both.where((F.col("i_a") < prefix("a")) & (F.col("i_b") < prefix("b")))
         groups = seen.groupBy("a", "b").agg(F.count("*").alias("shared"), *(F.max(c).alias(c) for c in ("n_a", "n_b", "ell_a", "ell_b")))
         after = F.greatest(F.col("n_a") - prefix("a"), F.col("n_b") - prefix("b"))
@@ -263,9 +263,13 @@ def _least_col(n: Column) -> Column:
     return F.ceil(F.lit(SHARE) * n / F.lit(100.0))
 
 
-def _possible(n: Column, rest_n: Column, m: Column, rest_m: Column) -> Column:
-    """No token before a set's first shared one is shared, so no more than its rest is."""
-    return F.least(rest_n, rest_m) >= _needed(n, m)
+def _possible(n: Column, i: Column, m: Column, j: Column) -> Column:
+    """Whether two sets may link whose first shared token stands at i and j.
+
+    None of the rarer tokens before it is shared then.  Rows of later shared tokens
+    may fail this, but that of the first never does if the sets link.
+    """
+    return F.least(n - i, m - j) >= _needed(n, m)
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -283,8 +287,17 @@ def groups(docs: DataFrame) -> DataFrame:
     component.  Null ids are never a component's id unless it has no other.  Rows that
     repeat an id give a row each and are judged by their texts.
     """
+    return _groups(docs).drop("tag")
+
+
+def _tag() -> Column:
+    """Tells rows of the same id apart by their texts."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _groups(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _tag().alias("tag"), "text")
     for seed in range(8):
         join = _Join(rows, seed)
         if not join.ambiguous():
@@ -303,15 +316,19 @@ def groups(docs: DataFrame) -> DataFrame:
     sets = stored(sets.join(ids, "top").select("fp", "component_id"), "near-components")
     release(posts)
     out = join.members.join(sets.withColumnRenamed("component_id", "of_set"), "fp", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("of_set")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "tag", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("of_set")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group: that with the smallest id; all columns kept.
+    """``docs`` with one document of each group, that with the smallest id; all columns kept.
 
-    Documents without words are groups of their own.  Rows that repeat a kept id: the
-    first by text stays.
+    Documents without words are groups of their own.  Documents without id go if
+    their group has one with an id, else each different text of theirs stays.  Rows
+    that repeat both id and text are one document.
     """
-    ids = groups(docs).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"]) if "doc_id" in docs.columns else kept
+    kept = _groups(docs).where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("kept_id"), F.col("tag").alias("kept_tag"))
+    kept = stored(kept.groupBy("kept_id", "kept_tag").agg(F.count("*").alias("kept_times")), "near-kept")
+    repeats = bool(kept.where("kept_times > 1").take(1))
+    same = docs["doc_id"].eqNullSafe(kept["kept_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == kept["kept_tag"])
+    out = docs.join(kept, same, "left_semi")
+    return out.dropDuplicates(["doc_id", "text"]) if repeats else out
