@@ -149,7 +149,9 @@ class Model:
     @classmethod
     def of(cls, rows: DataFrame) -> Model:
         pdf = rows.toPandas()
-        order = int(pdf["n"].max()) if len(pdf) else 0
+        if not len(pdf):  # nothing was trusted
+            return cls([], [], [])
+        order = int(pdf["n"].max())
         keys, logp, backoff = [], [], []
         for n in range(order + 1):
             own = pdf[pdf["n"] == n]
@@ -252,7 +254,8 @@ def scores(docs: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
-    if model.count() > BROADCAST_ROWS:
+    n = model.count()
+    if n and n > BROADCAST_ROWS:
         return _joined(rows, model, order)
     return rows.mapInArrow(_scorer(spark.sparkContext.broadcast(Model.of(model))), _SCORED)
 

@@ -155,5 +155,9 @@ def mixed(docs: DataFrame) -> DataFrame:
     Rows without words are left out, as they add nothing to a mix.
     """
     _, thresholds = plan(docs)
-    out = _copies(docs, thresholds, key(docs["doc_id"], docs["text"])).where((F.col("copies") > 0) & (words(docs["text"]) > 0))
-    return out.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[docs[c] for c in docs.columns])
+    names = docs.columns
+    rows = docs.toDF(*[f"c{i}" for i in range(len(names))])  # whatever the columns are called
+    of = {n: rows[f"c{i}"] for i, n in enumerate(names)}
+    rows = rows.withColumns({"source": of["source"], "mix_key": key(of["doc_id"], of["text"]), "mix_words": words(of["text"])})
+    out = _copies(rows, thresholds, F.col("mix_key")).where("copies > 0 and mix_words > 0")
+    return out.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
