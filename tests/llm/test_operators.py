@@ -131,7 +131,7 @@ def test_language(spark):
     assert np.mean([r.lang_pred == ("en" if i % 2 else "fr") for i, r in by.items()]) > 0.98
     assert all((r.lang_pred, r.score) == ("und", 0.0) for r in got if r.doc_id in (500, 501, 502)) and all(0 <= r.score <= 1 for r in got)
     kept = language.known(df)
-    assert kept.columns == df.columns and kept.count() == 124
+    assert kept.columns == df.columns and kept.count() == 123  # not the text that nothing learned resembles
     language_group, language.GROUP = language.GROUP, 1  # languages in several passes
     try:
         again = [r for r in language.identify(df).collect()]
