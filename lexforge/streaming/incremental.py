@@ -18,7 +18,7 @@ def index_arrivals(documents: DataFrame, path: str, checkpoint: str, **how) -> S
     """
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        latest = batch.groupBy("document_id").agg(F.max_by("text", "added_at").alias("text"))
+        latest = batch.groupBy("document_id").agg(F.max_by("text", F.coalesce("added_at", F.lit("1970-01-01").cast("timestamp"))).alias("text"))
         new = chunking.chunk_documents(latest, **how)
         old = catalog.versions(batch.sparkSession, path)
         table = catalog.replace_chunks(batch.sparkSession.read.parquet(old[-1]), new) if old else new

@@ -27,7 +27,7 @@ def test_tokens(spark):
 
 def test_links(spark):
     assert values(spark, T.first_url, ["see `https://a.b/c` x", "none", None]) == ["https://a.b/c", None, None]
-    assert values(spark, T.drive_id, ["https://d/file/d/A_1-x/view", "https://d/open?id=B2&z", "https://d/d/C3/e", "x"]) == ["A_1-x", "B2", "C3", None]
+    assert values(spark, T.drive_id, ["https://d/file/d/A_1-x/view", "https://d/open?id=B2&z", "https://x/d/C3/e", "x"]) == ["A_1-x", "B2", "C3", None]
 
 
 def test_dates_and_years(spark):

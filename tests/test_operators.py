@@ -48,7 +48,7 @@ def test_validity_penalty_and_inactive(spark):
 
 
 def test_forced_evidence_goes_first(spark):
-    chunks = [chunk(1, i, f"a {i}") for i in range(6)] + [chunk(1, 6, "עד 80% מהסכום", v=(0.0, 1.0)), chunk(1, 7, "שבע שנים", v=(0.0, 1.0))]
+    chunks = [chunk(1, i, f"a {i}") for i in range(6)] + [chunk(1, 6, "x 8(ד) y", v=(0.0, 1.0)), chunk(1, 7, "z 50 אחוז", v=(0.0, 1.0))]
     assert order(retrieve(spark, "הלוואה מתוך קרן השתלמות", chunks, k=3)) [:2] == [(1, 7), (1, 6)]
     assert (1, 7) not in order(retrieve(spark, "הלוואה", chunks, k=3))
 
