@@ -723,3 +723,96 @@ def s21_event_text(spark, sf_dir):
     c = X.read(spark, sf_dir, "conversations")
     line = F.concat(F.lit("data: "), F.to_json(F.struct("text")))
     return S.event_text(c.select(F.col("conv_id").alias("id"), F.col("turn").alias("nth"), line.alias("line"))).select("id", "text")
+
+
+# -- more of the inventory --------------------------------------------------------------
+
+
+@query(_with(X.CHUNKS, X.DOCUMENTS) + "SELECT id, title, is_active FROM docs WHERE id = 12")
+def s02_point_lookup(spark, sf_dir):
+    return X.documents(spark, sf_dir).where("id = 12").select("id", "title", "is_active")
+
+
+@query(_with(X.CHUNKS, X.DOCUMENTS) + "SELECT c.id, document_id, chunk_index, coalesce(nullif(d.effective_date, ''), c.effective_date) AS effective_date FROM chunks c JOIN docs d ON document_id = d.id WHERE is_active")
+def s03_active_chunks(spark, sf_dir):
+    d = X.documents(spark, sf_dir).where("is_active").select(F.col("id").alias("document_id"), F.col("effective_date").alias("own"))
+    c = X.chunks(spark, sf_dir).join(d, "document_id")
+    return c.select("id", "document_id", "chunk_index", F.coalesce(T.blank_to_null(F.col("own")), F.col("effective_date")).alias("effective_date"))
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'purchase' THEN 'official' WHEN event_type = 'click' THEN 'constructed' ELSE 'secondary' END AS class, event_type = 'error' OR user_id % 5 = 0 AS quota FROM events")
+def p13_p14_classes(spark, sf_dir):
+    kind = F.when(F.col("event_type") == "purchase", "government").when(F.col("event_type") == "click", "constructed_from_web_topics").otherwise(F.col("event_type"))
+    code, text = F.when(F.col("event_type") == "error", "insufficient_quota"), F.when(F.col("user_id") % 5 == 0, "x credit_balance_exhausted y").otherwise("fine")
+    return X.read(spark, sf_dir, "events").select("event_id", T.source_class(kind).alias("class"), T.is_quota_error(code, text).alias("quota"))
+
+
+@query("SELECT p_partkey, contains(p_name, 'ring') AND (contains(p_name, 'red') OR contains(p_name, 'small')) AS asked FROM part")
+def p11_parameter_question(spark, sf_dir):
+    return X.read(spark, sf_dir, "part").select("p_partkey", T.is_parameter_question(F.col("p_name"), "ring", ["red", "small"]).alias("asked"))
+
+
+@query("SELECT c_custkey, m AS kind, CASE WHEN c_custkey % 2 = 0 THEN CASE m WHEN 'חוק' THEN 0.04::DOUBLE WHEN 'תקנה' THEN 0.02::DOUBLE WHEN 'חוזר' THEN 0.01::DOUBLE WHEN 'הכרעה' THEN 0.008::DOUBLE ELSE 0::DOUBLE END ELSE 0::DOUBLE END AS bonus FROM (SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'special' WHEN 1 THEN 'חוק' WHEN 2 THEN 'תקנה' WHEN 3 THEN 'חוזר' WHEN 4 THEN 'הכרעה' ELSE 'אחר' END AS m FROM customer)")
+def f22_f23_authority(spark, sf_dir):
+    c = X.read(spark, sf_dir, "customer")
+    k = F.col("c_custkey") % 6
+    title = F.when(k == 1, "חוק חוזר").when(k == 2, "תקנות").when(k == 3, "חוזר 1").when(k == 4, "הכרעה").otherwise("x")
+    kind = T.authority(F.when(k == 0, " special ").otherwise(""), title)
+    bonus = T.authority_bonus(F.when(F.col("c_custkey") % 2 == 0, "מותר").otherwise("x"), kind)
+    return c.select("c_custkey", kind.alias("kind"), bonus.alias("bonus"))
+
+
+@query(_with(X.RUNS) + "SELECT id, printf('%.3f -> %.3f (%s%.3f)', b, c, CASE WHEN c - b > 1e-9 THEN '+' WHEN c - b < -1e-9 THEN '-' ELSE ' ' END, abs(c - b)) AS delta FROM (SELECT id, max(actionability_score) FILTER (run = 'base') AS b, max(required_concepts_score) FILTER (run = 'candidate') AS c FROM runs GROUP BY 1) WHERE b IS NOT NULL AND c IS NOT NULL AND id % 3 = 0")
+def f26_deltas(spark, sf_dir):
+    r = X.runs(spark, sf_dir).where("id % 3 = 0")
+    b, c = r.where("run = 'base'").select("id", F.col("actionability_score").alias("b")), r.where("run = 'candidate'").select("id", F.col("required_concepts_score").alias("c"))
+    return b.join(c, "id").select("id", T.signed_delta(F.col("b"), F.col("c")).alias("delta"))
+
+
+@query("SELECT page_id, substr(url, 1, 80) AS shown FROM pages")
+def f33_title_or_url(spark, sf_dir):
+    return X.read(spark, sf_dir, "pages").select("page_id", T.title_or_url(F.lit(""), F.col("url")).alias("shown"))
+
+
+@query(r"SELECT item_id, replace(regexp_replace(regexp_replace(replace(replace(replace('# ' || text || E'\n**b** & <i>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\*\*(.+?)\*\*', '<strong>\1</strong>', 'g'), '(?m)^# (.+)$', '<h1 class=" + '"text-xl font-bold mt-3 mb-1"' + r">\1</h1>', 'g'), E'\n', '<br>') AS html FROM benchmark")
+def f35_markdown(spark, sf_dir):
+    return X.read(spark, sf_dir, "benchmark").select("item_id", T.markdown_to_html(F.concat(F.lit("# "), "text", F.lit("\n**b** & <i>"))).alias("html"))
+
+
+@query("SELECT o_orderstatus AS outcome, count(*) AS documents, sum(o_custkey)::BIGINT AS chunks FROM orders GROUP BY 1")
+def a18_tally(spark, sf_dir):
+    return M.tally(X.read(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("outcome"), F.col("o_custkey").alias("chunks")))
+
+
+@query("SELECT n_nationkey::BIGINT AS id, n_name AS title, 'current' AS lifecycle_status, 'ready' AS index_status FROM nation UNION ALL SELECT 1000 + r_regionkey, r_name, 'current', 'indexing' FROM region")
+def m01_add_documents(spark, sf_dir):
+    from ..schemas import DOCUMENT_DEFAULTS, DOCUMENTS, migrate
+
+    n = X.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("title"), F.lit("ready").alias("index_status"))
+    r = X.read(spark, sf_dir, "region").select((F.col("r_regionkey") + 1000).alias("id"), F.col("r_name").alias("title"))
+    return M.add_documents(migrate(n, DOCUMENTS, DOCUMENT_DEFAULTS), r).select("id", "title", "lifecycle_status", "index_status")
+
+
+@query("SELECT n_nationkey AS id, CASE WHEN n_nationkey % 2 = 0 THEN sha256(n_name) ELSE 'old' END AS source_checksum FROM nation")
+def m11_artifact(spark, sf_dir):
+    n = X.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.lit("old").alias("source_checksum"), F.lit("p").alias("original_path"), "n_name")
+    changes = n.select("id", F.when(F.col("id") % 2 == 0, F.sha2("n_name", 256)).alias("source_checksum"), F.lit(None).cast("string").alias("original_path"))
+    return M.set_artifact(n, changes).select("id", "source_checksum")
+
+
+@query(_with(X.CHUNKS, X.DOCUMENTS, _AUDIT) + """SELECT '{"documents":' || count(*) || ',"active":' || count(*) FILTER (is_active) || '}' AS head FROM audited""")
+def s18_report(spark, sf_dir):
+    r = audit.report(_audited(spark, sf_dir)).select(F.from_json("report", "summary struct<documents:bigint,active:bigint>").alias("r"))
+    return r.select(F.to_json("r.summary").alias("head"))
+
+
+@query("SELECT item_id::VARCHAR AS id, row_number() OVER (PARTITION BY item_id % 2 ORDER BY item_id::VARCHAR)::INT AS nth, '### ' || row_number() OVER (PARTITION BY item_id % 2 ORDER BY item_id::VARCHAR) || '. ' || text || chr(10) || 'kind: official' || chr(10) || '> -' AS markdown FROM benchmark")
+def s20_review_sheet(spark, sf_dir):
+    b = X.read(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("id"), (F.col("item_id") % 2 == 0).alias("executed"), F.col("text").alias("question"), F.lit("official").alias("source_type"), F.lit(None).cast("string").alias("reference_url"), F.lit("").alias("reference_answer"))
+    return S.review_sheet(b).select("id", "nth", "markdown")
+
+
+@query(_with(_ANSWERS) + "SELECT id, contains(answer, w[1]) AND contains(answer, w[2]) AS passed, array_to_string(list_filter([w[1], w[2]], lambda t: contains(answer, t)), ',') AS found FROM answers")
+def e07_context_score(spark, sf_dir):
+    a = _answers(spark, sf_dir).select("id", E.context_score(F.col("must_include"), F.col("answer")).alias("s"))
+    return a.select("id", "s.passed", F.array_join("s.found", ",").alias("found"))
