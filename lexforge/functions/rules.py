@@ -65,6 +65,11 @@ FOLLOW_UP_WORDS = 12
 # Words of evidence blocks and of the list of sources.
 PAGE, PAGES, NO_PAGE, NO_SECTION = "עמוד", "עמודים", "עמוד לא זמין במאגר הישן", "קטע ללא כותרת"
 DOCUMENT_WORD, SECTION_WORD = "מסמך", "סעיף"
+PARAMETER_BLOCK = (
+    "[[TAX-PARAM-{tax_year}]]\nפרמטר מס רשמי לשנת המס {tax_year}: {value_text} ₪ לשנה.\nמפתח: {parameter_key} | יחידה: {unit}\nמקור: {source_title} | עמוד: {source_page}\n"
+    "URL: {source_url}\nסוג מקור: {source_type}\nיש לציין בתשובה את שנת המס ואת המקור.\n[[/TAX-PARAM]]"
+)
+PARAMETER_NO_PAGE, PARAMETER_SOURCE_TYPE = "לא זמין", "official"
 SOURCES_TITLE, SOURCE_WORD = "מקורות שנשלפו", "מקור"
 CUT_TITLE, CUT_TEXT = " (קטוע)", "\n[... המסמך נחתך עקב מגבלת גודל ...]"
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import re
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import rules as R, text as T
 
@@ -102,13 +104,10 @@ def parameter_context(questions: DataFrame, parameters: DataFrame, as_of_year: i
     rows = parameters.where(F.col("parameter_key") == key)
     if fallback is not None:
         rows = rows.unionByName(fallback.where(F.col("parameter_key") == key).join(rows.select("tax_year"), "tax_year", "left_anti"), allowMissingColumns=True)
-    c = F.col
-    block = F.concat(
-        F.lit("[[TAX-PARAM-"), c("tax_year").cast("string"), F.lit("]]\nפרמטר מס רשמי לשנת המס "), c("tax_year").cast("string"), F.lit(": "), c("value_text"),
-        F.lit(" ₪ לשנה.\nמפתח: "), c("parameter_key"), F.lit(" | יחידה: "), c("unit"), F.lit(f"\n{R.SOURCE_WORD}: "), c("source_title"), F.lit(f" | {R.PAGE}: "),
-        F.coalesce(T.blank_to_null(c("source_page")), F.lit("לא זמין")), F.lit("\nURL: "), c("source_url"), F.lit("\nסוג מקור: "), F.coalesce("source_type", F.lit("official")),
-        F.lit("\nיש לציין בתשובה את שנת המס ואת המקור.\n[[/TAX-PARAM]]"),
-    )
+    fields = {c: F.col(c).cast("string") for c in ("tax_year", "value_text", "parameter_key", "unit", "source_title", "source_url")}
+    fields["source_page"] = F.coalesce(T.blank_to_null(F.col("source_page")), F.lit(R.PARAMETER_NO_PAGE))
+    fields["source_type"] = F.coalesce("source_type", F.lit(R.PARAMETER_SOURCE_TYPE))
+    block = F.concat(*(fields[x[1:-1]] if x.startswith("{") else F.lit(x) for x in re.split(r"(\{\w+\})", R.PARAMETER_BLOCK) if x))
     return asked.join(rows.select("tax_year", block.alias("parameter_context")), "tax_year", "left")
 
 

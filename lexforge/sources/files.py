@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ..functions import text as T
+from ..session import ship
 
 MOST_BYTES = 50 * 1024 * 1024
 UPLOADS = ("pdf", "doc", "docx")
@@ -61,6 +62,7 @@ def _page_texts(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def html_text(c: Column) -> Column:
     """S08"""
+    ship()
     return T.clean_text(_page_texts(c))
 
 
@@ -115,6 +117,7 @@ def kind_of(content_type: Column, url: Column) -> Column:
 
 def extract(files: DataFrame) -> DataFrame:
     """Text, pages and error of rows (content, content_type, url); a bad file is a row with an error."""
+    ship(files.sparkSession)
     rows = files.withColumn("kind", kind_of(F.col("content_type"), F.col("url")))
     rows = rows.withColumn("pages", F.when(F.col("kind") == "pdf", F.transform(_pdf(F.when(F.col("kind") == "pdf", F.col("content"))), lambda p: F.struct(p["page_number"].alias("page_number"), T.clean_text(p["text"]).alias("text")))))
     flat = T.clean_text(F.array_join(F.transform(F.array_sort("pages"), lambda p: p["text"]), "\n"))
