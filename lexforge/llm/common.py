@@ -1,21 +1,20 @@
-"""What the operators share: table access, scratch tables, shipping of this package."""
+"""What the operators share: table access and scratch tables."""
 
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-_ROOT = Path(__file__).resolve().parents[2]
-_PACKAGE = Path(__file__).resolve().parents[1].name
+from ..session import ship
+
+__all__ = ["partitions", "release", "scratch_dir", "scratch_path", "ship", "stored", "table"]
+
+_PACKAGE = "lexforge"
 _own_dir: str | None = None
-_shipped: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,21 +68,3 @@ def release(*frames: DataFrame) -> None:
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-
-
-def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers.
-
-    Where it is on PYTHONPATH already, nothing is done; else a zip of it is
-    handed to the session, which every executor, late ones too, fetches.
-    """
-    sc = spark.sparkContext
-    if str(_ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or sc.applicationId in _shipped:
-        return
-    _shipped.add(sc.applicationId)
-    out = Path(tempfile.mkdtemp(prefix=f"{_PACKAGE}-zip-")) / f"{_PACKAGE}.zip"
-    atexit.register(shutil.rmtree, out.parent, True)
-    with zipfile.ZipFile(out, "w") as z:
-        for p in sorted((_ROOT / _PACKAGE).rglob("*.py")):
-            z.write(p, p.relative_to(_ROOT))
-    sc.addPyFile(str(out))
