@@ -22,6 +22,8 @@ COUNTERS, CHUNKS = 1 << 20, 64
 #: Documents that share a prefix token are first compared to one of them if they are
 #: more than so many.
 CROWD = 8
+#: Bytes of text whose shingles a task holds at a time.
+SLICE = 2 << 20
 
 _SUMMARY = "chunk int, doc_id long, tag long, n long, fp long, fp2 long, blob binary"
 _POSTING = "h long, fp long, n long, i long, ell long"
@@ -70,7 +72,7 @@ def _summarise(seed: int):
         counters = np.zeros(COUNTERS, np.int64)
         names = ["chunk", "doc_id", "tag", "n", "fp", "fp2", "blob"]
         for batch in batches:
-            for rows in K.slices(batch, "text"):
+            for rows in K.slices(batch, "text", SLICE):
                 h, off = shingles(rows.column("text"))
                 counters += np.bincount((h & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
                 fp, fp2 = _prints(h, off, seed)
@@ -100,7 +102,7 @@ def _poster(sketch, noise: int, seed: int):
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
         for batch in batches:
-            for rows in K.slices(batch, "text"):
+            for rows in K.slices(batch, "text", SLICE):
                 h, off = shingles(rows.column("text"))
                 n = np.diff(off)
                 fp, _ = _prints(h, off, seed)
@@ -137,7 +139,7 @@ def _setter(wanted, seed: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
         for batch in batches:
-            for rows in K.slices(batch, "text"):
+            for rows in K.slices(batch, "text", SLICE):
                 h, off = shingles(rows.column("text"))
                 fp, _ = _prints(h, off, seed)
                 _, one = np.unique(fp, return_index=True)
