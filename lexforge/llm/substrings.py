@@ -22,7 +22,7 @@ from .common import partitions, ship
 #: Words of an edge.
 EDGE = 20
 #: Text that one task turns into edges at a time; text whose edges make a shard at most.
-SLICE, SHARD = 8 << 20, 24 << 20
+SLICE, SHARD = 8 << 20, 12 << 20
 
 _ENTRIES = "k long, src long, docs binary, hashes binary, rows binary, starts binary"
 _REPLIES = "src long, docs binary, keys binary, counts binary, rows binary, starts binary"
