@@ -25,6 +25,8 @@ QUANTILE = 0.99
 BROADCAST_ROWS = 3_000_000
 #: Steps of a unit of log perplexity that thresholds are counted in.
 STEPS = 2000
+#: Bytes of text that a task looks at at a time.
+SLICE = 1 << 20
 #: What a character costs that no trusted text has, beside all that some text has.
 _UNSEEN = 1 << 16
 
@@ -57,7 +59,7 @@ def _counter(order: int):
             total.clear()
 
         for batch in batches:
-            for part in K.slices(batch, "text"):
+            for part in K.slices(batch, "text", SLICE):
                 cp, off = characters(part.column("text"))
                 m = len(cp) - order + 1
                 if m < 1:
@@ -202,7 +204,7 @@ def _scorer(model):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
-            for part in K.slices(batch, "text"):
+            for part in K.slices(batch, "text", SLICE):
                 size, logp = m.score(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), pa.array(size, pa.int64()), pa.array(logp)], ["doc_id", "lang", "n_chars", "logp"])
 
