@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -332,7 +333,7 @@ _TF = f"""tf AS (
 
 def _tf(spark, sf_dir):
     d = X.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text", "source")
-    b = X.read(spark, sf_dir, "benchmark").where("item_id < 8").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    b = X.some(X.read(spark, sf_dir, "benchmark"), "item_id < 8").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     return d, R.term_scores(b, d).withColumn("score", F.round("score", 9))
 
 
@@ -538,14 +539,14 @@ def m05_archive(spark, sf_dir):
 @query("SELECT n_nationkey AS k, n_name AS v FROM nation UNION ALL SELECT c_custkey::INT, c_name FROM customer WHERE c_custkey < 60 AND c_custkey NOT IN (SELECT n_nationkey FROM nation)")
 def m06_insert_or_ignore(spark, sf_dir):
     n = X.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("v"))
-    c = X.read(spark, sf_dir, "customer").where("c_custkey < 60").select(F.col("c_custkey").cast("int").alias("k"), F.col("c_name").alias("v"))
+    c = X.some(X.read(spark, sf_dir, "customer"), "c_custkey < 60").select(F.col("c_custkey").cast("int").alias("k"), F.col("c_name").alias("v"))
     return M.insert_or_ignore(n, c, ["k"])
 
 
 @query("SELECT coalesce(c.k, n.k) AS k, coalesce(c.v, n.v) AS v FROM (SELECT n_nationkey AS k, n_name AS v FROM nation) n FULL JOIN (SELECT c_custkey::INT AS k, c_name AS v FROM customer WHERE c_custkey BETWEEN 10 AND 60) c ON n.k = c.k")
 def m08_upsert(spark, sf_dir):
     n = X.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("v"))
-    c = X.read(spark, sf_dir, "customer").where("c_custkey BETWEEN 10 AND 60").select(F.col("c_custkey").cast("int").alias("k"), F.col("c_name").alias("v"))
+    c = X.some(X.read(spark, sf_dir, "customer"), "c_custkey BETWEEN 10 AND 60").select(F.col("c_custkey").cast("int").alias("k"), F.col("c_name").alias("v"))
     return M.upsert(n, c, ["k"])
 
 
@@ -764,7 +765,7 @@ def f22_f23_authority(spark, sf_dir):
 
 @query(_with(X.RUNS) + "SELECT id, printf('%.3f -> %.3f (%s%.3f)', b, c, CASE WHEN c - b > 1e-9 THEN '+' WHEN c - b < -1e-9 THEN '-' ELSE ' ' END, abs(c - b)) AS delta FROM (SELECT id, max(actionability_score) FILTER (run = 'base') AS b, max(required_concepts_score) FILTER (run = 'candidate') AS c FROM runs GROUP BY 1) WHERE b IS NOT NULL AND c IS NOT NULL AND id % 3 = 0")
 def f26_deltas(spark, sf_dir):
-    r = X.runs(spark, sf_dir).where("id % 3 = 0")
+    r = X.some(X.runs(spark, sf_dir), "id % 3 = 0")
     b, c = r.where("run = 'base'").select("id", F.col("actionability_score").alias("b")), r.where("run = 'candidate'").select("id", F.col("required_concepts_score").alias("c"))
     return b.join(c, "id").select("id", T.signed_delta(F.col("b"), F.col("c")).alias("delta"))
 
@@ -816,3 +817,26 @@ def s20_review_sheet(spark, sf_dir):
 def e07_context_score(spark, sf_dir):
     a = _answers(spark, sf_dir).select("id", E.context_score(F.col("must_include"), F.col("answer")).alias("s"))
     return a.select("id", "s.passed", F.array_join("s.found", ",").alias("found"))
+
+
+# -- the same over all rows ---------------------------------------------------------
+
+
+def _over_all(f):
+    @wraps(f)
+    def run(spark, sf_dir):
+        before = X.ALL.set(True)
+        try:
+            return f(spark, sf_dir)
+        finally:
+            X.ALL.reset(before)
+
+    return run
+
+
+#: Queries whose SQL takes a part of the questions, pairs or customers; name_all takes all, and has no SQL.
+PARTIAL = (
+    hybrid_topk, r02_dense_scores, r03_lexical, r04_fused, r05_document_cap, r06_forced, r08_ranked_documents, r10_blocks, r11_budget, r15_sources, j08_neighbours,
+    e06_ranking_scores, f20_term_scores, r12_pack_documents, e01_ranking_metrics, e05_means, f26_deltas, m06_insert_or_ignore, m08_upsert,
+)
+QUERIES.update({f"{f.__name__}_all": _over_all(f) for f in PARTIAL})

@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 AS_OF = "1998-06-01"
+#: Whether some() takes all rows: in the queries named *_all.
+ALL: ContextVar[bool] = ContextVar("all rows", default=False)
+
+
+def some(rows: DataFrame, condition: str) -> DataFrame:
+    """The rows that a query with SQL is held to; all of them in its twin ``*_all``."""
+    return rows if ALL.get() else rows.where(condition)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,7 +80,7 @@ DOCUMENTS = """docs AS (
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions: benchmark items with a date and a percentage, and a vector each."""
-    b, e = read(spark, sf_dir, "benchmark").where("item_id < 8"), read(spark, sf_dir, "embeddings")
+    b, e = some(read(spark, sf_dir, "benchmark"), "item_id < 8"), read(spark, sf_dir, "embeddings")
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     q = F.concat("text", F.lit(" "), _ymd(), F.lit(" "), (F.col("item_id") * 11).cast("string"), F.lit("%"))
     rows = b.join(e, b["item_id"] == e["vec_id"]).join(o, F.col("item_id") * 3 == F.col("o_orderkey"))

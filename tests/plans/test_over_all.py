@@ -1,0 +1,35 @@
+"""Twins of queries with SQL over a part of the rows: all rows, against that SQL without its filter."""
+
+import math
+from pathlib import Path
+
+import pytest
+
+duckdb = pytest.importorskip("duckdb")
+DATA = "/root/testdata/sf0.001"
+FILTERS = (" WHERE item_id < 8", " AND id % 3 = 0", "c_custkey < 60 AND ", " WHERE c_custkey BETWEEN 10 AND 60")
+
+
+def canon(rows):
+    return sorted(str([round(x, 4) if isinstance(x, float) and math.isfinite(x) else x for x in r]) for r in rows)
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables")
+@pytest.mark.parametrize("name", ["hybrid_topk", "r06_forced", "f20_term_scores", "e01_ranking_metrics", "e06_ranking_scores", "f26_deltas", "m06_insert_or_ignore", "m08_upsert"])
+def test_over_all(spark, name):
+    import __spark_entry__ as e
+
+    sql = e.oracle_sql()[name]
+    whole = sql
+    for f in FILTERS:
+        whole = whole.replace(f, "")
+    assert whole != sql and f"{name}_all" not in e.oracle_sql()
+    db = duckdb.connect()
+    for p in Path(DATA).glob("*.parquet"):
+        db.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM read_parquet('{p / '*.parquet' if p.is_dir() else p}')")
+    df = e.queries()[f"{name}_all"](spark, DATA)
+    some = e.queries()[name](spark, DATA).count()
+    got = canon(df.select(*df.columns).collect())
+    cur = db.execute(whole)
+    place = [[c[0] for c in cur.description].index(c) for c in df.columns]
+    assert got == canon([r[i] for i in place] for r in cur.fetchall()) and len(got) > some
