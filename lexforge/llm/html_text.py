@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -12,10 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import words as K
-from .common import ship, stored
+from .common import partitions, ship, stored
+from .substrings import _pack, _steps, _unpack
 
-#: Pages that share a suffix array; larger hosts are cut into shards of about so many.
+#: Pages that share a suffix array; larger hosts are cut into shards of about so many,
+#: which tell each other their runs.
 SHARD = 40
+#: Bytes of pages whose runs are compared in one task.
+BUCKET = 64 << 20
 #: A run of so many tokens on two distinct pages is a repeat (a power of two).
 RUN = 8
 #: An open block goes when repeats cover this share of its tokens, unless they cover
@@ -221,13 +226,25 @@ def repeated(tokens: np.ndarray, page: np.ndarray, run: int = RUN) -> np.ndarray
     first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
     low, high = np.minimum.reduceat(p, first), np.maximum.reduceat(p, first)
     size_of = np.diff(np.concatenate([first, [len(r)]]))
-    hit = suffixes[np.repeat(low < high, size_of)]
+    return _cover(n, suffixes[np.repeat(low < high, size_of)], run)
+
+
+def _cover(n: int, starts: np.ndarray, run: int) -> np.ndarray:
+    """Which of n tokens lie in the runs that begin at ``starts``."""
     step = np.zeros(n + 1, np.int64)
-    np.add.at(step, hit, 1)
-    np.add.at(step, hit + run, -1)
+    np.add.at(step, starts, 1)
+    np.add.at(step, starts + run, -1)
     return np.cumsum(step[:n]) > 0
 
 
+def _runs(tokens: np.ndarray, page: np.ndarray, host: str, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+    """(start, key) of each run inside a page; keys are hashes of the host and the run."""
+    h = K.windows(tokens, run)
+    at = np.flatnonzero(page[: len(h)] == page[run - 1 : run - 1 + len(h)])
+    salt = np.frombuffer(hashlib.blake2b(host.encode("utf-8", "surrogatepass"), digest_size=8).digest(), np.uint64)
+    return at, K.mix(h[at] ^ salt)
+
+
 def _parser(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in K.slices(batch, "html", 8 << 20):
@@ -238,13 +255,50 @@ def _parser(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _main_text(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The pages of one shard of a host, in any order."""
+def _tokens(pdf: pd.DataFrame) -> tuple[list[list[str]], K.Words, np.ndarray]:
+    """Blocks of each page, their tokens, and each token's page."""
     each = [t.split("\n") if z else [] for z, t in zip(pdf["zones"], pdf["text"], strict=True)]
     n = np.fromiter(map(len, each), np.int64, len(each))
     w = K.split(pa.array([b for page in each for b in page], pa.string()))
-    block_page = np.repeat(np.arange(len(each)), n)
-    hit = repeated(w.hash, block_page[w.doc])
+    return each, w, np.repeat(np.arange(len(each)), n)[w.doc]
+
+
+def _sender(buckets: int):
+    def send(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Each kind of run of one shard once, by bucket; nothing if it is all of its host."""
+        columns = ["k", "host", "shard", "keys"]
+        if pdf["shards"].iloc[0] == 1:
+            return pd.DataFrame(columns=columns)
+        host, shard = pdf["host"].iloc[0], pdf["shard"].iloc[0]
+        _, w, page = _tokens(pdf)
+        key = np.unique(_runs(w.hash, page, host)[1])
+        bucket = (key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)  # keys ascend, so do buckets
+        cut = np.searchsorted(bucket, np.arange(buckets + 1))
+        return pd.DataFrame([(int(k), host, shard, _pack(_steps(key[cut[k] : cut[k + 1]]))) for k in np.flatnonzero(np.diff(cut))], columns=columns)
+
+    return send
+
+
+def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one bucket of runs: those that two shards of a host have, to each of these."""
+    each = [np.cumsum(_unpack(x, np.uint64), dtype=np.uint64) for x in pdf["keys"]]
+    key, n = np.unique(np.concatenate(each), return_counts=True)
+    key = key[n > 1]
+    own = [k[np.isin(k, key, assume_unique=True)] for k in each]
+    out = pd.DataFrame({"host": pdf["host"], "shard": pdf["shard"], "keys": [_pack(_steps(k)) for k in own]})
+    return out[[len(k) > 0 for k in own]]
+
+
+def _main_text(pdf: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
+    """The pages of one shard of a host, in any order, and runs that its other shards have."""
+    if not len(pdf):
+        return pd.DataFrame(columns=["page_id", "url", "text", "n_chars", "n_repeated"])
+    each, w, page_of = _tokens(pdf)
+    hit = repeated(w.hash, page_of)
+    if len(shared):
+        at, key = _runs(w.hash, page_of, pdf["host"].iloc[0])
+        theirs = np.concatenate([np.cumsum(_unpack(x, np.uint64), dtype=np.uint64) for x in shared["keys"]])
+        hit |= _cover(len(hit), at[np.isin(key, theirs)], RUN)
     before = np.concatenate([[0], np.cumsum(hit)])
     in_block, size = before[w.first[1:]] - before[w.first[:-1]], w.count
     texts, covered, at = [], [], 0
@@ -274,7 +328,9 @@ def extract(pages: DataFrame) -> DataFrame:
     copies of a page, and passages that articles share, are to stay.
 
     Hosts are cut into shards of about SHARD pages by a hash of page_id and url, each
-    with a suffix array of its own, so no task holds a host.
+    with a suffix array of its own, so no task holds a host.  Shards of one host send
+    each kind of run once, by its 64-bit hash, and learn which another shard has too:
+    what repeats does not depend on the shards.
 
     Null html: empty text, 0 characters.  Null or odd urls share one host ''.  Null
     page_ids stay null.  Repeated rows give a row each and are one page only if alone.
@@ -283,10 +339,15 @@ def extract(pages: DataFrame) -> DataFrame:
     ship(spark)
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1), F.lit("")))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), "html")
-    sizes = rows.groupBy("host").count().where(F.col("count") > SHARD)
-    large = stored(sizes.select("host", F.ceil(F.col("count") / SHARD).alias("shards")), "hosts")
+    sizes = rows.groupBy("host").agg(F.count("*").alias("count"), F.sum(F.octet_length("html")).alias("size")).where(F.col("count") > SHARD)
+    large = stored(sizes.select("host", F.ceil(F.col("count") / SHARD).alias("shards"), "size"), "hosts")
+    n, size = large.agg(F.count("*"), F.sum("size")).first()
+    buckets = max(partitions(spark), -(-(size or 0) // BUCKET))
     parsed = rows.mapInArrow(_parser, "page_id long, url string, host string, zones string, text string")
-    side = F.broadcast(large) if large.count() <= FEW_HOSTS else large
-    shard = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("shards", F.lit(1)))
-    dealt = parsed.join(side, "host", "left").withColumn("shard", shard).drop("shards")
-    return dealt.groupBy("host", "shard").applyInPandas(_main_text, "page_id long, url string, text string, n_chars long, n_repeated long")
+    side = F.broadcast(large) if n <= FEW_HOSTS else large
+    shards = F.coalesce("shards", F.lit(1))
+    dealt = parsed.join(side.drop("size"), "host", "left").withColumns({"shard": F.pmod(F.xxhash64("page_id", "url"), shards), "shards": shards})
+    by_shard = dealt.groupBy("host", "shard")
+    sent = by_shard.applyInPandas(_sender(buckets), "k long, host string, shard long, keys binary")
+    shared = sent.groupBy("k").applyInPandas(_shared, "host string, shard long, keys binary")
+    return by_shard.cogroup(shared.groupBy("host", "shard")).applyInPandas(_main_text, "page_id long, url string, text string, n_chars long, n_repeated long")

@@ -201,6 +201,20 @@ def test_html(spark):
     assert html_text.extract(df.where("false")).collect() == []
 
 
+def test_html_repeats_on_a_large_host(spark):
+    rng = random.Random(5)
+    prose = lambda k: " ".join(f"p{k}_{rng.randint(0, 999)}" for _ in range(30))
+    notes = [" ".join(f"n{j}_{i}" for i in range(12)) for j in range(60)]
+    # each notice stands on two pages of a host of 120, so mostly in different shards
+    pages = [(k, f"http://large.example/{k}", f"<body><p>{prose(k)}</p><p>{notes[k % 60]}</p>") for k in range(120)]
+    other = (500, "http://small.example/1", f"<body><p>{prose(500)}</p><p>{notes[0]}</p>")  # another host: no repeat
+    df = spark.createDataFrame([*pages, other], "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: r for r in html_text.extract(df).collect()}
+    assert len(got) == 121
+    assert all(got[k].n_repeated == 12 and "n" not in got[k].text for k in range(120))
+    assert got[500].n_repeated == 0 and notes[0] in got[500].text
+
+
 def test_repeated_runs():
     rng = random.Random(2)
     for _ in range(20):
