@@ -23,8 +23,8 @@ SHARD = 40
 BUCKET = 64 << 20
 #: A run of so many tokens on two distinct pages is a repeat (a power of two).
 RUN = 8
-#: An open block goes when repeats cover this share of its tokens, unless they cover
-#: this share of all of the page's open blocks: then the page is a copy, and stays.
+#: A block goes when repeats cover this share of its tokens, unless they cover this
+#: share of all of the page's article (or open blocks): then the page is a copy, and stays.
 COVERED, COPY = 0.8, 0.8
 #: Hosts beyond SHARD pages are broadcast up to so many, else joined by shuffle.
 FEW_HOSTS = 50_000
@@ -306,13 +306,11 @@ def _main_text(pdf: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
         own = slice(at, at + len(page))
         at += len(page)
         covered.append(int(in_block[own].sum()))
-        if MAIN in zones:  # the page itself says where its article is; a copy keeps its text
-            keep = [z == MAIN for z in zones]
-        else:
-            is_open = np.array([z == OPEN for z in zones], bool)
-            c, s = in_block[own], size[own]
-            copy = c[is_open].sum() >= COPY * max(1, s[is_open].sum())
-            keep = is_open & (copy | (c < COVERED * np.maximum(s, 1)))
+        zone = MAIN if MAIN in zones else OPEN  # where a page says what its article is, the rest is none
+        text = np.array([z == zone for z in zones], bool)
+        c, s = in_block[own], size[own]
+        copy = c[text].sum() >= COPY * max(1, s[text].sum())
+        keep = text & (copy | (c < COVERED * np.maximum(s, 1)))
         texts.append("\n".join(b for b, k in zip(page, keep, strict=True) if k))
     return pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts], "n_repeated": covered})
 
@@ -320,12 +318,11 @@ def _main_text(pdf: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars and n_repeated of each row of ``pages`` (page_id, url, html).
 
-    A page's blocks are cut at block elements and their references decoded.  Blocks in
-    an article or main element are its text, but for what is marked as something
-    else there; where a page has none, its unmarked blocks are, but for those that
-    runs repeated on other pages of its host cover.  n_repeated counts the tokens of
-    all its blocks in such runs.  Repeats alone never take text out of an article:
-    copies of a page, and passages that articles share, are to stay.
+    A page's blocks are cut at block elements and their references decoded.  Its text
+    are the blocks in an article or main element, but for what is marked as something
+    else there; where a page has none, its unmarked blocks.  Of these, blocks that runs
+    repeated on other pages of its host cover go, unless such runs cover the whole text:
+    copies of a page are to stay.  n_repeated counts the tokens of all blocks in runs.
 
     Hosts are cut into shards of about SHARD pages by a hash of page_id and url, each
     with a suffix array of its own, so no task holds a host.  Shards of one host send

@@ -215,6 +215,16 @@ def test_html_repeats_on_a_large_host(spark):
     assert got[500].n_repeated == 0 and notes[0] in got[500].text
 
 
+def test_html_repeats_inside_articles(spark):
+    line = "This story first ran in our weekly paper for all readers of the region"
+    page = lambda k: "<body><article><p>" + " ".join(f"s{k}_{j}" for j in range(40)) + f"</p><p>{line}</p></article></body>"
+    pages = [(k, f"http://a.example/{k}", page(k)) for k in range(6)] + [(10 + k, f"http://a.example/copy{k}", page(99)) for k in range(2)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(df).collect()}
+    assert all(line not in got[k] and got[k].startswith(f"s{k}_0 ") for k in range(6))
+    assert got[10] == got[11] and got[10].endswith(line)  # copies of a page keep theirs
+
+
 def test_repeated_runs():
     rng = random.Random(2)
     for _ in range(20):
