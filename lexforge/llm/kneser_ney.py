@@ -1,14 +1,15 @@
 """Operator 1: quality by perplexity under an interpolated modified Kneser-Ney model.
 
-The model is one of characters: its n-grams are as good as bounded by the scripts in
-use, while word n-grams grow with the corpus, and their joins with every document
-would move several times the corpus.
+The model is one of words.  Its n-grams grow with the corpus, so it never goes to the
+driver: a document's n-grams meet the model in joins dealt by n-gram, and what they
+cost is summed by document.  A word is its 64-bit hash, an n-gram the 8 n bytes of its
+words' hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,67 +18,59 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from . import bitset, words as K
 from .common import release, ship, stored
 
-#: Characters of the longest n-gram.
-ORDER = 4
+#: Words of the longest n-gram.
+ORDER = 3
 #: Share of the trusted texts of a language that its threshold lets pass.
 QUANTILE = 0.99
-#: Rows of a model that is broadcast; a larger one is joined by shards of its n-grams.
-BROADCAST_ROWS = 3_000_000
+#: Rows of an order of a model that joins broadcast; a larger one is dealt by n-gram.
+BROADCAST_ROWS = 10_000
+#: Parts of the trusted texts; each is scored by a model of the others for thresholds.
+FOLDS = 2
 #: Steps of a unit of log perplexity that thresholds are counted in.
 STEPS = 2000
 #: Bytes of text that a task looks at at a time.
 SLICE = 1 << 20
-#: What a character costs that no trusted text has, beside all that some text has.
-_UNSEEN = 1 << 16
 
-_MODEL = "n int, gram string, logp double, backoff double"
-_SCORED = "doc_id long, lang string, n_chars long, logp double"
-_MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
+_SCORED = "doc_id long, lang string, key long, n_chars long, n_words long"
 
 
-def characters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(code points, n + 1 offsets), white space as single blanks, none at the ends."""
-    plain = [" ".join(t.split()) if t else "" for t in texts.to_pylist()]
-    cp = np.frombuffer("".join(plain).encode("utf-32-le", "surrogatepass"), np.uint32)
-    return cp, np.concatenate([[0], np.cumsum(np.fromiter(map(len, plain), np.int64, len(plain)))])
+def _grams_of(w: K.Words, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the ``order`` words that end at each word, how many of them its text has)."""
+    n = len(w.hash)
+    room = np.arange(n) - np.repeat(w.first[:-1], w.count)
+    grams = np.zeros((n, order), np.uint64)
+    for j in range(min(order, n)):
+        grams[j:, order - 1 - j] = w.hash[: n - j]
+    size = np.minimum(room + 1, order)
+    grams[np.arange(order)[None, :] < order - size[:, None]] = 0
+    return grams, size
 
 
-def _room(off: np.ndarray, total: int) -> np.ndarray:
-    """How many characters of its text stand before each character."""
-    return np.arange(total) - np.repeat(off[:-1], np.diff(off))
+def _distinct(grams: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index, count) of each kind of row of ``grams``, told apart by ``of`` too."""
+    h = K.mix(of.astype(np.uint64))
+    for j in range(grams.shape[1]):
+        h = K.mix(h * np.uint64(K._STEP) + grams[:, j])
+    _, first, n = np.unique(h, return_index=True, return_counts=True)
+    return first, n
 
 
-def _counter(order: int):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, int] = {}
+def _binary(grams: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The last ``size`` hashes of each row as bytes."""
+    order = grams.shape[1]
+    own = np.arange(order)[None, :] >= order - size[:, None]
+    off = np.concatenate([[0], np.cumsum(8 * size)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(grams[own].astype("<u8").tobytes())])
 
-        def rows() -> Iterator[pa.RecordBatch]:
-            names = list(total)
-            for i in range(0, len(names), 50_000):
-                some = names[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([total[g] for g in some], pa.int64())], ["gram", "c"])
-            total.clear()
 
+def _counter(order: int):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in K.slices(batch, "text", SLICE):
-                cp, off = characters(part.column("text"))
-                m = len(cp) - order + 1
-                if m < 1:
-                    continue
-                letters, code = np.unique(cp, return_inverse=True)
-                key, inside = np.zeros(m, np.int64), _room(off, len(cp))[order - 1 :] >= order - 1
-                for j in range(order):  # exact while the alphabet is under 2**(63 / order)
-                    key = key * len(letters) + code[j : j + m]
-                kinds, first, n = np.unique(key[inside], return_index=True, return_counts=True)
-                at = np.flatnonzero(inside)[first]
-                grams = np.stack([cp[at + j] for j in range(order)], 1).astype("<u4")
-                text = grams.tobytes().decode("utf-32-le", "surrogatepass")
-                for i, c in enumerate(n.tolist()):
-                    g = text[i * order : (i + 1) * order]
-                    total[g] = total.get(g, 0) + c
-                if len(total) > 1_000_000:
-                    yield from rows()
-        yield from rows()
+                grams, size = _grams_of(K.split(part.column("text")), order)
+                grams = grams[size == order]
+                first, n = _distinct(grams, np.zeros(len(grams), np.uint64))
+                yield pa.RecordBatch.from_arrays([_binary(grams[first], np.full(len(first), order)), pa.array(n, pa.int64())], ["gram", "c"])
 
     return count
 
@@ -97,36 +90,37 @@ def train(trusted: DataFrame, order: int = ORDER) -> DataFrame:
     """The model of the texts of ``trusted``: n, gram, logp and backoff, a row per n-gram.
 
     Counts are summed in each task, then by n-gram; lower orders count the distinct
-    characters that stand before an n-gram.  An n-gram's probability is its discounted
+    words that stand before an n-gram.  An n-gram's probability is its discounted
     share among those of its history plus what the discounts free there, spread as
     the next lower order has it; each order is two joins of count tables, dealt by
-    n-gram.  ``backoff`` is the log of what a history frees (0 where it is none).
+    n-gram.  ``backoff`` is the log of what a history frees (0 where it is none);
+    that of the empty n-gram is the log probability of a word that no trusted text has.
     """
     ship(trusted.sparkSession)
-    top = trusted.where("text is not null").select("text").mapInArrow(_counter(order), "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+    top = trusted.where("text is not null").select("text").mapInArrow(_counter(order), "gram binary, c long").groupBy("gram").agg(F.sum("c").alias("c"))
     counts = {order: stored(top, "kn-counts")}
     for n in range(order - 1, 0, -1):
-        counts[n] = stored(counts[n + 1].groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("c")), "kn-counts")
+        counts[n] = stored(counts[n + 1].groupBy(F.expr("substring(gram, 9)").alias("gram")).agg(F.count("*").alias("c")), "kn-counts")
+    kinds = float(counts[1].count() + 1)
     lower, tables, freed_of = None, [], {}
     for n in range(1, order + 1):
         d1, d2, d3 = _discounts(counts[n])
         c = F.col("c")
         lose = F.when(c == 1, d1).when(c == 2, d2).otherwise(d3)
-        history = F.substring("gram", 1, n - 1) if n > 1 else F.lit("")
+        history = F.substring("gram", 1, 8 * (n - 1)) if n > 1 else F.lit("").cast("binary")
         rows = counts[n].withColumn("history", history).withColumn("lose", F.least(lose, c.cast("double")))
         sums = rows.groupBy("history").agg(F.sum("c").alias("total"), F.round(F.sum("lose"), 9).alias("freed"))
         sums = stored(sums.withColumn("freed", F.col("freed") / F.col("total")), "kn-histories")
         rows = rows.join(sums, "history").withColumn("own", (c - F.col("lose")) / F.col("total"))
         if n == 1:
-            kinds = F.lit(float(_UNSEEN))
             p = rows.select("gram", (F.col("own") + F.col("freed") / kinds).alias("p"))
         else:
             below = lower.select(F.col("gram").alias("end"), F.col("p").alias("below"))
-            p = rows.withColumn("end", F.expr("substring(gram, 2)")).join(below, "end", "left").select("gram", (F.col("own") + F.col("freed") * F.coalesce("below", F.lit(0.0))).alias("p"))
+            p = rows.withColumn("end", F.expr("substring(gram, 9)")).join(below, "end", "left").select("gram", (F.col("own") + F.col("freed") * F.coalesce("below", F.lit(0.0))).alias("p"))
         lower = stored(p, "kn-probabilities")
         tables.append(lower)
         freed_of[n - 1] = sums
-    out = freed_of[0].select(F.lit(0).alias("n"), F.lit("").alias("gram"), F.lit(0.0).alias("logp"), F.log("freed").alias("backoff"))
+    out = freed_of[0].select(F.lit(0).alias("n"), F.lit("").cast("binary").alias("gram"), F.lit(0.0).alias("logp"), F.log(F.col("freed") / kinds).alias("backoff"))
     for n in range(1, order + 1):
         rows = tables[n - 1].select(F.lit(n).alias("n"), "gram", F.log("p").alias("logp"))
         if n < order:  # a history may be no n-gram of its own order, at a text's beginning
@@ -140,126 +134,57 @@ def train(trusted: DataFrame, order: int = ORDER) -> DataFrame:
     return out
 
 
-@dataclass
-class Model:
-    """A model as arrays: for each order, sorted keys of n-grams and their values."""
-
-    keys: list[np.ndarray]
-    logp: list[np.ndarray]
-    backoff: list[np.ndarray]
-
-    @classmethod
-    def of(cls, rows: DataFrame) -> Model:
-        pdf = rows.toPandas()
-        if not len(pdf):  # nothing was trusted
-            return cls([], [], [])
-        order = int(pdf["n"].max())
-        keys, logp, backoff = [], [], []
-        for n in range(order + 1):
-            own = pdf[pdf["n"] == n]
-            text = "".join(own["gram"])
-            cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(own), n)
-            key = np.zeros(len(own), np.uint64)
-            for j in range(n):
-                key += (cp[:, n - 1 - j].astype(np.uint64) + np.uint64(1)) * _MULT[j]
-            rank = np.argsort(key)
-            keys.append(key[rank])
-            logp.append(own["logp"].to_numpy(float)[rank])
-            backoff.append(own["backoff"].to_numpy(float)[rank])
-        return cls(keys, logp, backoff)
-
-    def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(characters, log probability) of each text."""
-        cp, off = characters(texts)
-        size = np.diff(off)
-        if not len(self.keys) or not len(cp):
-            return size, np.zeros(len(size))
-        room = _room(off, len(cp))
-        lp = np.full(len(cp), self.backoff[0][0] - np.log(_UNSEEN))  # of a character never seen
-        key = np.zeros(len(cp), np.uint64)
-        for n in range(1, len(self.keys)):
-            wide = key.copy()  # of the n - 1 last characters, by where they end
-            key[n - 1 :] += (cp[: len(cp) - n + 1].astype(np.uint64) + np.uint64(1)) * _MULT[n - 1]
-            at = np.flatnonzero(room >= n - 1)
-            p, found = self._find(n, key[at], self.logp)
-            found &= ~np.isnan(p)
-            lp[at[found]] = p[found]
-            if n > 1:
-                rest = at[~found]
-                b, known = self._find(n - 1, wide[rest - 1], self.backoff)
-                lp[rest[known]] += b[known]
-        full = size > 0
-        out = np.zeros(len(size))
-        out[full] = np.add.reduceat(lp, off[:-1][full])
-        return size, out
-
-    def _find(self, n: int, key: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.keys[n]):
-            return np.zeros(len(key)), np.zeros(len(key), bool)
-        at = np.minimum(np.searchsorted(self.keys[n], key), len(self.keys[n]) - 1)
-        return values[n][at], self.keys[n][at] == key
-
-
-def _scorer(model):
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        for batch in batches:
-            for part in K.slices(batch, "text", SLICE):
-                size, logp = m.score(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), pa.array(size, pa.int64()), pa.array(logp)], ["doc_id", "lang", "n_chars", "logp"])
-
-    return score
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in K.slices(batch, "text", SLICE):
+            chars = [len(" ".join(t.split())) if t else 0 for t in part.column("text").to_pylist()]
+            words = K.split(part.column("text"), hashes=False).count
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "lang", "key")), pa.array(chars, pa.int64()), pa.array(words, pa.int64())], ["doc_id", "lang", "key", "n_chars", "n_words"])
 
 
 def _grams(order: int):
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in K.slices(batch, "text", 1 << 20):
-                cp, off = characters(part.column("text"))
-                text = cp.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
-                out: dict[tuple, int] = {}
-                rows = part.column("row").to_pylist()
-                for d in range(part.num_rows):
-                    for i in range(off[d], off[d + 1]):
-                        g = rows[d], text[max(off[d], i - order + 1) : i + 1]
-                        out[g] = out.get(g, 0) + 1
-                yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in out], pa.string()), pa.array([g[1] for g in out], pa.string()), pa.array(list(out.values()), pa.int64())], ["row", "gram", "times"])
+            for part in K.slices(batch, "text", SLICE):
+                w = K.split(part.column("text"))
+                found, size = _grams_of(w, order)
+                doc = w.doc
+                first, n = _distinct(found, doc)
+                key = part.column("key").to_numpy()[doc[first]]
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), _binary(found[first], size[first]), pa.array(n, pa.int64())], ["key", "gram", "times"])
 
     return grams
 
 
-def _joined(docs: DataFrame, model: DataFrame, order: int) -> DataFrame:
-    """Scores by joins of each document's n-gram counts with the sharded model."""
-    row = F.concat_ws(":", F.col("doc_id").cast("string"), F.sha2(F.coalesce("text", F.lit("")), 256))
-    counts = docs.select(row.alias("row"), "text").dropDuplicates(["row"]).mapInArrow(_grams(order), "row string, gram string, times long")
-    floor = model.where("n = 0").select(F.max("backoff")).first()[0]
-    out = counts.withColumn("lp", F.lit(floor - float(np.log(_UNSEEN))))
+def scores(docs: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
+    """doc_id, lang, n_chars, n_words and logp of every row of ``docs``.
+
+    The n-grams of each text, counted, are joined with each order of the model from the
+    lowest up, dealt by n-gram, and summed by a hash of id and text; rows that share
+    both share the mean of a word.
+    """
+    ship(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").withColumn("key", F.xxhash64("doc_id", "text"))
+    each = rows.mapInArrow(_measured, _SCORED)
+    sizes = {r.n: r["count"] for r in model.groupBy("n").count().collect()}
+    if not sizes:  # nothing was trusted
+        return each.drop("key").withColumn("logp", F.lit(0.0))
+
+    def of(n: int, value: str, name: str) -> DataFrame:
+        own = model.where(F.col("n") == n).where(F.col(value).isNotNull()).select(F.col("gram").alias("end"), F.col(value).alias(name))
+        return F.broadcast(own) if sizes.get(n, 0) <= BROADCAST_ROWS else own
+
+    out = rows.select("key", "text").mapInArrow(_grams(order), "key long, gram binary, times long")
+    out = out.withColumn("lp", F.lit(model.where("n = 0").select(F.max("backoff")).first()[0]))
     for n in range(1, order + 1):
-        has = F.length("gram") >= n
-        own = model.where(F.col("n") == n).select(F.col("gram").alias("end"), F.col("logp").alias("p"))
-        out = out.withColumn("end", F.when(has, F.expr(f"right(gram, {n})"))).join(own, "end", "left").drop("end")
-        lp = F.col("lp")
+        has, lp = F.octet_length("gram") >= 8 * n, F.col("lp")
         if n > 1:
-            history = model.where(F.col("n") == n - 1).select(F.col("gram").alias("end"), F.col("backoff").alias("b"))
-            out = out.withColumn("end", F.when(has, F.expr(f"left(right(gram, {n}), {n - 1})"))).join(history, "end", "left").drop("end")
+            out = out.withColumn("end", F.when(has, F.expr(f"substring(gram, {-8 * n}, {8 * (n - 1)})"))).join(of(n - 1, "backoff", "b"), "end", "left").drop("end")
             lp = lp + F.coalesce("b", F.lit(0.0))
-            out = out.withColumn("lp", F.coalesce("p", lp)).drop("p", "b")
-        else:
-            out = out.withColumn("lp", F.coalesce("p", lp)).drop("p")
-    sums = out.groupBy("row").agg(F.sum("times").alias("n_chars"), F.sum(F.col("times") * F.col("lp")).alias("logp"))
-    kept = docs.select("doc_id", "lang", row.alias("row"))
-    return kept.join(sums, "row", "left").select("doc_id", "lang", F.coalesce("n_chars", F.lit(0)).alias("n_chars"), F.coalesce("logp", F.lit(0.0)).alias("logp"))
-
-
-def scores(docs: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
-    """doc_id, lang, n_chars and logp of every row of ``docs``."""
-    spark = docs.sparkSession
-    ship(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
-    n = model.count()
-    if n and n > BROADCAST_ROWS:
-        return _joined(rows, model, order)
-    return rows.mapInArrow(_scorer(spark.sparkContext.broadcast(Model.of(model))), _SCORED)
+        out = out.withColumn("end", F.when(has, F.expr(f"substring(gram, {-8 * n}, {8 * n})"))).join(of(n, "logp", "p"), "end", "left").drop("end")
+        out = out.withColumn("lp", F.coalesce("p", lp)).drop("p", "b")
+    sums = out.groupBy("key").agg((F.sum(F.col("times") * F.col("lp")) / F.sum("times")).alias("mean"))
+    return each.join(sums, "key", "left").select("doc_id", "lang", "n_chars", "n_words", (F.col("n_words") * F.coalesce("mean", F.lit(0.0))).alias("logp"))
 
 
 def _thresholds(trusted: DataFrame, quantile: float) -> DataFrame:
@@ -272,12 +197,14 @@ def _thresholds(trusted: DataFrame, quantile: float) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE) -> DataFrame:
-    """doc_id, lang, n_chars, perplexity (per character), threshold and keep of each row.
+    """doc_id, lang, n_chars, perplexity (per word), threshold and keep of each row.
 
     Trusted are the texts of documents that ``labels`` (doc_id, quality, toxic) calls
     good and not toxic; all of them train the model.  A language's threshold is the
-    ``quantile`` of its trusted texts' perplexities, rounded up to a step of
-    exp(1 / STEPS); a language without trusted texts, and null, has that of all
+    ``quantile`` of its trusted texts' perplexities, each under a model of the FOLDS - 1
+    parts of the trusted texts that it is not in (a model of words knows its own texts
+    too well), rounded up to a step of exp(1 / STEPS); with too few texts for that, all
+    are scored by the one model; a language without trusted texts, and null, has that of all
     trusted texts.  A text is kept when its perplexity does not exceed its threshold.
 
     Null, empty and blank texts: null perplexity, not kept.  Without any trusted text
@@ -290,13 +217,20 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: f
     good = stored(good.where("q = 1 and t = 0").select("good_id"), "trusted")
     bits = spark.sparkContext.broadcast(bitset.gather(good))
     # a filter of fixed size first, so that few other texts meet the exact join
-    some = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_passing(bits), "doc_id long, text string")
-    model = train(some.join(good, some["doc_id"] == good["good_id"], "left_semi"), order)
-    each = scores(docs, model, order)
-    ppl = F.when((F.col("n_chars") > 0) & (F.col("logp") < 0), F.exp(-F.col("logp") / F.col("n_chars")))
+    some = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(_passing(bits), "doc_id long, lang string, text string")
+    trusted = some.join(good, some["doc_id"] == good["good_id"], "left_semi")
+    each = scores(docs, train(trusted, order), order)
+    ppl = F.when((F.col("n_words") > 0) & (F.col("logp") < 0), F.exp(-F.col("logp") / F.col("n_words")))
     step = F.ceil(F.round(F.log("perplexity") * STEPS, 6))
     each = stored(each.withColumn("perplexity", F.round(ppl, 9)).withColumn("step", step), "perplexity")
-    limits = stored(_thresholds(each.join(good, each["doc_id"] == good["good_id"], "left_semi").where("perplexity is not null"), quantile), "kn-thresholds")
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS))
+    others = [train(trusted.where(fold != f), order) for f in range(FOLDS)]
+    if all(m.count() for m in others):
+        unseen = reduce(DataFrame.unionByName, (scores(trusted.where(fold == f), m, order) for f, m in enumerate(others)))
+        unseen = unseen.withColumn("perplexity", F.round(ppl, 9)).withColumn("step", step)
+    else:
+        unseen = each.join(good, each["doc_id"] == good["good_id"], "left_semi")
+    limits = stored(_thresholds(unseen.where("perplexity is not null"), quantile), "kn-thresholds")
     of_all = limits.where("lang is null").select(F.col("step").alias("any_limit"))
     own = limits.where("lang is not null").select(F.col("lang").alias("own_lang"), F.col("step").alias("own_limit"))
     everywhere = F.lit((of_all.first() or [None])[0]).cast("long")

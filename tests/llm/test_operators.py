@@ -85,6 +85,60 @@ def test_kneser_ney_broadcast_and_joined_agree(spark, monkeypatch):
     assert 0 < top < 1
 
 
+def test_kneser_ney_counts_words(spark):
+    texts = [(i, " ".join(f"w{random.Random(i).randint(0, 10**6)}_{j}" for j in range(50))) for i in range(200)]
+    model = {r.n: r["count"] for r in kneser_ney.train(frame(spark, texts)).groupBy("n").count().collect()}
+    assert model[3] == 200 * 48  # an n-gram of words for each place, however few letters there are
+    # the same letters and words in another order cost more
+    df = frame(spark, [(0, "the cat sat on the mat and the dog sat on the log"), (1, "log the on sat dog the and mat the on sat cat the")])
+    cost = {r.doc_id: -r.logp for r in kneser_ney.scores(df, kneser_ney.train(df.where("doc_id = 0"))).collect()}
+    assert 0 < cost[0] < cost[1]
+
+
+def test_kneser_ney_against_brute_force(spark):
+    texts = [(1, "a b c a b d a b c"), (2, "b c a  b\nc d"), (3, "a b x c a b"), (3, "a b x c a b"), (4, "a"), (5, "")]
+    df = frame(spark, texts)
+    model = kneser_ney.train(df.where("doc_id < 3"))
+    assert [r.n_words for r in kneser_ney.scores(df, model).orderBy("doc_id").collect()] == [9, 6, 6, 6, 1, 0]
+    c = {3: Counter(g for i, t in texts if i < 3 for w in [t.split()] for g in zip(w, w[1:], w[2:]))}
+    for n in (2, 1):
+        c[n] = Counter(g[1:] for g in c[n + 1])
+    kinds = len(c[1]) + 1
+
+    def discount(n):
+        k = Counter(c[n].values())
+        if not k[1] or not k[2]:
+            return 0.5, 0.75, 0.9
+        y = k[1] / (k[1] + 2 * k[2])
+        d = [1 - 2 * y * k[2] / k[1], 2 - 3 * y * k[3] / k[2], 3 - 4 * y * k[4] / k[3] if k[3] else 1.5]
+        return tuple(min(max(x, 0.05), j + 0.95) for j, x in enumerate(d))
+
+    lose = {n: {g: min(discount(n)[min(x, 3) - 1], x) for g, x in c[n].items()} for n in c}
+
+    def p(g):
+        if not g:
+            return 1 / kinds
+        n, own = len(g), {k: x for k, x in c[len(g)].items() if k[:-1] == g[:-1]}
+        if not own:
+            return p(g[1:])
+        total = sum(own.values())
+        return max(0, own.get(g, 0) - lose[n].get(g, 0)) / total + sum(lose[n][k] for k in own) / total * p(g[1:])
+
+    want = {i: sum(np.log(p(tuple(w[max(0, k - 2) : k + 1]))) for w in [t.split()] for k in range(len(w))) for i, t in texts}
+    for r in kneser_ney.scores(df, model).collect():
+        assert r.logp == pytest.approx(want[r.doc_id], abs=1e-6)
+
+
+def test_quality_classifier_keeps_unseen_texts(spark):
+    rng = random.Random(4)
+    vocabulary = [f"v{i}" for i in range(60)]
+    text = lambda: " ".join(rng.choices(vocabulary, range(60, 0, -1), k=40))
+    docs = frame(spark, [(i, text()) for i in range(120)] + [(200 + i, " ".join(f"u{rng.randint(0, 10**6)}" for _ in range(40))) for i in range(5)])
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.keep for r in kneser_ney.classify(docs, labels).collect()}
+    assert sum(got[i] for i in range(80, 120)) >= 36 and not any(got[200 + i] for i in range(5))
+
+
 def test_quality_classifier(spark):
     good = [(i, "the cat sat on the mat and the dog on the log " * 3 + str(i % 3)) for i in range(40)]
     docs = frame(spark, [*good, (90, "%$# @@ !! QZX " * 9), (91, None), (92, " "), (None, good[0][1])])
