@@ -6,10 +6,12 @@ piece is kept; so frequent words are encoded once per worker and not once per pl
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Callable
 from functools import lru_cache
+from pathlib import Path
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -17,50 +19,72 @@ import numpy as np
 
 from . import words as K
 
-#: Pieces that a worker remembers; beyond it, it starts anew.
-REMEMBERED = 1_500_000
+#: Pieces that a worker remembers, and bytes of them; beyond either, it starts anew.
+REMEMBERED, REMEMBERED_BYTES = 200_000, 8 << 20
 
 
 class PieceCache:
-    """Token ids by piece; pieces are told apart by their 64-bit hashes."""
+    """Token ids by piece.  Pieces are found by a hash and told apart by their bytes."""
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = REMEMBERED):
         self.encode, self.most = encode, most
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.used = 0
+        self.text_start, self.text_size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.text, self.text_used = np.zeros(1 << 18, np.uint8), 0
 
     def places(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        """For each piece, where ``self.start`` and ``self.size`` have its ids."""
-        if len(self.keys) > self.most:
-            self._clear()
+        """For each piece, where ``self.start`` and ``self.size`` have its ids (until the next call)."""
+        if len(self.start) > self.most or self.text_used > REMEMBERED_BYTES:
+            self.clear()
+        size = end - start
         unique, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, unique)
-        known = np.zeros(len(unique), bool)
-        inside = at < len(self.keys)
-        known[inside] = self.keys[at[inside]] == unique[inside]
-        if not known.all():
-            new = np.flatnonzero(~known)
-            texts = [data[start[i] : end[i]].tobytes().decode("utf-8", "replace") for i in first[new]]
-            self._add(unique[new], at[new], self.encode(texts))
-            at = np.searchsorted(self.keys, unique)
-        return self.place[at][back]
-
-    def _add(self, keys: np.ndarray, at: np.ndarray, ids: list[list[int]]) -> None:
-        size = np.fromiter(map(len, ids), np.int32, len(ids))
-        flat = np.fromiter((x for i in ids for x in i), np.uint32, int(size.sum()))
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        at = np.minimum(np.searchsorted(self.keys, unique), max(0, len(self.keys) - 1))
+        found = self.keys[at] == unique if len(self.keys) else np.zeros(len(unique), bool)
+        place = np.full(len(unique), -1, np.int64)
+        place[found] = self.place[at[found]]
+        known = found.copy()
+        known[found] = self._is(place[found], data, start[first[found]], size[first[found]])
+        new = np.flatnonzero(~known)
+        if len(new):
+            place[new] = self._add(data, start[first[new]], size[first[new]])
+            fresh = new[~found[new]]  # a piece whose hash another one holds is not found again, but encoded anew
+            where = np.searchsorted(self.keys, unique[fresh])
+            self.place = np.insert(self.place, where, place[fresh])
+            self.keys = np.insert(self.keys, where, unique[fresh])
+        out = place[back]
+        odd = np.flatnonzero(~self._is(out, data, start, size))  # an equal hash in this very call
+        if len(odd):
+            out[odd] = self._add(data, start[odd], size[odd])
+        return out
+
+    def _is(self, place: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        ok = self.text_size[place] == size
+        ok[ok] = K.same(data, start[ok], self.text[: self.text_used], self.text_start[place[ok]], size[ok])
+        return ok
+
+    def _add(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Encode pieces and remember what they are; returns their places."""
+        raw = [data[a : a + n].tobytes() for a, n in zip(start, size, strict=True)]
+        ids = self.encode([x.decode("utf-8", "replace") for x in raw])
+        n = np.fromiter(map(len, ids), np.int32, len(ids))
+        flat = np.fromiter((x for i in ids for x in i), np.uint32, int(n.sum()))
+        self.ids = _room(self.ids, self.used + len(flat))
         self.ids[self.used : self.used + len(flat)] = flat
-        start = self.used + np.cumsum(size) - size
+        self.start = np.concatenate([self.start, self.used + np.cumsum(n) - n])
+        self.size = np.concatenate([self.size, n])
         self.used += len(flat)
-        self.place = np.insert(self.place, at, len(self.start) + np.arange(len(keys)))
-        self.keys = np.insert(self.keys, at, keys)
-        self.start, self.size = np.concatenate([self.start, start]), np.concatenate([self.size, size])
+        text = np.frombuffer(b"".join(raw), np.uint8)
+        self.text = _room(self.text, self.text_used + len(text))
+        self.text[self.text_used : self.text_used + len(text)] = text
+        self.text_start = np.concatenate([self.text_start, self.text_used + np.cumsum(size) - size])
+        self.text_size = np.concatenate([self.text_size, size])
+        self.text_used += len(text)
+        return np.arange(len(self.start) - len(raw), len(self.start))
 
     def gather(self, places: np.ndarray) -> np.ndarray:
         """The ids of pieces, one after the other."""
@@ -71,6 +95,10 @@ class PieceCache:
         return self.ids[np.arange(total[-1]) + np.repeat(self.start[places] - (total - size), size)]
 
 
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    return x if n <= len(x) else np.concatenate([x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)])
+
+
 def tiles(off: np.ndarray, word_end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, first): pieces that tile all texts, each a run of white space and a word.
 
@@ -103,21 +131,35 @@ def plain(path: str) -> Callable[[list[str]], list[list[int]]]:
 
 
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
-
-
-def lower_words(path: str, checked: int = 3000) -> Callable[[list[str]], list[list[int]]]:
-    """Like :func:`plain` for a tokenizer of lower-cased words.
+# The steps of a tokenizer for which a word of Latin letters is lower-cased,
+# one pre-token, and spelt in byte letters; a full stop or comma after it is another one.
+_LOWER_STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+def lower_words(path: str) -> Callable[[list[str]], list[list[int]]]:
+    """Like :func:`plain`, with a short way for tokenizers whose steps are _LOWER_STEPS.
 
     Words of Latin letters, with a full stop or comma at most, go to the library's
-    merge model directly, which skips its per-text bookkeeping; anything else takes
-    the whole library.  The first ``checked`` words go both ways, and should one
-    differ, this short way is given up.
+    merge model directly, which skips its per-text bookkeeping: those steps do nothing
+    else to them, and no added token is made of such characters alone.  Anything else,
+    and every text of another tokenizer, takes the whole library.
     """
     tok, whole = library(path), plain(path)
+    steps = json.loads(Path(path).read_text(encoding="utf-8"))
+    if {k: steps.get(k) for k in _LOWER_STEPS} != _LOWER_STEPS or any(_SIMPLE.search(t["content"]) and t["content"].strip(".,").isalpha() for t in steps["added_tokens"]):
+        return whole
     merge = tok.model.tokenize
     printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
     letter = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in printable)}
-    state = {"left": checked, "short": True}
 
     def short(m: re.Match) -> list[int]:
         word, stop = m[1].lower(), m[2]
@@ -127,23 +169,11 @@ def lower_words(path: str, checked: int = 3000) -> Callable[[list[str]], list[li
         return ids + [t.id for t in merge(stop)] if stop else ids
 
     def encode(texts: list[str]) -> list[list[int]]:
-        if not state["short"]:
-            return whole(texts)
         found = [_SIMPLE.fullmatch(t) for t in texts]
         out = [short(m) if m else None for m in found]
-        if state["left"] > 0:
-            some = [i for i, m in enumerate(found) if m][: state["left"]]
-            state["left"] -= len(some)
-            if whole([texts[i] for i in some]) != [out[i] for i in some]:
-                state["short"] = False
-                return whole(texts)
         rest = [i for i, m in enumerate(found) if not m]
         for i, ids in zip(rest, whole([texts[i] for i in rest]), strict=True):
             out[i] = ids
         return out
 
     return encode
-
-
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return K._hashes(data, start, end)

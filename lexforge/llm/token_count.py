@@ -89,7 +89,7 @@ def _counter(path: str, huge: int, chunk: int, overlap: int):
                 use = ~odd[doc]
                 if use.any():
                     start, end, doc = start[use], end[use], doc[use]
-                    at = cache.places(raw, start, end, P.span_hashes(raw, start, end))
+                    at = cache.places(raw, start, end, K.span_hashes(raw, start, end))
                     n += np.bincount(doc, cache.size[at], len(size)).astype(np.int64)
                 for d in np.flatnonzero(odd):
                     text = texts[int(d)].as_py()

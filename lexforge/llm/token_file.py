@@ -22,7 +22,9 @@ from .common import partitions, release, scratch_path, ship, stored
 
 #: Id that ends each document; tokens that make a segment full.
 END_ID = 1
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
+#: Bytes of text that make a range of documents.
+RANGE = 64 << 20
 
 _STAGED = "part int, segment int, part_start long, doc_ids array<long>, n_tokens array<long>, ids binary"
 _SEGMENT = "part int, segment int, start long, doc_ids array<long>, n_tokens array<long>, checkpoints binary, bits binary"
@@ -41,26 +43,28 @@ def _cache(path: str) -> P.PieceCache:
 def _stager(path: str, end_id: int, full: int):
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, part = _cache(path), TaskContext.get().partitionId()
-        held: list[tuple[list, np.ndarray, np.ndarray]] = []
-        start = segment = 0
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
+        start = segment = tokens = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal start, segment, held
-            doc_ids, n, ids = [x for h in held for x in h[0]], np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
-            row = [[part], [segment], [start], [doc_ids], [n], [ids.astype("<u4").tobytes() if ids.max(initial=0) > 0xFFFF else ids.astype("<u2").tobytes()]]
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-            start, segment, held = start + len(ids), segment + 1, []
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], ["part", "segment", "part_start", "doc_ids", "n_tokens", "ids"])
+            nonlocal start, segment, held, tokens
+            n, ids = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
+            doc_ids = pa.concat_arrays([h[0] for h in held])
+            whole = pa.array([0, len(n)], pa.int32())
+            ids = ids.astype("<u4" if ids.max(initial=0) > 0xFFFF else "<u2")
+            columns = [pa.array([part], pa.int32()), pa.array([segment], pa.int32()), pa.array([start], pa.int64()), pa.ListArray.from_arrays(whole, doc_ids), pa.ListArray.from_arrays(whole, pa.array(n)), pa.array([ids.tobytes()], pa.binary())]
+            start, segment, tokens, held = start + len(ids), segment + 1, 0, []
+            return pa.RecordBatch.from_arrays(columns, ["part", "segment", "part_start", "doc_ids", "n_tokens", "ids"])
 
         for batch in batches:
             for rows in K.slices(batch, "text"):
                 w = K.split(rows.column("text"))
                 at = cache.places(w.data, w.start, w.end, w.hash)
-                ids = cache.gather(at)
                 upto = np.concatenate([[0], np.cumsum(cache.size[at], dtype=np.int64)])[w.first]
-                ids = np.insert(ids, upto[1:], end_id)
-                held.append((rows.column("doc_id").to_pylist(), np.diff(upto) + 1, ids))
-                if sum(len(h[2]) for h in held) >= full:
+                ids = np.insert(cache.gather(at), upto[1:], end_id)
+                held.append((rows.column("doc_id"), np.diff(upto) + 1, ids))
+                tokens += len(ids)
+                if tokens >= full:
                     yield flush()
         if held:
             yield flush()
@@ -107,27 +111,32 @@ def _encoder(lengths, starts):
 def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, full: int = SEGMENT) -> None:
     """Tokenize all texts and write them as a file set to ``path``.
 
-    Texts are dealt by doc_id range and tokenized once; the ids rest in a stored
-    table while their counts over all documents give the code.  Only the code
+    Texts are dealt in ranges of doc_id, as many as their volume needs, and tokenized
+    once; the ids rest in a stored table while their counts over all documents give the
+    code.  Only the code
     lengths (one per vocabulary entry at most) and one token total per partition come
     to the driver.
 
     Null and empty texts hold the end id alone.  Null doc_ids come first; rows that
-    repeat an id stand next to each other, ordered by text.
+    repeat an id stand next to each other in an order of their texts, and may be dealt to
+    several ranges.  A segment is a value of Spark's, so the ids of one document must
+    stay under 2 GB.
     """
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    staged = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("nth", F.xxhash64("text"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(partitions(spark), -(-size // RANGE))
+    staged = rows.repartitionByRange(ranges, "doc_id", "nth").sortWithinPartitions("doc_id", "nth", "text").drop("nth")
     staged = stored(staged.mapInArrow(_stager(tokenizer, end_id, full), _STAGED), "token-ids")
     counts = staged.select("n_tokens", "ids").mapInArrow(_counter, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     lengths = np.zeros(max((r["id"] for r in counts), default=0) + 1, np.int64)
     for r in counts:
         lengths[r["id"]] = r["n"]
     lengths = H.code_lengths(lengths)
-    size = F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x)
+    tokens = F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x)
     starts, at = {}, 0
-    for r in staged.groupBy("part").agg(F.sum(size).alias("n")).orderBy("part").collect():
+    for r in staged.groupBy("part").agg(F.sum(tokens).alias("n")).orderBy("part").collect():
         starts[r["part"]] = at
         at += r["n"]
     book = [(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)]

@@ -6,6 +6,8 @@ Arrow buffer.  Every word gets a 64-bit hash that depends on its bytes alone.
 
 from __future__ import annotations
 
+import ctypes
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,23 +27,25 @@ SYMBOLS[0x61:0x7B] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
-_BLOCK = 1 << 20
-_rng = np.random.Generator(np.random.PCG64(20240607))
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
-_powers: tuple[np.ndarray, np.ndarray] | None = None
+#: Bytes beyond which a word is hashed by the standard library instead of lane by lane.
+_LONG = 1024
+_STEP = 0xD6E8FEB86659FD93
+_SEED = 0x9E3779B97F4A7C15
+#: Keeps the first 0 to 8 bytes of a little-endian lane.
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
-def _power_tables() -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if _powers is None:
-        up = np.full(_BLOCK + 1, _BASE, np.uint64)
-        up[0] = 1
-        down = np.full(_BLOCK + 1, pow(_BASE, -1, 1 << 64), np.uint64)
-        down[0] = 1
-        _powers = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _powers
+def _give_back() -> None:
+    """Let large freed arrays go back to the system, so that reused workers stay small."""
+    try:
+        c = ctypes.CDLL(None)
+        c.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+        c.mallopt(-1, 8 << 20)  # M_TRIM_THRESHOLD
+    except (AttributeError, OSError, TypeError):
+        pass  # another C library
+
+
+_give_back()
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -86,7 +90,7 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def split(texts: pa.Array, separators: np.ndarray = SPACE, fold: bool = False, hashes: bool = True) -> Words:
+def split(texts: pa.Array, separators: np.ndarray = SPACE, fold: bool = False, hashes: bool = True, seed: int = 0) -> Words:
     """Maximal runs of bytes that are no separators; never across documents."""
     raw, off = text_bytes(texts)
     n = len(raw)
@@ -103,47 +107,67 @@ def split(texts: pa.Array, separators: np.ndarray = SPACE, fold: bool = False, h
     ends[:-1] &= ~inside[1:] | edge[1:n]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     first = np.searchsorted(start, off)
-    return Words(data, start, end, first, _hashes(data, start, end) if hashes else None)
-
-
-def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    up, down = _power_tables()
-    out = np.empty(len(start), np.uint64)
-    w = 0
-    while w < len(start):  # blocks of whole words
-        at = start[w]
-        stop = max(w + 1, int(np.searchsorted(end, at + _BLOCK, "right")))
-        if end[stop - 1] - at > _BLOCK:  # one word beyond a block
-            out[w] = _long_hash(data[at : end[w]])
-            w += 1
-            continue
-        x = _BYTE[data[at : end[stop - 1]]]
-        x *= up[: len(x)]
-        total = np.zeros(len(x) + 1, np.uint64)
-        np.cumsum(x, out=total[1:])
-        s, e = start[w:stop] - at, end[w:stop] - at
-        out[w:stop] = (total[e] - total[s]) * down[s]
-        w = stop
-    return mix(out)
-
-
-def _long_hash(data: np.ndarray) -> np.uint64:
-    up, _ = _power_tables()
-    h, scale = 0, 1
-    for i in range(0, len(data), _BLOCK):
-        x = _BYTE[data[i : i + _BLOCK]]
-        h = (h + int((x * up[: len(x)]).sum(dtype=np.uint64)) * scale) & _MASK
-        scale = scale * pow(_BASE, len(x), 1 << 64) & _MASK
-    return np.uint64(h)
-
-
-_STEP = 0xD6E8FEB86659FD93 | 1
+    return Words(data, start, end, first, span_hashes(data, start, end, seed) if hashes else None)
+
+
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as a number; zeros follow the end."""
+    wide = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", wide, strides=(1,))
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span.
+
+    Eight bytes at a time go through a bijection of the state, so spans of equal length
+    that differ in one such lane alone never collide, and others do by chance alone:
+    there is no sum of powers whose structure a text could meet.
+    """
+    size = end - start
+    out = mix(size.astype(np.uint64) * np.uint64(_STEP) + np.uint64((seed + 1) * _SEED & (1 << 64) - 1))
+    if not len(out):
+        return out
+    lanes, left = _lanes(data), size.copy()
+    long = np.flatnonzero(size > _LONG)
+    left[long] = 0
+    active, at, k = None, start, left
+    while True:
+        x = lanes[at] & _FIRST[np.minimum(k, 8)]
+        if active is None:
+            out = mix(out ^ x)
+        else:
+            out[active] = mix(out[active] * np.uint64(_STEP) ^ x)
+        more = np.flatnonzero(k > 8)
+        if not len(more):
+            break
+        active, at, k = more if active is None else active[more], at[more] + 8, k[more] - 8
+    for i in long:
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
+    return out
+
+
+def same(data: np.ndarray, start: np.ndarray, other: np.ndarray, other_start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether spans of the given sizes hold the same bytes."""
+    out = np.ones(len(start), bool)
+    if not len(out):
+        return out
+    a, b = _lanes(data), _lanes(other)
+    long = np.flatnonzero(size > _LONG)
+    active = np.flatnonzero(size <= _LONG)
+    x, y, k = start[active], other_start[active], size[active]
+    while len(active):
+        out[active] &= (a[x] ^ b[y]) & _FIRST[np.minimum(k, 8)] == 0
+        more = np.flatnonzero(k > 8)
+        active, x, y, k = active[more], x[more] + 8, y[more] + 8, k[more] - 8
+    for i in long:
+        out[i] = data[start[i] : start[i] + size[i]].tobytes() == other[other_start[i] : other_start[i] + size[i]].tobytes()
+    return out
 
 
 def windows(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of each k consecutive words, by where it starts (length n - k + 1).
 
-    Sums are doubled, so k words cost log k passes.
+    Windows are doubled, so k words cost log k passes; each pass mixes.
     """
     if len(h) < k:
         return np.zeros(0, np.uint64)
@@ -154,16 +178,16 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
                 out, have = base, size
             else:  # base covers size words, then out covers have words
                 n = len(h) - size - have + 1
-                out = base[:n] * np.uint64(pow(_STEP, have, 1 << 64)) + out[size : size + n]
+                out = mix(base[:n] * np.uint64(_STEP) + out[size : size + n])
                 have += size
         if have == k:
-            return mix(out)
+            return out if k > 1 else mix(out)
         n = len(h) - 2 * size + 1
-        base = base[:n] * np.uint64(pow(_STEP, size, 1 << 64)) + base[size : size + n]
+        base = mix(base[:n] * np.uint64(_STEP) + base[size : size + n])
         size *= 2
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of rows whose texts hold about ``most`` bytes together, or one row."""
     _, off = text_bytes(batch.column(batch.schema.get_field_index(column)))
     i, n = 0, batch.num_rows
