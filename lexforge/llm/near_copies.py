@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,8 @@ from .components import components
 
 #: Words of a shingle; two sets link at SHARE hundredths of their union.
 SHINGLE, SHARE = 3, 90
+#: Hash functions that are tried should two different sets get the same fingerprint.
+SEEDS = 8
 #: Longest extension of a prefix; what verifying a pair costs, in pairs looked at.
 LONGEST, VERIFY = 4, 8
 #: Counters of the frequency sketch, however large the input is, summed in CHUNKS pieces.
@@ -23,29 +26,38 @@ COUNTERS, CHUNKS = 1 << 20, 64
 #: more than so many.
 CROWD = 8
 #: Bytes of text whose shingles a task holds at a time.
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 _SUMMARY = "chunk int, doc_id long, tag long, n long, fp long, fp2 long, blob binary"
 _POSTING = "h long, fp long, n long, i long, ell long"
-_SET = "fp long, n long, hashes binary"
+_SET = "fp long, words string"
 _SALT = np.uint64(0xA24BAED4963EE407)
 
 
-def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+@dataclass(frozen=True)
+class How:
+    """Words of a shingle, hundredths of the union, and which hash function is used."""
+
+    shingle: int = SHINGLE
+    share: int = SHARE
+    seed: int = 0
+
+
+def shingles(texts: pa.Array, size: int = SHINGLE, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, n + 1 offsets): the distinct shingles of each document, ascending.
 
-    A document with words, but fewer than SHINGLE, has all of them as one shingle.
+    A document with words, but fewer than ``size``, has all of them as one shingle.
     """
-    w = K.split(texts, K.SPACE, fold=True)
+    w = K.split(texts, K.SPACE, fold=True, seed=seed)
     n, doc = w.count, w.doc
-    h = K.windows(w.hash, SHINGLE)
-    inside = np.flatnonzero(doc[: len(h)] == doc[SHINGLE - 1 :]) if len(h) else np.zeros(0, np.int64)
+    h = K.windows(w.hash, size)
+    inside = np.flatnonzero(doc[: len(h)] == doc[size - 1 :]) if len(h) else np.zeros(0, np.int64)
     h, of = h[inside], doc[inside]
-    for size in range(1, SHINGLE):
-        short = np.flatnonzero(n == size)
+    for few in range(1, size):
+        short = np.flatnonzero(n == few)
         if len(short):
             own = np.zeros(len(short), np.uint64)
-            for j in range(size):
+            for j in range(few):
                 own = K.mix(own * np.uint64(K._STEP) + w.hash[w.first[short] + j] + _SALT)
             h, of = np.concatenate([h, own]), np.concatenate([of, short])
     order = np.lexsort((h, of))
@@ -61,24 +73,24 @@ def _sums(x: np.ndarray, off: np.ndarray) -> np.ndarray:
     return total[off[1:]] - total[off[:-1]]
 
 
-def _prints(h: np.ndarray, off: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent fingerprints of each set."""
-    a = _sums(K.mix(h + np.uint64(2 * seed + 1) * _SALT), off).view(np.int64)
-    return a, _sums(K.mix(K.mix(h) ^ _SALT), off).view(np.int64)
+def _prints(h: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """A fingerprint of each set."""
+    return _sums(K.mix(h + _SALT), off).view(np.int64)
 
 
-def _summarise(seed: int):
+def _summarise(how: How):
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(COUNTERS, np.int64)
         names = ["chunk", "doc_id", "tag", "n", "fp", "fp2", "blob"]
         for batch in batches:
             for rows in K.slices(batch, "text", SLICE):
-                h, off = shingles(rows.column("text"))
-                counters += np.bincount((h & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-                fp, fp2 = _prints(h, off, seed)
+                h, off = shingles(rows.column("text"), how.shingle, how.seed)
+                np.add.at(counters, (h & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
+                fp2 = _prints(*shingles(rows.column("text"), how.shingle, SEEDS + how.seed))  # by hashes of their own
                 none = pa.nulls(rows.num_rows, pa.int32()), pa.nulls(rows.num_rows, pa.binary())
-                yield pa.RecordBatch.from_arrays([none[0], rows.column("doc_id"), rows.column("tag"), pa.array(np.diff(off), pa.int64()), pa.array(fp), pa.array(fp2), none[1]], names)
-        for k, x in enumerate(counters.astype(np.int64).reshape(CHUNKS, -1)):
+                columns = [none[0], rows.column("doc_id"), rows.column("tag"), pa.array(np.diff(off), pa.int64()), pa.array(_prints(h, off)), pa.array(fp2), none[1]]
+                yield pa.RecordBatch.from_arrays(columns, names)
+        for k, x in enumerate(counters.reshape(CHUNKS, -1)):
             if x.any():
                 blob = x.astype("<i4" if x.max() < 1 << 31 else "<i8").tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.nulls(1, pa.int64()) for _ in range(5)), pa.array([blob], pa.binary())], names)
@@ -93,22 +105,22 @@ def _add(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "blob": [total.astype("<i8").tobytes()]})
 
 
-def _least(n: np.ndarray) -> np.ndarray:
+def _least(n: np.ndarray, share: int) -> np.ndarray:
     """Tokens that a set of n shares with any set it links to, at least."""
-    return -(-SHARE * n // 100)
+    return -(-share * n // 100)
 
 
-def _poster(sketch, noise: int, seed: int):
+def _poster(sketch, noise: int, how: How):
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
         for batch in batches:
             for rows in K.slices(batch, "text", SLICE):
-                h, off = shingles(rows.column("text"))
+                h, off = shingles(rows.column("text"), how.shingle, how.seed)
                 n = np.diff(off)
-                fp, _ = _prints(h, off, seed)
+                fp = _prints(h, off)
                 _, one = np.unique(fp, return_index=True)  # copies are one set
                 use = np.zeros(len(n), bool)
-                use[one] = n[one] + 1 >= 100 / (100 - SHARE)  # smaller sets link to equal ones alone
+                use[one] = n[one] + 1 >= 100 / (100 - how.share)  # smaller sets link to equal ones alone
                 doc = np.repeat(np.arange(len(n)), n)
                 own = use[doc]
                 h, doc = h[own], doc[own]
@@ -123,10 +135,10 @@ def _poster(sketch, noise: int, seed: int):
                 others = np.concatenate([[0], np.cumsum(np.maximum(often - noise - 1, 0))])
                 cost = np.empty((LONGEST, len(docs)))
                 for ell in range(1, LONGEST + 1):
-                    prefix = np.minimum(size - _least(size) + ell, size)
+                    prefix = np.minimum(size - _least(size, how.share) + ell, size)
                     cost[ell - 1] = (others[off[:-1] + prefix] - others[off[:-1]]) * (1 + VERIFY / ell)
                 ell = cost.argmin(0) + 1
-                length = np.minimum(size - _least(size) + ell, size)
+                length = np.minimum(size - _least(size, how.share) + ell, size)
                 at = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
                 place = np.repeat(off[:-1], length) + at
                 of = [np.repeat(x, length) for x in (fp[docs], size, ell)]
@@ -135,50 +147,80 @@ def _poster(sketch, noise: int, seed: int):
     return post
 
 
-def _setter(wanted, seed: int):
+def _setter(wanted, how: How):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
         for batch in batches:
             for rows in K.slices(batch, "text", SLICE):
-                h, off = shingles(rows.column("text"))
-                fp, _ = _prints(h, off, seed)
+                texts = rows.column("text")
+                h, off = shingles(texts, how.shingle, how.seed)
+                fp = _prints(h, off)
                 _, one = np.unique(fp, return_index=True)
                 use = one[bitset.has(bits, fp[one]) & (np.diff(off)[one] > 0)]
-                # six bytes of each hash tell the shingles of two documents apart
-                low = np.ascontiguousarray(K.mix(h)).view(np.uint8).reshape(-1, 8)[:, :6]
-                yield pa.RecordBatch.from_arrays([pa.array(fp[use]), pa.array(np.diff(off)[use]), pa.array([low[off[d] : off[d + 1]].tobytes() for d in use], pa.binary())], ["fp", "n", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array(fp[use]), texts.take(pa.array(use))], ["fp", "words"])
 
     return sets
 
 
-def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def wide(b: bytes) -> np.ndarray:
-        x = np.zeros((len(b) // 6, 8), np.uint8)
-        x[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
-        return x.view(np.uint64).reshape(-1)
-
-    for batch in batches:
-        a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-        last, ok = (None, None), []
-        for i, (x, y) in enumerate(zip(batch.column("hashes_a"), batch.column("hashes_b"), strict=True)):
-            if last[0] != a[i]:
-                last = a[i], wide(x.as_py())
-            s, t = last[1], wide(y.as_py())
-            both = len(np.intersect1d(s, t, assume_unique=True))
-            ok.append(100 * both >= SHARE * (len(s) + len(t) - both))
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, k in zip(a, ok, strict=True) if k], pa.int64()), pa.array([x for x, k in zip(b, ok, strict=True) if k], pa.int64())], ["a", "b"])
+def exact_shingles(texts: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
+    """Each document's distinct shingles as numbers, equal among ``texts`` for equal words alone."""
+    seed, w = 0, K.split(texts, K.SPACE, fold=True)
+    while True:
+        _, one, number = np.unique(w.hash, return_index=True, return_inverse=True)
+        length, like = w.end - w.start, one[number]
+        if (length == length[like]).all() and K.same(w.data, w.start, w.data, w.start[like], length).all():
+            break
+        seed += 1  # two words of one hash: take another
+        w = K.split(texts, K.SPACE, fold=True, seed=seed)
+    n, total = w.count, len(w.hash)
+    none = len(one)  # stands for a word beyond the end of a short document
+    padded = np.concatenate([number.reshape(-1), np.full(size - 1, none)])
+    doc = w.doc
+    first = np.arange(total) if total else np.zeros(0, np.int64)
+    left = w.first[doc + 1] - first
+    begins = first[(left >= size) | (n[doc] < size) & (first == w.first[doc])]
+    key = padded[begins]
+    for j in range(1, size):
+        word = np.where(left[begins] > j, padded[begins + j], none)
+        _, key = np.unique(key.astype(np.int64) * (none + 1) + word, return_inverse=True)
+    of = doc[begins]
+    return [np.unique(x) for x in np.split(key, np.searchsorted(of, np.arange(1, len(n))))]
+
+
+def _overlaps(how: How):
+    def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch.column(c).to_numpy() for c in "ab")
+            sizes = [K.text_bytes(batch.column(f"words_{c}"))[1] for c in "ab"]
+            both = np.diff(sizes[0]) + np.diff(sizes[1])
+            upto = np.concatenate([[0], np.cumsum(both)])
+            i, ok = 0, np.zeros(len(a), bool)
+            while i < len(a):
+                j = max(i + 1, int(np.searchsorted(upto, upto[i] + SLICE, "right")) - 1)
+                ids, one, at = np.unique(np.concatenate([a[i:j], b[i:j]]), return_index=True, return_inverse=True)
+                texts = pa.concat_arrays([batch.column(f"words_{c}").slice(i, j - i) for c in "ab"]).take(pa.array(one))
+                sets = exact_shingles(texts, how.shingle)
+                at = at.reshape(-1)
+                for k in range(j - i):
+                    s, t = sets[at[k]], sets[at[j - i + k]]
+                    shared = len(np.intersect1d(s, t, assume_unique=True))
+                    ok[i + k] = 100 * shared >= how.share * (len(s) + len(t) - shared)
+                i = j
+            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
+
+    return overlaps
 
 
 class _Join:
     """The join of the distinct sets of ``docs`` (doc_id, tag, text)."""
 
-    def __init__(self, docs: DataFrame, seed: int = 0):
-        self.docs, self.seed, self.spark = docs, seed, docs.sparkSession
-        self.summary = stored(docs.mapInArrow(_summarise(seed), _SUMMARY), "near-summary")
+    def __init__(self, docs: DataFrame, how: How):
+        self.docs, self.how, self.spark = docs, how, docs.sparkSession
+        self.summary = stored(docs.mapInArrow(_summarise(how), _SUMMARY), "near-summary")
         self.members = self.summary.where("chunk is null").select("doc_id", "tag", "n", "fp", "fp2")
 
     def ambiguous(self) -> bool:
-        """Whether different sets got the same fingerprint (of 64 bits)."""
+        """Whether different sets got the same fingerprint: their second ones, of other hashes, differ."""
         return bool(self.members.groupBy("fp").agg((F.min("fp2") != F.max("fp2")).alias("odd")).where("odd").take(1))
 
     def postings(self) -> DataFrame:
@@ -189,7 +231,7 @@ class _Join:
         sketch = sketch.reshape(-1)
         noise = int(sketch.sum() // COUNTERS)
         send = self.spark.sparkContext.broadcast(sketch.astype(np.int32) if sketch.max() < 1 << 31 else sketch)
-        every = stored(self.docs.select("text").mapInArrow(_poster(send, noise, self.seed), _POSTING), "near-postings")
+        every = stored(self.docs.select("text").mapInArrow(_poster(send, noise, self.how), _POSTING), "near-postings")
         shared = every.groupBy("h").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo != hi").select("h")
         out = every.join(shared, "h").groupBy("h", "fp").agg(*(F.max(c).alias(c) for c in ("n", "i", "ell")))
         out = stored(out, "near-shared")
@@ -200,7 +242,7 @@ class _Join:
         """Where many sets share a token: each with the set that has fewest rarer tokens."""
         pivot = posts.groupBy("h").agg(F.count("*").alias("many"), F.min(F.struct("i", "fp", "n")).alias("p")).where(F.col("many") > CROWD)
         pivot = pivot.select("h", F.col("p.fp").alias("b"), F.col("p.n").alias("n_b"), F.col("p.i").alias("i_b"))
-        both = posts.join(pivot, "h").where((F.col("fp") != F.col("b")) & _possible(F.col("n"), F.col("i"), F.col("n_b"), F.col("i_b")))
+        both = posts.join(pivot, "h").where((F.col("fp") != F.col("b")) & _possible(F.col("n"), F.col("i"), F.col("n_b"), F.col("i_b"), self.how.share))
         return self._counted(posts, both.select(F.col("fp").alias("a"), "b"))
 
     def pairs_across(self, posts: DataFrame, roots: DataFrame) -> DataFrame:
@@ -215,7 +257,7 @@ class _Join:
 
         odd, all_ = side("a").where("root_a != main"), side("b").drop("main")
         once = (F.col("root_b") == F.col("main")) | (F.col("fp_a") < F.col("fp_b"))
-        both = odd.join(all_, "h").where((F.col("root_a") != F.col("root_b")) & once & _possible(F.col("n_a"), F.col("i_a"), F.col("n_b"), F.col("i_b")))
+        both = odd.join(all_, "h").where((F.col("root_a") != F.col("root_b")) & once & _possible(F.col("n_a"), F.col("i_a"), F.col("n_b"), F.col("i_b"), self.how.share))
         return self._counted(posts, both.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")))
 
     def _counted(self, posts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -229,7 +271,7 @@ class _Join:
 
         def prefix(s: str) -> Column:
             n = F.col(f"n_{s}")
-            return F.least(n - _least_col(n) + ell, n)
+            return F.least(n - _least_col(n, self.how.share) + ell, n)
 
         def side(s: str) -> DataFrame:
             return posts.select("h", F.col("fp").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("n", "i", "ell")))
@@ -239,57 +281,59 @@ class _Join:
         seen = both.where((F.col("i_a") < prefix("a")) & (F.col("i_b") < prefix("b")))
         groups = seen.groupBy("a", "b").agg(F.count("*").alias("shared"), *(F.max(c).alias(c) for c in ("n_a", "n_b", "ell_a", "ell_b")))
         after = F.greatest(F.col("n_a") - prefix("a"), F.col("n_b") - prefix("b"))
-        return groups.where((F.col("shared") >= ell) & (F.col("shared") + after >= _needed(F.col("n_a"), F.col("n_b")))).select("a", "b")
+        return groups.where((F.col("shared") >= ell) & (F.col("shared") + after >= _needed(F.col("n_a"), F.col("n_b"), self.how.share))).select("a", "b")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` (a, b) whose whole sets link."""
         pairs = stored(pairs, "near-pairs")
         wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
         send = self.spark.sparkContext.broadcast(bitset.gather(wanted))
-        sets = self.docs.select("text").mapInArrow(_setter(send, self.seed), _SET).join(wanted, "fp", "left_semi").dropDuplicates(["fp"])
-        sets = stored(sets.select("fp", "hashes"), "near-sets")
-        a, b = (sets.select(F.col("fp").alias(s), F.col("hashes").alias(f"hashes_{s}")) for s in "ab")
-        # the side that most pairs share goes last, so that its set is not sent with each pair
-        both = pairs.join(a, "a").join(b, "b").select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("hashes_b").alias("hashes_a"), F.col("hashes_a").alias("hashes_b"))
-        out = stored(both.mapInArrow(_overlaps, "a long, b long"), "near-links")
+        sets = self.docs.select("text").mapInArrow(_setter(send, self.how), _SET).join(wanted, "fp", "left_semi").dropDuplicates(["fp"])
+        sets = stored(sets, "near-sets")
+        a, b = (sets.select(F.col("fp").alias(s), F.col("words").alias(f"words_{s}")) for s in "ab")
+        # the side that most pairs share goes last, so that its text is not sent with each pair
+        both = pairs.join(a, "a").join(b, "b").select("a", "b", "words_a", "words_b")
+        out = stored(both.mapInArrow(_overlaps(self.how), "a long, b long"), "near-links")
         release(sets, pairs)
         return out
 
 
-def _needed(n: Column, m: Column) -> Column:
+def _needed(n: Column, m: Column, share: int) -> Column:
     """Tokens that sets of n and m share if they link."""
-    return F.ceil(F.lit(SHARE) * (n + m) / F.lit(100.0 + SHARE))
+    return F.ceil(F.lit(share) * (n + m) / F.lit(100.0 + share))
 
 
-def _least_col(n: Column) -> Column:
-    return F.ceil(F.lit(SHARE) * n / F.lit(100.0))
+def _least_col(n: Column, share: int) -> Column:
+    return F.ceil(F.lit(share) * n / F.lit(100.0))
 
 
-def _possible(n: Column, i: Column, m: Column, j: Column) -> Column:
+def _possible(n: Column, i: Column, m: Column, j: Column, share: int) -> Column:
     """Whether two sets may link whose first shared token stands at i and j.
 
     None of the rarer tokens before it is shared then.  Rows of later shared tokens
     may fail this, but that of the first never does if the sets link.
     """
-    return F.least(n - i, m - j) >= _needed(n, m)
+    return F.least(n - i, m - j) >= _needed(n, m, share)
 
 
-def groups(docs: DataFrame) -> DataFrame:
+def groups(docs: DataFrame, shingle: int = SHINGLE, share: int = SHARE) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of ``docs`` (doc_id, text).
 
-    Exact copies (equal sets) collapse by fingerprint first.  Tokens are ordered by a
+    Two documents link when their sets of ``shingle``-word shingles share ``share``
+    hundredths of their union.  Copies (equal sets) collapse by fingerprint first; a
+    second fingerprint, of other hashes, tells whether different sets share one.  Tokens are ordered by a
     frequency sketch over all documents, rarest first; a set's prefix is so long that
     linked sets share at least ell tokens of theirs, and ell is chosen by each set's
     estimated cost.  Sets that share a prefix token with many others are compared to
     one of them first, and all sets that this connects need no comparison with each
-    other; every other pair that shares enough is verified on whole sets.  No pair
-    that might connect anything is left out.
+    other; every other pair that shares enough is verified on its words.  No pair that
+    might connect anything is left out.
 
     Null and empty texts, and texts of white space, have no shingles and are their own
     component.  Null ids are never a component's id unless it has no other.  Rows that
     repeat an id give a row each and are judged by their texts.
     """
-    return _groups(docs).drop("tag")
+    return _groups(docs, shingle, share).drop("tag")
 
 
 def _tag() -> Column:
@@ -297,13 +341,16 @@ def _tag() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def _groups(docs: DataFrame) -> DataFrame:
+def _groups(docs: DataFrame, shingle: int, share: int) -> DataFrame:
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _tag().alias("tag"), "text")
-    for seed in range(8):
-        join = _Join(rows, seed)
+    for seed in range(SEEDS):
+        join = _Join(rows, How(shingle, share, seed))
         if not join.ambiguous():
             break
+        release(join.summary)
+    else:
+        raise RuntimeError("different sets share fingerprints under every hash function")
     posts = join.postings()
     near = join.verified(join.pairs_with_one(posts))
     roots = stored(components(near), "near-roots")
@@ -316,19 +363,19 @@ def _groups(docs: DataFrame) -> DataFrame:
     sets = sets.join(tops, "root", "left").withColumn("top", F.coalesce("top", "root"))
     ids = sets.groupBy("top").agg(F.min("least").alias("component_id"))
     sets = stored(sets.join(ids, "top").select("fp", "component_id"), "near-components")
-    release(posts)
+    release(posts, near, far, roots, tops)
     out = join.members.join(sets.withColumnRenamed("component_id", "of_set"), "fp", "left")
     return out.select("doc_id", "tag", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("of_set")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, share: int = SHARE) -> DataFrame:
     """``docs`` with one document of each group, that with the smallest id; all columns kept.
 
     Documents without words are groups of their own.  Documents without id go if
     their group has one with an id, else each different text of theirs stays.  Rows
     that repeat both id and text are one document.
     """
-    kept = _groups(docs).where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("kept_id"), F.col("tag").alias("kept_tag"))
+    kept = _groups(docs, shingle, share).where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("kept_id"), F.col("tag").alias("kept_tag"))
     kept = stored(kept.groupBy("kept_id", "kept_tag").agg(F.count("*").alias("kept_times")), "near-kept")
     repeats = bool(kept.where("kept_times > 1").take(1))
     same = docs["doc_id"].eqNullSafe(kept["kept_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == kept["kept_tag"])
