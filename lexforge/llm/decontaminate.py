@@ -9,75 +9,94 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import words as K
-from .common import ship, stored
+from .common import release, ship, stored
 
 #: Words of a window; hit words of a document, as one in so many, that contaminate it.
 WINDOW, ONE_IN = 13, 20
-#: The n-grams of a benchmark are broadcast up to so many words of it; a larger one is
-#: cut into blocks of that size, and the documents are scanned against each.
-BLOCK_WORDS = 4_000_000
+#: The n-grams of a benchmark are broadcast up to so many words of it (some 30 bytes a
+#: word); a larger one is cut into blocks of that size, and documents pass each in turn.
+BLOCK_WORDS = 1_000_000
 
-_FOUND = "row string, doc_id long, n_words long, n_hit long, hits binary, items array<string>"
+_FOUND = "n_words long, n_hit long, hits binary, items array<string>"
 
 
 class Grams:
-    """Windows of benchmark items, by their exact words.
+    """Windows of benchmark items, by their exact words, packed into arrays.
 
     Words become numbers of a vocabulary of the benchmark's own words, so equal
     windows of numbers are equal windows of words: a hash of numbers finds a
-    candidate, the numbers themselves verify it.
+    candidate, the numbers themselves verify it, and the bytes of its words verify these.
+    Items without id have windows like others, but no name.
     """
 
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
-        ids = [i for i, _ in items]
-        w = K.split(pa.array([t or "" for _, t in items], pa.string()), K.SYMBOLS, fold=True)
-        self.known, numbers = np.unique(w.hash, return_inverse=True) if len(w.hash) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        self.spelling = [b""] * len(self.known)
-        for s, e, n in zip(w.start, w.end, numbers, strict=True):
-            self.spelling[n] = w.data[s:e].tobytes()
-        self.by_size: dict[int, tuple[np.ndarray, dict[bytes, list[str]]]] = {}
-        for k, item in enumerate(ids):
-            n = numbers[w.first[k] : w.first[k + 1]].astype(np.int64)
-            size = min(window, len(n))
-            if not size:
-                continue
-            _, exact = self.by_size.setdefault(size, (np.zeros(0, np.uint64), {}))
-            for i in range(len(n) - size + 1):
-                at = exact.setdefault(n[i : i + size].tobytes(), [])
-                if item not in at[-1:]:
-                    at.append(item)
-        for size, (_, exact) in self.by_size.items():
-            rows = np.array([np.frombuffer(x, np.int64) for x in exact]).reshape(-1, size)
-            self.by_size[size] = np.unique(_row_hash(rows)), exact
-
-    def scan(self, w: K.Words) -> tuple[np.ndarray, dict[int, set[str]]]:
-        """Which words of the documents lie inside windows; the items that own these, by document."""
+    def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW):
+        names = sorted({i for i, _ in items if i is not None})
+        place = {x: k for k, x in enumerate(names)}
+        self.names = np.array(names, object)
+        item = np.array([-1 if i is None else place[i] for i, _ in items], np.int32)
+        texts = pa.array([t or "" for _, t in items], pa.string())
+        self.seed = -1
+        while True:  # a seed under which no two of these words share a hash
+            self.seed += 1
+            w = K.split(texts, K.SYMBOLS, fold=True, seed=self.seed)
+            self.known, one, number = np.unique(w.hash, return_index=True, return_inverse=True)
+            size, like = w.end - w.start, one[number.reshape(-1)]
+            if (size == size[like]).all() and K.same(w.data, w.start, w.data, w.start[like], size).all():
+                break
+        self.number = number.reshape(-1).astype(np.int32)
+        self.spelling, self.begin, self.size = w.data, w.start[one], size[one]
+        n = w.count
+        doc = w.doc
+        left = w.first[doc + 1] - np.arange(len(doc))
+        self.by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for k in np.unique(np.minimum(n[n > 0], window)).tolist():
+            at = np.flatnonzero((left >= k) & (np.minimum(n[doc], window) == k))
+            h = _row_hash(np.lib.stride_tricks.sliding_window_view(self.number, k)[at])
+            order = np.argsort(h, kind="stable")
+            self.by_size[k] = h[order], at[order].astype(np.int32), item[doc[at[order]]]
+
+    def scan(self, texts: pa.Array) -> tuple[K.Words, np.ndarray, dict[int, set[str]]]:
+        """The words of the documents, which of them lie inside windows, and the items that own these, by document."""
+        w = K.split(texts, K.SYMBOLS, fold=True, seed=self.seed)
         hit, items = np.zeros(len(w.hash), bool), {}
         if not len(self.known) or not len(w.hash):
-            return hit, items
+            return w, hit, items
         at = np.minimum(np.searchsorted(self.known, w.hash), len(self.known) - 1)
-        number = np.where(self.known[at] == w.hash, at, -1)
+        number = np.where(self.known[at] == w.hash, at, -1).astype(np.int32)
         alien = np.concatenate([[0], np.cumsum(number < 0)])
         doc = w.doc
         room = w.first[doc + 1] - np.arange(len(doc))
-        for size, (hashes, exact) in self.by_size.items():
+        for size, (hashes, place, owner) in self.by_size.items():
             n = len(doc) - size + 1
             if n <= 0:
                 continue
             start = np.flatnonzero((alien[size:] == alien[:n]) & (room[:n] >= size))
             if not len(start):
                 continue
-            r = _row_hash(np.lib.stride_tricks.sliding_window_view(number, size)[start])
-            p = np.minimum(np.searchsorted(hashes, r), len(hashes) - 1)
-            for i in start[hashes[p] == r]:
-                owners = exact.get(number[i : i + size].tobytes())
-                if owners and all(self._spelt(w, number, j) for j in range(i, i + size) if not hit[j]):
-                    hit[i : i + size] = True
-                    items.setdefault(int(doc[i]), set()).update(owners)
-        return hit, items
-
-    def _spelt(self, w: K.Words, number: np.ndarray, j: int) -> bool:
-        return w.data[w.start[j] : w.end[j]].tobytes() == self.spelling[number[j]]
+            rows = np.lib.stride_tricks.sliding_window_view(number, size)
+            r = _row_hash(rows[start])
+            low, high = np.searchsorted(hashes, r), np.searchsorted(hashes, r, "right")
+            many = high - low
+            start, entry = np.repeat(start, many), np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            same = (rows[start] == np.lib.stride_tricks.sliding_window_view(self.number, size)[place[entry]]).all(1) if len(start) else np.zeros(0, bool)
+            start, entry = start[same], entry[same]
+            words = np.unique((np.unique(start)[:, None] + np.arange(size)).reshape(-1))
+            wrong = words[~self._spelt(w, number, words)]
+            if len(wrong):  # a word of another spelling under the hash of one of the benchmark's
+                fine = np.searchsorted(wrong, start) == np.searchsorted(wrong, start + size)
+                start, entry = start[fine], entry[fine]
+            for j in range(size):
+                hit[start + j] = True
+            named = owner[entry] >= 0
+            for d, i in set(zip(doc[start[named]].tolist(), owner[entry[named]].tolist(), strict=True)):
+                items.setdefault(d, set()).add(self.names[i])
+        return w, hit, items
+
+    def _spelt(self, w: K.Words, number: np.ndarray, j: np.ndarray) -> np.ndarray:
+        size = w.end[j] - w.start[j]
+        ok = size == self.size[number[j]]
+        ok[ok] = K.same(w.data, w.start[j[ok]], self.spelling, self.begin[number[j[ok]]], size[ok])
+        return ok
 
 
 def _row_hash(rows: np.ndarray) -> np.ndarray:
@@ -87,89 +106,78 @@ def _row_hash(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def _scanner(grams):
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = grams.value
-        for batch in batches:
-            for part in K.slices(batch, "text"):
-                w = K.split(part.column("text"), K.SYMBOLS, fold=True)
-                hit, items = g.scan(w)
-                hits = [hit[a:b] for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("row"), part.column("doc_id"), pa.array(w.count, pa.int64()), pa.array([int(h.sum()) for h in hits], pa.int64()),
-                        pa.array([np.packbits(h).tobytes() for h in hits], pa.binary()),
-                        pa.array([sorted(items.get(d, ())) for d in range(part.num_rows)], pa.list_(pa.string())),
-                    ],
-                    ["row", "doc_id", "n_words", "n_hit", "hits", "items"],
-                )
-
-    return scan
-
-
-def _blocks(benchmark: DataFrame, most: int | None = None) -> Iterator[list[tuple[str, str]]]:
-    """The benchmark's items in blocks of some BLOCK_WORDS words (or one item); the first ``most`` blocks."""
+def _blocks(benchmark: DataFrame) -> Iterator[tuple[list[tuple[str | None, str]], bool]]:
+    """The benchmark's items in blocks of some BLOCK_WORDS words (or one item), and whether more follow."""
     size = F.coalesce(F.octet_length("text"), F.lit(0)) / 2 + 1
-    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), "text", size.alias("size"))
-    rows, held, made = [], 0, 0
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text", size.alias("size"))
+    rows, held = [], 0
     for r in items.toLocalIterator():
         if rows and held + r["size"] > BLOCK_WORDS:
-            yield rows
-            made += 1
-            if made == most:
-                return
+            yield rows, True
             rows, held = [], 0
         rows.append((r["item_id"], r["text"]))
         held += r["size"]
-    yield rows
+    yield rows, False
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Find the words of ``docs`` that lie inside windows of ``benchmark``.
+def _scanner(grams, text: int, names: list[str], keep: list[int]):
+    """Adds what a block of the benchmark hits to what earlier blocks did."""
 
-    Words: A-Z lower-cased, then runs of digits, small letters and all beyond ASCII.
-    A window is ``window`` consecutive words of an item, or the whole of a shorter
-    item.  Returns row (a digest of id and text), doc_id, n_words, n_hit, hits (a bit
-    per word) and items (ids as strings, sorted), one row per document.
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = grams.value
+        for batch in batches:
+            for part in K.slices(batch, batch.schema.names[text]):
+                w, hit, items = g.scan(part.column(text))
+                if part.num_columns > len(names):  # hits and items so far
+                    for d, (bits, old) in enumerate(zip(part.column(len(names) + 2).to_pylist(), part.column(len(names) + 3).to_pylist(), strict=True)):
+                        a, b = w.first[d], w.first[d + 1]
+                        hit[a:b] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
+                        if old:
+                            items.setdefault(d, set()).update(old)
+                upto = np.concatenate([[0], np.cumsum(hit)])[w.first]
+                bits = [np.packbits(hit[a:b]).tobytes() for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
+                found = [pa.array(w.count, pa.int64()), pa.array(np.diff(upto), pa.int64()), pa.array(bits, pa.binary()), pa.array([sorted(items.get(d, ())) for d in range(part.num_rows)], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in keep), *found], [*(names[i] for i in keep), "n_words", "n_hit", "hits", "items"])
+
+    return scan
 
-    The windows are broadcast in blocks of bounded size, so documents are never
-    shuffled while the benchmark fits one block; with more, the blocks' bits are
-    or-ed by row.
 
-    Null text: no words, not hit.  Items without words or without id take no part;
-    items that repeat an id count as one item with all their windows.  Rows that
-    repeat a document give a row each.
-    """
+def _scanned(docs: DataFrame, benchmark: DataFrame, window: int, keep: list[int]) -> DataFrame:
+    """Columns ``keep`` of ``docs`` (as c0, c1 ...), n_words, n_hit, hits and items of every row."""
     spark = docs.sparkSession
     ship(spark)
-    items = list(_blocks(benchmark, 2))
-    if len(items) == 1:
-        return _found(docs, items[0], F.lit(""), window)
-    row = F.concat_ws(":", F.col("doc_id").cast("string"), F.sha2(F.coalesce("text", F.lit("")), 256))
-    found = [stored(_found(docs, x, row, window), "decontamination") for x in _blocks(benchmark)]
-    both = found[0]
-    for x in found[1:]:
-        both = both.unionByName(x)
-    return both.groupBy("row").applyInPandas(_merger(len(found)), _FOUND)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows, text, before = docs.toDF(*names), docs.columns.index("text"), None
+    types = dict(zip(names, (t for _, t in docs.dtypes), strict=True))
+    for items, more in _blocks(benchmark):
+        out = list(range(len(names))) if more else keep
+        schema = ", ".join([*(f"{names[i]} {types[names[i]]}" for i in out), _FOUND])
+        rows = rows.mapInArrow(_scanner(spark.sparkContext.broadcast(Grams(items, window)), text, names, out), schema)
+        if more:  # a table for each block: nothing is shuffled, whatever the benchmark's size
+            rows, old = stored(rows, "decontamination"), before
+            before = rows
+            release(*filter(None, [old]))
+    return rows
 
 
-def _found(docs: DataFrame, items: list[tuple[str, str]], row, window: int) -> DataFrame:
-    grams = docs.sparkSession.sparkContext.broadcast(Grams(items, window))
-    return docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scanner(grams), _FOUND)
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Find the words of ``docs`` that lie inside windows of ``benchmark``.
 
+    Words: A-Z lower-cased, then runs of digits, small letters and all beyond ASCII.
+    A window is ``window`` consecutive words of an item, or the whole of a shorter
+    item.  Returns doc_id, n_words, n_hit, hits (a bit per word) and items (ids as
+    strings, sorted), one row per document.
 
-def _merger(blocks: int):
-    def merge(pdf):
-        bits = np.unpackbits(np.frombuffer(pdf["hits"].iloc[0], np.uint8))
-        for x in pdf["hits"].iloc[1:]:
-            bits |= np.unpackbits(np.frombuffer(x, np.uint8))
-        out = pdf.iloc[: len(pdf) // blocks].copy()
-        out["n_hit"] = int(bits.sum())
-        out["hits"] = [np.packbits(bits).tobytes()] * len(out)
-        out["items"] = [sorted({i for x in pdf["items"] for i in x})] * len(out)
-        return out
+    The windows are broadcast in blocks of bounded size; documents are never shuffled,
+    and pass the blocks one after the other.
 
-    return merge
+    Null text: no words, not hit.  Items without words take no part; windows of items
+    without id hit like others, but name no item; items that repeat an id count as one
+    item with all their windows.  Rows that repeat a document give a row each; an empty
+    table gives none.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _scanned(rows, benchmark, window, [0]).withColumnRenamed("c0", "doc_id")
 
 
 def contaminated() -> Column:
@@ -185,27 +193,10 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` without its contaminated documents; all columns kept."""
-    spark = docs.sparkSession
-    ship(spark)
-    items = list(_blocks(benchmark, 2))
-    if len(items) == 1:
-        grams = spark.sparkContext.broadcast(Grams(items[0], window))
-        return docs.mapInArrow(_filter(grams, docs.columns.index("text")), docs.schema)
-    row = F.concat_ws(":", F.col("doc_id").cast("string"), F.sha2(F.coalesce("text", F.lit("")), 256))
-    bad = scan(docs, benchmark, window).where(contaminated()).select("row").distinct()
-    return docs.join(bad, row == bad["row"], "left_anti")
-
+    """``docs`` without its contaminated documents; all columns kept.
 
-def _filter(grams, at: int):
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = grams.value
-        for batch in batches:
-            for part in K.slices(batch, batch.schema.names[at]):
-                w = K.split(part.column(at), K.SYMBOLS, fold=True)
-                hit, _ = g.scan(w)
-                hits = np.concatenate([[0], np.cumsum(hit)])
-                n_hit = hits[w.first[1:]] - hits[w.first[:-1]]
-                yield part.filter(pa.array((n_hit == 0) | (ONE_IN * n_hit < w.count)))
-
-    return keep
+    Rows are judged as :func:`scan` judges them: null and empty texts stay.
+    """
+    names = docs.columns
+    out = _scanned(docs, benchmark, window, list(range(len(names)))).where(~contaminated())
+    return out.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
