@@ -36,7 +36,7 @@ FROM base b JOIN t ON b.source IS NOT DISTINCT FROM t.source JOIN c ON b.source
 ORACLES["op4_decontamination"] = r"""
 WITH b AS (
   SELECT item_id::VARCHAR AS item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-  FROM benchmark WHERE item_id IS NOT NULL
+  FROM benchmark
 ), g AS (
   SELECT DISTINCT item_id, least(13, len(w)) AS n, w[i:i + least(13, len(w)) - 1] AS g
   FROM b, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS x(i) WHERE len(w) > 0
@@ -47,7 +47,7 @@ WITH b AS (
   SELECT row, i, n, w[i:i + n - 1] AS g FROM (SELECT row, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)
 ), f AS (SELECT m.row, m.i, m.n, g.item_id FROM m JOIN g ON m.n = g.n AND m.g = g.g), hits AS (
   SELECT row, count(DISTINCT p) AS n_hit FROM (SELECT row, unnest(range(i, i + n)) AS p FROM f) GROUP BY row
-), items AS (SELECT row, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT row, item_id FROM f) GROUP BY row)
+), items AS (SELECT row, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT row, item_id FROM f WHERE item_id IS NOT NULL) GROUP BY row)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hits USING (row) LEFT JOIN items USING (row)
@@ -55,14 +55,15 @@ FROM d LEFT JOIN hits USING (row) LEFT JOIN items USING (row)
 
 ORACLES["op2_bit_sliced_search"] = r"""
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(64::DOUBLE * x::DOUBLE)) AS q
-  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64::DOUBLE * x::DOUBLE)) AS q, row_number() OVER (PARTITION BY vec_id, embedding) AS copy
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), a AS (
+  SELECT vec_id AS query_id, q, row_number() OVER (PARTITION BY vec_id) AS place FROM v WHERE vec_id % 20 = 0 AND copy = 1
 ), s AS (
-  SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
-  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0
+  SELECT query_id, place, vec_id, list_inner_product(a.q, v.q)::BIGINT AS score
+  FROM a JOIN v ON len(a.q) = len(v.q) AND NOT (a.query_id IS NOT DISTINCT FROM v.vec_id AND a.q = v.q AND copy = 1)
 ), r AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s
+  SELECT *, row_number() OVER (PARTITION BY query_id, place ORDER BY score DESC, vec_id NULLS LAST)::INT AS rank FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
