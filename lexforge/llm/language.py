@@ -16,6 +16,8 @@ from .letters import GAP, alphabet, letters
 LONGEST, PROFILE = 3, 400
 #: Languages that are compared at once; more are compared in groups of so many.
 GROUP = 1000
+#: Bytes of text that a task looks at at a time; n-grams that it counts before it sends them.
+SLICE, HELD = 256 << 10, 200_000
 #: A packed n-gram holds a code point in each 21 bits.
 _BITS = 21
 #: What a document without letters gets.
@@ -75,19 +77,39 @@ class Grams:
 
 
 def _learner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts by language and n-gram, summed over slices while they are not too many."""
     total: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    fresh: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+    def settle() -> None:
+        for name, some in fresh.items():
+            keys, counts = zip(*some, *([total[name]] if name in total else []), strict=True)
+            both, back = np.unique(np.concatenate(keys), return_inverse=True)
+            total[name] = both, np.bincount(back, np.concatenate(counts), len(both)).astype(np.int64)
+        fresh.clear()
+
+    def send() -> Iterator[pa.RecordBatch]:
+        for name, (keys, counts) in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys), pa.array(counts)], ["lang", "gram", "n"])
+        total.clear()
+
+    held = 0
     for batch in batches:
-        for part in K.slices(batch, "text", 1 << 20):
+        for part in K.slices(batch, "text", SLICE):
             g = Grams(part.column("text"))
             lang = np.array(part.column("lang").to_pylist(), object)
             of = np.repeat(lang, np.diff(g.first))
             for name in set(lang):
                 gram, n = np.unique(g.gram[of == name], return_counts=True)
-                keys, counts = total.get(name, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
-                both, back = np.unique(np.concatenate([keys, g.pack(gram)]), return_inverse=True)
-                total[name] = both, np.bincount(back, np.concatenate([counts, n]), len(both)).astype(np.int64)
-    for name, (keys, counts) in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys), pa.array(counts)], ["lang", "gram", "n"])
+                fresh.setdefault(name, []).append((g.pack(gram), n))
+                held += len(gram)
+            if held > HELD:
+                settle()
+                held = 0
+                if sum(len(keys) for keys, _ in total.values()) > HELD:
+                    yield from send()
+    settle()
+    yield from send()
 
 
 def learn(labelled: DataFrame, size: int = PROFILE) -> DataFrame:
@@ -141,7 +163,7 @@ def _guesser(profiles, columns: list[str]):
     def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = profiles.value
         for batch in batches:
-            for part in K.slices(batch, "__text", 1 << 20):
+            for part in K.slices(batch, "__text", SLICE):
                 lang, score = p.guess(part.column(part.schema.get_field_index("__text")))
                 kept = [part.column(i) for i in range(len(columns))]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*columns, "lang_pred", "score"])
