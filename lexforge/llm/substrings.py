@@ -1,8 +1,17 @@
-"""Operator 8: removal of repeated passages, by a de Bruijn graph of word k-mers.
-
-Each ``k`` consecutive words are an edge of the graph.  An edge is repeated when the
-same words also start earlier.  Consecutive repeated edges of a document compact into
-one path, and a path's source coordinates say which words go.
+"""Operator 8: removal of repeated passages, by compaction of a de Bruijn graph of words.
+
+Each ``k`` consecutive words of a document are an edge, from the node of their first
+``k`` - 1 words to that of their last.  Documents lie in slices, whose numbers are the
+source coordinates of all that follows:
+
+1. anchors: of each edge, the least hash of its shorter runs of words.  Edges whose
+   anchor stands at one place alone can't repeat and leave the graph.
+2. nodes: a node branches when its occurrences differ in the word before or after it,
+   or when one lacks such an edge; counted over all slices.
+3. paths: consecutive edges whose common node doesn't branch compact into one path.
+   All occurrences of an edge then lie in the same path, so a path is told by a digest of
+   its very words, read at its coordinates: this verifies the whole span at once.
+4. a join of all paths finds the earliest occurrence of each; the others' words go.
 """
 
 from __future__ import annotations
@@ -17,19 +26,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import words as K
-from .common import partitions, ship
+from .common import bucketed, partitions, release, ship, stored
 
 #: Words of an edge.
 EDGE = 20
-#: Text that one task turns into edges at a time; text whose edges make a shard at most.
-SLICE, SHARD = 8 << 20, 12 << 20
+#: Text of a slice; of the slices of a bucket; text whose anchors or nodes meet in one task.
+SLICE, BUCKET, SHARD = 4 << 20, 32 << 20, 64 << 20
 
-_ENTRIES = "k long, src long, docs binary, hashes binary, rows binary, starts binary"
-_REPLIES = "src long, docs binary, keys binary, counts binary, rows binary, starts binary"
-_PATHS = "doc_id long, key long, paths binary"
+_SLICES = "src long, ids binary, sizes binary, texts binary"
+_SENT = "k long, src long, keys binary, notes binary"
+_REPLY = "src long, kind int, keys binary"
+_PATHS = "digest binary, src long, least long, first binary, rest binary"
 _DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 #: What a null id sorts as: before all others.
 _NULL = -(1 << 63)
+#: The note of a node that branches inside one slice already.
+_BRANCH = np.uint64(0)
+ANCHORS, BRANCHES = 0, 1
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -47,161 +60,251 @@ def _steps(x: np.ndarray) -> np.ndarray:
     return np.diff(x, prepend=x.dtype.type(0)) if len(x) else x
 
 
-def keys(w: K.Words) -> np.ndarray:
-    """A number for each document's sequence of words."""
-    nth = np.arange(len(w.hash), dtype=np.uint64) - np.repeat(w.first[:-1].astype(np.uint64), w.count)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(K.mix(w.hash + nth * np.uint64(K._STEP)))])
-    return (total[w.first[1:]] - total[w.first[:-1]]).view(np.int64)
+def pack_keys(x: np.ndarray) -> bytes:
+    """Ascending hashes as their steps."""
+    return _pack(_steps(x))
 
 
-def _ids(column: pa.Array) -> np.ndarray:
-    return column.fill_null(_NULL).to_numpy(zero_copy_only=False).astype(np.int64)
+def unpack_keys(b: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(b, np.uint64), dtype=np.uint64)
 
 
-def edges(w: K.Words, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, row, start) of each edge that may be first of its kind, and below these
-    the rest: edges that these very documents show to be repeats, as (row, start).
-    ``ids`` ascend.
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Ascending hashes to ascending shards."""
+    return (keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
 
-    Of each kind, the first edge in each row with the smallest id is left in.
-    """
-    h = K.windows(w.hash, k)
+
+# -- slices ----------------------------------------------------------------------------
+
+
+def _slicer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    part, nth = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        for rows in K.slices(batch, "text", SLICE):
+            raw, off = K.text_bytes(rows.column("text"))
+            ids = rows.column("doc_id").fill_null(_NULL).to_numpy(zero_copy_only=False).astype("<i8")
+            row = [[part << 32 | nth], [ids.tobytes()], [np.diff(off).astype("<i8").tobytes()], [raw.tobytes()]]
+            nth += 1
+            yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), *(pa.array(x, pa.binary()) for x in row[1:])], ["src", "ids", "sizes", "texts"])
+
+
+def _texts(one: pd.DataFrame) -> tuple[np.ndarray, pa.Array]:
+    """Ids and texts of a slice."""
+    r = one.iloc[0]
+    ids, sizes = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["sizes"], "<i8")
+    off = np.concatenate([[0], np.cumsum(sizes)])
+    return ids, pa.Array.from_buffers(pa.large_string(), len(ids), [None, pa.py_buffer(off.astype(np.int64).tobytes()), pa.py_buffer(r["texts"])])
+
+
+# -- the graph -------------------------------------------------------------------------
+
+
+def _sliding(x: np.ndarray, size: int, best) -> np.ndarray:
+    """``best`` of each ``size`` consecutive numbers."""
+    have = 1
+    while have < size:
+        step = min(have, size - have)
+        x = best(x[: len(x) - step], x[step:])
+        have += step
+    return x
+
+
+def _short(k: int) -> int:
+    """Words of an anchor."""
+    return max(1, k // 2)
+
+
+def _edges(w: K.Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor hashes by where they start, each edge's own anchor, whether the edge lies in one document)."""
+    g = K.windows(w.hash, _short(k))
+    n = len(w.hash) - k + 1
+    if n < 1:
+        return g, np.zeros(0, np.uint64), np.zeros(0, bool)
     doc = w.doc
-    inside = doc[: len(h)] == doc[k - 1 :] if len(h) else np.zeros(0, bool)
-    at = np.flatnonzero(inside)
-    h, row = h[at], doc[at]
-    _, rank = np.unique(ids, return_inverse=True)
-    order = np.argsort(h, kind="stable")  # rows ascend by id, so also by id, row and start
-    h, row, at = h[order], row[order], at[order]
-    del order, doc, inside
-    new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
-    group = np.cumsum(new) - 1
-    least = rank[row[new]][group] if len(h) else rank[:0]
-    same_row = np.zeros(len(h), bool)
-    same_row[1:] = ~new[1:] & (row[1:] == row[:-1])
-    left = (rank[row] == least) & ~same_row
-    start = at - w.first[row]
-    return (h[left], row[left], start[left]), (row[~left], start[~left])
-
-
-def _edge_maker(k: int, shards: int):
+    return g, _sliding(g, k - _short(k) + 1, np.minimum), doc[:n] == doc[k - 1 :]
+
+
+def anchors(w: K.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, twice): the anchors of all edges, ascending, and which stand at two places here."""
+    g, least, inside = _edges(w, k)
+    if not inside.any():
+        return np.zeros(0, np.uint64), np.zeros(0, bool)
+    room = np.zeros(k - _short(k), np.uint64)
+    chosen = _sliding(np.concatenate([room, np.where(inside, least, 0), room]), k - _short(k) + 1, np.maximum) == g
+    key, n = np.unique(K.mix(g[chosen]), return_counts=True)  # least hashes are small; mixed ones spread
+    return key, n > 1
+
+
+def _candidates(w: K.Words, k: int, repeated: np.ndarray) -> np.ndarray:
+    """The edges whose anchor stands at two places or more."""
+    _, least, inside = _edges(w, k)
+    return inside & _among(K.mix(least), repeated)
+
+
+def _among(x: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    if not len(keys):
+        return np.zeros(len(x), bool)
+    return keys[np.minimum(np.searchsorted(keys, x), len(keys) - 1)] == x
+
+
+def _node_hashes(w: K.Words, k: int) -> np.ndarray:
+    return K.windows(w.hash, k - 1)
+
+
+def nodes(w: K.Words, k: int, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, note): the nodes of the given edges, ascending; the note tells the words before and after.
+
+    A node whose occurrences here have different notes gets _BRANCH.
+    """
+    if not edge.any():
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    out = np.concatenate([edge, [False]])  # node p begins edge p and ends edge p - 1
+    into = np.concatenate([[False], edge])
+    at = np.flatnonzero(out | into)
+    node = _node_hashes(w, k)[at]
+    before = np.where(into[at], w.hash[np.maximum(at - 1, 0)], np.uint64(1))
+    after = np.where(out[at], w.hash[np.minimum(at + k - 1, len(w.hash) - 1)], np.uint64(1))
+    note = K.mix(K.mix(before + np.uint64(K._SEED)) * np.uint64(K._STEP) + after) | np.uint64(1)
+    order = np.argsort(node, kind="stable")
+    node, note = node[order], note[order]
+    first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+    low, high = np.minimum.reduceat(note, first), np.maximum.reduceat(note, first)
+    return node[first], np.where(low == high, low, _BRANCH)
+
+
+def _send(src: int, key: np.ndarray, note: np.ndarray, shards: int) -> list[tuple]:
+    cut = np.searchsorted(shard_of(key, shards), np.arange(shards + 1))
+    return [(int(s), src, pack_keys(key[cut[s] : cut[s + 1]]), np.ascontiguousarray(note[cut[s] : cut[s + 1]]).tobytes()) for s in np.flatnonzero(np.diff(cut))]
+
+
+def _anchor_maker(k: int, shards: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, nth = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for rows in K.slices(batch, "text", SLICE):
-                src, nth = part << 32 | nth, nth + 1
-                ids = _ids(rows.column("doc_id"))
-                by_id = np.argsort(ids, kind="stable")
-                rows, ids = rows.take(pa.array(by_id)), ids[by_id]
-                w = K.split(rows.column("text"))
-                (h, row, start), (row2, start2) = edges(w, ids, k)
-                docs = _pack(_steps(ids))
-                out = [(shards + src % shards, src, docs, _pack(keys(w)), _pack(w.count), _pack(row2.astype(np.uint32)) + _pack(start2.astype(np.uint32)))]
-                shard = (h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)  # h ascends, so do shards
-                cut = np.searchsorted(shard, np.arange(shards + 1))
-                for s in np.flatnonzero(np.diff(cut)):
-                    own = slice(cut[s], cut[s + 1])
-                    out.append((int(s), src, docs, _pack(_steps(h[own])), _pack(row[own].astype(np.uint32)), _pack(start[own].astype(np.uint32))))
-                for i in range(0, len(out), 64):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if j < 2 else pa.binary()) for j, c in enumerate(zip(*out[i : i + 64], strict=True))], ["k", "src", "docs", "hashes", "rows", "starts"])
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1).to_pandas()
+                _, texts = _texts(one)
+                out = _send(int(one["src"].iloc[0]), *anchors(K.split(texts), k), shards)
+                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], pa.int64() if j < 2 else pa.binary()) for j in range(4)], ["k", "src", "keys", "notes"])
+
+    return make
+
+
+def _repeated(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one shard of anchors: those at two places, to each slice that has them."""
+    each = [unpack_keys(x) for x in pdf["keys"]]
+    twice = np.concatenate([np.frombuffer(x, bool) for x in pdf["notes"]])
+    key, back, n = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
+    many = n > 1
+    many[back[twice]] = True
+    return _replies(pdf, each, key[many], ANCHORS)
+
+
+def _branching(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one shard of nodes: those whose notes differ, to each slice that has them."""
+    each = [unpack_keys(x) for x in pdf["keys"]]
+    node, note = np.concatenate(each), np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["notes"]])
+    order = np.argsort(node, kind="stable")
+    node, note = node[order], note[order]
+    first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+    low, high = np.minimum.reduceat(note, first), np.maximum.reduceat(note, first)
+    return _replies(pdf, each, node[first][(low != high) | (low == _BRANCH)], BRANCHES)
+
+
+def _replies(pdf: pd.DataFrame, each: list[np.ndarray], wanted: np.ndarray, kind: int) -> pd.DataFrame:
+    own = [k[_among(k, wanted)] for k in each]
+    out = pd.DataFrame({"src": pdf["src"], "kind": kind, "keys": [pack_keys(k) for k in own]})
+    return out[[len(k) > 0 for k in own]]
+
+
+def _told(replies: pd.DataFrame, kind: int) -> np.ndarray:
+    """All keys of a kind that shards tell a slice, ascending."""
+    own = [unpack_keys(x) for x in replies["keys"][replies["kind"] == kind]]
+    return np.sort(np.concatenate(own)) if own else np.zeros(0, np.uint64)
+
+
+def _node_maker(k: int, shards: int):
+    def make(one: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+        columns = ["k", "src", "keys", "notes"]
+        if not len(replies):
+            return pd.DataFrame(columns=columns)
+        _, texts = _texts(one)
+        w = K.split(texts)
+        out = _send(int(one["src"].iloc[0]), *nodes(w, k, _candidates(w, k, _told(replies, ANCHORS))), shards)
+        return pd.DataFrame(out, columns=columns)
 
     return make
 
 
-def _repeats(shards: int):
-    def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Of one shard of edges: those that another slice has with a smaller id."""
-        if int(pdf["k"].iloc[0]) >= shards:  # directories of slices, on their way
-            return pd.DataFrame({"src": pdf["src"], "docs": pdf["docs"], "keys": pdf["hashes"], "counts": pdf["rows"], "rows": b"", "starts": pdf["starts"]})
-        h = [np.cumsum(_unpack(x, np.uint64), dtype=np.uint64) for x in pdf["hashes"]]
-        rows = [_unpack(x, np.uint32) for x in pdf["rows"]]
-        ids = np.concatenate([np.cumsum(_unpack(d, np.int64))[r] for d, r in zip(pdf["docs"], rows, strict=True)])
-        n = np.array([len(x) for x in h])
-        h = np.concatenate(h)
-        order = np.argsort(h, kind="stable")
-        s = h[order]
-        first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        least = np.minimum.reduceat(ids[order], first)
-        later = np.zeros(len(h), bool)
-        later[order] = ids[order] > np.repeat(least, np.diff(np.concatenate([first, [len(s)]])))
-        out, at = [], 0
-        for src, r, x, size in zip(pdf["src"], rows, pdf["starts"], n, strict=True):
-            own = later[at : at + size]
-            at += size
-            if own.any():
-                out.append((src, None, None, None, _pack(r[own]), _pack(_unpack(x, np.uint32)[own])))
-        return pd.DataFrame(out, columns=["src", "docs", "keys", "counts", "rows", "starts"])
-
-    return find
-
-
-def _compact(k: int):
-    def compact(pdf: pd.DataFrame) -> pd.DataFrame:
-        """All repeated edges of one slice of documents, as paths of words."""
-        head = pdf[pdf["docs"].notna()].iloc[0]
-        ids, key, count = np.cumsum(_unpack(head["docs"], np.int64)), _unpack(head["keys"], np.int64), _unpack(head["counts"], np.int64)
-        both = head["starts"]
-        own = len(both) // 2
-        row, start = [_unpack(both[:own], np.uint32)], [_unpack(both[own:], np.uint32)]
-        for r in pdf[pdf["docs"].isna()].itertuples():
-            row.append(_unpack(r.rows, np.uint32))
-            start.append(_unpack(r.starts, np.uint32))
-        first = np.concatenate([[0], np.cumsum(count)])
-        at = np.sort(first[np.concatenate(row).astype(np.int64)] + np.concatenate(start).astype(np.int64))
-        row = np.searchsorted(first, at, "right") - 1
+def paths(w: K.Words, k: int, edge: np.ndarray, branches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, edges): where each path begins among the words, and how many edges it has."""
+    at = np.flatnonzero(edge)
+    if not len(at):
+        return at, at
+    joined = np.zeros(len(at), bool)  # to the edge before
+    joined[1:] = at[1:] == at[:-1] + 1
+    joined &= ~_among(_node_hashes(w, k)[at], branches)
+    begins = np.flatnonzero(~joined)
+    return at[begins], np.diff(np.concatenate([begins, [len(at)]]))
+
+
+def _path_maker(k: int):
+    def make(one: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+        columns = ["digest", "src", "least", "first", "rest"]
+        if not len(replies):
+            return pd.DataFrame(columns=columns)
+        ids, texts = _texts(one)
+        w = K.split(texts)
+        place, n = paths(w, k, _candidates(w, k, _told(replies, ANCHORS)), _told(replies, BRANCHES))
+        if not len(place):
+            return pd.DataFrame(columns=columns)
+        every, _ = _joined(w, np.ones(len(w.start), bool), w.first)
+        upto = np.concatenate([[0], np.cumsum(w.end - w.start + 1)])
+        text = memoryview(every)
+        digests = [hashlib.blake2b(text[a : b - 1], digest_size=16).digest() for a, b in zip(upto[place].tolist(), upto[place + n + k - 1].tolist(), strict=True)]
+        number: dict[bytes, int] = {}
+        kind = np.fromiter((number.setdefault(d, len(number)) for d in digests), np.int64, len(digests))
+        row = w.doc[place]
+        spans = np.stack([row, place - w.first[row], n + k - 1], 1).astype("<u4")
+        order = np.lexsort((place, row, ids[row], kind))
+        kind, row, spans = kind[order], row[order], spans[order]
+        new = np.concatenate([[True], kind[1:] != kind[:-1]])
+        least = ids[row[new]]  # ids ascend in each kind
+        once = new.copy()  # the first place in its row
+        once[1:] |= row[1:] != row[:-1]
+        early = once & (ids[row] == least[np.cumsum(new) - 1])
+        cut = np.concatenate([np.flatnonzero(new), [len(kind)]])
+        names = list(number)
+        src = int(one["src"].iloc[0])
         out = []
-        if len(at):
-            # an edge joins the path before it when their words meet or overlap
-            begins = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (at[1:] > at[:-1] + k)]))
-            ends = np.concatenate([begins[1:], [len(at)]]) - 1
-            of = row[begins]
-            spans = np.stack([at[begins] - first[of], at[ends] + k - first[of]], 1).astype("<i4")
-            cut = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-            for a, b in zip(cut, np.concatenate([cut[1:], [len(of)]]), strict=True):
-                r = of[a]
-                out.append((None if ids[r] == _NULL else ids[r], key[r], spans[a:b].tobytes()))
-        return pd.DataFrame(out, columns=["doc_id", "key", "paths"]).astype({"doc_id": "Int64", "key": "int64"})
-
-    return compact
-
-
-def paths(docs: DataFrame, k: int = EDGE) -> DataFrame:
-    """(doc_id, key, paths): the words to remove, of each document that has some.
-
-    ``key`` tells the text apart from others of the same id; ``paths`` are pairs of
-    little-endian 32-bit integers, the first word of a path and the one after its last.
-    The rows of one input partition are sliced, and a slice sends each kind of edge
-    once, so an edge that a third of all documents share is no heavier than the number
-    of slices.  Edges are dealt by hash to as many shards as their volume needs.
-    """
-    spark = docs.sparkSession
-    ship(spark)
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(partitions(spark), -(-size // SHARD))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
-    sent = rows.mapInArrow(_edge_maker(k, shards), _ENTRIES)
-    return sent.groupBy("k").applyInPandas(_repeats(shards), _REPLIES).groupBy("src").applyInPandas(_compact(k), _PATHS)
+        for d, low, a, b in zip(kind[new].tolist(), least.tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            e = early[a:b]
+            out.append((names[d], src, low, spans[a:b][e].tobytes(), spans[a:b][~e].tobytes()))
+        return pd.DataFrame(out, columns=columns)
+
+    return make
+
+
+# -- removal ---------------------------------------------------------------------------
 
 
 def _remover(texts: bool):
-    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows in K.slices(batch, "text"):
-                w = K.split(rows.column("text"))
-                key, keep = keys(w), np.ones(len(w.start), bool)
-                for d, all_paths in enumerate(rows.column("all_paths").to_pylist()):
-                    for x in all_paths or ():
-                        if x["key"] == key[d]:  # the coordinates are of this very text
-                            for a, b in np.frombuffer(x["paths"], "<i4").reshape(-1, 2):
-                                keep[w.first[d] + a : w.first[d] + b] = False
-                kept = np.concatenate([[0], np.cumsum(keep)])[w.first]
-                out, upto = _joined(w, keep, kept)
-                each = (out[a : max(a, b - 1)].tobytes() for a, b in zip(upto[:-1], upto[1:], strict=True))
-                last = [x.decode() for x in each] if texts else [hashlib.sha256(x).hexdigest() for x in each]
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), pa.array(w.count, pa.int64()), pa.array(w.count - np.diff(kept), pa.int64()), pa.array(last, pa.string())],
-                    ["doc_id", "n_words", "n_removed", "kept" if texts else "kept_sha256"],
-                )
+    def remove(one: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
+        ids, column = _texts(one)
+        w = K.split(column)
+        step = np.zeros(len(w.start) + 1, np.int64)
+        if len(spans):
+            row, start, n = np.frombuffer(b"".join(spans["spans"]), "<u4").reshape(-1, 3).astype(np.int64).T
+            at = w.first[row] + start
+            np.add.at(step, at, 1)
+            np.add.at(step, at + n, -1)
+        keep = np.cumsum(step[:-1]) == 0
+        kept = np.concatenate([[0], np.cumsum(keep)])[w.first]
+        out, upto = _joined(w, keep, kept)
+        each = (out[a : max(a, b - 1)].tobytes() for a, b in zip(upto[:-1], upto[1:], strict=True))
+        last = [x.decode() for x in each] if texts else [hashlib.sha256(x).hexdigest() for x in each]
+        doc_id = pd.array(ids, "Int64")
+        doc_id[ids == _NULL] = pd.NA
+        return pd.DataFrame({"doc_id": doc_id, "n_words": w.count, "n_removed": w.count - np.diff(kept), "kept" if texts else "kept_sha256": last})
 
     return remove
 
@@ -226,12 +329,36 @@ def deduplicate(docs: DataFrame, k: int = EDGE, texts: bool = False) -> DataFram
     consecutive words that also start earlier goes: earlier is a smaller doc_id, or a
     smaller start in the same row.  What is earlier is judged on the input.
 
-    Edges are compared by 64-bit hashes of their words.  Null and empty texts: no
-    words, the hash of an empty string.  Null doc_ids are earlier than all others but
-    not than each other; rows that repeat an id are not earlier than each other
-    either, so repeated rows keep their words unless a smaller id has them.
+    Documents are written once, as slices in buckets; what slices tell each other goes
+    by hash to as many tasks as there is text, each kind of anchor, node or path once
+    per slice, so that a passage which a third of all documents share is no heavier than
+    the number of slices.  Hashes only leave edges out of the graph that stand at one
+    place, or cut paths; words go where the words of two paths have one digest.
+
+    Null and empty texts: no words, the hash of an empty string.  Null doc_ids are
+    earlier than all others but not than each other; rows that repeat an id are not
+    earlier than each other either, so repeated rows keep their words unless a smaller
+    id has them.  An empty table gives none.
     """
-    found = paths(docs, k).groupBy(F.col("doc_id").alias("path_id")).agg(F.collect_set(F.struct("key", "paths")).alias("all_paths"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    both = rows.join(found, rows["doc_id"].eqNullSafe(found["path_id"]), "left").select("doc_id", "text", "all_paths")
-    return both.mapInArrow(_remover(texts), _DIGEST.replace("kept_sha256", "kept") if texts else _DIGEST)
+    if k < 2:
+        raise ValueError("an edge has two words at least")
+    spark = docs.sparkSession
+    ship(spark)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards, buckets = (max(partitions(spark), -(-size // most)) for most in (SHARD, BUCKET))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_slicer, _SLICES)
+    slices = bucketed(rows, "substring-slices", "src", buckets)
+    by_src = slices.groupBy("src")
+    sent = slices.mapInArrow(_anchor_maker(k, shards), _SENT)
+    shared = stored(sent.groupBy("k").applyInPandas(_repeated, _REPLY), "substring-anchors")
+    sent = by_src.cogroup(shared.groupBy("src")).applyInPandas(_node_maker(k, shards), _SENT)
+    branches = sent.groupBy("k").applyInPandas(_branching, _REPLY)
+    told = shared.unionByName(branches)
+    every = stored(by_src.cogroup(told.groupBy("src")).applyInPandas(_path_maker(k), _PATHS), "substring-paths")
+    least = every.groupBy("digest").agg(F.min("least").alias("earliest"))
+    later = F.col("least") > F.col("earliest")
+    spans = every.join(least, "digest").select("src", F.when(later, F.concat("first", "rest")).otherwise(F.col("rest")).alias("spans")).where(F.octet_length("spans") > 0)
+    spans = stored(spans, "substring-spans")
+    release(shared, every)
+    schema = _DIGEST.replace("kept_sha256", "kept") if texts else _DIGEST
+    return by_src.cogroup(spans.groupBy("src")).applyInPandas(_remover(texts), schema)
