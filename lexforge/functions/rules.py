@@ -73,6 +73,36 @@ PARAMETER_NO_PAGE, PARAMETER_SOURCE_TYPE = "לא זמין", "official"
 SOURCES_TITLE, SOURCE_WORD = "מקורות שנשלפו", "מקור"
 CUT_TITLE, CUT_TEXT = " (קטוע)", "\n[... המסמך נחתך עקב מגבלת גודל ...]"
 
+# What evidence and questions are introduced with.
+EVIDENCE = "להלן קטעים רלוונטיים מהמסמכים הרגולטוריים:"
+FOLLOW_UP_EVIDENCE = "(הקשר נוסף מהמסמכים — השתמש רק אם רלוונטי לשאלת ההמשך):"
+FOLLOW_UP_QUESTION = "שאלת המשך"
+
+# The row that a new table of parameters begins with.
+FIRST_PARAMETER = {
+    "parameter_key": "training_fund_favored_deposit_limit",
+    "tax_year": 2026,
+    "value_text": "20,566",
+    "unit": "ILS_PER_YEAR",
+    "source_title": "לוח עזר לחישוב מס הכנסה — ינואר 2026 ואילך",
+    "source_url": "https://www.gov.il/BlobFolder/generalpage/income-tax-monthly-deductions-booklet/he/generalInformation_income-tax-monthly-deductions-booklet_monthly-deductions-booklet-2026.pdf",
+    "source_page": "12",
+    "source_type": "official",
+}
+
+# Classes of sources, and the words of a sheet for reviewing cases.
+OFFICIAL_CLASS = "מקור רשמי / ממשלתי — מועמד חזק לקורפוס"
+CONSTRUCTED_CLASS = "מקרה clarification שנבנה אצלנו — לא מסמך להוספה"
+SECONDARY_CLASS = "מקור משני — צריך לאמת מול מקור רגולטורי ראשוני"
+REVIEW_KIND, REVIEW_NO_KIND, REVIEW_CLASS = "סוג מקור", "לא צוין", "סיווג"
+REVIEW_SOURCE, REVIEW_PRIMARY = "מקור", "מקור ראשוני מזוהה"
+REVIEW_ANSWER, REVIEW_NO_ANSWER = "תשובת ייחוס", "אין תשובת ייחוס"
+REVIEW_CONCLUSION, REVIEW_CONCEPTS, REVIEW_ACTIONS = "מסקנה צפויה", "מושגים/תנאים שחייבים להופיע", "פעולה צפויה"
+REVIEW_PROHIBITED, REVIEW_CLARIFY, REVIEW_YES, REVIEW_STATUS = "טענות שאסור להסיק", "נדרשת הבהרה", "כן", "סטטוס"
+REVIEW_PARTS = ("חלק א׳", "חלק ב׳")
+REVIEW_DONE = "הורץ מול {product} במסגרת benchmark"
+REVIEW_OPEN = "נאסף ל־source bank; טרם הורץ וטרם אושר כ־gold answer"
+
 OFFICIAL_KINDS = ["official_qa", "official", "government", "government_service", "gov.il – רשות המסים"]
 CONSTRUCTED_KIND = "constructed_from_web_topics"
 QUOTA_CODES = ["insufficient_quota", "credit_balance_exhausted"]
@@ -80,7 +110,7 @@ QUOTA_CODES = ["insufficient_quota", "credit_balance_exhausted"]
 # Prices of a million tokens.
 PRICES = {"input": 0.15, "output": 0.60, "cache_read": 0.0375, "cache_write": 0.15}
 
-# Marks of Markdown and the elements for them, in the order in which they apply.
+# Marks of Markdown and the elements for them, in the order in which they apply; {h1} and so on stand for attributes.
 MARKDOWN = [
     ("&", "&amp;"),
     ("<", "&lt;"),
@@ -88,12 +118,12 @@ MARKDOWN = [
     (r"\*\*(.+?)\*\*", "<strong>$1</strong>"),
     (r"\*(.+?)\*", "<em>$1</em>"),
     (r"`(.+?)`", "<code>$1</code>"),
-    (r"(?m)^### (.+)$", '<h3 class="text-base font-bold mt-3 mb-1">$1</h3>'),
-    (r"(?m)^## (.+)$", '<h2 class="text-lg font-bold mt-3 mb-1">$1</h2>'),
-    (r"(?m)^# (.+)$", '<h1 class="text-xl font-bold mt-3 mb-1">$1</h1>'),
+    (r"(?m)^### (.+)$", '<h3{h3}>$1</h3>'),
+    (r"(?m)^## (.+)$", '<h2{h2}>$1</h2>'),
+    (r"(?m)^# (.+)$", '<h1{h1}>$1</h1>'),
     (r"(?m)^---$", "<hr>"),
     (r"(?m)^- (.+)$", "<li>$1</li>"),
-    (r"(?s)(<li>.*</li>)", '<ul class="list-disc pr-6 my-1">$1</ul>'),
+    (r"(?s)(<li>.*</li>)", '<ul{ul}>$1</ul>'),
     (r"(?m)^\d+\. (.+)$", "<li>$1</li>"),
     (r"\n", "<br>"),
 ]

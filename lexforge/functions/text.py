@@ -135,12 +135,17 @@ def authority(document_type: Column, title: Column) -> Column:
     return F.coalesce(blank_to_null(strip(document_type)), out)
 
 
-def authority_bonus(question: Column, kind: Column, terms: Sequence[str] = R.AUTHORITY_TERMS, bonus: dict[str, float] = R.AUTHORITY_BONUS) -> Column:
-    """what an authority adds, if the question is a legal one; unknown kinds add nothing."""
+def authority_value(kind: Column, bonus: dict[str, float] = R.AUTHORITY_BONUS) -> Column:
+    """what an authority adds; unknown kinds add nothing."""
     value = F.lit(0.0)
     for k, v in bonus.items():
         value = F.when(kind == k, F.lit(v)).otherwise(value)
-    return F.when(any_in(question, terms), value).otherwise(F.lit(0.0))
+    return value
+
+
+def authority_bonus(question: Column, kind: Column, terms: Sequence[str] = R.AUTHORITY_TERMS, bonus: dict[str, float] = R.AUTHORITY_BONUS) -> Column:
+    """what an authority adds, if the question is a legal one."""
+    return F.when(any_in(question, terms), authority_value(kind, bonus)).otherwise(F.lit(0.0))
 
 
 def any_in(c: Column, terms: Sequence[str]) -> Column:
@@ -169,13 +174,31 @@ def cost_parts(counts: dict[str, Column], prices: dict[str, float] = R.PRICES) -
     return F.struct(*(F.round(v, 6).alias(f"{k}_cost") for k, v in each.items()), F.round(total, 6).alias("total"))
 
 
-def signed_delta(base: Column, other: Column) -> Column:
-    """a change with its sign, to three digits."""
+def signed_delta(base: Column, other: Column, as_int: bool = False) -> Column:
+    """a change with its sign, to three digits, or of whole numbers."""
     d = other - base
+    if as_int:
+        change = F.when(d == 0, "  0").otherwise(F.format_string("%+d", d.cast("long")))
+        return F.concat(F.format_string("%4d -> %4d (", base.cast("long"), other.cast("long")), change, F.lit(")"))
     sign = F.when(d > 1e-9, "+").when(d < -1e-9, "-").otherwise(" ")
     return F.concat(F.format_string("%.3f -> %.3f (", base, other), sign, F.format_string("%.3f)", F.abs(d)))
 
 
+def elapsed(seconds: Column, ms: bool = False) -> Column:
+    """a duration to two digits, or in whole milliseconds."""
+    return (seconds * 1000).cast("int") if ms else F.round(seconds, 2)
+
+
+def vector_to_json(v: Column) -> Column:
+    """F28"""
+    return F.to_json(v)
+
+
+def vector_from_json(c: Column) -> Column:
+    """null where it is no array of numbers."""
+    return F.from_json(c, "array<double>")
+
+
 def fraction_found(text: Column, terms: Column) -> Column:
     """(share, missing) of terms that a text contains; 1.0 where there are none."""
     terms = F.coalesce(terms, F.array().cast("array<string>"))
@@ -199,6 +222,20 @@ def title_or_url(title: Column, url: Column) -> Column:
     return F.coalesce(blank_to_null(title), F.substring(url, 1, 80))
 
 
+def base_name(path: Column) -> Column:
+    """What follows the last slash."""
+    return F.substring_index(path, "/", -1)
+
+
+def download_name(title: Column, path: Column | None = None, text: bool = False) -> Column:
+    """the name of a download: of the original by title or path, of the text by title without extension."""
+    if not text:
+        return base_name(F.coalesce(blank_to_null(title), path if path is not None else F.lit(None).cast("string")))
+    name = base_name(F.coalesce(blank_to_null(title), F.lit("document")))
+    stem = F.regexp_extract(name, r"(?s)^(\.*[^.].*)\.[^.]*\z", 1)  # leading full stops begin no extension
+    return F.concat(F.when(stem != "", stem).otherwise(name), F.lit(".txt"))
+
+
 def validity(superseded_by: Column, valid_until: Column, as_of: Column) -> Column:
     """Superseded, expired (strictly before ``as_of``, compared as text) or current."""
     return F.when(superseded_by.isNotNull(), "superseded").when((F.coalesce(valid_until, F.lit("")) != "") & (valid_until < as_of), "expired").otherwise("current")
@@ -230,14 +267,16 @@ def is_quota_error(code: Column, message: Column) -> Column:
 
 
 def source_class(kind: Column) -> Column:
-    """Official, constructed or secondary."""
-    return F.when(kind.isin(*R.OFFICIAL_KINDS), "official").when(kind == R.CONSTRUCTED_KIND, "constructed").otherwise("secondary")
+    """What is said of a source of this kind: official, constructed or secondary."""
+    return F.when(kind.isin(*R.OFFICIAL_KINDS), R.OFFICIAL_CLASS).when(kind == R.CONSTRUCTED_KIND, R.CONSTRUCTED_CLASS).otherwise(R.SECONDARY_CLASS)
 
 
-def markdown_to_html(c: Column) -> Column:
-    """the marks of Markdown as elements, one rule after the other."""
+def markdown_to_html(c: Column, attributes: dict[str, str] | None = None) -> Column:
+    """the marks of Markdown as elements, one rule after the other; ``attributes`` by element."""
     out = F.coalesce(c, F.lit(""))
     for pattern, to in R.MARKDOWN:
+        for name in ("h1", "h2", "h3", "ul"):
+            to = to.replace("{%s}" % name, " " + attributes[name] if attributes and name in attributes else "")
         out = F.regexp_replace(out, pattern, to)
     return out
 
@@ -245,3 +284,18 @@ def markdown_to_html(c: Column) -> Column:
 def shortened(c: Column, most: int = 60) -> Column:
     """a text's beginning, with dots where it goes on."""
     return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit("..."))).otherwise(c)
+
+
+def shown_seconds(ms: Column) -> Column:
+    """milliseconds as seconds with one digit; none and zero as a dash."""
+    return F.when(F.coalesce(ms, F.lit(0)) == 0, "-").otherwise(F.concat(F.format_string("%.1f", ms / 1000.0), F.lit("s")))
+
+
+def shown_cost(usd: Column, digits: int = 4, none: str = "-") -> Column:
+    """a cost in dollars; none and zero as ``none``."""
+    return F.when(F.coalesce(usd, F.lit(0.0)) == 0, F.lit(none)).otherwise(F.concat(F.lit("$"), F.format_string(f"%.{digits}f", usd)))
+
+
+def shown_day(date: Column) -> Column:
+    """month and day of a date."""
+    return F.coalesce(F.substring(date.cast("string"), 6, 5), F.lit(""))

@@ -6,10 +6,16 @@ changes are distinct.  Changes are joined on the key, so both may be of any size
 
 from __future__ import annotations
 
+import re
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions import text as T
+from ..functions import rules as R, text as T
 from ..schemas import DOCUMENT_DEFAULTS, DOCUMENTS, migrate
+from ..scratch import stored
+from . import chunking
 
 STATUSES = ("indexing", "ready", "failed")
 LIFECYCLES = ("current", "superseded", "repealed", "draft", "historical")
@@ -130,11 +136,75 @@ def backfill(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     return d.join(n, "id", "left").select(*[new[c].alias(c) if c in new else F.col(c) for c in d.columns])
 
 
-def reindex_plan(documents: DataFrame) -> DataFrame:
-    """What a new run does with each document: fetch its address again, read its text again, or nothing."""
+def seed_parameters(parameters: DataFrame, first: dict = R.FIRST_PARAMETER) -> DataFrame:
+    """The table with its first row, unless the row's key and year are there."""
+    types = dict(parameters.dtypes)
+    row = parameters.sparkSession.range(1).select(*(F.lit(v).cast(types[c]).alias(c) for c, v in first.items() if c in types))
+    return insert_or_ignore(parameters, row, ["parameter_key", "tax_year"])
+
+
+def set_setting(settings: DataFrame, changes: DataFrame) -> DataFrame:
+    """Changes (key, value, updated_at); a null value deletes the setting."""
+    kept = settings.join(changes.where("value is null").select("key"), "key", "left_anti").select(*settings.columns)
+    return upsert(kept, changes.where("value is not null"), ["key"])
+
+
+def reindex_plan(documents: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """What a new run does with each document: fetch its address again, read its text again, or nothing.
+
+    With ``ids`` (id), the others are skipped.
+    """
     url = T.first_url(F.col("source_ref"))
     action = F.when(~F.col("is_active"), "skip").when(url.isNotNull(), "fetch").when(F.length(F.coalesce("text", F.lit(""))) > 0, "reindex").otherwise("skip")
-    return documents.select("id", action.alias("action"), url.alias("url"))
+    rows = documents
+    if ids is not None:
+        rows = documents.join(ids.select("id", F.lit(True).alias("chosen")), "id", "left")
+        action = F.when(F.col("chosen"), action).otherwise("skip")
+    return rows.select("id", action.alias("action"), url.alias("url"))
+
+
+def reindex(documents: DataFrame, chunks: DataFrame, embedder: Callable[[list[str]], list[list[float]]] | None = None, **how) -> tuple[DataFrame, DataFrame]:
+    """All active documents chunked anew from their texts: (chunks, outcomes).
+
+    ``outcomes`` has id, title, outcome (succeeded or failed), error and chunks.  A
+    document without text fails and keeps its old chunks; the others go on.  Pages are
+    used where a document has them.
+    """
+    active = documents.where("is_active")
+    text = F.length(F.coalesce("text", F.lit(""))) > 0
+    rows = active.where(text).select(F.col("id").alias("document_id"), "text", "title", *(["pages"] if "pages" in documents.columns else []))
+    new = (chunking.chunk if "pages" in documents.columns else chunking.chunk_documents)(rows, keep=("title",), **how).withColumnRenamed("title", "document_title")
+    new = chunking.embed(new, embedder) if embedder else new
+    counts = new.groupBy(F.col("document_id").alias("id")).agg(F.count("*").alias("n"))
+    error = F.when(~text, "no text").when(F.col("n").isNull(), "no chunks")
+    outcomes = active.join(counts, "id", "left").select("id", "title", F.when(error.isNull(), "succeeded").otherwise("failed").alias("outcome"), error.alias("error"), F.coalesce("n", F.lit(0)).alias("chunks"))
+    return replace_chunks(chunks, new.select(*[c for c in new.columns if c in chunks.columns])), outcomes
+
+
+def reingest(documents: DataFrame, chunks: DataFrame, fetch: Callable[[DataFrame], DataFrame], ids: DataFrame | None = None, apply: bool = False, **how) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents from addresses fetched, extracted and chunked again: (documents, chunks, outcomes).
+
+    ``fetch`` takes rows (id, url) and returns rows (id, content, text, pages, kind,
+    error), as sources.files.fetch_documents does.  Without ``apply`` nothing changes
+    and the outcomes say what would be done.  A document that can't be fetched or has no
+    text fails and stays as it is.
+    """
+    urls = documents.where("is_active and source_type = 'url'")
+    plan = reindex_plan(urls, ids).select("id", "url")
+    if ids is not None:
+        plan = plan.join(ids.select("id"), "id", "left_semi")
+    if not apply:
+        return documents, chunks, plan.select("id", F.when(F.col("url").isNull(), "skipped").otherwise("would be fetched").alias("outcome"), F.lit(None).cast("string").alias("error"), F.lit(0).cast("long").alias("chunks"))
+    got = stored(fetch(plan.where("url is not null")), "fetched")
+    good = got.where("error is null")
+    artifact = good.select("id", F.sha2("content", 256).alias("source_checksum"), "text", T.estimate_tokens(F.col("text")).alias("token_count"))
+    rows = good.select(F.col("id").alias("document_id"), "text", "pages").join(documents.select(F.col("id").alias("document_id"), "title"), "document_id")
+    new = chunking.chunk(rows, keep=("title",), **how).withColumnRenamed("title", "document_title")
+    counts = new.groupBy(F.col("document_id").alias("id")).agg(F.count("*").alias("n"))
+    outcomes = plan.join(got.select("id", "error"), "id", "left").join(counts, "id", "left")
+    what = F.when(F.col("url").isNull(), "skipped").when(F.col("error").isNotNull(), "failed").otherwise("succeeded")
+    outcomes = outcomes.select("id", what.alias("outcome"), "error", F.coalesce("n", F.lit(0)).alias("chunks"))
+    return set_artifact(documents, artifact), replace_chunks(chunks, new.select(*[c for c in new.columns if c in chunks.columns])), outcomes
 
 
 def tally(outcomes: DataFrame) -> DataFrame:
@@ -145,12 +215,14 @@ def tally(outcomes: DataFrame) -> DataFrame:
 def publish(df: DataFrame, path: str) -> str:
     """Write a new version beside the old ones; readers see it when its marker is there.
 
-    A job that dies leaves a version without marker, which nothing reads.
+    A job that dies leaves a version without marker, which nothing reads.  Each writer
+    has a folder of its own, named by the number after the last complete version and a
+    random part, so two writers never touch each other's; the later name is current.
     """
-    spark = df.sparkSession
-    version = len(versions(spark, path)) + 1
-    where = f"{path}/v{version:06d}"
-    df.write.mode("overwrite").parquet(where)
+    done = versions(df.sparkSession, path)
+    nth = int(re.search(r"v(\d+)-", done[-1])[1]) + 1 if done else 1
+    where = f"{path}/v{nth:09d}-{uuid.uuid4().hex}"
+    df.write.parquet(where)
     return where
 
 

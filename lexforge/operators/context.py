@@ -3,12 +3,20 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import rules as R, text as T
+from ..functions.tokens import ESTIMATE, Estimate, Library
+from ..scratch import stored
+from ..session import ship
+from . import ranking
 
 BUDGET, WINDOW = 50_000, 1
+#: Chunks that a follow-up question gets.
+FOLLOW_UP_K = 5
 
 
 def neighbours(ranked: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -43,64 +51,111 @@ def blocks(expanded_chunks: DataFrame) -> DataFrame:
     return every.select("query_id", F.flatten(F.transform("d", lambda x: x["blocks"])).alias("blocks"))
 
 
-def fit(parts: Column, budget: int | Column = BUDGET) -> Column:
+def fit(parts: Column, budget: int | Column = BUDGET, sizer: Estimate | Library = ESTIMATE) -> Column:
     """The blocks, in order, that still fit; one that doesn't is skipped, and the next is tried."""
     budget = F.lit(budget) if isinstance(budget, int) else budget
+    sized = F.zip_with(parts, sizer.of_each(parts), lambda x, n: F.struct(x.alias("x"), n.cast("long").alias("n")))
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("kept"))
 
-    def step(a: Column, x: Column) -> Column:
-        n = a["used"] + T.estimate_tokens(x)
-        return F.when(n <= budget, F.struct(n.alias("used"), F.array_append(a["kept"], x).alias("kept"))).otherwise(a)
+    def step(a: Column, b: Column) -> Column:
+        n = a["used"] + b["n"]
+        return F.when(n <= budget, F.struct(n.alias("used"), F.array_append(a["kept"], b["x"]).alias("kept"))).otherwise(a)
 
-    return F.aggregate(parts, start, step, lambda a: a["kept"])
+    return F.aggregate(sized, start, step, lambda a: a["kept"])
 
 
-def context(ranked: DataFrame, chunks: DataFrame, window: int = WINDOW, budget: int = BUDGET) -> DataFrame:
+def context(ranked: DataFrame, chunks: DataFrame, window: int = WINDOW, budget: int = BUDGET, sizer: Estimate | Library = ESTIMATE) -> DataFrame:
     """(query_id, context) of each question."""
-    return blocks(expanded(ranked, chunks, window)).select("query_id", F.array_join(fit(F.col("blocks"), budget), "\n\n").alias("context"))
+    return blocks(expanded(ranked, chunks, window)).select("query_id", F.array_join(fit(F.col("blocks"), budget, sizer), "\n\n").alias("context"))
 
 
-def pack_documents(scored: DataFrame, budget: int, least_left: int = 3000, least_chars: int = 500) -> DataFrame:
+_DECIDED = "query_id {0}, place long, document_id long, what string, room long"
+
+
+def _packer(budget: int, least_left: int):
+    """Walk along each question's documents, best first, from where the round before it stopped."""
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        query, place, used, halted = None, 0, 0, False
+        for pdf in frames:
+            out = []
+            for q, doc, score, n, begun, at in zip(*(pdf[c] for c in ("query_id", "document_id", "score", "tokens", "used", "after")), strict=True):
+                if q != query:
+                    query, place, used, halted = q, 0, int(begun), False
+                place += 1
+                left = budget - used
+                if halted or place <= at:
+                    continue
+                if n <= left:
+                    used += int(n)
+                    out.append((q, place, doc, "whole", used))
+                elif left > least_left and score > 0:
+                    halted = True  # how much of its text fits is found outside
+                    out.append((q, place, doc, "cut", used))
+                else:
+                    out.append((q, place, doc, "skipped", used))
+            yield pd.DataFrame(out, columns=["query_id", "place", "document_id", "what", "room"])
+
+    return pack
+
+
+def pack_documents(scored: DataFrame, budget: int, least_left: int = 3000, least_chars: int = 500, sizer: Estimate | Library = ESTIMATE) -> DataFrame:
     """Whole documents by falling score while they fit; the best of the rest cut to size.
 
     ``scored`` has query_id, document_id, title, text and score.  A document that
     doesn't fit is cut if enough is left and it scores at all: to 0.8 of the share
-    that would fit, then by 0.8 again and again until it does; or it is skipped.  The
-    fold sees sizes and not texts: how many bytes each length has decides, so the
-    lengths that may come are tried as columns beforehand.  Returns query_id, place,
-    document_id, title, text and skipped.
+    that would fit, then by 0.8 again and again until it does; or it is skipped.
+
+    The walk along a question's documents sees ids, scores and sizes, a row at a time,
+    and stops where one is to be cut; that text alone is looked at, and the walk goes on
+    after it.  A cut takes most of what is left, so there are few such rounds.  Returns
+    query_id, place, document_id, title, text and skipped.
     """
-    x = F.struct((-F.col("score")).alias("by"), "document_id", "title", "text", "score", T.estimate_tokens(F.col("text")).alias("tokens"))
-    grouped = scored.groupBy("query_id").agg(F.array_sort(F.collect_list(x)).alias("docs"))
-    kind = "array<struct<document_id:bigint,title:string,text:string,skipped:boolean>>"
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(kind).alias("out"))
-
-    def fitted(d: Column, left: Column) -> Column:
-        first = F.floor(F.length(d["text"]) * (left / d["tokens"]) * 0.8).cast("long")
-        lengths = F.transform(F.sequence(F.lit(0), F.lit(60)), lambda i: F.aggregate(F.sequence(F.lit(0), i), first, lambda a, j: F.when(j == 0, a).otherwise(F.floor(a * 0.8))))
-        ok = F.filter(lengths, lambda n: (T.estimate_tokens(F.substring(d["text"], F.lit(1), n.cast("int"))) <= left) | (n <= least_chars))
-        return F.element_at(ok, 1)
-
-    def entry(d: Column, title: Column, text: Column, skipped: bool) -> Column:
-        return F.struct(d["document_id"].cast("long").alias("document_id"), title.alias("title"), text.alias("text"), F.lit(skipped).alias("skipped"))
-
-    def step(a: Column, d: Column) -> Column:
-        left = F.lit(budget) - a["used"]
-        n = fitted(d, left)
-        cut = F.substring(d["text"], F.lit(1), n.cast("int"))
-        add = lambda used, e: F.struct(used.alias("used"), F.array_append(a["out"], e).alias("out"))
-        whole = add(a["used"] + d["tokens"], entry(d, d["title"], d["text"], False))
-        some = add(a["used"] + T.estimate_tokens(cut), entry(d, F.concat(d["title"], F.lit(R.CUT_TITLE)), F.concat(cut, F.lit(R.CUT_TEXT)), False))
-        none = add(a["used"], entry(d, d["title"], F.lit(None).cast("string"), True))
-        return F.when(d["tokens"] <= left, whole).when((left > least_left) & (d["score"] > 0) & (n > least_chars), some).otherwise(none)
-
-    packed = grouped.select("query_id", F.aggregate("docs", start, step, lambda a: a["out"]).alias("out"))
-    return packed.select("query_id", F.posexplode("out").alias("place", "d")).select("query_id", (F.col("place") + 1).alias("place"), "d.*")
-
-
-def parameter_context(questions: DataFrame, parameters: DataFrame, as_of_year: int, fallback: DataFrame | None = None, key: str = R.PARAMETER_KEY) -> DataFrame:
+    ship(scored.sparkSession)
+    kind = dict(scored.dtypes)["query_id"]
+    narrow = stored(scored.select("query_id", F.col("document_id").cast("long").alias("document_id"), "score", sizer.of(F.col("text")).cast("long").alias("tokens")), "pack-sizes")
+    state, rounds = None, []
+    while True:
+        if state is None:
+            rows = narrow.withColumns({"used": F.lit(0).cast("long"), "after": F.lit(0).cast("long")})
+        else:  # the questions that stopped
+            rows = narrow.join(state, "query_id")
+        rows = rows.repartition("query_id").sortWithinPartitions("query_id", F.desc("score"), "document_id")
+        done = stored(rows.mapInPandas(_packer(budget, least_left), _DECIDED.format(kind)), "pack")
+        rounds.append(done.where("what != 'cut'").withColumn("chars", F.lit(None).cast("long")))
+        cuts = done.where("what = 'cut'")
+        if not cuts.take(1):
+            break
+        texts = scored.select("query_id", F.col("document_id").cast("long").alias("document_id"), "text")
+        found = cuts.join(texts, ["query_id", "document_id"])
+        left = F.lit(budget) - F.col("room")
+        first = F.floor(F.length("text") * (left / sizer.of(F.col("text"))) * 0.8).cast("long")
+        found = found.withColumns({"left": left, "first": first}).withColumn("tries", F.transform(F.sequence(F.lit(0), F.lit(60)), lambda i: F.aggregate(F.sequence(F.lit(0), i), F.col("first"), lambda a, j: F.when(j == 0, a).otherwise(F.floor(a * 0.8)))))
+        found = found.withColumn("cut", F.transform("tries", lambda n: F.substring(F.col("text"), F.lit(1), n.cast("int")))).withColumn("sizes", sizer.of_each(F.col("cut")))
+        fits = F.filter(F.arrays_zip("tries", "sizes"), lambda x: (x["sizes"] <= F.col("left")) | (x["tries"] <= least_chars))
+        found = found.withColumn("fit", F.element_at(fits, 1))
+        enough = F.col("fit.tries") > least_chars
+        found = found.select("query_id", "place", "document_id", F.when(enough, "cut").otherwise("skipped").alias("what"), (F.col("room") + F.when(enough, F.col("fit.sizes")).otherwise(0)).alias("room"), F.col("fit.tries").alias("chars"))
+        found = stored(found, "pack-cut")
+        rounds.append(found)
+        state = found.select("query_id", F.col("room").alias("used"), F.col("place").alias("after"))
+    every = rounds[0]
+    for more in rounds[1:]:
+        every = every.unionByName(more)
+    texts = scored.select("query_id", F.col("document_id").cast("long").alias("document_id"), "title", "text")
+    out = every.join(texts, ["query_id", "document_id"])
+    cut = F.col("what") == "cut"
+    title = F.when(cut, F.concat("title", F.lit(R.CUT_TITLE))).otherwise(F.col("title"))
+    text = F.when(cut, F.concat(F.substring(F.col("text"), F.lit(1), F.col("chars").cast("int")), F.lit(R.CUT_TEXT))).when(F.col("what") == "whole", F.col("text"))
+    return out.select("query_id", "place", "document_id", title.alias("title"), text.alias("text"), (F.col("what") == "skipped").alias("skipped"))
+
+
+def parameter_context(
+    questions: DataFrame, parameters: DataFrame, as_of_year: int, fallback: DataFrame | None = None, key: str = R.PARAMETER_KEY, subject: str = R.PARAMETER_SUBJECT, terms: list[str] = R.PARAMETER_TERMS
+) -> DataFrame:
     """The evidence block of a yearly parameter, for questions about it; the exact year alone."""
-    asked = questions.withColumn("tax_year", F.when(T.is_parameter_question(F.col("question")), T.question_year(F.col("question"), F.lit(as_of_year))))
+    about = T.is_parameter_question(F.col("question"), subject, terms)
+    asked = questions.withColumn("tax_year", F.when(about, T.question_year(F.col("question"), F.lit(as_of_year))))
     rows = parameters.where(F.col("parameter_key") == key)
     if fallback is not None:
         rows = rows.unionByName(fallback.where(F.col("parameter_key") == key).join(rows.select("tax_year"), "tax_year", "left_anti"), allowMissingColumns=True)
@@ -130,3 +185,56 @@ def with_sources(answer: Column, evidence: Column, most: int = 8) -> Column:
     bare = F.regexp_replace(answer, r"(?U)[\s\x1c-\x1f]+\z", "")
     added = F.concat(bare, F.lit(f"\n\n---\n{R.SOURCES_TITLE}:\n"), F.array_join(every, "\n"))
     return F.when(answer.contains(R.SOURCES_TITLE), listed).when(F.size(every) == 0, answer).otherwise(added)
+
+
+def with_contract(instructions: Column, contract: Column) -> Column:
+    """instructions and the contract on citations, both stripped, an empty line between them."""
+    return F.concat(T.strip(instructions), F.lit("\n\n"), T.strip(contract))
+
+
+def user_message(question: Column, evidence: Column, follow_up: Column) -> Column:
+    """F32: what is asked: with evidence, with evidence for a follow-up, or the bare question."""
+    found = F.coalesce(evidence, F.lit("")) != ""
+    more = F.concat(F.lit(R.FOLLOW_UP_EVIDENCE + "\n"), evidence, F.lit(f"\n\n{R.FOLLOW_UP_QUESTION}: "), question)
+    plain = F.concat(F.lit(R.EVIDENCE + "\n\n"), evidence, F.lit("\n\n"), question)
+    return F.when(found & follow_up, more).when(found, plain).otherwise(question)
+
+
+def embed_queries(questions: DataFrame, embedder: Callable[[list[str]], list[list[float]]]) -> DataFrame:
+    """A vector for each of a question's ``queries``."""
+    schema = ", ".join(f"{c} {t}" for c, t in questions.dtypes) + ", vectors array<array<double>>"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            asked = [list(q) for q in pdf["queries"]]
+            every = embedder([t for q in asked for t in q]) if asked else []
+            it = iter(every)
+            yield pdf.assign(vectors=[[[float(v) for v in next(it)] for _ in q] for q in asked])
+
+    return questions.mapInPandas(run, schema)
+
+
+def answer_context(
+    questions: DataFrame, chunks: DataFrame, documents: DataFrame, parameters: DataFrame, as_of: str, embedder: Callable[[list[str]], list[list[float]]] | None = None, instructions: str = "",
+    contract: str = "", how: ranking.Retrieval = ranking.DEFAULT, window: int = WINDOW, budget: int = BUDGET, sizer: Estimate | Library = ESTIMATE, forced: dict = R.FORCED, fallback: DataFrame | None = None,
+    parameter: dict | None = None,
+) -> DataFrame:
+    """From questions to what a model is asked.
+
+    ``questions`` has query_id, question and messages (how many its conversation has);
+    vectors too, unless an ``embedder`` gives them for each expanded query.  Follow-ups
+    get fewer chunks.  Returns query_id, question, follow_up, context (the parameter's
+    block first, then the evidence), message and instructions.  The answer goes through
+    :func:`with_sources`.
+    """
+    follow = T.is_follow_up(F.col("question"), F.col("messages"))
+    q = questions.withColumn("follow_up", F.coalesce(follow, F.lit(False)))
+    q = ranking.expand(q).withColumn("k", F.when(F.col("follow_up"), F.lit(min(FOLLOW_UP_K, how.k))).otherwise(F.lit(how.k)))
+    q = stored(embed_queries(q, embedder) if embedder else q, "questions")
+    ranked = ranking.retrieve(q, chunks, documents, how, as_of, forced)
+    found = context(stored(ranked.drop("question", "ranking_question"), "evidence"), chunks, window, budget, sizer)
+    p = parameter_context(q.select("query_id", "question"), parameters, int(as_of[:4]), fallback, **(parameter or {})).select("query_id", "parameter_context")
+    out = q.select("query_id", "question", "follow_up").join(found, "query_id", "left").join(p, "query_id", "left")
+    both = F.concat_ws("\n\n", T.blank_to_null(F.col("parameter_context")), T.blank_to_null(F.col("context")))
+    out = out.select("query_id", "question", "follow_up", both.alias("context"))
+    return out.withColumns({"message": user_message(F.col("question"), F.col("context"), F.col("follow_up")), "instructions": with_contract(F.lit(instructions), F.lit(contract))})

@@ -113,18 +113,55 @@ def last_of_each(lines: DataFrame, key: str, order: str) -> DataFrame:
     return lines.groupBy(key).agg(F.max_by(F.struct(*cols), order).alias("x")).select(key, "x.*")
 
 
-def run_stats(runs: DataFrame) -> DataFrame:
-    """Numbers and mean scores of each run by category and, as null, over all."""
-    r = runs.withColumn("category", F.coalesce(T.blank_to_null(F.col("category")), F.lit("uncategorized")))
-    kinds = [F.count("*").alias("n"), F.count_if("passed").alias("passed"), F.count_if(F.col("error").isNotNull()).alias("errors")]
-    kinds += [F.avg(F.coalesce(c, F.lit(0.0))).alias(c) for c in SCORES]
-    cube = r.groupingSets([["run", "category"], ["run"]], "run", "category").agg(*kinds, F.grouping("category").alias("overall"))
-    return cube.select("run", F.when(F.col("overall") == 1, F.lit(None)).otherwise(F.col("category")).alias("category"), "n", "passed", "errors", *SCORES)
+def flat_runs(lines: DataFrame) -> DataFrame:
+    """Result lines (id, category, error, score) with the score's fields as columns.
+
+    ``score`` is a struct; a line is an error if it or its score says so.
+    """
+    fields = lines.schema["score"].dataType.fieldNames()
+    out = {c: F.col(f"score.{c}") if c in fields else F.lit(None).cast("double") for c in SCORES}
+    passed = F.coalesce(F.col("score.passed"), F.lit(False)) if "passed" in fields else F.lit(False)
+    error = F.coalesce(F.col("error").cast("string"), F.col("score.error").cast("string") if "error" in fields else F.lit(None).cast("string"))
+    return lines.withColumns({**out, "passed": passed, "error": error}).drop("score")
+
+
+def _category() -> Column:
+    return F.coalesce(T.blank_to_null(F.col("category")), F.lit("uncategorized"))
+
+
+def _stats() -> list[Column]:
+    out = [F.count("*").alias("n"), F.count_if("passed").alias("passed"), F.count_if(F.col("error").isNotNull()).alias("errors")]
+    return out + [F.avg(F.coalesce(c, F.lit(0.0))).alias(c) for c in SCORES]
+
+
+def run_stats(runs: DataFrame, keys: tuple[str, ...] = ("run",)) -> DataFrame:
+    """Numbers, pass rate and mean scores of each run by category and, as null, over all."""
+    r = runs.withColumn("category", _category())
+    cube = r.groupingSets([[*keys, "category"], [*keys]], *keys, "category").agg(*_stats(), F.grouping("category").alias("overall"))
+    rate = F.when(F.col("n") > 0, F.col("passed") / F.col("n")).otherwise(0.0)
+    return cube.select(*keys, F.when(F.col("overall") == 1, F.lit(None)).otherwise(F.col("category")).alias("category"), "n", "passed", "errors", rate.alias("pass_rate"), *SCORES)
+
+
+def compared(base: DataFrame, candidate: DataFrame) -> DataFrame:
+    """Both runs over the cases that both have, by the baseline's category and, as null, over all.
+
+    Returns category, n, and for passed, errors and each score what the baseline and the
+    candidate have and the change as it is shown; over all first, then large categories first.
+    """
+    b = base.select("id", _category().alias("category"), "passed", "error", *SCORES, F.lit("base").alias("run"))
+    shared = b.select("id", "category").join(candidate.select("id"), "id", "left_semi")
+    rows = b.join(candidate.select("id"), "id", "left_semi").unionByName(candidate.select("id", "passed", "error", *SCORES, F.lit("candidate").alias("run")).join(shared, "id"))
+    numbers = ("passed", "errors", *SCORES)
+    of = lambda run, c: F.max(F.when(F.col("run") == run, F.col(c)))
+    wide = run_stats(rows).groupBy("category").agg(F.max("n").alias("n"), *(of(run, c).alias(f"{run}_{c}") for c in numbers for run in ("base", "candidate")))
+    deltas = [T.signed_delta(F.col(f"base_{c}"), F.col(f"candidate_{c}"), as_int=c in ("passed", "errors")).alias(f"{c}_delta") for c in numbers]
+    out = wide.select("category", "n", *(f"{run}_{c}" for c in numbers for run in ("base", "candidate")), *deltas)
+    return out.orderBy(F.col("category").isNotNull(), F.desc("n"), "category")
 
 
 def paired(base: DataFrame, candidate: DataFrame) -> DataFrame:
     """Cases of both runs, with the change of their outcome."""
-    b = base.select("id", F.coalesce(T.blank_to_null(F.col("category")), F.lit("uncategorized")).alias("category"), F.coalesce("passed", F.lit(False)).alias("base_passed"))
+    b = base.select("id", _category().alias("category"), F.coalesce("passed", F.lit(False)).alias("base_passed"))
     both = b.join(candidate.select("id", F.coalesce("passed", F.lit(False)).alias("candidate_passed")), "id")
     flip = F.when(~F.col("base_passed") & F.col("candidate_passed"), "gained").when(F.col("base_passed") & ~F.col("candidate_passed"), "lost")
     return both.withColumn("flip", flip)
@@ -137,9 +174,11 @@ def unpaired(base: DataFrame, candidate: DataFrame) -> DataFrame:
 
 
 def verdict(pairs: DataFrame) -> DataFrame:
-    """Passes of both runs, flips, and whether the candidate holds its ground."""
+    """Passes of both runs, flips, whether the candidate holds its ground, and the exit code of that."""
     out = pairs.agg(
         F.count("*").alias("n"), F.count_if("base_passed").alias("base_passed"), F.count_if("candidate_passed").alias("candidate_passed"),
         F.count_if(F.col("flip") == "gained").alias("gained"), F.count_if(F.col("flip") == "lost").alias("lost"),
     )
-    return out.withColumn("verdict", F.when(F.col("n") == 0, "no shared cases").when(F.col("candidate_passed") >= F.col("base_passed"), "candidate >= baseline").otherwise("candidate regressed"))
+    holds = F.col("candidate_passed") >= F.col("base_passed")
+    words = F.when(F.col("n") == 0, "no shared cases").when(holds, "candidate >= baseline").otherwise("candidate REGRESSED")
+    return out.withColumns({"verdict": words, "exit_code": F.when((F.col("n") > 0) & holds, 0).otherwise(1)})

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import text as T
+from ..functions import rules as L, text as T
+from ..functions.tokens import ESTIMATE as T_ESTIMATE
 from ..operators import analytics as A, audit, catalog as M, chunking as K, context as C, evaluation as E, ranking as R
 from ..sources import files as S
 from . import standins as X
@@ -188,24 +188,29 @@ def f36_shortened(spark, sf_dir):
 # -- retrieval ---------------------------------------------------------------
 
 _SCORES = """scored AS (
-  SELECT query_id, question, c.*, list_dot_product(qv, embedding) / (sqrt(list_dot_product(qv, qv)) * sqrt(list_dot_product(embedding, embedding)) + 1e-10::DOUBLE) AS score
-  FROM questions, (SELECT c.*, validity_status, document_type FROM chunks c JOIN (SELECT id AS did, """ + _STATUS + """ AS validity_status, document_type FROM docs WHERE is_active) d ON document_id = did) c
+  SELECT * EXCLUDE (sims), list_max(sims) + 0.01::DOUBLE * greatest(len(list_filter(sims, lambda x: x >= 0.35::DOUBLE)) - 1, 0) AS score FROM (
+    SELECT query_id, question, c.*, list_transform(vectors, lambda v: list_dot_product(v, embedding) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(embedding, embedding)) + 1e-10::DOUBLE)) AS sims
+    FROM questions, (SELECT c.*, validity_status, document_type FROM chunks c JOIN (SELECT id AS did, """ + _STATUS + """ AS validity_status, document_type FROM docs WHERE is_active) d ON document_id = did) c)
 )"""
 
 _PERCENT = r"regexp_extract_all(lower(question), '\d+%')"
 _CIRCULAR = r"regexp_extract_all(lower(question), '\d{4}-\d+-\d+')"
 _QTOKENS = rf"list_filter({_WORDS.format('question')}, lambda w: length(w) > 2 AND NOT regexp_full_match(w, '\p{{N}}+'))"
+_SECTIONS = r"regexp_extract_all(lower(question), 'סעיף\s+\d+')"
+_PREFIXED = "(contains({0}, x) OR length(x) > 3 AND list_contains(['ו', 'ה', 'ב', 'כ', 'ל', 'מ', 'ש'], x[1]) AND contains({0}, x[2:]))"
 _LEXICAL = f"""lexed AS (
-  SELECT *, list_reduce(list_transform(toks, lambda x: [CASE WHEN contains(title_l, x) THEN 5.0::DOUBLE ELSE 0 END, CASE WHEN contains(ref_l, x) THEN 3.0::DOUBLE ELSE 0 END, CASE WHEN contains(content_l, x) THEN 0.2::DOUBLE ELSE 0 END]),
+  SELECT *, list_reduce(list_transform(toks, lambda x: [CASE WHEN {_PREFIXED.format('title_l')} THEN 5.0::DOUBLE ELSE 0 END, CASE WHEN {_PREFIXED.format('ref_l')} THEN 3.0::DOUBLE ELSE 0 END, CASE WHEN {_PREFIXED.format('content_l')} THEN 0.2::DOUBLE ELSE 0 END]),
     lambda a, x: [a[1] + x[1] + x[2] + x[3], 0.0::DOUBLE, 0.0::DOUBLE], [base, 0.0::DOUBLE, 0.0::DOUBLE])[1] AS lexical
   FROM (
     SELECT *, coalesce(list_sum(list_transform({_CIRCULAR}, lambda x: CASE WHEN contains(title_l, x) OR contains(ref_l, x) THEN 100.0::DOUBLE ELSE 0 END)), 0)
+      + coalesce(list_sum(list_transform({_SECTIONS}, lambda x: CASE WHEN contains(title_l, x) OR contains(ref_l, x) OR contains(section_header, x) OR contains(content_l, x) THEN 50.0::DOUBLE ELSE 0 END)), 0)
       + coalesce(list_sum(list_transform({_PERCENT}, lambda x: CASE WHEN contains(content_l, x) THEN 20.0::DOUBLE ELSE 0 END)), 0) AS base, {_QTOKENS} AS toks
     FROM (SELECT *, lower(document_title) AS title_l, lower(document_ref) AS ref_l, lower(content) AS content_l FROM scored)
   )
 )"""
 _FUSED = """fused AS (
-  SELECT *, 1 / (60 + dense_rank)::DOUBLE + 1 / (60 + lexical_rank)::DOUBLE + 0.01::DOUBLE * lexical + 0.0::DOUBLE - CASE WHEN validity_status IN ('superseded', 'expired') THEN 0.001::DOUBLE ELSE 0 END AS fused
+  SELECT *, 1 / (60 + dense_rank)::DOUBLE + 1 / (60 + lexical_rank)::DOUBLE + 0.01::DOUBLE * lexical + CASE WHEN contains(question, 'מותר') AND document_type = 'חוק' THEN 0.04::DOUBLE ELSE 0.0::DOUBLE END
+    - CASE WHEN validity_status IN ('superseded', 'expired') THEN 0.001::DOUBLE ELSE 0 END AS fused
   FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id, chunk_index) AS dense_rank, row_number() OVER (PARTITION BY query_id ORDER BY lexical DESC, document_id, chunk_index) AS lexical_rank FROM lexed)
 ), capped AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, document_id, chunk_index) AS place FROM (
@@ -214,33 +219,31 @@ _FUSED = """fused AS (
 _RETRIEVAL = (X.CHUNKS, X.DOCUMENTS, X.QUESTIONS, _SCORES, _LEXICAL, _FUSED)
 
 
-def _joined(spark, sf_dir):
-    d = X.documents(spark, sf_dir).where("is_active")
-    status = T.validity(F.col("superseded_by"), F.col("valid_until"), F.lit(X.AS_OF))
-    return X.chunks(spark, sf_dir).join(d.select(F.col("id").alias("document_id"), status.alias("validity_status"), "document_type"), "document_id")
+def _scored(spark, sf_dir, forced=FORCED):
+    return R.scores(X.questions(spark, sf_dir), R.joined(X.chunks(spark, sf_dir), X.documents(spark, sf_dir), X.AS_OF), forced=forced)
 
 
 def _fused(spark, sf_dir):
-    return R.fuse(R.dense_scores(X.questions(spark, sf_dir), _joined(spark, sf_dir)))
+    return R.fuse(_scored(spark, sf_dir))
+
+
+def _id():
+    return (F.col("document_id") * 5 + F.col("chunk_index")).alias("id")
 
 
 @query(_with(X.CHUNKS, X.DOCUMENTS, X.QUESTIONS, _SCORES) + "SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id, chunk_index)::INT AS dense_rank FROM scored")
 def r02_dense_scores(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    s = R.dense_scores(X.questions(spark, sf_dir), _joined(spark, sf_dir))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), *R.ORDER))
-    return s.select("query_id", "id", F.round("score", 6).alias("score"), rank.alias("dense_rank"))
+    return _fused(spark, sf_dir).select("query_id", _id(), F.round("score", 6).alias("score"), "dense_rank")
 
 
 @query(_with(X.CHUNKS, X.DOCUMENTS, X.QUESTIONS, _SCORES, _LEXICAL) + "SELECT query_id, id, round(lexical, 6) AS lexical FROM lexed")
 def r03_lexical(spark, sf_dir):
-    return _fused(spark, sf_dir).select("query_id", "id", F.round("lexical", 6).alias("lexical"))
+    return _scored(spark, sf_dir).select("query_id", _id(), F.round("lexical", 6).alias("lexical"))
 
 
 @query(_with(*_RETRIEVAL) + "SELECT query_id, id, dense_rank::INT AS dense_rank, lexical_rank::INT AS lexical_rank, round(fused, 6) AS fused FROM fused")
 def r04_fused(spark, sf_dir):
-    return _fused(spark, sf_dir).select("query_id", "id", "dense_rank", "lexical_rank", F.round("fused", 6).alias("fused"))
+    return _fused(spark, sf_dir).select("query_id", _id(), "dense_rank", "lexical_rank", F.round("fused", 6).alias("fused"))
 
 
 @query(_with(*_RETRIEVAL) + "SELECT query_id, document_id, chunk_index, place::INT AS rank, round(fused, 6) AS fused FROM capped")
@@ -248,16 +251,28 @@ def r05_document_cap(spark, sf_dir):
     return R.cap(_fused(spark, sf_dir)).select("query_id", "document_id", "chunk_index", "rank", F.round("fused", 6).alias("fused"))
 
 
-def hybrid(spark, sf_dir):
-    return R.retrieve(X.questions(spark, sf_dir), X.chunks(spark, sf_dir), X.documents(spark, sf_dir).withColumn("effective_date", F.lit(None).cast("string")), as_of=X.AS_OF)
+def hybrid(spark, sf_dir, questions=None):
+    documents = X.documents(spark, sf_dir).withColumn("effective_date", F.lit(None).cast("string"))
+    return R.retrieve(questions or X.questions(spark, sf_dir), X.chunks(spark, sf_dir), documents, as_of=X.AS_OF)
 
 
-@query(_with(*_RETRIEVAL) + "SELECT query_id, place::INT AS rank, document_id, chunk_index, document_title, round(score, 6) AS score, round(lexical, 6) AS lexical, round(fused, 6) AS fused FROM capped WHERE place <= 20")
-def hybrid_topk(spark, sf_dir):
-    r = hybrid(spark, sf_dir)
+_TOP = "SELECT query_id, place::INT AS rank, document_id, chunk_index, document_title, round(score, 6) AS score, round(lexical, 6) AS lexical, round(fused, 6) AS fused FROM capped WHERE place <= "
+
+
+def _shown(r: DataFrame) -> DataFrame:
     return r.select("query_id", F.col("rank").cast("int").alias("rank"), "document_id", "chunk_index", "document_title", *(F.round(c, 6).alias(c) for c in ("score", "lexical", "fused")))
 
 
+@query(_with(*_RETRIEVAL) + _TOP + "20")
+def hybrid_topk(spark, sf_dir):
+    return _shown(hybrid(spark, sf_dir))
+
+
+@query(_with(*_RETRIEVAL) + _TOP + "3 + query_id % 4")
+def r13_own_k(spark, sf_dir):
+    return _shown(hybrid(spark, sf_dir, X.questions(spark, sf_dir).withColumn("k", (F.col("query_id") % 4 + 3).cast("int"))))
+
+
 @query("""SELECT item_id, array_to_string(q, ' / ') AS queries FROM (
   SELECT item_id, [text] || CASE WHEN contains(l, 'the') AND len(h) >= 2 THEN h ELSE [] END || CASE WHEN contains(l, 'to') AND contains(l, 'in') THEN ['one more', 'and another'] ELSE [] END AS q
   FROM (SELECT *, list_filter([CASE WHEN contains(l, 'inst') OR contains(l, 'ther') THEN 'a about the rest' END, CASE WHEN contains(l, 'erth') THEN 'b about the rest' END, CASE WHEN contains(l, 'edon') THEN 'c about the rest' END], lambda x: x IS NOT NULL) AS h
@@ -278,8 +293,7 @@ _FORCED = """forced AS (
 
 @query(_with(*_RETRIEVAL, _FORCED) + "SELECT query_id, document_id, chunk_index, rank::BIGINT AS rank, forced FROM final")
 def r06_forced(spark, sf_dir):
-    f = _fused(spark, sf_dir)
-    return R.force(R.cap(f), f, rule=FORCED).select("query_id", "document_id", "chunk_index", F.col("rank").cast("long").alias("rank"), "forced")
+    return R.cap_and_force(_fused(spark, sf_dir)).select("query_id", "document_id", "chunk_index", F.col("rank").cast("long").alias("rank"), "forced")
 
 
 @query(_with(*_RETRIEVAL) + "SELECT query_id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY first)::INT AS position FROM (SELECT query_id, document_id, min(place) AS first FROM capped WHERE place <= 20 GROUP BY ALL)")
@@ -296,7 +310,7 @@ def j08_neighbours(spark, sf_dir):
     return C.expanded(hybrid(spark, sf_dir), X.chunks(spark, sf_dir)).select("query_id", "document_id", "chunk_index")
 
 
-_BLOCK = f"'[[SOURCE ' || {_CITE} || ' | מסמך: ' || document_title || ' | ' || CASE WHEN page_start IS NULL OR page_end IS NULL THEN 'עמוד לא זמין במאגר הישן' WHEN page_start = page_end THEN 'עמוד ' || page_start ELSE 'עמודים ' || page_start || '-' || page_end END || ' | סעיף: קטע ללא כותרת | URL: ' || document_ref || ']]' || chr(10) || content || chr(10) || '[[/SOURCE ' || {_CITE} || ']]'"
+_BLOCK = f"'[[SOURCE ' || {_CITE} || ' | מסמך: ' || document_title || ' | ' || CASE WHEN page_start IS NULL OR page_end IS NULL THEN 'עמוד לא זמין במאגר הישן' WHEN page_start = page_end THEN 'עמוד ' || page_start ELSE 'עמודים ' || page_start || '-' || page_end END || ' | סעיף: ' || CASE WHEN section_header = '' THEN 'קטע ללא כותרת' ELSE section_header END || ' | URL: ' || document_ref || ']]' || chr(10) || content || chr(10) || '[[/SOURCE ' || {_CITE} || ']]'"
 _BLOCKS = f"""blocks AS (
   SELECT query_id, flatten(list(b ORDER BY place)) AS blocks FROM (
     SELECT query_id, place, [arg_min({_HEADER.format(t='document_title', r='document_ref', e='effective_date', s='status')}, chunk_index)] || list({_BLOCK} ORDER BY chunk_index) AS b FROM found GROUP BY query_id, document_id, place)
@@ -327,13 +341,13 @@ def r15_sources(spark, sf_dir):
 _TF = f"""tf AS (
   SELECT query_id, doc_id AS document_id, round(sum(times * (c / n::DOUBLE) * least(length(word) / 3.0::DOUBLE, 2.0::DOUBLE)), 9) AS score
   FROM (SELECT doc_id, n, word, count(*) AS c FROM (SELECT doc_id, len(t) AS n, unnest(t) AS word FROM (SELECT doc_id, {_TOKENIZED.format('text')} AS t FROM documents)) GROUP BY ALL)
-  JOIN (SELECT query_id, word, count(*) AS times FROM (SELECT item_id AS query_id, unnest({_TOKENIZED.format('text')}) AS word FROM benchmark WHERE item_id < 8) GROUP BY ALL) USING (word) GROUP BY ALL
+  JOIN (SELECT query_id, word, count(*) AS times FROM (SELECT item_id AS query_id, unnest({_TOKENIZED.format('text')}) AS word FROM benchmark) GROUP BY ALL) USING (word) GROUP BY ALL
 )"""
 
 
 def _tf(spark, sf_dir):
     d = X.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text", "source")
-    b = X.some(X.read(spark, sf_dir, "benchmark"), "item_id < 8").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    b = X.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     return d, R.term_scores(b, d).withColumn("score", F.round("score", 9))
 
 
@@ -342,23 +356,79 @@ def f20_term_scores(spark, sf_dir):
     return _tf(spark, sf_dir)[1].select("query_id", "document_id", F.round("score", 6).alias("score"))
 
 
-@query()
+_PACKED = f"""docs_of AS (
+  SELECT query_id, document_id, source || '#' || document_id AS title, text, score, {_TOKENS.format('text')} AS tokens, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) AS place
+  FROM tf JOIN documents ON doc_id = document_id
+)"""
+
+
+_PLACES = f"""fold AS (
+  SELECT query_id, 0::BIGINT AS place, 0::BIGINT AS used, 0::BIGINT AS document_id, ''::VARCHAR AS title, NULL::BIGINT AS n_chars, false AS skipped FROM (SELECT DISTINCT query_id FROM docs_of)
+  UNION ALL
+  SELECT query_id, place, used + CASE WHEN tokens <= room THEN tokens WHEN n > 500 THEN {_TOKENS.format('substr(text, 1, n)')} ELSE 0 END, document_id,
+    CASE WHEN tokens > room AND n > 500 THEN title || ' (קטוע)' ELSE title END, CASE WHEN tokens <= room THEN length(text) WHEN n > 500 THEN n + {len(L.CUT_TEXT)} END, tokens > room AND coalesce(n, 0) <= 500
+  FROM (
+    SELECT *, CASE WHEN tokens > room AND room > 3000 AND score > 0 THEN list_filter(list_reduce(range(60), lambda a, i: a || [floor(a[len(a)] * 0.8::DOUBLE)::BIGINT], [floor(length(text) * (room / tokens::DOUBLE) * 0.8::DOUBLE)::BIGINT]),
+      lambda c: c <= 500 OR {_TOKENS.format('substr(text, 1, c)')} <= room)[1] END AS n
+    FROM (SELECT f.query_id, d.place, f.used, 20000 - f.used AS room, d.document_id, d.title, d.text, d.score, d.tokens FROM fold f JOIN docs_of d ON d.query_id = f.query_id AND d.place = f.place + 1))
+)"""
+
+
+@query("WITH RECURSIVE " + _TF + ", " + _PACKED + ", " + _PLACES + " SELECT query_id, place, document_id, title, n_chars::INT AS n_chars, skipped FROM fold WHERE place > 0")
 def r12_pack_documents(spark, sf_dir):
     d, s = _tf(spark, sf_dir)
     rows = s.join(d, "document_id").select("query_id", "document_id", F.concat("source", F.lit("#"), F.col("document_id").cast("string")).alias("title"), "text", "score")
-    best = rows.where("score > 0.01")
-    out = C.pack_documents(best, 20_000)
-    return out.select("query_id", "place", "document_id", "title", F.length("text").alias("n_chars"), "skipped")
+    return C.pack_documents(rows, 20_000).select("query_id", "place", "document_id", "title", F.length("text").alias("n_chars"), "skipped")
 
 
-@query("""SELECT o_orderkey, y AS tax_year, CASE WHEN v IS NOT NULL THEN 'value ' || v END AS value_text FROM (
-  SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN coalesce(try_cast(nullif(regexp_extract(strftime(o_orderdate, '%Y'), '^(20\\d{2})$', 1), '') AS INT), 2024) END AS y FROM orders) LEFT JOIN (SELECT 1999 + r_regionkey AS yy, r_regionkey AS v FROM region) ON y = yy""".replace("\\\\", "\\"))
+def _parameters(spark, sf_dir):
+    return X.read(spark, sf_dir, "region").select(
+        F.lit("k").alias("parameter_key"), (F.col("r_regionkey") + 1999).alias("tax_year"), F.concat(F.lit("value "), F.col("r_regionkey").cast("string")).alias("value_text"), F.lit("u").alias("unit"),
+        F.col("r_name").alias("source_title"), F.lit("http://x/").alias("source_url"), F.when(F.col("r_regionkey") % 2 == 0, "12").alias("source_page"), F.when(F.col("r_regionkey") == 1, "web").alias("source_type"),
+    )
+
+
+def _parameter_block() -> str:
+    """The block of a parameter in SQL."""
+    of = {
+        "tax_year": "yy", "value_text": "'value ' || v", "parameter_key": "'k'", "unit": "'u'", "source_title": "r_name", "source_url": "'http://x/'",
+        "source_page": f"CASE WHEN v % 2 = 0 THEN '12' ELSE '{L.PARAMETER_NO_PAGE}' END", "source_type": f"CASE WHEN v = 1 THEN 'web' ELSE '{L.PARAMETER_SOURCE_TYPE}' END",
+    }
+    out = "'" + L.PARAMETER_BLOCK.replace("\n", "' || chr(10) || '") + "'"
+    for name, value in of.items():
+        out = out.replace("{" + name + "}", f"' || {value} || '")
+    return out
+
+
+_PARAMETER_ASKED = {"key": "k", "subject": "fund", "terms": ["how much"]}
+
+
+@query(f"""SELECT o_orderkey, y AS tax_year, CASE WHEN v IS NOT NULL THEN {_parameter_block()} END AS parameter_context FROM (
+  SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN coalesce(try_cast(nullif(regexp_extract(strftime(o_orderdate, '%Y'), '^(20\\d{{2}})$', 1), '') AS INT), 2024) END AS y FROM orders) LEFT JOIN (SELECT 1999 + r_regionkey AS yy, r_regionkey AS v, r_name FROM region) ON y = yy""")
 def j14_parameter_lookup(spark, sf_dir):
-    p = X.read(spark, sf_dir, "region").select(F.lit("k").alias("parameter_key"), (F.col("r_regionkey") + 1999).alias("tax_year"), F.concat(F.lit("value "), F.col("r_regionkey").cast("string")).alias("value_text"))
-    o = X.read(spark, sf_dir, "orders").withColumn("question", F.concat(F.when(F.col("o_orderkey") % 3 == 0, "about the fund, how much in ").otherwise("hello "), F.date_format("o_orderdate", "yyyy")))
-    asked = T.is_parameter_question(F.col("question"), "fund", ["how much"])
-    q = o.select("o_orderkey", F.when(asked, T.question_year(F.col("question"), F.lit(2024))).alias("tax_year"))
-    return q.join(p, "tax_year", "left").select("o_orderkey", "tax_year", "value_text")
+    q = F.concat(F.when(F.col("o_orderkey") % 3 == 0, "about the fund, how much in ").otherwise("hello "), F.date_format("o_orderdate", "yyyy"))
+    o = X.read(spark, sf_dir, "orders").select("o_orderkey", q.alias("question"))
+    return C.parameter_context(o, _parameters(spark, sf_dir), 2024, **_PARAMETER_ASKED).select("o_orderkey", "tax_year", "parameter_context")
+
+
+_MORE = "(CASE WHEN item_id % 4 = 1 THEN 'תפרט ' WHEN item_id % 4 = 2 THEN 'how much is in the fund 2001 ' ELSE '' END)"
+_NEAR_FEW = _NEAR.replace("place <= 20", "place <= CASE WHEN query_id % 4 = 1 THEN 5 ELSE 20 END")
+
+
+def _context_sql(budget: int) -> str:
+    return f"""array_to_string(list_reduce(list_transform(blocks, lambda x: {{'used': 0::BIGINT, 'kept': [x]}}),
+      lambda a, x: CASE WHEN a.used + {_TOKENS.format('x.kept[1]')} <= {budget} THEN {{'used': a.used + {_TOKENS.format('x.kept[1]')}, 'kept': a.kept || x.kept}} ELSE a END, {{'used': 0::BIGINT, 'kept': []::VARCHAR[]}}).kept, chr(10) || chr(10))"""
+
+
+@query(_with(X.CHUNKS, X.DOCUMENTS, X.QUESTIONS.replace("'' || b.text", _MORE + " || b.text"), _SCORES, _LEXICAL, _FUSED, _NEAR_FEW, _BLOCKS) + f"""SELECT query_id, query_id % 4 = 1 AS follow_up,
+  CASE WHEN context = '' THEN question WHEN query_id % 4 = 1 THEN '{L.FOLLOW_UP_EVIDENCE}' || chr(10) || context || chr(10) || chr(10) || '{L.FOLLOW_UP_QUESTION}: ' || question ELSE '{L.EVIDENCE}' || chr(10) || chr(10) || context || chr(10) || chr(10) || question END AS message,
+  'be exact' || chr(10) || chr(10) || 'cite' AS instructions
+  FROM (SELECT query_id, question, concat_ws(chr(10) || chr(10), CASE WHEN query_id % 4 = 2 THEN (SELECT {_parameter_block()} FROM (SELECT 1999 + r_regionkey AS yy, r_regionkey AS v, r_name FROM region) WHERE yy = 2001) END, nullif({_context_sql(9000)}, '')) AS context FROM questions LEFT JOIN blocks USING (query_id))""")
+def h02_answer_context(spark, sf_dir):
+    q = X.questions(spark, sf_dir, _MORE).withColumn("messages", F.lit(2))
+    documents = X.documents(spark, sf_dir).withColumn("effective_date", F.lit(None).cast("string"))
+    out = C.answer_context(q, X.chunks(spark, sf_dir), documents, _parameters(spark, sf_dir), X.AS_OF, instructions=" be exact\n", contract="cite ", budget=9000, parameter=_PARAMETER_ASKED)
+    return out.select("query_id", "follow_up", "message", "instructions")
 
 
 # -- chunking ------------------------------------------------------------------
@@ -378,13 +448,45 @@ def k01_sections(spark, sf_dir):
     return K.chunk_documents(d, start=LINE_START, most=1 << 40)
 
 
-@query()
+def _split_sql(source: str, keys: str, most: int, overlap: int) -> str:
+    """Recursive tables ``walk`` and ``pieces`` (keys, part from 0, content) of K03 for rows (keys, text)."""
+    room = T_ESTIMATE.room(most)
+    key = keys.split(", ")
+    same = " AND ".join(f"w.{k} = s.{k}" for k in key)
+    return f"""sized AS (
+  SELECT *, list_transform(words, lambda x: octet_length(encode(x))) AS n, list_transform(range(1, len(words) + 1), lambda i: list_sum(list_transform(words[1:i], lambda x: octet_length(encode(x)) + 1))::BIGINT) AS upto
+  FROM (SELECT *, regexp_extract_all(text, '[^\\s\\x0b\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}\\x1c-\\x1f]+') AS words FROM {source} WHERE {_TOKENS.format('text')} > {most})
+), walk AS (
+  SELECT {keys}, 0::BIGINT AS part, 1::BIGINT AS a, len(list_filter(upto, lambda x: x <= {room} + upto[1] - n[1]))::BIGINT AS b FROM sized
+  UNION ALL
+  SELECT {keys}, part, a, len(list_filter(upto, lambda x: x <= {room} + upto[a] - n[a]))::BIGINT AS b FROM (
+    SELECT {", ".join("s." + k for k in key)}, w.part + 1 AS part, greatest(w.b - {overlap}, w.a) + 1 AS a, s.upto, s.n FROM walk w JOIN sized s ON {same} WHERE w.b < len(s.words))
+), pieces AS (
+  SELECT {", ".join("s." + k for k in key)}, part, array_to_string(words[a:b], ' ') AS content FROM walk w JOIN sized s ON {same}
+  UNION ALL SELECT {keys}, 0, text FROM {source} WHERE {_TOKENS.format('text')} <= {most}
+)"""
+
+
+_FOUND = r"""found AS (SELECT doc_id, text, string_split(regexp_replace(text, '(?m)((?:^|\n)[A-ZÀ-Þ])', chr(57344) || '\1', 'g'), chr(57344))[2:] AS found FROM documents)""".replace("\\\\", "\\")
+
+
+@query(
+    "WITH RECURSIVE " + _FOUND + rf""", parts_of AS (
+  SELECT doc_id, i, header, {_STRIP.format('x')} AS text FROM (SELECT doc_id, unnest(found) AS x, generate_subscripts(found, 1) AS i, NULL AS header FROM found WHERE len(found) >= 3)
+), named AS (
+  SELECT doc_id, i, regexp_extract(text, '^([A-ZÀ-Þ])', 1) AS header, text FROM parts_of WHERE length(text) >= 40
+  UNION ALL SELECT doc_id, 0, NULL, text FROM found WHERE len(found) < 3
+), """ + _split_sql("named", "doc_id, i", 200, 10) + """, numbered AS (
+  SELECT p.doc_id AS document_id, header, content, part, count(*) OVER (PARTITION BY p.doc_id, p.i) AS n, (row_number() OVER (PARTITION BY p.doc_id ORDER BY p.i, part) - 1)::INT AS chunk_index FROM pieces p JOIN named USING (doc_id, i)
+)
+SELECT document_id, chunk_index, CASE WHEN header IS NULL THEN 'קטע ' || (part + 1) WHEN n = 1 THEN header ELSE header || ' — חלק ' || (part + 1) END AS section_header, length(content)::INT AS n_chars FROM numbered WHERE header IS NOT NULL OR trim(content) <> ''"""
+)
 def k04_parts(spark, sf_dir):
     d = X.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text")
     return K.chunk_documents(d, start=LINE_START, most=200, overlap=10).select("document_id", "chunk_index", "section_header", F.length("content").alias("n_chars"))
 
 
-@query()
+@query("WITH RECURSIVE " + _split_sql("documents", "doc_id", 900, 20) + f" SELECT doc_id, part::INT AS part, length(content)::INT AS n_chars, {_TOKENS.format('content')} AS tokens FROM pieces")
 def k03_token_cap(spark, sf_dir):
     d = X.read(spark, sf_dir, "documents").select("doc_id", F.posexplode(K.parts(F.col("text"), 900, 20)).alias("part", "content"))
     return d.select("doc_id", "part", F.length("content").alias("n_chars"), T.estimate_tokens(F.col("content")).alias("tokens"))
@@ -536,17 +638,17 @@ def m05_archive(spark, sf_dir):
     return M.archive(d, d.where("id % 3 = 2").select("id")).select("id", "is_active", "lifecycle_status")
 
 
-@query("SELECT n_nationkey AS k, n_name AS v FROM nation UNION ALL SELECT c_custkey::INT, c_name FROM customer WHERE c_custkey < 60 AND c_custkey NOT IN (SELECT n_nationkey FROM nation)")
+@query("SELECT n_nationkey AS k, n_name AS v FROM nation UNION ALL SELECT c_custkey::INT, c_name FROM customer WHERE c_custkey NOT IN (SELECT n_nationkey FROM nation)")
 def m06_insert_or_ignore(spark, sf_dir):
     n = X.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("v"))
-    c = X.some(X.read(spark, sf_dir, "customer"), "c_custkey < 60").select(F.col("c_custkey").cast("int").alias("k"), F.col("c_name").alias("v"))
+    c = X.read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("int").alias("k"), F.col("c_name").alias("v"))
     return M.insert_or_ignore(n, c, ["k"])
 
 
-@query("SELECT coalesce(c.k, n.k) AS k, coalesce(c.v, n.v) AS v FROM (SELECT n_nationkey AS k, n_name AS v FROM nation) n FULL JOIN (SELECT c_custkey::INT AS k, c_name AS v FROM customer WHERE c_custkey BETWEEN 10 AND 60) c ON n.k = c.k")
+@query("SELECT coalesce(c.k, n.k) AS k, coalesce(c.v, n.v) AS v FROM (SELECT n_nationkey AS k, n_name AS v FROM nation) n FULL JOIN (SELECT c_custkey::INT AS k, c_name AS v FROM customer) c ON n.k = c.k")
 def m08_upsert(spark, sf_dir):
     n = X.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("v"))
-    c = X.some(X.read(spark, sf_dir, "customer"), "c_custkey BETWEEN 10 AND 60").select(F.col("c_custkey").cast("int").alias("k"), F.col("c_name").alias("v"))
+    c = X.read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("int").alias("k"), F.col("c_name").alias("v"))
     return M.upsert(n, c, ["k"])
 
 
@@ -613,17 +715,18 @@ def e05_means(spark, sf_dir):
 
 
 def _answers(spark, sf_dir):
-    b = X.read(spark, sf_dir, "benchmark").where("item_id < 10").select("item_id", F.split("text", " ").alias("w"))
+    b = X.read(spark, sf_dir, "benchmark").select("item_id", F.split("text", " ").alias("w"))
+    n = b.agg(F.count("*").alias("items"))
     a = X.read(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("answer"))
     w = lambda *i: F.array(*(F.element_at("w", k) for k in i))
-    return a.join(b, F.col("conv_id") % 10 == F.col("item_id")).select(
+    return a.crossJoin(F.broadcast(n)).join(b, F.col("conv_id") % F.col("items") == F.col("item_id")).select(
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "answer", F.array().cast("array<string>").alias("expected_citation_prefixes"),
         F.when(F.col("item_id") == 1, w(1)).alias("any_citation_prefixes"), w(1, 2).alias("must_include"), w(3).alias("must_not_include"), w(1, 2, 3).alias("expected_conclusion"), w(4, 5).alias("required_concepts"),
         w(6).alias("required_actions"), (F.col("item_id") % 2 == 0).alias("requires_clarification"), F.when(F.col("item_id") % 3 == 0, w(7)).alias("clarification_terms"),
     )
 
 
-_ANSWERS = "answers AS (SELECT conv_id || '-' || turn AS id, c.text AS answer, item_id, string_split(b.text, ' ') AS w FROM conversations c JOIN benchmark b ON conv_id % 10 = item_id AND item_id < 10 WHERE role = 'assistant')"
+_ANSWERS = "answers AS (SELECT conv_id || '-' || turn AS id, c.text AS answer, item_id, string_split(b.text, ' ') AS w FROM conversations c JOIN benchmark b ON conv_id % (SELECT count(*) FROM benchmark) = item_id WHERE role = 'assistant')"
 
 
 @query(_with(_ANSWERS) + "SELECT id, (item_id <> 1 OR contains(answer, w[1])) AND contains(answer, w[1]) AND contains(answer, w[2]) AND NOT contains(answer, w[3]) AS passed, array_to_string(list_filter([w[1], w[2]], lambda t: NOT contains(answer, t)), ',') AS missing_terms, CASE WHEN contains(answer, w[3]) THEN w[3] ELSE '' END AS prohibited FROM answers")
@@ -654,13 +757,40 @@ def e06_ranking_scores(spark, sf_dir):
     return E.score_rankings(cases, ranked).select("id", F.lower(T.strip(F.array_join("found", ","))).alias("found"), "passed")
 
 
-_STATS = "count(*) AS n, count(*) FILTER (passed) AS passed, count(*) FILTER (error IS NOT NULL) AS errors, round(avg(coalesce(conclusion_score, 0)), 6) AS conclusion_score, round(avg(coalesce(required_concepts_score, 0)), 6) AS required_concepts_score, round(avg(coalesce(actionability_score, 0)), 6) AS actionability_score, round(avg(coalesce(clarification_score, 0)), 6) AS clarification_score"
+_STATS = "count(*) AS n, count(*) FILTER (passed) AS passed, count(*) FILTER (error IS NOT NULL) AS errors, round(avg(passed::INT), 6) AS pass_rate, round(avg(coalesce(conclusion_score, 0)), 6) AS conclusion_score, round(avg(coalesce(required_concepts_score, 0)), 6) AS required_concepts_score, round(avg(coalesce(actionability_score, 0)), 6) AS actionability_score, round(avg(coalesce(clarification_score, 0)), 6) AS clarification_score"
 
 
 @query(_with(X.RUNS) + f"SELECT run, coalesce(category, 'uncategorized') AS category, {_STATS} FROM runs GROUP BY 1, 2 UNION ALL SELECT run, NULL, {_STATS} FROM runs GROUP BY 1")
-def a12_run_stats(spark, sf_dir):
+def a14_run_stats(spark, sf_dir):
     s = E.run_stats(X.runs(spark, sf_dir))
-    return s.select("run", "category", "n", "passed", "errors", *(F.round(c, 6).alias(c) for c in E.SCORES))
+    return s.select("run", "category", "n", "passed", "errors", F.round("pass_rate", 6).alias("pass_rate"), *(F.round(c, 6).alias(c) for c in E.SCORES))
+
+
+def _sides(c: str, value: str) -> str:
+    return ", ".join(f"{value.replace('?', run)} AS {run}_{c}" for run in ("base", "candidate"))
+
+
+def _delta(c: str, whole: bool) -> str:
+    b, n = f"base_{c}", f"candidate_{c}"
+    if whole:
+        return f"printf('%4d -> %4d (%s)', {b}, {n}, CASE WHEN {n} = {b} THEN '  0' ELSE printf('%+d', {n} - {b}) END) AS {c}_delta"
+    return f"printf('%.3f -> %.3f (%s%.3f)', {b}, {n}, CASE WHEN {n} - {b} > 1e-9 THEN '+' WHEN {n} - {b} < -1e-9 THEN '-' ELSE ' ' END, abs({n} - {b})) AS {c}_delta"
+
+
+_COMPARED = f"""both_runs AS (
+  SELECT r.run, r.passed, r.error, {", ".join(f"coalesce(r.{c}, 0) AS {c}" for c in E.SCORES)}, coalesce(b.category, 'uncategorized') AS category
+  FROM runs r JOIN runs b ON b.run = 'base' AND b.id = r.id WHERE r.id IN (SELECT id FROM runs WHERE run = 'candidate') AND r.id IN (SELECT id FROM runs WHERE run = 'base')
+), wide AS (
+  SELECT category, (count(*) FILTER (run = 'base')) AS n, {_sides("passed", "count(*) FILTER (passed AND run = '?')")}, {_sides("errors", "count(*) FILTER (error IS NOT NULL AND run = '?')")},
+    {", ".join(_sides(c, f"avg({c}) FILTER (run = '?')") for c in E.SCORES)} FROM both_runs GROUP BY GROUPING SETS ((category), ())
+)"""
+
+
+@query(_with(X.RUNS, _COMPARED) + f"SELECT category, n, base_passed, candidate_passed, base_errors, candidate_errors, {', '.join(f'round({run}_{c}, 6) AS {run}_{c}' for c in E.SCORES for run in ('base', 'candidate'))}, {_delta('passed', True)}, {_delta('errors', True)}, {', '.join(_delta(c, False) for c in E.SCORES)} FROM wide")
+def a12_compared(spark, sf_dir):
+    r = X.runs(spark, sf_dir)
+    out = E.compared(r.where("run = 'base'"), r.where("run = 'candidate'"))
+    return out.withColumns({f"{run}_{c}": F.round(f"{run}_{c}", 6) for c in E.SCORES for run in ("base", "candidate")})
 
 
 _PAIRS = "pairs AS (SELECT b.id, b.passed AS bp, c.passed AS cp FROM (SELECT * FROM runs WHERE run = 'base') b JOIN (SELECT * FROM runs WHERE run = 'candidate') c ON b.id = c.id)"
@@ -678,7 +808,7 @@ def u02_unpaired(spark, sf_dir):
     return E.unpaired(r.where("run = 'base'"), r.where("run = 'candidate'"))
 
 
-@query(_with(X.RUNS, _PAIRS) + "SELECT count(*) AS n, count(*) FILTER (bp) AS base_passed, count(*) FILTER (cp) AS candidate_passed, count(*) FILTER (cp AND NOT bp) AS gained, count(*) FILTER (bp AND NOT cp) AS lost, CASE WHEN count(*) FILTER (cp) >= count(*) FILTER (bp) THEN 'candidate >= baseline' ELSE 'candidate regressed' END AS verdict FROM pairs")
+@query(_with(X.RUNS, _PAIRS) + "SELECT count(*) AS n, count(*) FILTER (bp) AS base_passed, count(*) FILTER (cp) AS candidate_passed, count(*) FILTER (cp AND NOT bp) AS gained, count(*) FILTER (bp AND NOT cp) AS lost, CASE WHEN count(*) FILTER (cp) >= count(*) FILTER (bp) THEN 'candidate >= baseline' ELSE 'candidate REGRESSED' END AS verdict, CASE WHEN count(*) FILTER (cp) >= count(*) FILTER (bp) THEN 0 ELSE 1 END::INT AS exit_code FROM pairs")
 def e10_compare(spark, sf_dir):
     r = X.runs(spark, sf_dir)
     return E.verdict(E.paired(r.where("run = 'base'"), r.where("run = 'candidate'")))
@@ -741,7 +871,7 @@ def s03_active_chunks(spark, sf_dir):
     return c.select("id", "document_id", "chunk_index", F.coalesce(T.blank_to_null(F.col("own")), F.col("effective_date")).alias("effective_date"))
 
 
-@query("SELECT event_id, CASE WHEN event_type = 'purchase' THEN 'official' WHEN event_type = 'click' THEN 'constructed' ELSE 'secondary' END AS class, event_type = 'error' OR user_id % 5 = 0 AS quota FROM events")
+@query(f"SELECT event_id, CASE WHEN event_type = 'purchase' THEN '{L.OFFICIAL_CLASS}' WHEN event_type = 'click' THEN '{L.CONSTRUCTED_CLASS}' ELSE '{L.SECONDARY_CLASS}' END AS class, event_type = 'error' OR user_id % 5 = 0 AS quota FROM events")
 def p13_p14_classes(spark, sf_dir):
     kind = F.when(F.col("event_type") == "purchase", "government").when(F.col("event_type") == "click", "constructed_from_web_topics").otherwise(F.col("event_type"))
     code, text = F.when(F.col("event_type") == "error", "insufficient_quota"), F.when(F.col("user_id") % 5 == 0, "x credit_balance_exhausted y").otherwise("fine")
@@ -763,9 +893,9 @@ def f22_f23_authority(spark, sf_dir):
     return c.select("c_custkey", kind.alias("kind"), bonus.alias("bonus"))
 
 
-@query(_with(X.RUNS) + "SELECT id, printf('%.3f -> %.3f (%s%.3f)', b, c, CASE WHEN c - b > 1e-9 THEN '+' WHEN c - b < -1e-9 THEN '-' ELSE ' ' END, abs(c - b)) AS delta FROM (SELECT id, max(actionability_score) FILTER (run = 'base') AS b, max(required_concepts_score) FILTER (run = 'candidate') AS c FROM runs GROUP BY 1) WHERE b IS NOT NULL AND c IS NOT NULL AND id % 3 = 0")
+@query(_with(X.RUNS) + "SELECT id, printf('%.3f -> %.3f (%s%.3f)', b, c, CASE WHEN c - b > 1e-9 THEN '+' WHEN c - b < -1e-9 THEN '-' ELSE ' ' END, abs(c - b)) AS delta FROM (SELECT id, max(actionability_score) FILTER (run = 'base') AS b, max(required_concepts_score) FILTER (run = 'candidate') AS c FROM runs GROUP BY 1) WHERE b IS NOT NULL AND c IS NOT NULL")
 def f26_deltas(spark, sf_dir):
-    r = X.some(X.runs(spark, sf_dir), "id % 3 = 0")
+    r = X.runs(spark, sf_dir)
     b, c = r.where("run = 'base'").select("id", F.col("actionability_score").alias("b")), r.where("run = 'candidate'").select("id", F.col("required_concepts_score").alias("c"))
     return b.join(c, "id").select("id", T.signed_delta(F.col("b"), F.col("c")).alias("delta"))
 
@@ -775,9 +905,15 @@ def f33_title_or_url(spark, sf_dir):
     return X.read(spark, sf_dir, "pages").select("page_id", T.title_or_url(F.lit(""), F.col("url")).alias("shown"))
 
 
-@query(r"SELECT item_id, replace(regexp_replace(regexp_replace(replace(replace(replace('# ' || text || E'\n**b** & <i>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\*\*(.+?)\*\*', '<strong>\1</strong>', 'g'), '(?m)^# (.+)$', '<h1 class=" + '"text-xl font-bold mt-3 mb-1"' + r">\1</h1>', 'g'), E'\n', '<br>') AS html FROM benchmark")
+_MARKS = "# {0}\n**b** & <i>\n## two *em* `code`\n### three\n---\n- one\n- two **x**\n1. first\n{0}"
+_MARKED = "<h1>{0}</h1><br><strong>b</strong> &amp; &lt;i&gt;<br><h2>two <em>em</em> <code>code</code></h2><br><h3 id=\"t\">three</h3><br><hr><br><ul><li>one</li><br><li>two <strong>x</strong></li></ul><br><li>first</li><br>{0}"
+
+
+@query("SELECT p_partkey, '" + _MARKED.replace("{0}", "' || p_name || '") + "' AS html FROM part")
 def f35_markdown(spark, sf_dir):
-    return X.read(spark, sf_dir, "benchmark").select("item_id", T.markdown_to_html(F.concat(F.lit("# "), "text", F.lit("\n**b** & <i>"))).alias("html"))
+    before, between, after = (F.lit(x) for x in _MARKS.split("{0}"))
+    text = F.concat(before, "p_name", between, "p_name", after)
+    return X.read(spark, sf_dir, "part").select("p_partkey", T.markdown_to_html(text, {"h3": 'id="t"'}).alias("html"))
 
 
 @query("SELECT o_orderstatus AS outcome, count(*) AS documents, sum(o_custkey)::BIGINT AS chunks FROM orders GROUP BY 1")
@@ -801,16 +937,42 @@ def m11_artifact(spark, sf_dir):
     return M.set_artifact(n, changes).select("id", "source_checksum")
 
 
-@query(_with(X.CHUNKS, X.DOCUMENTS, _AUDIT) + """SELECT '{"documents":' || count(*) || ',"active":' || count(*) FILTER (is_active) || '}' AS head FROM audited""")
+_REPORT = """(SELECT -1 AS nth, '{"summary": ' || to_json({documents: count(*), active_documents: count(*) FILTER (is_active), indexed_documents: count(*) FILTER (is_active AND live > 0), unindexed_documents: count(*) FILTER (is_active AND live = 0),
+    missing_text_files: count(*) FILTER (list_contains(issues, 'missing_text_file')), total_chunks: sum(live)::BIGINT, validity: {current: count(*) FILTER (is_active AND status = 'current'), superseded: count(*) FILTER (is_active AND status = 'superseded'),
+    expired: count(*) FILTER (is_active AND status = 'expired'), undated: count(*) FILTER (is_active AND coalesce(effective_date, '') = '')}})
+  || ', "issues": ' || (SELECT '{' || string_agg('"' || issue || '":' || n, ',' ORDER BY issue) || '}' FROM (SELECT issue, count(*) AS n FROM (SELECT unnest(issues) AS issue FROM audited) GROUP BY 1)) || ', "documents": [' AS line FROM audited)
+UNION ALL SELECT id, to_json({id: id, title: title, source_type: source_type, source_ref: source_ref, is_active: is_active, token_count: token_count, chunk_count: live, text_file_exists: text IS NOT NULL, extraction_chars: extraction_chars, effective_date: effective_date,
+    valid_until: valid_until, superseded_by: superseded_by, topic: topic, document_type: document_type, lifecycle_status: lifecycle_status, validity_status: status, issues: issues})::VARCHAR || CASE WHEN id = (SELECT max(id) FROM audited) THEN '' ELSE ',' END
+  FROM (SELECT a.*, d.title, d.source_type, d.source_ref, d.token_count, d.text, d.valid_until, d.superseded_by, d.topic, d.document_type, d.lifecycle_status FROM audited a JOIN docs d USING (id))
+UNION ALL SELECT 9223372036854775807, ']}'"""
+
+
+@query(_with(X.CHUNKS, X.DOCUMENTS, _AUDIT) + _REPORT)
 def s18_report(spark, sf_dir):
-    r = audit.report(_audited(spark, sf_dir)).select(F.from_json("report", "summary struct<documents:bigint,active:bigint>").alias("r"))
-    return r.select(F.to_json("r.summary").alias("head"))
+    return audit.report(_audited(spark, sf_dir))
+
+
+_KIND = "CASE WHEN item_id % 4 = 0 THEN 'official' WHEN item_id % 4 = 1 THEN 'constructed_from_web_topics' WHEN item_id % 4 = 2 THEN 'blog' END"
+_SHEET = f"""SELECT id, nth::INT AS nth, array_to_string(list_filter(['### ' || nth || '. ' || text, '', '**{L.REVIEW_KIND}:** ' || coalesce(kind, '{L.REVIEW_NO_KIND}'),
+  '**{L.REVIEW_CLASS}:** ' || CASE kind WHEN 'official' THEN '{L.OFFICIAL_CLASS}' WHEN 'constructed_from_web_topics' THEN '{L.CONSTRUCTED_CLASS}' ELSE '{L.SECONDARY_CLASS}' END,
+  CASE WHEN item_id % 3 = 0 THEN '**{L.REVIEW_SOURCE}:** https://x.y/' || item_id END, CASE WHEN item_id % 5 = 0 THEN '**{L.REVIEW_PRIMARY}:** p' END, '', '**{L.REVIEW_ANSWER}:**',
+  '> ' || CASE WHEN item_id % 2 = 0 THEN w[1] ELSE '{L.REVIEW_NO_ANSWER}' END, '', '**{L.REVIEW_CONCLUSION}:** ' || w[1] || ', ' || w[2], CASE WHEN item_id % 3 = 1 THEN '**{L.REVIEW_CONCEPTS}:** ' || w[3] END,
+  '**{L.REVIEW_ACTIONS}:** ' || w[4], '**{L.REVIEW_PROHIBITED}:** ' || w[5], CASE WHEN item_id % 4 = 3 THEN '**{L.REVIEW_CLARIFY}:** {L.REVIEW_YES} — ' || w[6] || ', ' || w[7] END,
+  '**{L.REVIEW_STATUS}:** ' || CASE WHEN item_id % 2 = 0 THEN '{L.REVIEW_DONE.format(product="lexforge")}' ELSE '{L.REVIEW_OPEN}' END, '', '---', ''], lambda x: x IS NOT NULL), chr(10)) AS markdown
+FROM (SELECT *, item_id::VARCHAR AS id, row_number() OVER (PARTITION BY item_id % 2 ORDER BY item_id::VARCHAR) AS nth, {_KIND} AS kind, string_split(text, ' ') AS w FROM benchmark)"""
 
 
-@query("SELECT item_id::VARCHAR AS id, row_number() OVER (PARTITION BY item_id % 2 ORDER BY item_id::VARCHAR)::INT AS nth, '### ' || row_number() OVER (PARTITION BY item_id % 2 ORDER BY item_id::VARCHAR) || '. ' || text || chr(10) || 'kind: official' || chr(10) || '> -' AS markdown FROM benchmark")
+@query(_SHEET)
 def s20_review_sheet(spark, sf_dir):
-    b = X.read(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("id"), (F.col("item_id") % 2 == 0).alias("executed"), F.col("text").alias("question"), F.lit("official").alias("source_type"), F.lit(None).cast("string").alias("reference_url"), F.lit("").alias("reference_answer"))
-    return S.review_sheet(b).select("id", "nth", "markdown")
+    i = F.col("item_id")
+    b = X.read(spark, sf_dir, "benchmark").withColumn("w", F.split("text", " "))
+    w = lambda *k: F.array(*(F.element_at("w", n) for n in k))
+    cases = b.select(
+        i.cast("string").alias("id"), (i % 2 == 0).alias("executed"), F.col("text").alias("question"), F.expr(_KIND).alias("source_type"), F.when(i % 3 == 0, F.concat(F.lit("https://x.y/"), i.cast("string"))).alias("reference_url"),
+        F.when(i % 5 == 0, "p").alias("primary_source"), F.when(i % 2 == 0, F.element_at("w", 1)).otherwise("").alias("reference_answer"), w(1, 2).alias("expected_conclusion"), F.when(i % 3 == 1, w(3)).alias("required_concepts"),
+        w(4).alias("required_actions"), w(5).alias("must_not_include"), (i % 4 == 3).alias("requires_clarification"), w(6, 7).alias("clarification_terms"),
+    )
+    return S.review_sheet(cases).select("id", "nth", "markdown")
 
 
 @query(_with(_ANSWERS) + "SELECT id, contains(answer, w[1]) AND contains(answer, w[2]) AS passed, array_to_string(list_filter([w[1], w[2]], lambda t: contains(answer, t)), ',') AS found FROM answers")
@@ -819,24 +981,81 @@ def e07_context_score(spark, sf_dir):
     return a.select("id", "s.passed", F.array_join("s.found", ",").alias("found"))
 
 
-# -- the same over all rows ---------------------------------------------------------
+@query(_with(X.USAGE) + "SELECT id, printf('%4d -> %4d (', input_tokens, output_tokens) || CASE WHEN output_tokens = input_tokens THEN '  0' ELSE printf('%+d', output_tokens - input_tokens) END || ')' AS delta, CASE WHEN coalesce(input_tokens, 0) = 0 THEN '-' ELSE printf('%.1f', input_tokens / 1000.0::DOUBLE) || 's' END AS seconds, CASE WHEN output_tokens = 0 THEN '-' ELSE printf('$%.4f', output_tokens / 8.0::DOUBLE) END AS cost, strftime(created_at, '%m-%d') AS day, round(input_tokens / 7.0::DOUBLE, 2) AS elapsed, (input_tokens / 8.0::DOUBLE * 1000)::INT AS ms FROM usage")
+def f26_f27_f36_shown(spark, sf_dir):
+    u = X.usage(spark, sf_dir)
+    n, m = F.col("input_tokens"), F.col("output_tokens")
+    return u.select(
+        "id", T.signed_delta(n, m, as_int=True).alias("delta"), T.shown_seconds(n).alias("seconds"), T.shown_cost(m / F.lit(8.0)).alias("cost"), T.shown_day(F.to_date("created_at")).alias("day"),
+        T.elapsed(n / F.lit(7.0)).alias("elapsed"), T.elapsed(n / F.lit(8.0), ms=True).alias("ms"),
+    )
+
+
+@query("SELECT vec_id, array_to_string(list_transform(embedding::DOUBLE[], lambda x: printf('%.6f', x)), ' ') AS vector FROM embeddings")
+def f28_vectors(spark, sf_dir):
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    back = T.vector_from_json(T.vector_to_json(v))
+    return X.read(spark, sf_dir, "embeddings").select("vec_id", F.array_join(F.transform(back, lambda x: F.format_string("%.6f", x)), " ").alias("vector"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name || '.pdf' ELSE 'x.bin' END AS original, CASE WHEN p_partkey % 3 = 0 THEN p_name WHEN p_partkey % 3 = 1 THEN 'document' ELSE '.hidden' END || '.txt' AS text FROM part")
+def f33_download_name(spark, sf_dir):
+    i = F.col("p_partkey")
+    title = F.when(i % 3 == 0, F.concat(F.lit("a/b/"), "p_name", F.lit(".pdf"))).when(i % 3 == 1, "").otherwise("c/.hidden")
+    return X.read(spark, sf_dir, "part").select("p_partkey", T.download_name(F.when(i % 3 == 0, title), F.lit("/o/x.bin")).alias("original"), T.download_name(title, text=True).alias("text"))
+
+
+@query(_with(X.CHUNKS, X.DOCUMENTS) + "SELECT id, CASE WHEN coalesce(text, '') = '' THEN 'failed' ELSE 'succeeded' END AS outcome, CASE WHEN coalesce(text, '') = '' THEN 'no text' END AS error, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE 1 END::BIGINT AS chunks FROM docs WHERE is_active")
+def m14_reindex(spark, sf_dir):
+    d = X.documents(spark, sf_dir)
+    return M.reindex(d, X.chunks(spark, sf_dir), start=r"\\Zno section", most=1 << 40)[1].select("id", "outcome", "error", "chunks")
+
+
+@query(_with(X.CHUNKS, X.DOCUMENTS) + "SELECT document_id, chunk_index, content FROM chunks WHERE document_id NOT IN (SELECT id FROM docs WHERE is_active AND text <> '') UNION ALL SELECT id, 0, text FROM docs WHERE is_active AND text <> ''")
+def m14_chunks(spark, sf_dir):
+    d = X.documents(spark, sf_dir)
+    return M.reindex(d, X.chunks(spark, sf_dir), start=r"\\Zno section", most=1 << 40)[0].select("document_id", "chunk_index", "content")
+
+
+@query(_with(X.CHUNKS, X.DOCUMENTS) + "SELECT id, 'would be fetched' AS outcome FROM docs WHERE is_active AND source_type = 'url'")
+def m15_dry_run(spark, sf_dir):
+    d = X.documents(spark, sf_dir)
+    return M.reingest(d, X.chunks(spark, sf_dir), S.fetch_documents)[2].select("id", "outcome")
+
+
+@query("SELECT conv_id * 1000 + turn AS id, role, text AS content FROM conversations WHERE conv_id = 7")
+def t02_conversation(spark, sf_dir):
+    return A.conversation(X.messages(spark, sf_dir), 7).select("id", "role", "content")
+
+
+@query("SELECT n_nationkey AS id, n_name AS title FROM nation UNION ALL SELECT 1000 + r_regionkey, r_name FROM region")
+def m13_add_rows(spark, sf_dir):
+    n = X.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("title"))
+    return M.add_rows(n, X.read(spark, sf_dir, "region").select((F.col("r_regionkey") + 1000).alias("id"), F.col("r_name").alias("title")))
+
+
+@query("SELECT r_regionkey AS k, r_name AS v FROM region WHERE r_regionkey % 2 = 1 UNION ALL SELECT r_regionkey, 'new' FROM region WHERE r_regionkey = 2 UNION ALL SELECT 99, 'more'")
+def h08_settings(spark, sf_dir):
+    r = X.read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("value"))
+    more = spark.createDataFrame([(0, None), (2, "new"), (4, None), (99, "more")], "key int, value string")
+    return M.set_setting(r, more).select(F.col("key").alias("k"), F.col("value").alias("v"))
+
 
+@query(f"SELECT 'a' AS parameter_key, 1999 + r_regionkey AS tax_year, r_name AS value_text FROM region UNION ALL SELECT '{L.FIRST_PARAMETER['parameter_key']}', {L.FIRST_PARAMETER['tax_year']}, '{L.FIRST_PARAMETER['value_text']}'")
+def s23_seed(spark, sf_dir):
+    p = X.read(spark, sf_dir, "region").select(F.lit("a").alias("parameter_key"), (F.col("r_regionkey") + 1999).alias("tax_year"), F.col("r_name").alias("value_text"))
+    return M.seed_parameters(M.seed_parameters(p))
 
-def _over_all(f):
-    @wraps(f)
-    def run(spark, sf_dir):
-        before = X.ALL.set(True)
-        try:
-            return f(spark, sf_dir)
-        finally:
-            X.ALL.reset(before)
 
-    return run
+@query("SELECT conv_id AS document_id, turn::INT AS chunk_index, text AS content, turn::INT + 1 AS page_start FROM conversations WHERE conv_id % 2 = 0 UNION ALL SELECT conv_id, 0, string_agg(text, chr(10) ORDER BY turn), NULL FROM conversations WHERE conv_id % 2 = 1 GROUP BY 1")
+def k06_index_choice(spark, sf_dir):
+    c = X.read(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("document_id")).agg(F.array_sort(F.collect_list(F.struct((F.col("turn") + 1).cast("int").alias("page_number"), "text"))).alias("p"))
+    d = c.select("document_id", F.array_join("p.text", "\n").alias("text"), F.when(F.col("document_id") % 2 == 0, F.col("p")).alias("pages"))
+    return K.chunk(d).select("document_id", "chunk_index", "content", "page_start")
 
 
-#: Queries whose SQL takes a part of the questions, pairs or customers; name_all takes all, and has no SQL.
-PARTIAL = (
-    hybrid_topk, r02_dense_scores, r03_lexical, r04_fused, r05_document_cap, r06_forced, r08_ranked_documents, r10_blocks, r11_budget, r15_sources, j08_neighbours,
-    e06_ranking_scores, f20_term_scores, r12_pack_documents, e01_ranking_metrics, e05_means, f26_deltas, m06_insert_or_ignore, m08_upsert,
-)
-QUERIES.update({f"{f.__name__}_all": _over_all(f) for f in PARTIAL})
+@query("SELECT doc_id, (ord(text[1]) + length(text))::DOUBLE AS first, 1.0::DOUBLE AS second FROM documents")
+def k07_embed(spark, sf_dir):
+    d = X.read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+    out = K.embed(d, lambda texts: [[float(ord(t[0]) + len(t)), 1.0] for t in texts])
+    return out.select("doc_id", F.element_at("embedding", 1).alias("first"), F.element_at("embedding", 2).alias("second"))

@@ -2,18 +2,9 @@
 
 from __future__ import annotations
 
-from contextvars import ContextVar
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 AS_OF = "1998-06-01"
-#: Whether some() takes all rows: in the queries named *_all.
-ALL: ContextVar[bool] = ContextVar("all rows", default=False)
-
-
-def some(rows: DataFrame, condition: str) -> DataFrame:
-    """The rows that a query with SQL is held to; all of them in its twin ``*_all``."""
-    return rows if ALL.get() else rows.where(condition)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,7 +23,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = e.join(d, e["vec_id"] == d["doc_id"]).withColumn("document_id", F.expr("vec_id div 5")).join(o, F.col("document_id") == F.col("o_orderkey"))
     return rows.select(
         F.col("vec_id").alias("id"), "document_id", (F.col("vec_id") % 5).cast("int").alias("chunk_index"),
-        F.concat("text", F.lit(" "), (F.col("vec_id") % 97).cast("string"), F.lit("%")).alias("content"), F.lit("").alias("section_header"),
+        F.concat("text", F.lit(" "), (F.col("vec_id") % 97).cast("string"), F.lit("%")).alias("content"), F.when(F.col("vec_id") % 7 == 0, F.concat(F.lit("סעיף "), (F.col("vec_id") % 5).cast("string"))).otherwise("").alias("section_header"),
         F.concat("source", F.lit(" "), _ymd()).alias("document_title"), F.col("source").alias("document_ref"), F.lit(None).cast("string").alias("effective_date"),
         F.when(F.col("vec_id") % 3 == 0, (F.col("vec_id") % 5 + 1).cast("int")).alias("page_start"), F.when(F.col("vec_id") % 3 == 0, (F.col("vec_id") % 5 + 1 + F.col("vec_id") % 2).cast("int")).alias("page_end"),
         "embedding",
@@ -40,7 +31,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CHUNKS = """chunks AS (
-  SELECT vec_id AS id, vec_id // 5 AS document_id, (vec_id % 5)::INT AS chunk_index, d.text || ' ' || (vec_id % 97)::VARCHAR || '%' AS content, '' AS section_header,
+  SELECT vec_id AS id, vec_id // 5 AS document_id, (vec_id % 5)::INT AS chunk_index, d.text || ' ' || (vec_id % 97)::VARCHAR || '%' AS content, CASE WHEN vec_id % 7 = 0 THEN 'סעיף ' || (vec_id % 5)::VARCHAR ELSE '' END AS section_header,
     d.source || ' ' || strftime(o_orderdate, '%Y-%-m-%-d') AS document_title, d.source AS document_ref, NULL::VARCHAR AS effective_date,
     CASE WHEN vec_id % 3 = 0 THEN (vec_id % 5 + 1)::INT END AS page_start, CASE WHEN vec_id % 3 = 0 THEN (vec_id % 5 + 1 + vec_id % 2)::INT END AS page_end,
     embedding::DOUBLE[] AS embedding
@@ -78,19 +69,23 @@ DOCUMENTS = """docs AS (
 )"""
 
 
-def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions: benchmark items with a date and a percentage, and a vector each."""
-    b, e = some(read(spark, sf_dir, "benchmark"), "item_id < 8"), read(spark, sf_dir, "embeddings")
+def questions(spark: SparkSession, sf_dir: str, before: str = "''") -> DataFrame:
+    """Questions: benchmark items with a date, a percentage and for some a section, after ``before`` (SQL); one or two vectors each."""
+    b, e = read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "embeddings")
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
-    q = F.concat("text", F.lit(" "), _ymd(), F.lit(" "), (F.col("item_id") * 11).cast("string"), F.lit("%"))
-    rows = b.join(e, b["item_id"] == e["vec_id"]).join(o, F.col("item_id") * 3 == F.col("o_orderkey"))
-    return rows.select(F.col("item_id").alias("query_id"), q.alias("question"), F.array(F.transform("embedding", lambda x: x.cast("double"))).alias("vectors"), q.alias("ranking_question"))
+    more = F.when(F.col("item_id") % 3 == 0, F.concat(F.lit(" מותר סעיף "), (F.col("item_id") % 5).cast("string"))).otherwise("")
+    q = F.concat(F.expr(before), "text", F.lit(" "), _ymd(), F.lit(" "), (F.col("item_id") * 11).cast("string"), F.lit("%"), more)
+    vectors = e.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    other = vectors.select(F.col("vec_id").alias("other_id"), F.col("v").alias("w"))
+    rows = b.join(vectors, b["item_id"] == vectors["vec_id"]).join(other, F.col("item_id") + 101 == F.col("other_id"), "left").join(o, F.col("item_id") * 3 == F.col("o_orderkey"))
+    return rows.select(F.col("item_id").alias("query_id"), q.alias("question"), F.array_compact(F.array("v", "w")).alias("vectors"), q.alias("ranking_question"))
 
 
 QUESTIONS = """questions AS (
-  SELECT item_id AS query_id, b.text || ' ' || strftime(o_orderdate, '%Y-%-m-%-d') || ' ' || (item_id * 11)::VARCHAR || '%' AS question, embedding::DOUBLE[] AS qv
-  FROM benchmark b JOIN embeddings e ON item_id = vec_id JOIN orders ON o_orderkey = item_id * 3 WHERE item_id < 8
-)"""
+  SELECT item_id AS query_id, {before} || b.text || ' ' || strftime(o_orderdate, '%Y-%-m-%-d') || ' ' || (item_id * 11)::VARCHAR || '%' || CASE WHEN item_id % 3 = 0 THEN ' מותר סעיף ' || (item_id % 5)::VARCHAR ELSE '' END AS question,
+    list_filter([e.embedding::DOUBLE[], f.embedding::DOUBLE[]], lambda x: x IS NOT NULL) AS vectors
+  FROM benchmark b JOIN embeddings e ON item_id = e.vec_id LEFT JOIN embeddings f ON item_id + 101 = f.vec_id JOIN orders ON o_orderkey = item_id * 3
+)""".replace("{before}", "''")
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:

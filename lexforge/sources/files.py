@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from ..functions import text as T
+from ..functions import rules as R, text as T
 from ..session import ship
 
 MOST_BYTES = 50 * 1024 * 1024
@@ -115,19 +115,82 @@ def kind_of(content_type: Column, url: Column) -> Column:
     )
 
 
-def extract(files: DataFrame) -> DataFrame:
-    """Text, pages and error of rows (content, content_type, url); a bad file is a row with an error."""
+def _flat(pages: Column, between: str) -> Column:
+    return F.array_join(F.transform(F.array_sort(pages), lambda p: p["text"]), between)
+
+
+def extract(files: DataFrame, between_pages: str = "\n") -> DataFrame:
+    """Text, pages and error of rows (content, content_type, url); a bad file is a row with an error.
+
+    Pages of a file are joined by one line end, those of a fetched address by two
+    (``between_pages``).
+    """
     ship(files.sparkSession)
     rows = files.withColumn("kind", kind_of(F.col("content_type"), F.col("url")))
     rows = rows.withColumn("pages", F.when(F.col("kind") == "pdf", F.transform(_pdf(F.when(F.col("kind") == "pdf", F.col("content"))), lambda p: F.struct(p["page_number"].alias("page_number"), T.clean_text(p["text"]).alias("text")))))
-    flat = T.clean_text(F.array_join(F.transform(F.array_sort("pages"), lambda p: p["text"]), "\n"))
+    flat = T.clean_text(_flat(F.col("pages"), between_pages)) if between_pages == "\n" else _flat(F.col("pages"), between_pages)
     docx = T.clean_text(_docx(F.when(F.col("kind") == "docx", F.col("content"))))
     page = html_text(F.when(F.col("kind") == "html", F.decode("content", "utf-8")))
     text = F.when(F.col("kind") == "pdf", flat).when(F.col("kind") == "docx", docx).when(F.col("kind") == "html", page)
-    error = F.when(F.col("kind") == "doc", "legacy format").when(text.isNull(), "unreadable").when(text == "", "empty")
+    error = F.when(F.col("kind") == "doc", "legacy format").when(text.isNull(), "unreadable").when(T.strip(text) == "", "empty")
+    if "error" in files.columns:  # a file that never came
+        error = F.coalesce("error", error)
     return rows.withColumn("text", text).withColumn("error", error)
 
 
+def fetch(addresses: DataFrame, timeout: float = 30.0, column: str = "url") -> DataFrame:
+    """Rows with an address, each with content, content_type, final address (as url) and error.
+
+    Redirects are followed.  An address that fails is a row with an error; requests run
+    in the tasks, one after the other.
+    """
+    schema = ", ".join(f"{c} {t}" for c, t in addresses.dtypes if c != column) + f", {column} string, content binary, content_type string, error string"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            got = [_get(u, timeout) for u in pdf[column]]
+            out = pdf.drop(columns=[column])
+            for i, name in enumerate((column, "content", "content_type", "error")):
+                out[name] = pd.Series([g[i] for g in got], index=out.index, dtype=object)
+            yield out
+
+    return addresses.mapInPandas(run, schema.removeprefix(", "))
+
+
+def _get(url: str | None, timeout: float) -> tuple[str | None, bytes | None, str | None, str | None]:
+    from urllib.request import Request, urlopen
+
+    try:
+        if not url or not url.lower().startswith(("http://", "https://")):
+            raise ValueError("no web address")
+        with urlopen(Request(url, headers={"User-Agent": "lexforge"}), timeout=timeout) as r:  # noqa: S310
+            return r.geturl(), r.read(), (r.headers.get("content-type") or "").lower(), None
+    except Exception as e:  # noqa: BLE001  whatever goes wrong belongs to this row
+        return url, None, None, f"{type(e).__name__}: {e}"
+
+
+def fetch_documents(addresses: DataFrame, timeout: float = 30.0) -> DataFrame:
+    """Rows with url, fetched and extracted: content, kind, text, pages and error."""
+    return extract(fetch(addresses, timeout), between_pages="\n\n")
+
+
+def fetch_shared(links: DataFrame, timeout: float = 30.0, template: str = "https://drive.google.com/uc?export=download&id={id}") -> DataFrame:
+    """Rows with the url of a shared file, downloaded by its id: text, kind and error.
+
+    What is neither PDF nor a text document is taken as plain text.
+    """
+    ship(links.sparkSession)
+    before, after = template.split("{id}")
+    found = T.drive_id(F.col("url"))
+    rows = links.withColumn("url", F.when(found.isNotNull(), F.concat(F.lit(before), found, F.lit(after))))
+    got = fetch(rows, timeout)
+    t = F.coalesce("content_type", F.lit(""))
+    got = got.withColumn("kind", F.when(t.contains("pdf"), "pdf").when(t.contains("document") | t.contains("docx"), "docx").otherwise("text"))
+    pages = _pdf(F.when(F.col("kind") == "pdf", F.col("content")))
+    text = F.when(F.col("kind") == "pdf", _flat(pages, "\n")).when(F.col("kind") == "docx", _docx(F.when(F.col("kind") == "docx", F.col("content")))).otherwise(F.decode("content", "utf-8"))
+    return got.withColumn("text", T.clean_text(text)).withColumn("error", F.when(F.col("url").isNull(), "no file id in the link").otherwise(F.col("error")))
+
+
 def stored_original(content: Column, ext: Column) -> Column:
     """Extension, digest and size of an original file."""
     return F.struct(T.safe_extension(ext).alias("extension"), F.sha2(content, 256).alias("checksum"), F.octet_length(content).cast("long").alias("bytes"))
@@ -150,6 +213,24 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("name"), F.col("value").alias("text"))
 
 
+def write_texts(texts: DataFrame, path: str) -> None:
+    """A folder for each document (id, text) with its text in one file."""
+    rows = texts.select("id", F.coalesce("text", F.lit("")).alias("value"))
+    rows.repartition("id").write.mode("append").option("lineSep", "\x00").partitionBy("id").text(path)
+
+
+def read_text_of(spark: SparkSession, path: str) -> DataFrame:
+    """(id, text) of what :func:`write_texts` wrote."""
+    return spark.read.option("lineSep", "\x00").text(path).select(F.col("id").cast("long").alias("id"), F.col("value").alias("text"))
+
+
+def delete_text(spark: SparkSession, path: str, document_id: int) -> bool:
+    """Delete a document's text, if it is there; whether it was."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(f"{path}/id={document_id}")
+    return bool(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True))
+
+
 def read_cases(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """An object per line; blank lines are skipped."""
     return spark.read.schema(schema).json(path)
@@ -186,18 +267,51 @@ def event_text(lines: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(F.array_join(F.transform(parts, lambda x: x["t"]), "").alias("text"), F.max("e.error").alias("error"))
 
 
-def review_sheet(cases: DataFrame) -> DataFrame:
-    """A line of Markdown per case with question, kind, source and reference answer; numbered by id in each part."""
+def review_sheet(cases: DataFrame, product: str = "lexforge") -> DataFrame:
+    """(id, executed, nth, markdown): a block of Markdown per case, numbered by id in each part.
+
+    ``cases`` has id, executed, question and any of source_type, reference_url (or url),
+    primary_source, reference_answer (or answer), the lists expected_conclusion,
+    required_concepts, required_actions, must_not_include and clarification_terms, and
+    requires_clarification.  Lines of what a case lacks are left out; executed cases name
+    the ``product`` that they ran against.
+    """
     from pyspark.sql import Window as W
 
+    has = set(cases.columns)
+    none = F.lit(None).cast("string")
+    text = lambda *names: F.coalesce(*(T.blank_to_null(F.col(c)) for c in names if c in has), none)
+    line = lambda label, value: F.concat(F.lit(f"**{label}:** "), value)
+
+    def listed(label: str, name: str) -> Column:
+        return F.when(F.size(name) > 0, line(label, F.array_join(name, ", "))) if name in has else none
+
     nth = F.row_number().over(W.partitionBy("executed").orderBy("id"))
+    clarify = none
+    if "requires_clarification" in has:
+        terms = F.coalesce(F.array_join("clarification_terms", ", "), F.lit("")) if "clarification_terms" in has else F.lit("")
+        clarify = F.when(F.col("requires_clarification"), line(R.REVIEW_CLARIFY, F.concat(F.lit(R.REVIEW_YES + " — "), terms)))
+    kind = F.col("source_type") if "source_type" in has else none
     lines = F.concat_ws(
-        "\n", F.concat(F.lit("### "), nth.cast("string"), F.lit(". "), F.col("question")), F.concat(F.lit("kind: "), T.source_class(F.col("source_type"))),
-        F.concat(F.lit("source: "), T.blank_to_null(F.col("reference_url"))), F.concat(F.lit("> "), F.coalesce(T.blank_to_null(F.col("reference_answer")), F.lit("-"))),
+        "\n", F.concat(F.lit("### "), nth.cast("string"), F.lit(". "), F.col("question")), F.lit(""), line(R.REVIEW_KIND, F.coalesce(kind, F.lit(R.REVIEW_NO_KIND))), line(R.REVIEW_CLASS, T.source_class(kind)),
+        line(R.REVIEW_SOURCE, text("reference_url", "url")), line(R.REVIEW_PRIMARY, text("primary_source")), F.lit(""), F.lit(f"**{R.REVIEW_ANSWER}:**"),
+        F.concat(F.lit("> "), F.coalesce(text("reference_answer", "answer"), F.lit(R.REVIEW_NO_ANSWER))), F.lit(""), listed(R.REVIEW_CONCLUSION, "expected_conclusion"),
+        listed(R.REVIEW_CONCEPTS, "required_concepts"), listed(R.REVIEW_ACTIONS, "required_actions"), listed(R.REVIEW_PROHIBITED, "must_not_include"), clarify,
+        line(R.REVIEW_STATUS, F.when(F.col("executed"), F.lit(R.REVIEW_DONE.format(product=product))).otherwise(F.lit(R.REVIEW_OPEN))), F.lit(""), F.lit("---"), F.lit(""),
     )
     return cases.select("id", "executed", nth.alias("nth"), lines.alias("markdown"))
 
 
+def write_review(cases: DataFrame, path: str, title: str) -> None:
+    """The sheet as text, executed cases first, in one file: a title, and a heading with its number of cases for each part."""
+    sheet = review_sheet(cases)
+    counts = {r["executed"]: r["count"] for r in cases.groupBy("executed").count().collect()}
+    spark = cases.sparkSession
+    heads = spark.createDataFrame([(0, 0, f"# {title}\n\n## {R.REVIEW_PARTS[0]} — {counts.get(True, 0)}\n"), (1, 0, f"## {R.REVIEW_PARTS[1]} — {counts.get(False, 0)}\n")], "part int, nth int, value string")
+    rows = sheet.select(F.when(F.col("executed"), 0).otherwise(1).alias("part"), "nth", F.col("markdown").alias("value"))
+    heads.unionByName(rows).orderBy("part", "nth").select("value").coalesce(1).write.mode("overwrite").text(path)
+
+
 def safe_name(name: str) -> str:
     """A name that is fit for a folder of a version."""
     return re.sub(r"[^A-Za-z0-9_.-]", "_", name)

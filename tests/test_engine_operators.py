@@ -188,7 +188,7 @@ def test_runs(spark):
     assert stats["b", None].conclusion_score == 0.5 and stats["b", "uncategorized"].errors == 1
     b, c = df.where("run = 'b'"), df.where("run = 'c'")
     assert {(r.id, r.only_in) for r in E.unpaired(b, c).collect()} == {("2", "base"), ("3", "candidate")}
-    assert E.verdict(E.paired(b, c)).first().verdict == "candidate regressed"
+    assert E.verdict(E.paired(b, c)).first().verdict == "candidate REGRESSED"
 
 
 def test_catalog(spark):
@@ -217,7 +217,7 @@ def test_audit(spark):
     a = audit.documents(d, spark.createDataFrame([(1,)], "document_id long"), "2024-01-01")
     assert {r.id: r.issues for r in a.collect()} == {1: [], 2: ["missing_text_file", "no_chunks"], 3: ["empty_extraction"]}
     assert audit.summary(a).first().unindexed == 1 and {r.issue for r in audit.issue_histogram(a).collect()} == {"missing_text_file", "no_chunks", "empty_extraction"}
-    assert '"issues":{"empty_extraction":1' in audit.report(a).first().report
+    assert '"issues": {"empty_extraction":1' in audit.report(a).first().line
 
 
 def test_conversations(spark):

@@ -72,7 +72,8 @@ def test_costs_and_deltas(spark):
 
 
 def test_markdown(spark):
-    assert values(spark, T.markdown_to_html, ["**a** <b>\n- x", None]) == ['<strong>a</strong> &lt;b&gt;<br><ul class="list-disc pr-6 my-1"><li>x</li></ul>', ""]
+    shown = lambda c: T.markdown_to_html(c, {"ul": 'class="x"'})
+    assert values(spark, shown, ["**a** <b>\n- x", None]) == ['<strong>a</strong> &lt;b&gt;<br><ul class="x"><li>x</li></ul>', ""]
 
 
 @pytest.mark.parametrize(("name", "want"), [("a.PDF", "pdf"), ("a.tar.gz", "gz"), ("none", "")])
