@@ -1,33 +1,38 @@
-"""Operator 5: main text of web pages, with repeats on a host found by a suffix array."""
+"""Operator 5: main text of web pages, with repeats on a host found in its suffix array.
+
+The token streams of a host's pages are concatenated; their suffixes, dealt in ranges by
+host and first RUN tokens, bring equal beginnings together, and the pages are counted
+that each beginning stands on.  Longer repeats are unions of such runs.  What repeats
+cover goes, as far as markup leaves room for doubt.
+"""
 
 from __future__ import annotations
 
 import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import words as K
-from .common import partitions, ship, stored
-from .substrings import _pack, _steps, _unpack
-
-#: Pages that share a suffix array; larger hosts are cut into shards of about so many,
-#: which tell each other their runs.
-SHARD = 40
-#: Bytes of pages whose runs are compared in one task.
-BUCKET = 64 << 20
-#: A run of so many tokens on two distinct pages is a repeat (a power of two).
-RUN = 8
-#: A block goes when repeats cover this share of its tokens, unless they cover this
-#: share of all of the page's article (or open blocks): then the page is a copy, and stays.
-COVERED, COPY = 0.8, 0.8
-#: Hosts beyond SHARD pages are broadcast up to so many, else joined by shuffle.
-FEW_HOSTS = 50_000
+from .common import bucketed, partitions, ship, stored
+from .substrings import _pack, _sliding, _unpack, pack_keys, shard_of, unpack_keys
+
+#: Bytes of html of a slice; of the slices of a bucket, and of pages whose suffixes meet in one task.
+SLICE, BUCKET, RANGE = 4 << 20, 64 << 20, 64 << 20
+#: A run of so many tokens on two distinct pages is a repeat; of so many is an anchor.
+RUN, ANCHOR = 8, 4
+#: A block in doubt goes when repeats cover this share of its tokens.  A block of the
+#: article goes only when runs do that stand on so many pages and on this share of its host's.
+COVERED, MANY, MOST = 0.8, 3, 0.5
+#: When repeats cover this share of all that a page's text may be, it is a copy, and stays.
+COPY = 0.8
 
 # Fixed values of HTML.
 BLOCK_TAGS = frozenset(
@@ -38,15 +43,18 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 RAW_TAGS = frozenset("script style noscript template textarea iframe svg math canvas object select button title xmp audio video".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-#: Elements that never hold main text, and words in class, id or role that mark such.
+#: Elements that never hold main text; words in class, id or role that mark such, alone or
+#: with words that only describe a place.
 SIDE_TAGS = frozenset("nav footer aside form dialog menu head".split())
 SIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
 SIDE_WORDS = frozenset(
     "nav navbar navigation menu submenu breadcrumb breadcrumbs footer sidebar aside ad ads advert adverts advertisement advertising sponsor sponsored "
-    "promo promotion banner cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup login signin share sharing social "
-    "comment comments commentlist reply replies disqus respond discussion related recommended recommendations teaser widget toolbar pager pagination paging "
-    "skip copyright legal search masthead topbar".split()
+    "promo promotion cta banner cookie cookies consent gdpr notice popup modal newsletter subscribe subscription signup login signin "
+    "comment comments commentlist reply replies disqus respond toolbar pager pagination paging copyright masthead topbar".split()
 )
+PLACE_WORDS = frozenset("box wrapper wrap container block slot area section list bar unit inner outer item items row col column panel module group holder top bottom left right site page global small large widget zone".split())
+#: Words that may mark such; in an article, repeats decide.
+DOUBT_WORDS = SIDE_WORDS | frozenset("share sharing social discussion related recommended recommendations teaser widget skip legal search overlay".split())
 #: These hold a title too, so only headings in them count as main text, and only in an article.
 HEAD_WORDS = frozenset("header".split())
 MAIN_WORDS = frozenset("article articlebody content maincontent post postbody entry story main body text".split())
@@ -56,12 +64,12 @@ _LOOSE = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>")
 _ATTR = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
-MAIN, SIDE, OPEN = "m", "s", "o"
+MAIN, DOUBT, SIDE, OPEN = "m", "d", "s", "o"
 
 
 def _kind(tag: str, attrs: str) -> str:
-    """'side', 'head', 'main' or '' for an element."""
-    words: set[str] = set()
+    """'side', 'doubt', 'head', 'main', 'maybe' or '' for an element."""
+    names: list[list[str]] = []
     role = ""
     if attrs:
         for name, a, b, c in _ATTR.findall(attrs):
@@ -71,13 +79,17 @@ def _kind(tag: str, attrs: str) -> str:
             if name == "role":
                 role = value.strip().lower()
             elif name in ("class", "id"):
-                words.update(w.lower() for w in _WORD.findall(value))
+                names += [[w.lower() for w in _WORD.findall(x)] for x in value.split()]
     if tag in SIDE_TAGS or role in SIDE_ROLES:
         return "side"
     if tag in ("html", "body"):
         return ""
-    if words & SIDE_WORDS and not (tag == "main" or tag == "article" and not words & {"comment", "comments", "reply", "teaser", "related", "promo", "ad"}):
-        return "side"
+    words = {w for n in names for w in n}
+    if tag not in ("main", "article") or words & {"comment", "comments", "reply", "teaser", "related", "promo", "ad"}:
+        if any(SIDE_WORDS & set(n) and SIDE_WORDS | PLACE_WORDS >= set(n) for n in names):
+            return "side"
+        if words & DOUBT_WORDS:
+            return "doubt"
     if tag == "header" or words & HEAD_WORDS and tag not in ("main", "article"):
         return "head"
     if tag in ("main", "article") or role in ("main", "article"):
@@ -91,8 +103,9 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
     """(zone, text) of each block of a page in order; empty blocks are left out.
 
     MAIN: in an article or main element (or, without such, in a container named like
-    one).  SIDE: in something marked as a menu, header, footer, sidebar, notice,
-    advert, form or comments, or mostly links.  OPEN: anything else.
+    one); DOUBT: there too, but in something that may be none of it.  SIDE: in something
+    marked as a menu, header, footer, sidebar, notice, advert, form or comments, or
+    mostly links.  OPEN: anything else.
     """
     if not page:
         return []
@@ -100,7 +113,9 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
     parts: list[str] = []
     linked = total = links = 0
     stack: list[tuple[str, str]] = []  # (tag, kind)
-    side = head = main = maybe = heading = 0
+    side = head = main = maybe = doubt = heading = 0
+    open_: Counter[str] = Counter()  # tags on the stack
+    unclosed: set[str] = set()  # raw elements that nothing closes from here on
 
     def flush() -> None:
         nonlocal linked, total
@@ -111,15 +126,16 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
                 if side or head and not (main and heading):
                     zone = SIDE
                 elif main:
-                    zone = MAIN
+                    zone = DOUBT if doubt else MAIN
                 else:
                     zone = SIDE if linked > 0.6 * total else OPEN
                 out.append((zone, text, "main" if main else "maybe" if maybe else ""))
         linked = total = 0
 
     def count(kind: str, by: int) -> None:
-        nonlocal side, head, main, maybe
+        nonlocal side, head, main, maybe, doubt
         side += by * (kind == "side")
+        doubt += by * (kind == "doubt")
         head += by * (kind == "head")
         main += by * (kind == "main")
         maybe += by * (kind == "maybe")
@@ -128,6 +144,7 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
         nonlocal heading
         tag, kind = stack.pop()
         count(kind, -1)
+        open_[tag] -= 1
         heading -= tag in HEADINGS
 
     at, n = 0, len(page)
@@ -155,7 +172,9 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
         close, tag, attrs = m[1], m[2].lower(), m[3]
         if tag in RAW_TAGS:
             if not close and not attrs.endswith("/"):
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+                end = None if tag in unclosed else re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+                if not end:
+                    unclosed.add(tag)
                 at = end.end() if end else n if tag in ("script", "style") else at
             continue
         if tag == "br":
@@ -166,7 +185,7 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
         if tag == "a":
             links = 0 if close else 1
         if close:
-            if any(t == tag for t, _ in stack):
+            if open_[tag]:
                 while stack[-1][0] != tag:
                     pop()
                 pop()
@@ -174,13 +193,13 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
         if tag in VOID_TAGS or attrs.endswith("/") and tag not in BLOCK_TAGS:
             continue
         if tag in BLOCK_TAGS:  # what a block start ends
-            while stack and (stack[-1][0] in ("p", "a", "b", "i", "em", "strong", "span", "font", "u", "small") or stack[-1][0] in HEADINGS) and any(t == "p" or t in HEADINGS for t, _ in stack):
+            while stack and (stack[-1][0] in ("p", "a", "b", "i", "em", "strong", "span", "font", "u", "small") or stack[-1][0] in HEADINGS) and (open_["p"] or heading):
                 pop()
             if tag == "body":
-                while any(t == "head" for t, _ in stack):
+                while open_["head"]:
                     pop()
             for own, ends in (("li", ("ul", "ol", "menu")), ("dd", ("dl",)), ("dt", ("dl",)), ("tr", ("table",)), ("td", ("tr", "table")), ("th", ("tr", "table"))):
-                if tag == own:
+                if tag == own and open_[own]:
                     inner = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in (*ends, own)), -1)
                     if inner >= 0 and stack[inner][0] == own:
                         while len(stack) > inner:
@@ -188,45 +207,78 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
         kind = _kind(tag, attrs)
         if kind or tag in BLOCK_TAGS or tag == "head":
             stack.append((tag, kind))
+            open_[tag] += 1
             count(kind, 1)
             heading += tag in HEADINGS
     flush()
-    if not any(z == MAIN for z, _, _ in out) and any(z == OPEN and how == "maybe" for z, _, how in out):
+    if not any(z in (MAIN, DOUBT) for z, _, _ in out) and any(z == OPEN and how == "maybe" for z, _, how in out):
         return [(MAIN if z == OPEN and how == "maybe" else z, t) for z, t, how in out]
     return [(z, t) for z, t, _ in out]
 
 
-def repeated(tokens: np.ndarray, page: np.ndarray, run: int = RUN) -> np.ndarray:
-    """Which tokens lie in a run of ``run`` tokens that two distinct pages have.
+# -- the suffixes of a host -------------------------------------------------------------
 
-    ``tokens`` are the pages' token streams, concatenated; ``page`` is each token's
-    page.  Suffixes are ranked by their first 1, 2, 4 ... run tokens (prefix doubling,
-    as a suffix array is built), so equal beginnings stand next to each other in the
-    order of ranks; longer repeats are unions of such runs.
-    """
-    n = len(tokens)
-    covered = np.zeros(n, bool)
-    if n < 2 * run:
-        return covered
-    _, rank = np.unique(tokens, return_inverse=True)
-    size = 1
-    while size < run:
-        m = n - 2 * size + 1
-        if m < 1:
-            return covered
-        _, rank = np.unique(rank[:m].astype(np.int64) * (int(rank.max()) + 1) + rank[size : size + m], return_inverse=True)
-        size *= 2
-    m = len(rank)
-    whole = page[:m] == page[run - 1 : run - 1 + m]
-    start = np.flatnonzero(whole)
-    if not len(start):
-        return covered
-    suffixes = start[np.argsort(rank[start], kind="stable")]  # the suffix array, as deep as needed
-    r, p = rank[suffixes], page[suffixes]
-    first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-    low, high = np.minimum.reduceat(p, first), np.maximum.reduceat(p, first)
-    size_of = np.diff(np.concatenate([first, [len(r)]]))
-    return _cover(n, suffixes[np.repeat(low < high, size_of)], run)
+_SLICES = "src long, page_id array<long>, url array<string>, host array<string>, zones array<string>, text array<string>"
+_SENT = "k long, src long, keys binary, notes binary"
+_REPLY = "src long, keys binary, notes binary"
+_TEXT = "page_id long, url string, text string, n_chars long, n_repeated long"
+
+
+class Stream:
+    """The token streams of some pages, one after the other."""
+
+    def __init__(self, texts: list[list[str]], hosts: list[str]):
+        n = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.w = K.split(pa.array([b for page in texts for b in page], pa.string()))
+        self.block_page = np.repeat(np.arange(len(texts)), n)
+        self.page = self.block_page[self.w.doc]
+        names, of = np.unique(np.array(hosts, object), return_inverse=True) if hosts else (np.zeros(0, object), np.zeros(0, np.int64))
+        salt = [int.from_bytes(hashlib.blake2b(h.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for h in names]
+        self.host = np.array(salt, np.uint64)[of.reshape(-1)] if hosts else np.zeros(0, np.uint64)
+
+    def inside(self, size: int) -> np.ndarray:
+        """Whether ``size`` tokens from each place on lie on one page."""
+        n = len(self.page) - size + 1
+        return self.page[:n] == self.page[size - 1 :] if n > 0 else np.zeros(0, bool)
+
+    def suffixes(self, size: int) -> np.ndarray:
+        """A number for the host and the first ``size`` tokens of each suffix."""
+        h = K.windows(self.w.hash, size)
+        return K.mix(h ^ K.mix(self.host[self.page[: len(h)]] + np.uint64(size)))
+
+    def anchors(self) -> np.ndarray:
+        """Of each run, the least number of the shorter ones in it."""
+        return _sliding(self.suffixes(ANCHOR), RUN - ANCHOR + 1, np.minimum)
+
+    def short(self) -> tuple[np.ndarray, np.ndarray]:
+        """(block, number) of the blocks that are too short for a run; the number is of the host and all tokens."""
+        n = self.w.count
+        block = np.flatnonzero((n > 0) & (n < RUN))
+        h = K.mix(self.host[self.block_page[block]] + n[block].astype(np.uint64) * np.uint64(K._SEED))
+        for j in range(RUN - 1):
+            more = n[block] > j
+            h[more] = K.mix(h[more] * np.uint64(K._STEP) + self.w.hash[self.w.first[block[more]] + j])
+        return block, h
+
+
+def _pages_of(key: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, ascending, on how many pages each stands)."""
+    order = np.lexsort((page, key))
+    key, page = key[order], page[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    fresh = new.copy()
+    fresh[1:] |= page[1:] != page[:-1]
+    first = np.flatnonzero(new)
+    return key[first], np.add.reduceat(fresh, first).astype(np.int64) if len(first) else np.zeros(0, np.int64)
+
+
+def _found(keys: np.ndarray, notes: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The note of each key of ``x``, 0 for others."""
+    if not len(keys):
+        return np.zeros(len(x), np.int64)
+    at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+    return np.where(keys[at] == x, notes[at], 0)
 
 
 def _cover(n: int, starts: np.ndarray, run: int) -> np.ndarray:
@@ -237,114 +289,163 @@ def _cover(n: int, starts: np.ndarray, run: int) -> np.ndarray:
     return np.cumsum(step[:n]) > 0
 
 
-def _runs(tokens: np.ndarray, page: np.ndarray, host: str, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
-    """(start, key) of each run inside a page; keys are hashes of the host and the run."""
+def repeated(tokens: np.ndarray, page: np.ndarray, run: int = RUN) -> np.ndarray:
+    """Which tokens lie in a run of ``run`` tokens that two distinct pages have."""
     h = K.windows(tokens, run)
     at = np.flatnonzero(page[: len(h)] == page[run - 1 : run - 1 + len(h)])
-    salt = np.frombuffer(hashlib.blake2b(host.encode("utf-8", "surrogatepass"), digest_size=8).digest(), np.uint64)
-    return at, K.mix(h[at] ^ salt)
+    keys, n = _pages_of(h[at], page[at])
+    return _cover(len(tokens), at[_found(keys, n, h[at]) > 1], run)
+
+
+# -- passes over slices ----------------------------------------------------------------
 
 
 def _parser(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    part, nth = TaskContext.get().partitionId(), 0
     for batch in batches:
-        for part in K.slices(batch, "html", 8 << 20):
-            found = [blocks(h) for h in part.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*(part.column(c) for c in ("page_id", "url", "host")), pa.array(["".join(z for z, _ in b) for b in found]), pa.array(["\n".join(t for _, t in b) for b in found])],
-                ["page_id", "url", "host", "zones", "text"],
-            )
-
-
-def _tokens(pdf: pd.DataFrame) -> tuple[list[list[str]], K.Words, np.ndarray]:
-    """Blocks of each page, their tokens, and each token's page."""
-    each = [t.split("\n") if z else [] for z, t in zip(pdf["zones"], pdf["text"], strict=True)]
-    n = np.fromiter(map(len, each), np.int64, len(each))
-    w = K.split(pa.array([b for page in each for b in page], pa.string()))
-    return each, w, np.repeat(np.arange(len(each)), n)[w.doc]
-
-
-def _sender(buckets: int):
-    def send(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Each kind of run of one shard once, by bucket; nothing if it is all of its host."""
-        columns = ["k", "host", "shard", "keys"]
-        if pdf["shards"].iloc[0] == 1:
-            return pd.DataFrame(columns=columns)
-        host, shard = pdf["host"].iloc[0], pdf["shard"].iloc[0]
-        _, w, page = _tokens(pdf)
-        key = np.unique(_runs(w.hash, page, host)[1])
-        bucket = (key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)  # keys ascend, so do buckets
-        cut = np.searchsorted(bucket, np.arange(buckets + 1))
-        return pd.DataFrame([(int(k), host, shard, _pack(_steps(key[cut[k] : cut[k + 1]]))) for k in np.flatnonzero(np.diff(cut))], columns=columns)
-
-    return send
+        for rows in K.slices(batch, "html", SLICE):
+            found = [blocks(h) for h in rows.column("html").to_pylist()]
+            whole = pa.array([0, rows.num_rows], pa.int32())
+            zones, text = pa.array(["".join(z for z, _ in b) for b in found], pa.string()), pa.array(["\n".join(t for _, t in b) for b in found], pa.string())
+            columns = [rows.column("page_id"), rows.column("url"), rows.column("host"), zones, text]
+            yield pa.RecordBatch.from_arrays([pa.array([part << 32 | nth], pa.int64()), *(pa.ListArray.from_arrays(whole, c) for c in columns)], ["src", "page_id", "url", "host", "zones", "text"])
+            nth += 1
+
+
+def _blocks_of(one: pd.DataFrame) -> tuple[list[list[str]], Stream]:
+    r = one.iloc[0]
+    each = [t.split("\n") if z else [] for z, t in zip(r["zones"], r["text"], strict=True)]
+    return each, Stream(each, list(r["host"]))
+
+
+def _send(src: int, key: np.ndarray, note: np.ndarray, shards: int) -> pd.DataFrame:
+    """Ascending keys with their notes, by the range that each lies in."""
+    cut = np.searchsorted(shard_of(key, shards), np.arange(shards + 1))
+    own = [(int(k), src, slice(cut[k], cut[k + 1])) for k in np.flatnonzero(np.diff(cut))]
+    return pd.DataFrame([(k, src, pack_keys(key[x]), _pack(note[x].astype(np.uint32))) for k, src, x in own], columns=["k", "src", "keys", "notes"])
+
+
+def _anchor_maker(shards: int):
+    def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for i in range(len(pdf)):
+                _, s = _blocks_of(pdf.iloc[i : i + 1])
+                least, inside = s.anchors(), s.inside(RUN)
+                key, n = _pages_of(K.mix(least[inside]), s.page[: len(least)][inside])
+                yield _send(int(pdf["src"].iloc[i]), key, n, shards)
+
+    return make
 
 
 def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket of runs: those that two shards of a host have, to each of these."""
-    each = [np.cumsum(_unpack(x, np.uint64), dtype=np.uint64) for x in pdf["keys"]]
-    key, n = np.unique(np.concatenate(each), return_counts=True)
-    key = key[n > 1]
-    own = [k[np.isin(k, key, assume_unique=True)] for k in each]
-    out = pd.DataFrame({"host": pdf["host"], "shard": pdf["shard"], "keys": [_pack(_steps(k)) for k in own]})
-    return out[[len(k) > 0 for k in own]]
-
-
-def _main_text(pdf: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
-    """The pages of one shard of a host, in any order, and runs that its other shards have."""
-    if not len(pdf):
+    """Of one range: the keys that stand on two pages or more, and on how many, to each slice that has them."""
+    each, n = [unpack_keys(x) for x in pdf["keys"]], [_unpack(x, np.uint32).astype(np.int64) for x in pdf["notes"]]
+    key, back = np.unique(np.concatenate(each), return_inverse=True)
+    pages = np.bincount(back.reshape(-1), np.concatenate(n), len(key)).astype(np.int64)
+    key, pages = key[pages > 1], pages[pages > 1]
+    out = []
+    for src, k in zip(pdf["src"], each, strict=True):
+        total = _found(key, pages, k)
+        own = total > 0
+        if own.any():
+            out.append((src, pack_keys(k[own]), _pack(np.minimum(total[own], (1 << 32) - 1).astype(np.uint32))))
+    return pd.DataFrame(out, columns=["src", "keys", "notes"])
+
+
+def _told(replies: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, notes) that ranges tell a slice, ascending."""
+    if not len(replies):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    keys = np.concatenate([unpack_keys(x) for x in replies["keys"]])
+    notes = np.concatenate([_unpack(x, np.uint32) for x in replies["notes"]]).astype(np.int64)
+    order = np.argsort(keys)
+    return keys[order], notes[order]
+
+
+def _run_maker(shards: int):
+    def make(one: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+        """The runs whose anchor stands on two pages, short blocks, and each host's pages."""
+        if not len(one):
+            return pd.DataFrame(columns=["k", "src", "keys", "notes"])
+        _, s = _blocks_of(one)
+        keys, notes = _told(replies)
+        least = s.anchors()
+        at = np.flatnonzero(s.inside(RUN) & (_found(keys, notes, K.mix(least)) > 0)) if len(least) else np.zeros(0, np.int64)
+        block, short = s.short()
+        key = np.concatenate([s.suffixes(RUN)[at], short, K.mix(s.host)])
+        page = np.concatenate([s.page[at], s.block_page[block], np.arange(len(s.host))])
+        return _send(int(one["src"].iloc[0]), *_pages_of(key, page), shards)
+
+    return make
+
+
+def _main_text(one: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+    """The pages of one slice; ``replies`` tell what stands on how many pages of a host."""
+    if not len(one):
         return pd.DataFrame(columns=["page_id", "url", "text", "n_chars", "n_repeated"])
-    each, w, page_of = _tokens(pdf)
-    hit = repeated(w.hash, page_of)
-    if len(shared):
-        at, key = _runs(w.hash, page_of, pdf["host"].iloc[0])
-        theirs = np.concatenate([np.cumsum(_unpack(x, np.uint64), dtype=np.uint64) for x in shared["keys"]])
-        hit |= _cover(len(hit), at[np.isin(key, theirs)], RUN)
-    before = np.concatenate([[0], np.cumsum(hit)])
-    in_block, size = before[w.first[1:]] - before[w.first[:-1]], w.count
+    r = one.iloc[0]
+    each, s = _blocks_of(one)
+    keys, notes = _told(replies)
+    run = s.suffixes(RUN)
+    pages = np.where(s.inside(RUN), _found(keys, notes, run), 0) if len(run) else np.zeros(0, np.int64)
+    enough = np.maximum(MANY, np.ceil(MOST * _found(keys, notes, K.mix(s.host))))[s.page[: len(run)]] if len(run) else pages
+    n = len(s.page)
+    twice, often = _cover(n, np.flatnonzero(pages > 1), RUN), _cover(n, np.flatnonzero((pages > 1) & (pages >= enough)), RUN)
+    block, short = s.short()
+    size = s.w.count
+    in_twice, in_often = (np.diff(np.concatenate([[0], np.cumsum(x)])[s.w.first]) for x in (twice, often))
+    wholly = in_twice.copy()  # with blocks too short for a run
+    same = _found(keys, notes, short) > 1
+    wholly[block[same]] = size[block[same]]
     texts, covered, at = [], [], 0
-    for page, zones in zip(each, pdf["zones"], strict=True):
+    for page, zones in zip(each, r["zones"], strict=True):
         own = slice(at, at + len(page))
         at += len(page)
-        covered.append(int(in_block[own].sum()))
-        zone = MAIN if MAIN in zones else OPEN  # where a page says what its article is, the rest is none
-        text = np.array([z == zone for z in zones], bool)
-        c, s = in_block[own], size[own]
-        copy = c[text].sum() >= COPY * max(1, s[text].sum())
-        keep = text & (copy | (c < COVERED * np.maximum(s, 1)))
+        covered.append(int(in_twice[own].sum()))
+        z = np.array(list(zones))
+        main = MAIN in zones or DOUBT in zones  # where a page says what its article is, the rest is none
+        may = np.isin(z, [MAIN, DOUBT] if main else [OPEN]) if len(z) else np.zeros(0, bool)
+        m = size[own]
+        copy = in_twice[own][may].sum() >= COPY * max(1, m[may].sum())
+        hit = np.where(z == MAIN, in_often[own], wholly[own]) if len(z) else m
+        keep = may & (copy | (hit < COVERED * np.maximum(m, 1)))
         texts.append("\n".join(b for b, k in zip(page, keep, strict=True) if k))
-    return pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts], "n_repeated": covered})
+    page_id = pd.array([None if x is None or x != x else int(x) for x in r["page_id"]], "Int64")
+    return pd.DataFrame({"page_id": page_id, "url": list(r["url"]), "text": texts, "n_chars": [len(t) for t in texts], "n_repeated": covered})
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars and n_repeated of each row of ``pages`` (page_id, url, html).
 
-    A page's blocks are cut at block elements and their references decoded.  Its text
-    are the blocks in an article or main element, but for what is marked as something
-    else there; where a page has none, its unmarked blocks.  Of these, blocks that runs
-    repeated on other pages of its host cover go, unless such runs cover the whole text:
-    copies of a page are to stay.  n_repeated counts the tokens of all blocks in runs.
-
-    Hosts are cut into shards of about SHARD pages by a hash of page_id and url, each
-    with a suffix array of its own, so no task holds a host.  Shards of one host send
-    each kind of run once, by its 64-bit hash, and learn which another shard has too:
-    what repeats does not depend on the shards.
+    A page's blocks are cut at block elements and their references decoded.  What is
+    surely a menu, header, footer, sidebar, notice, advert, form, script, style or reader
+    comment goes by its markup.  Of the rest, the article is taken where the page has one,
+    else all; and repeats on the host decide: blocks outside of articles, and blocks in
+    them that may be none of it, go when runs on two distinct pages cover them (or all of a
+    block that is shorter than a run repeats); blocks of the article itself only when
+    runs cover them that stand on MANY pages and MOST of the host's, since an article may
+    quote another.  A page whose text such runs cover is a copy and keeps it.
+    n_repeated counts the tokens of all blocks in runs of two pages or more.
+
+    Pages are parsed once, into a table of slices; slices send each kind of anchor, and
+    then each kind of run whose anchor repeats, once, dealt by host and tokens.  So the
+    whole of a host is compared, and no task holds a host.  Runs are told apart by 64-bit
+    hashes of host and words.
 
     Null html: empty text, 0 characters.  Null or odd urls share one host ''.  Null
-    page_ids stay null.  Repeated rows give a row each and are one page only if alone.
+    page_ids stay null.  Repeated rows give a row each and are pages of their own, so
+    they are copies.  Elements that nothing closes end with the page; an empty table gives
+    an empty one.
     """
     spark = pages.sparkSession
     ship(spark)
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1), F.lit("")))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), "html")
-    sizes = rows.groupBy("host").agg(F.count("*").alias("count"), F.sum(F.octet_length("html")).alias("size")).where(F.col("count") > SHARD)
-    large = stored(sizes.select("host", F.ceil(F.col("count") / SHARD).alias("shards"), "size"), "hosts")
-    n, size = large.agg(F.count("*"), F.sum("size")).first()
-    buckets = max(partitions(spark), -(-(size or 0) // BUCKET))
-    parsed = rows.mapInArrow(_parser, "page_id long, url string, host string, zones string, text string")
-    side = F.broadcast(large) if n <= FEW_HOSTS else large
-    shards = F.coalesce("shards", F.lit(1))
-    dealt = parsed.join(side.drop("size"), "host", "left").withColumns({"shard": F.pmod(F.xxhash64("page_id", "url"), shards), "shards": shards})
-    by_shard = dealt.groupBy("host", "shard")
-    sent = by_shard.applyInPandas(_sender(buckets), "k long, host string, shard long, keys binary")
-    shared = sent.groupBy("k").applyInPandas(_shared, "host string, shard long, keys binary")
-    return by_shard.cogroup(shared.groupBy("host", "shard")).applyInPandas(_main_text, "page_id long, url string, text string, n_chars long, n_repeated long")
+    size = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    buckets, shards = (max(partitions(spark), -(-size // most)) for most in (BUCKET, RANGE))
+    slices = bucketed(rows.mapInArrow(_parser, _SLICES), "html-slices", "src", buckets)
+    by_src = slices.groupBy("src")
+    anchors = slices.select("src", "host", "zones", "text").mapInPandas(_anchor_maker(shards), _SENT).groupBy("k").applyInPandas(_shared, _REPLY)
+    runs = by_src.cogroup(anchors.groupBy("src")).applyInPandas(_run_maker(shards), _SENT).groupBy("k").applyInPandas(_shared, _REPLY)
+    runs = stored(runs, "html-runs")
+    return by_src.cogroup(runs.groupBy("src")).applyInPandas(_main_text, _TEXT)
