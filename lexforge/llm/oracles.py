@@ -67,3 +67,33 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
+
+ORACLES["op8_substring_dedup"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(doc_id, -9223372036854775808) AS id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), x AS (
+  SELECT row, id, i, array_to_string(w[i:i + 19], ' ') AS words FROM (SELECT row, id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)
+), f AS (
+  SELECT row, i FROM (SELECT row, i, id, min(id) OVER (PARTITION BY words) AS least, min(i) OVER (PARTITION BY words, row) AS first FROM x) WHERE id > least OR i > first
+), g AS (
+  SELECT row, list(p) AS gone FROM (SELECT DISTINCT row, unnest(range(i, i + 20)) AS p FROM f) GROUP BY row
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda y, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN g USING (row)
+"""
+
+ORACLES["op9_jaccard_join"] = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), s AS (
+  SELECT DISTINCT row, array_to_string(w[i:i + 2], ' ') AS shingle FROM (SELECT row, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS (SELECT row, count(*) AS n FROM s GROUP BY row), both_ways AS (
+  SELECT a.row AS a, b.row AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.row <> b.row GROUP BY ALL
+), links AS (
+  SELECT a, b FROM both_ways JOIN n x ON x.row = a JOIN n y ON y.row = b WHERE 100 * shared >= 90 * (x.n + y.n - shared)
+), reach AS (
+  SELECT row, row AS other FROM d UNION SELECT reach.row, b FROM reach JOIN links ON other = a
+), least AS (SELECT reach.row, min(doc_id) AS component_id FROM reach JOIN d ON d.row = other GROUP BY 1)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM d LEFT JOIN n USING (row) JOIN least USING (row)
+"""
