@@ -252,6 +252,46 @@ def test_language(spark):
     assert {r.lang_pred for r in language.identify(df.where("doc_id = 1").withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def brute_grams(text):
+    """N-grams of each word between fences, by falling frequency, then length, then code points."""
+    low, words_ = (text or "").lower(), [""]
+    for c in low:
+        words_[-1:] = [words_[-1] + c] if c.isalpha() else [words_[-1], ""]
+    n = Counter(f"_{w}_"[i : i + k] for w in words_ if w for k in (1, 2, 3) for i in range(len(w) + 3 - k))
+    n.pop("_", None)
+    return n
+
+
+def brute_order(n):
+    return sorted(n, key=lambda g: (-n[g], len(g), [ord(c) for c in g]))
+
+
+@pytest.mark.parametrize("held", [language.HELD, 50])
+def test_language_against_brute_force(spark, monkeypatch, held):
+    monkeypatch.setattr(language, "HELD", held)
+    rng, size = random.Random(8), 30
+    alphabets = {"aa": "abcdeé", "bb": "abxyzü", "zh": "漢字仮名交", "tie": "abcdeé"}
+    texts = []
+    for i in range(120):
+        lang = rng.choice(list(alphabets))
+        texts.append((i, " ".join("".join(rng.choices(alphabets[lang], k=rng.randint(1, 7))) for _ in range(rng.randint(0, 30))) + rng.choice(["", "!? 12", "\n"]), rng.choice([lang, lang, None])))
+    texts += [(200, None, "aa"), (201, "123", "bb"), (202, "Ab ab", None), (None, "ab", "aa"), (203, "ωω", None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, lang string").repartition(3)
+    total = defaultdict(Counter)
+    for i, t, lang in texts:
+        if i is not None and lang and t is not None and zlib.crc32(str(i).encode()) % 3 != 1:
+            total[lang] += brute_grams(t)
+    profiles = {lang: {g: k for k, g in enumerate(brute_order(n)[:size])} for lang, n in total.items() if n}
+    want = []
+    for i, t, _ in texts:
+        top = brute_order(brute_grams(t))[:size]
+        far = {lang: sum(min(abs(ranks.get(g, 10 * size) - k), size) for k, g in enumerate(top)) for lang, ranks in profiles.items()}
+        best = min(sorted(far), key=far.get) if top else "und"
+        want.append((i, i is not None and zlib.crc32(str(i).encode()) % 3 == 1, best, round(1 - far[best] / (size * len(top)), 9) if top else 0.0))
+    got = [(r.doc_id, r.held_out, r.lang_pred, round(r.score, 9)) for r in language.identify(df, size).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 # 4
 
 
@@ -334,6 +374,87 @@ def test_html_repeats_inside_articles(spark):
     got = {r.page_id: r.text for r in html_text.extract(df).collect()}
     assert all(line not in got[k] and got[k].startswith(f"s{k}_0 ") for k in range(6))
     assert got[10] == got[11] and got[10].endswith(line)  # copies of a page keep theirs
+    few = spark.createDataFrame([*pages[:2], *((20 + k, f"http://a.example/{k}", f"<article><p>{' '.join(f'z{k}_{j}' for j in range(30))}</p></article>") for k in range(6))], "page_id long, url string, html string")
+    assert sum(line in r.text for r in html_text.extract(few).collect()) == 2  # two of eight may quote the same
+
+
+def brute_main_text(pages):
+    """The rules of html_text.extract with sets of token sequences, page by page."""
+    host = lambda u: (re.match(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", u or "") or ["", ""])[1].lower()
+    parsed = [(host(u), html_text.blocks(h)) for _, u, h in pages]
+    stands, hosts = defaultdict(set), Counter(h for h, _ in parsed)
+    for k, (h, b) in enumerate(parsed):
+        tokens = [x for _, t in b for x in WORD.findall(t)]
+        for i in range(len(tokens) - 7):
+            stands[h, tuple(tokens[i : i + 8])].add(k)
+        for _, t in b:
+            if 0 < len(WORD.findall(t)) < 8:
+                stands[h, "short", tuple(WORD.findall(t))].add(k)
+    out = []
+    for (page_id, url, _), (h, b) in zip(pages, parsed):
+        per = [WORD.findall(t) for _, t in b]
+        tokens, of = [x for w in per for x in w], [j for j, w in enumerate(per) for _ in w]
+        twice, often = set(), set()
+        for i in range(len(tokens) - 7):
+            n = len(stands[h, tuple(tokens[i : i + 8])])
+            twice.update(range(i, i + 8) if n > 1 else ())
+            often.update(range(i, i + 8) if n > 1 and n >= max(3, hosts[h] / 2) else ())
+        share = lambda which, j: sum(1 for i in which if of[i] == j)
+        main = any(z in "md" for z, _ in b)
+        may = [j for j, (z, _) in enumerate(b) if z in ("md" if main else "o")]
+        copy = sum(share(twice, j) for j in may) >= 0.8 * max(1, sum(len(per[j]) for j in may))
+        kept = []
+        for j in may:
+            n = len(per[j])
+            hit = share(often, j) if b[j][0] == "m" else n if 0 < n < 8 and len(stands[h, "short", tuple(per[j])]) > 1 else share(twice, j)
+            if copy or hit < 0.8 * max(1, n):
+                kept.append(b[j][1])
+        out.append((page_id, url, "\n".join(kept), len(twice)))
+    return out
+
+
+def test_html_against_brute_force(spark, monkeypatch):
+    rng = random.Random(11)
+    words_ = lambda k, n: " ".join(f"{k}{rng.randint(0, 10**6)}" for _ in range(n))
+    bars = [words_("b", n) for n in (3, 5, 7, 8, 9, 20, 40)]
+    pages = []
+    for k in range(90):
+        host = rng.choice(["a.example", "A.example", "b.example", "c.example"])
+        parts = [f"<p>{words_('t', rng.randint(1, 30))}</p>" for _ in range(rng.randint(0, 4))]
+        for _ in range(rng.randint(0, 4)):
+            mark = rng.choice(["", "", ' class="share"', ' class="ad box"', ' id="discussion"'])
+            parts.insert(rng.randint(0, len(parts)), f"<div{mark}>{rng.choice(bars)}</div>")
+        body = "".join(parts)
+        if rng.random() < 0.6:
+            body = f"<p>{rng.choice(bars)}</p><article>{body}</article><p>{rng.choice(bars)}</p>"
+        pages.append((k, f"http://{host}/{k}", rng.choice([f"<body>{body}</body>", f"<html><body><nav>menu</nav>{body}"])))
+    pages += [(200 + j, f"http://b.example/copy{j}", pages[3][2]) for j in range(3)] + [(300, None, None), (None, "odd", pages[4][2]), (None, "odd", pages[4][2]), (301, "http://d.example/", "<svg>" * 2000 + "<p>x</p>")]
+    want = brute_main_text(pages)
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
+    for size in (html_text.SLICE, 3000):  # a host in one slice, or in many
+        monkeypatch.setattr(html_text, "SLICE", size)
+        got = [(r.page_id, r.url, r.text, r.n_repeated) for r in html_text.extract(df).collect()]
+        assert sorted(map(str, got)) == sorted(map(str, want))
+    alone = [(i, u, "\n".join(t for z, t in html_text.blocks(h) if z in ("md" if any(y in "md" for y, _ in html_text.blocks(h)) else "o"))) for i, u, h in pages]
+    assert sum(a != w[:3] for a, w in zip(alone, want)) > 30  # what repeats decides
+
+
+def test_html_marks_in_doubt(spark):
+    page = lambda k: f"""<main><p>{" ".join(f"s{k}_{j}" for j in range(30))}</p><section id="discussion"><p>{" ".join(f"d{k}_{j}" for j in range(9))}</p></section>
+    <div class="market-share">Shares of {k} rose by {k} percent in one long day of trade</div><div class="cta-box">Join our club today</div><div class="social">Tell a friend of yours</div></main>"""
+    df = spark.createDataFrame([(k, f"http://n.example/{k}", page(k)) for k in range(3)], "page_id long, url string, html string")
+    for r in html_text.extract(df).collect():
+        assert f"d{r.page_id}_8" in r.text and "Shares of" in r.text and "club" not in r.text and "friend" not in r.text
+
+
+def test_html_unclosed_elements_take_linear_time():
+    import time
+
+    for piece in ("<svg>", "<div>", "<select>", "<p><b>", "<li>", "<!--", "<a href='"):
+        html_text.blocks(piece * 100)
+        began = time.process_time()
+        html_text.blocks(piece * 60_000)
+        assert time.process_time() - began < 8
 
 
 def test_repeated_runs():
