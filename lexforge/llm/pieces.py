@@ -20,7 +20,7 @@ import numpy as np
 from . import words as K
 
 #: Pieces that a worker remembers, and bytes of them; beyond either, it starts anew.
-REMEMBERED, REMEMBERED_BYTES = 200_000, 8 << 20
+REMEMBERED, REMEMBERED_BYTES = 800_000, 32 << 20
 
 
 class PieceCache:
