@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import rules as L, text as T
 from ..functions.tokens import ESTIMATE as T_ESTIMATE
 from ..operators import analytics as A, audit, catalog as M, chunking as K, context as C, evaluation as E, ranking as R
+from ..scratch import scratch_path
 from ..sources import files as S
 from . import standins as X
 
@@ -686,10 +687,12 @@ def j15_validity_errors(spark, sf_dir):
 
 # -- evaluation ---------------------------------------------------------------------
 
-_METRICS = """rel AS (SELECT doc_id AS item FROM labels WHERE quality = 1), ranked AS (SELECT query_id, document_id AS item, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) AS rank FROM tf),
-hits AS (SELECT query_id, rank, (item IN (SELECT item FROM rel))::INT AS hit FROM ranked), seen AS (SELECT *, sum(hit) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING)::BIGINT AS upto FROM hits),
-metrics AS (SELECT query_id, round(sum(hit) FILTER (rank <= 20) / (SELECT count(*) FROM rel)::DOUBLE, 6) AS recall, round(sum(hit) FILTER (rank <= 20) / count(*) FILTER (rank <= 20)::DOUBLE, 6) AS precision,
-  round(coalesce(1.0::DOUBLE / min(rank) FILTER (hit = 1), 0), 6) AS reciprocal_rank, round(coalesce(sum(upto / rank::DOUBLE) FILTER (hit = 1), 0) / (SELECT count(*) FROM rel), 6) AS average_precision FROM seen GROUP BY 1)"""
+_METRICS = """rel AS (SELECT query_id, doc_id AS item FROM labels JOIN (SELECT DISTINCT query_id FROM tf) ON doc_id % 5 = query_id % 5 WHERE quality = 1), many AS (SELECT query_id, count(*) AS n FROM rel GROUP BY 1),
+ranked AS (SELECT query_id, document_id AS item, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) AS rank FROM tf),
+hits AS (SELECT ranked.query_id, rank, (rel.item IS NOT NULL)::INT AS hit FROM ranked LEFT JOIN rel ON rel.query_id = ranked.query_id AND rel.item = ranked.item),
+seen AS (SELECT *, sum(hit) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING)::BIGINT AS upto FROM hits),
+metrics AS (SELECT query_id, round(coalesce(sum(hit) FILTER (rank <= 20) / any_value(n)::DOUBLE, 0), 6) AS recall, round(sum(hit) FILTER (rank <= 20) / count(*) FILTER (rank <= 20)::DOUBLE, 6) AS precision,
+  round(coalesce(1.0::DOUBLE / min(rank) FILTER (hit = 1), 0), 6) AS reciprocal_rank, round(coalesce(sum(upto / rank::DOUBLE) FILTER (hit = 1) / any_value(n), 0), 6) AS average_precision FROM seen LEFT JOIN many USING (query_id) GROUP BY 1)"""
 
 
 def _metrics(spark, sf_dir):
@@ -697,9 +700,9 @@ def _metrics(spark, sf_dir):
 
     s = _tf(spark, sf_dir)[1]
     ranked = s.select("query_id", F.col("document_id").alias("item"), F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "document_id")).alias("rank"))
-    good = X.read(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("item"))
-    relevant = ranked.select("query_id").distinct().crossJoin(good)
-    m = E.ranking_metrics(ranked, relevant, 20)
+    good = X.read(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("item"), (F.col("doc_id") % 5).alias("kind"))
+    asked = X.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 5).alias("kind"))
+    m = E.ranking_metrics(ranked, asked.join(good, "kind").select("query_id", "item"), 20)
     return m.select("query_id", *(F.round(c, 6).alias(c) for c in m.columns if c != "query_id"))
 
 
@@ -1059,3 +1062,30 @@ def k07_embed(spark, sf_dir):
     d = X.read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
     out = K.embed(d, lambda texts: [[float(ord(t[0]) + len(t)), 1.0] for t in texts])
     return out.select("doc_id", F.element_at("embedding", 1).alias("first"), F.element_at("embedding", 2).alias("second"))
+
+
+@query("SELECT item_id::VARCHAR AS id, text AS question, list_transform(string_split(text, ' ')[1:2], lambda x: x || '\"') AS relevant_documents FROM benchmark")
+def s14_s16_results(spark, sf_dir):
+    b = X.read(spark, sf_dir, "benchmark")
+    rows = b.select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("question"), F.transform(F.slice(F.split("text", " "), 1, 2), lambda x: F.concat(x, F.lit('"'))).alias("relevant_documents"))
+    path = scratch_path(spark, "results")
+    S.write_results(rows, path)
+    return S.read_cases(spark, path, rows.schema)
+
+
+@query("SELECT 'a, ' || p_name || ', b' AS document, p_type || ', \"x\"' AS title, p_partkey::VARCHAR AS notes FROM part")
+def s19_register(spark, sf_dir):
+    p = X.read(spark, sf_dir, "part")
+    line = F.concat(F.lit("a, "), "p_name", F.lit(', b,"'), "p_type", F.lit(', ""x""",'), F.col("p_partkey").cast("string"))
+    path = scratch_path(spark, "register")
+    p.select(line.alias("value")).unionByName(spark.createDataFrame([("document,title,notes",), (" ",)], "value string")).write.text(path)
+    return S.read_register(spark, path, ["document", "title", "notes"])
+
+
+@query("SELECT s_suppkey AS id, s_name || chr(10) || s_suppkey AS text FROM supplier WHERE s_suppkey <> 3")
+def s13_texts(spark, sf_dir):
+    s = X.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.concat("s_name", F.lit("\n"), F.col("s_suppkey").cast("string")).alias("text"))
+    path = scratch_path(spark, "texts")
+    S.write_texts(s, path)
+    S.delete_text(spark, path, 3)
+    return S.read_text_of(spark, path)

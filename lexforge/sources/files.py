@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -80,16 +80,23 @@ def docx_text(content: bytes | None) -> str | None:
     return "\n".join(x for x in lines if x.strip())
 
 
-def pdf_pages(content: bytes | None) -> list[dict] | None:
-    """Numbered pages; null where the optional reader is absent or can't read."""
+def _pypdf(content: bytes) -> list[str]:
+    from pypdf import PdfReader
+
+    return [p.extract_text() or "" for p in PdfReader(io.BytesIO(content)).pages]
+
+
+def pdf_pages(content: bytes | None, reader: Callable[[bytes], list[str]] | None = None) -> list[dict] | None:
+    """Numbered pages of a PDF, as ``reader`` (by default the optional pypdf) reads their texts.
+
+    Null for a file that can't be read; without any reader that is an error of the job.
+    """
     if content is None:
         return None
     try:
-        from pypdf import PdfReader
-    except ImportError:
-        return None
-    try:
-        return [{"page_number": i, "text": p.extract_text() or ""} for i, p in enumerate(PdfReader(io.BytesIO(content)).pages, 1)]
+        return [{"page_number": i, "text": t} for i, t in enumerate((reader or _pypdf)(content), 1)]
+    except ImportError as e:
+        raise RuntimeError("reading PDF takes pypdf, or a reader of your own") from e
     except Exception:  # noqa: BLE001  a broken file is a row without pages
         return None
 
@@ -99,9 +106,12 @@ def _docx(s: pd.Series) -> pd.Series:
     return s.map(docx_text)
 
 
-@F.pandas_udf(_PAGES)
-def _pdf(s: pd.Series) -> pd.Series:
-    return s.map(pdf_pages)
+def _pdf(c: Column, reader: Callable[[bytes], list[str]] | None) -> Column:
+    @F.pandas_udf(_PAGES)
+    def read(s: pd.Series) -> pd.Series:
+        return s.map(lambda content: pdf_pages(content, reader))
+
+    return read(c)
 
 
 def kind_of(content_type: Column, url: Column) -> Column:
@@ -119,15 +129,15 @@ def _flat(pages: Column, between: str) -> Column:
     return F.array_join(F.transform(F.array_sort(pages), lambda p: p["text"]), between)
 
 
-def extract(files: DataFrame, between_pages: str = "\n") -> DataFrame:
+def extract(files: DataFrame, between_pages: str = "\n", pdf_reader: Callable[[bytes], list[str]] | None = None) -> DataFrame:
     """Text, pages and error of rows (content, content_type, url); a bad file is a row with an error.
 
     Pages of a file are joined by one line end, those of a fetched address by two
-    (``between_pages``).
+    (``between_pages``).  ``pdf_reader`` gives the texts of a PDF's pages.
     """
     ship(files.sparkSession)
     rows = files.withColumn("kind", kind_of(F.col("content_type"), F.col("url")))
-    rows = rows.withColumn("pages", F.when(F.col("kind") == "pdf", F.transform(_pdf(F.when(F.col("kind") == "pdf", F.col("content"))), lambda p: F.struct(p["page_number"].alias("page_number"), T.clean_text(p["text"]).alias("text")))))
+    rows = rows.withColumn("pages", F.when(F.col("kind") == "pdf", F.transform(_pdf(F.when(F.col("kind") == "pdf", F.col("content")), pdf_reader), lambda p: F.struct(p["page_number"].alias("page_number"), T.clean_text(p["text"]).alias("text")))))
     flat = T.clean_text(_flat(F.col("pages"), between_pages)) if between_pages == "\n" else _flat(F.col("pages"), between_pages)
     docx = T.clean_text(_docx(F.when(F.col("kind") == "docx", F.col("content"))))
     page = html_text(F.when(F.col("kind") == "html", F.decode("content", "utf-8")))
@@ -169,12 +179,12 @@ def _get(url: str | None, timeout: float) -> tuple[str | None, bytes | None, str
         return url, None, None, f"{type(e).__name__}: {e}"
 
 
-def fetch_documents(addresses: DataFrame, timeout: float = 30.0) -> DataFrame:
+def fetch_documents(addresses: DataFrame, timeout: float = 30.0, pdf_reader: Callable[[bytes], list[str]] | None = None) -> DataFrame:
     """Rows with url, fetched and extracted: content, kind, text, pages and error."""
-    return extract(fetch(addresses, timeout), between_pages="\n\n")
+    return extract(fetch(addresses, timeout), between_pages="\n\n", pdf_reader=pdf_reader)
 
 
-def fetch_shared(links: DataFrame, timeout: float = 30.0, template: str = "https://drive.google.com/uc?export=download&id={id}") -> DataFrame:
+def fetch_shared(links: DataFrame, timeout: float = 30.0, pdf_reader: Callable[[bytes], list[str]] | None = None, template: str = "https://drive.google.com/uc?export=download&id={id}") -> DataFrame:
     """Rows with the url of a shared file, downloaded by its id: text, kind and error.
 
     What is neither PDF nor a text document is taken as plain text.
@@ -186,7 +196,7 @@ def fetch_shared(links: DataFrame, timeout: float = 30.0, template: str = "https
     got = fetch(rows, timeout)
     t = F.coalesce("content_type", F.lit(""))
     got = got.withColumn("kind", F.when(t.contains("pdf"), "pdf").when(t.contains("document") | t.contains("docx"), "docx").otherwise("text"))
-    pages = _pdf(F.when(F.col("kind") == "pdf", F.col("content")))
+    pages = _pdf(F.when(F.col("kind") == "pdf", F.col("content")), pdf_reader)
     text = F.when(F.col("kind") == "pdf", _flat(pages, "\n")).when(F.col("kind") == "docx", _docx(F.when(F.col("kind") == "docx", F.col("content")))).otherwise(F.decode("content", "utf-8"))
     return got.withColumn("text", T.clean_text(text)).withColumn("error", F.when(F.col("url").isNull(), "no file id in the link").otherwise(F.col("error")))
 

@@ -269,7 +269,9 @@ def test_streaming(spark, tmp_path):
             spark.createDataFrame([(1, text, None)], schema).withColumn("added_at", F.current_timestamp()).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
         incremental.index_arrivals(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert sorted(r.content for r in M.current(spark, str(tmp_path / "out")).collect()) == ["other", "second"]
+    assert sorted(r.content for r in incremental.indexed(spark, str(tmp_path / "out")).collect()) == ["other", "second"]
+    incremental.compact(spark, str(tmp_path / "out"), str(tmp_path / "compact"))
+    assert spark.read.parquet(str(tmp_path / "compact")).count() == 2
     usage = spark.createDataFrame([("assistant", 1.5, "2024-01-01 10:00:00"), ("user", 9.0, "2024-01-01 10:00:00"), ("assistant", 2.0, "2024-01-05 10:00:00")], "role string, cost_usd double, at string")
     usage.withColumn("created_at", F.col("at").cast("timestamp")).drop("at").write.parquet(str(tmp_path / "u"))
     windows = incremental.cost_windows(spark.readStream.schema("role string, cost_usd double, created_at timestamp").parquet(str(tmp_path / "u")))

@@ -107,6 +107,19 @@ def test_fetching(spark, web):
     assert got[1].text == "a b" and got[2].error == "no file id in the link"
 
 
+def test_pages_of_files(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"one  x|two|")
+    (tmp_path / "b.pdf").write_bytes(b"broken")
+    read = lambda content: content.decode().split("|") if b"|" in content else 1 / 0
+    got = {r.url.rsplit("/", 1)[1]: r for r in S.extract(S.read_files(spark, str(tmp_path)), pdf_reader=read).collect()}
+    assert got["a.pdf"].text == "one x\ntwo" and [(p.page_number, p.text) for p in got["a.pdf"].pages] == [(1, "one x"), (2, "two"), (3, "")]
+    assert got["b.pdf"].error == "unreadable"
+    chunks = K.chunk(spark.createDataFrame([(1, got["a.pdf"].text, [(1, "one x"), (2, "two"), (3, "")])], "document_id long, text string, pages array<struct<page_number:int,text:string>>"))
+    assert [(r.chunk_index, r.page_start) for r in chunks.orderBy("chunk_index").collect()] == [(0, 1), (1, 2)]
+    with pytest.raises(Exception, match="pypdf"):
+        S.extract(S.read_files(spark, str(tmp_path))).collect()
+
+
 def documents(spark, web):
     rows = [(1, "t1", "url", f"see `{web}/page`", "old", True), (2, "t2", "url", "no address", "old", True), (3, "t3", "url", f"{web}/none", "old", True), (4, "t4", "pdf", "f", "body", True), (5, "t5", "pdf", "g", "", True), (6, "t6", "pdf", "h", "body", False)]
     docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "id long, title string, source_type string, source_ref string, text string, is_active boolean, source_checksum string, token_count long")
