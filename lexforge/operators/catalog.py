@@ -69,6 +69,12 @@ def validity_errors(changes: DataFrame, documents: DataFrame) -> DataFrame:
     return changes.join(ids, "superseded_by", "left").select("id", errors.alias("errors"))
 
 
+def metadata_errors(changes: DataFrame) -> DataFrame:
+    """What is wrong with changes of metadata: a title of nothing but white space (null keeps the old one)."""
+    blank = F.when(T.strip(F.col("title")) == "", "blank_title")
+    return changes.select("id", F.array_compact(F.array(blank)).alias("errors"))
+
+
 def set_metadata(documents: DataFrame, chunks: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Changes (id, title, topic, document_type, lifecycle_status); null keeps; titles reach the chunks."""
     new = {c: F.coalesce(f"new_{c}", c) for c in ("title", "topic", "document_type")}

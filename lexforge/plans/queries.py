@@ -154,11 +154,14 @@ def f15_header(spark, sf_dir):
     return d.select("id", T.header(F.col("title"), F.col("source_ref"), F.col("effective_date"), status).alias("header"))
 
 
-@query(_with(X.USAGE) + "SELECT id, round(input_tokens * 4000 / 1e6::DOUBLE * 0.15::DOUBLE + output_tokens * 4000 / 1e6::DOUBLE * 0.6::DOUBLE, 6) AS cost, round(input_tokens * 4000 / 1e6::DOUBLE * 0.15::DOUBLE + output_tokens * 4000 / 1e6::DOUBLE * 0.6::DOUBLE + cache_read_tokens * 4000 / 1e6::DOUBLE * 0.0375::DOUBLE + coalesce(cache_write_tokens, 0) * 4000 / 1e6::DOUBLE * 0.15::DOUBLE, 6) AS total FROM usage")
-def f24_cost(spark, sf_dir):
+_COSTS = {k: f"coalesce({k}_tokens, 0) * 4000 / 1e6::DOUBLE * {L.PRICES[k]}::DOUBLE" for k in ("input", "output", "cache_read", "cache_write")}
+
+
+@query(_with(X.USAGE) + f"SELECT id, round({_COSTS['input']} + {_COSTS['output']}, 6) AS cost, {', '.join(f'round({v}, 6) AS {k}_cost' for k, v in _COSTS.items())}, round({' + '.join(_COSTS.values())}, 6) AS total FROM usage")
+def f24_f25_costs(spark, sf_dir):
     u = X.usage(spark, sf_dir)
-    n = {k: F.col(f"{k}_tokens") * 4000 for k in ("input", "output", "cache_read", "cache_write")}
-    return u.select("id", T.cost(n["input"], n["output"]).alias("cost"), T.cost_parts(n)["total"].alias("total"))
+    n = {k: F.col(f"{k}_tokens") * 4000 for k in _COSTS}
+    return u.select("id", T.cost(n["input"], n["output"]).alias("cost"), T.cost_parts(n).alias("p")).select("id", "cost", "p.*")
 
 
 @query("SELECT p_partkey, CASE WHEN contains(f, '.') THEN lower(split_part(f, '.', -1)) ELSE '' END AS ext, coalesce(nullif(regexp_replace(lower(CASE WHEN contains(f, '.') THEN lower(split_part(f, '.', -1)) ELSE '' END), '[^a-z0-9]', '', 'g'), ''), 'bin') AS safe, sha256(f) AS checksum FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE p_name || '.P-' || p_type END AS f FROM part)")
@@ -493,11 +496,13 @@ def k03_token_cap(spark, sf_dir):
     return d.select("doc_id", "part", F.length("content").alias("n_chars"), T.estimate_tokens(F.col("content")).alias("tokens"))
 
 
-@query("""SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY page_number)::INT - 1 AS chunk_index, 'קטע 1' AS section_header, text AS content, page_number AS page_start, page_number AS page_end
-  FROM (SELECT conv_id AS document_id, turn::INT + 1 AS page_number, text FROM conversations) WHERE trim(text) <> ''""")
+@query(
+    "WITH RECURSIVE pages_of AS (SELECT conv_id AS doc_id, turn AS i, text FROM conversations), " + _split_sql("pages_of", "doc_id, i", 60, 4) + """
+SELECT doc_id AS document_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i, part) - 1)::INT AS chunk_index, 'קטע ' || (part + 1) AS section_header, content, i::INT + 1 AS page_start, i::INT + 1 AS page_end FROM pieces WHERE trim(content) <> ''"""
+)
 def k05_pages(spark, sf_dir):
     p = X.read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("document_id"), (F.col("turn") + 1).cast("int").alias("page_number"), "text")
-    return K.chunk_pages(p)
+    return K.chunk_pages(p, most=60, overlap=4)
 
 
 # -- analytics ---------------------------------------------------------------------
@@ -749,15 +754,24 @@ def _ranked_titles(spark, sf_dir):
     return r.select(F.col("query_id").cast("string").alias("id"), F.col("position").alias("rank"), F.col("document_title").alias("title"), F.col("document_ref").alias("source_ref"))
 
 
-@query(_with(*_RETRIEVAL) + """SELECT id, found, passed FROM (
-  SELECT id, CASE WHEN g IS NULL THEN '' ELSE 'src1' END AS found, g IS NOT NULL AND b IS NULL AS passed FROM (
-    SELECT query_id::VARCHAR AS id, max(CASE WHEN contains(lower(document_title), 'src1') THEN 1 END) AS g, max(CASE WHEN NOT contains(lower(document_title), 'src1') AND contains(lower(document_title), 'src7') THEN 1 END) AS b
-    FROM (SELECT query_id, document_id, arg_min(document_title, place) AS document_title FROM capped WHERE place <= 20 GROUP BY ALL) GROUP BY 1))""")
+_HITS = """first_of AS (
+  SELECT query_id, document_title, row_number() OVER (PARTITION BY query_id ORDER BY first) AS position FROM (
+    SELECT query_id, document_id, min(place) AS first, arg_min(document_title, place) AS document_title FROM capped WHERE place <= 20 GROUP BY ALL)
+), judged AS (
+  SELECT *, contains(lower(document_title), 'src1') AS hit, NOT contains(lower(document_title), 'src1') AND contains(lower(document_title), 'src7') AS bad, sum(contains(lower(document_title), 'src1')::INT) OVER (PARTITION BY query_id ORDER BY position) AS upto FROM first_of
+)"""
+
+
+@query(_with(*_RETRIEVAL, _HITS) + """SELECT query_id::VARCHAR AS id, count(*) FILTER (hit)::DOUBLE AS recall, round(count(*) FILTER (hit) / count(*)::DOUBLE, 6) AS precision, round(coalesce(1.0::DOUBLE / min(position) FILTER (hit), 0), 6) AS reciprocal_rank,
+  round(coalesce(sum(upto / position::DOUBLE) FILTER (hit), 0), 6) AS average_precision, CASE WHEN bool_or(hit) THEN 'src1' ELSE '' END AS found, CASE WHEN bool_or(hit) THEN '' ELSE 'src1' END AS missing,
+  CASE WHEN bool_or(bad) THEN 'src7' ELSE '' END AS distractors, bool_or(hit) AND NOT bool_or(bad) AS passed FROM judged GROUP BY query_id""")
 def e06_ranking_scores(spark, sf_dir):
     ranked = _ranked_titles(spark, sf_dir)
     one = lambda x: F.array(F.lit(x))
     cases = X.questions(spark, sf_dir).select(F.col("query_id").cast("string").alias("id"), one("SRC1 ").alias("relevant_documents"), F.lit(None).cast("array<string>").alias("expected_documents"), one("src7").alias("distractor_documents"))
-    return E.score_rankings(cases, ranked).select("id", F.lower(T.strip(F.array_join("found", ","))).alias("found"), "passed")
+    out = E.score_rankings(cases, ranked)
+    flat = lambda c: F.lower(T.strip(F.array_join(c, ","))).alias(c)
+    return out.select("id", *(F.round(c, 6).alias(c) for c in ("recall", "precision", "reciprocal_rank", "average_precision")), flat("found"), flat("missing"), flat("distractors"), "passed")
 
 
 _STATS = "count(*) AS n, count(*) FILTER (passed) AS passed, count(*) FILTER (error IS NOT NULL) AS errors, round(avg(passed::INT), 6) AS pass_rate, round(avg(coalesce(conclusion_score, 0)), 6) AS conclusion_score, round(avg(coalesce(required_concepts_score, 0)), 6) AS required_concepts_score, round(avg(coalesce(actionability_score, 0)), 6) AS actionability_score, round(avg(coalesce(clarification_score, 0)), 6) AS clarification_score"
@@ -1089,3 +1103,10 @@ def s13_texts(spark, sf_dir):
     S.write_texts(s, path)
     S.delete_text(spark, path, 3)
     return S.read_text_of(spark, path)
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 1 THEN 'blank_title' ELSE '' END AS errors FROM part")
+def p07_metadata_errors(spark, sf_dir):
+    i = F.col("p_partkey")
+    changes = X.read(spark, sf_dir, "part").select(i.alias("id"), F.when(i % 3 == 0, "p").when(i % 3 == 1, " \n").alias("title"))
+    return M.metadata_errors(changes).select("id", F.array_join("errors", ",").alias("errors"))
