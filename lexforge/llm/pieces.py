@@ -145,8 +145,43 @@ _LOWER_STEPS = {
 }
 
 
+@lru_cache(maxsize=4)
+def lowers(path: str) -> bool:
+    """Whether a tokenizer has _LOWER_STEPS, and no added token that is a word with a stop."""
+    steps = json.loads(Path(path).read_text(encoding="utf-8"))
+    return {k: steps.get(k) for k in _LOWER_STEPS} == _LOWER_STEPS and all("<" in t["content"] for t in steps["added_tokens"])
+
+
+def split_lower(texts, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, start, end, first): the words of texts as pieces whose ids, one after the other, are the text's.
+
+    For tokenizers that :func:`lowers`, words of ASCII without "<" (which begins the added
+    tokens) are lower-cased here, and a full stop or comma after a letter or digit is a
+    piece of its own: both are steps of the tokenizer, and so fewer pieces are new.
+    """
+    w = K.split(texts, hashes=False)
+    if not lowers(path) or not len(w.start):
+        return w.data, w.start, w.end, w.first
+    data, start, end = w.data, w.start, w.end
+    odd = np.concatenate([[0], np.cumsum((data >= 0x80) | (data == 0x3C))])
+    plain = odd[end] == odd[start]
+    step = np.zeros(len(data) + 1, np.int8)
+    step[start[~plain]] += 1
+    step[end[~plain]] -= 1  # words don't touch
+    data = np.where(np.cumsum(step[:-1]) > 0, data, K.LOWER[data])
+    before = data[np.maximum(end - 2, 0)]
+    stop = (data[end - 1] == 0x2E) | (data[end - 1] == 0x2C)
+    cut = plain & stop & (end - start > 1) & ((before >= 0x61) & (before <= 0x7A) | (before >= 0x30) & (before <= 0x39))
+    more = np.cumsum(cut)
+    at = np.arange(len(start)) + more - cut
+    out_start, out_end = np.empty(len(start) + int(cut.sum()), np.int64), np.empty(len(start) + int(cut.sum()), np.int64)
+    out_start[at], out_end[at] = start, end - cut
+    out_start[at[cut] + 1], out_end[at[cut] + 1] = end[cut] - 1, end[cut]
+    return data, out_start, out_end, w.first + np.concatenate([[0], more])[w.first]
+
+
 def lower_words(path: str) -> Callable[[list[str]], list[list[int]]]:
-    """Like :func:`plain`, with a short way for tokenizers whose steps are _LOWER_STEPS.
+    """Like :func:`plain`, with a short way for tokenizers that :func:`lowers`.
 
     Words of Latin letters, with a full stop or comma at most, go to the library's
     merge model directly, which skips its per-text bookkeeping: those steps do nothing
@@ -154,8 +189,7 @@ def lower_words(path: str) -> Callable[[list[str]], list[list[int]]]:
     and every text of another tokenizer, takes the whole library.
     """
     tok, whole = library(path), plain(path)
-    steps = json.loads(Path(path).read_text(encoding="utf-8"))
-    if {k: steps.get(k) for k in _LOWER_STEPS} != _LOWER_STEPS or any(_SIMPLE.search(t["content"]) and t["content"].strip(".,").isalpha() for t in steps["added_tokens"]):
+    if not lowers(path):
         return whole
     merge = tok.model.tokenize
     printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]

@@ -22,7 +22,7 @@ from .common import partitions, release, scratch_path, ship, stored
 
 #: Id that ends each document; tokens that make a segment full.
 END_ID = 1
-SEGMENT = 1 << 18
+SEGMENT = 1 << 19
 #: Bytes of text that make a range of documents.
 RANGE = 64 << 20
 
@@ -58,9 +58,9 @@ def _stager(path: str, end_id: int, full: int):
 
         for batch in batches:
             for rows in K.slices(batch, "text"):
-                w = K.split(rows.column("text"))
-                at = cache.places(w.data, w.start, w.end, w.hash)
-                upto = np.concatenate([[0], np.cumsum(cache.size[at], dtype=np.int64)])[w.first]
+                data, begin, end, first = P.split_lower(rows.column("text"), path)
+                at = cache.places(data, begin, end, K.span_hashes(data, begin, end))
+                upto = np.concatenate([[0], np.cumsum(cache.size[at], dtype=np.int64)])[first]
                 ids = np.insert(cache.gather(at), upto[1:], end_id)
                 held.append((rows.column("doc_id"), np.diff(upto) + 1, ids))
                 tokens += len(ids)
