@@ -476,6 +476,9 @@ def test_repeated_runs():
 def test_token_file(spark):
     path = P.path("word_bpe_49k.json")
     texts = odd_texts() + [(200, "Don't <|endoftext|> stop Σας é"), (201, " ".join(thue_morse("a", "b"))), (None, None), (7, "y")]
+    rng = random.Random(12)
+    bits = ["The", "THE", "cat", ".", ",", ".,", "..", "1", "9.", "x1.", "don't.", "I'LL,", "J\u030c", "I\u0307", "\u0130.", "É.", "é,", "<|EndOfText|>", "<|endoftext|>.", "<|", "A<", "漢.", "ß.", "K\u212a", "-", "a-b.", "…", "'S"]
+    texts += [(400 + k, "".join(rng.choice(bits) + rng.choice(["", " ", "\n", "\x1c", "\u00a0"]) for _ in range(rng.randint(0, 40)))) for k in range(150)]
     df = frame(spark, texts)
     tok = pieces.library(path)
     got = [r for r in token_file.round_trip(df, path).orderBy("start").collect()]
