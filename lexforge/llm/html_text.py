@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import words as K
-from .common import bucketed, partitions, ship, stored
+from .common import bucketed, partitions, ship
 from .substrings import _pack, _sliding, _unpack, pack_keys, shard_of, unpack_keys
 
 #: Bytes of html of a slice; of the slices of a bucket, and of pages whose suffixes meet in one task.
@@ -447,5 +447,4 @@ def extract(pages: DataFrame) -> DataFrame:
     by_src = slices.groupBy("src")
     anchors = slices.select("src", "host", "zones", "text").mapInPandas(_anchor_maker(shards), _SENT).groupBy("k").applyInPandas(_shared, _REPLY)
     runs = by_src.cogroup(anchors.groupBy("src")).applyInPandas(_run_maker(shards), _SENT).groupBy("k").applyInPandas(_shared, _REPLY)
-    runs = stored(runs, "html-runs")
     return by_src.cogroup(runs.groupBy("src")).applyInPandas(_main_text, _TEXT)
