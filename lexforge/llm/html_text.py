@@ -332,24 +332,28 @@ def _anchor_maker(shards: int):
                 _, s = _blocks_of(pdf.iloc[i : i + 1])
                 least, inside = s.anchors(), s.inside(RUN)
                 key, n = _pages_of(K.mix(least[inside]), s.page[: len(least)][inside])
-                yield _send(int(pdf["src"].iloc[i]), key, n, shards)
+                yield _send(int(pdf["src"].iloc[i]), key, np.minimum(n, 2), shards)  # one page, or more
 
     return make
 
 
-def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one range: the keys that stand on two pages or more, and on how many, to each slice that has them."""
-    each, n = [unpack_keys(x) for x in pdf["keys"]], [_unpack(x, np.uint32).astype(np.int64) for x in pdf["notes"]]
-    key, back = np.unique(np.concatenate(each), return_inverse=True)
-    pages = np.bincount(back.reshape(-1), np.concatenate(n), len(key)).astype(np.int64)
-    key, pages = key[pages > 1], pages[pages > 1]
-    out = []
-    for src, k in zip(pdf["src"], each, strict=True):
-        total = _found(key, pages, k)
-        own = total > 0
-        if own.any():
-            out.append((src, pack_keys(k[own]), _pack(np.minimum(total[own], (1 << 32) - 1).astype(np.uint32))))
-    return pd.DataFrame(out, columns=["src", "keys", "notes"])
+def _shared(counted: bool):
+    """Of one range: the keys that stand on two pages or more, to each slice that has them, and if ``counted`` on how many."""
+
+    def shared(pdf: pd.DataFrame) -> pd.DataFrame:
+        each, n = [unpack_keys(x) for x in pdf["keys"]], [_unpack(x, np.uint32).astype(np.int64) for x in pdf["notes"]]
+        key, back = np.unique(np.concatenate(each), return_inverse=True)
+        pages = np.bincount(back.reshape(-1), np.concatenate(n), len(key)).astype(np.int64)
+        key, pages = key[pages > 1], pages[pages > 1]
+        out = []
+        for src, k in zip(pdf["src"], each, strict=True):
+            total = _found(key, pages if counted else np.ones_like(pages), k)
+            own = total > 0
+            if own.any():
+                out.append((src, pack_keys(k[own]), _pack(np.minimum(total[own], (1 << 32) - 1).astype(np.uint32))))
+        return pd.DataFrame(out, columns=["src", "keys", "notes"])
+
+    return shared
 
 
 def _told(replies: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -445,6 +449,6 @@ def extract(pages: DataFrame) -> DataFrame:
     buckets, shards = (max(partitions(spark), -(-size // most)) for most in (BUCKET, RANGE))
     slices = bucketed(rows.mapInArrow(_parser, _SLICES), "html-slices", "src", buckets)
     by_src = slices.groupBy("src")
-    anchors = slices.select("src", "host", "zones", "text").mapInPandas(_anchor_maker(shards), _SENT).groupBy("k").applyInPandas(_shared, _REPLY)
-    runs = by_src.cogroup(anchors.groupBy("src")).applyInPandas(_run_maker(shards), _SENT).groupBy("k").applyInPandas(_shared, _REPLY)
+    anchors = slices.select("src", "host", "zones", "text").mapInPandas(_anchor_maker(shards), _SENT).groupBy("k").applyInPandas(_shared(False), _REPLY)
+    runs = by_src.cogroup(anchors.groupBy("src")).applyInPandas(_run_maker(shards), _SENT).groupBy("k").applyInPandas(_shared(True), _REPLY)
     return by_src.cogroup(runs.groupBy("src")).applyInPandas(_main_text, _TEXT)
