@@ -97,3 +97,52 @@ WITH RECURSIVE d AS (
 ), least AS (SELECT reach.row, min(doc_id) AS component_id FROM reach JOIN d ON d.row = other GROUP BY 1)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM d LEFT JOIN n USING (row) JOIN least USING (row)
 """
+
+#: A table for crc32 by bytes, made from its polynomial.
+_CRC_TABLE = """crc_table AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS r(i)
+  )
+)"""
+
+
+def _crc(text: str) -> str:
+    """crc32 of the UTF-8 of a text that is not null, next to ``crc_table``."""
+    codes = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT)"
+    return f"xor(list_reduce([4294967295::BIGINT] || {codes}, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _hash(k: int) -> str:
+    return _crc(f"'{k}:' || coalesce(conv_id::VARCHAR, '') || ':' || coalesce(turn::VARCHAR, '')")
+
+
+#: The first attempt that delivers, if any.
+_TRIED = "list_filter(range(1, 7), lambda a: NOT faulty OR (tried + 20 * ((1 << (a - 1)) - 1) >= 7 * p + repair AND NOT fails[a]))[1]"
+
+ORACLES["op11_cascading_release"] = f"""
+WITH RECURSIVE {_CRC_TABLE}, f AS (
+  SELECT conv_id, turn, {_crc("coalesce(text, '')")} AS crc, {_hash(0)} % 5 AS d, {_hash(1)} % 101 < 50 AS faulty, {_hash(2)} % 101 AS repair,
+    [{", ".join(f"{_hash(a + 2)} % 3 = 0" for a in range(1, 7))}] AS fails
+  FROM conversations, crc_table
+), b AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, crc) - 1 AS p FROM f
+), o AS (
+  SELECT *, {_TRIED} AS a, false AS blocked FROM (SELECT *, 7 * p AS tried FROM b WHERE d = 0 OR p < d)
+  UNION ALL
+  SELECT * EXCLUDE (stopped), {_TRIED} AS a, stopped FROM (
+    SELECT b.*, greatest(7 * b.p, o.tried + 20 * ((1 << (coalesce(o.a, 1) - 1)) - 1)) AS tried, o.a IS NULL OR o.blocked AS stopped
+    FROM b JOIN o ON b.conv_id IS NOT DISTINCT FROM o.conv_id AND b.p - b.d = o.p WHERE b.d > 0
+  ) AS c (conv_id, turn, crc, d, faulty, repair, fails, p, tried, stopped)
+), r AS (
+  SELECT *, CASE WHEN blocked THEN 'blocked' WHEN a IS NULL THEN 'dead' ELSE 'delivered' END AS status,
+    tried + 20 * ((1 << (coalesce(a, 6) - 1)) - 1) AS last
+  FROM o
+), n AS (
+  SELECT *, row_number() OVER w AS release_no FROM r WHERE status = 'delivered' WINDOW w AS (PARTITION BY conv_id ORDER BY last, turn NULLS FIRST, p)
+), s AS (
+  SELECT conv_id, p, release_no, sum(release_no * crc) OVER (PARTITION BY conv_id ORDER BY release_no)::BIGINT AS state FROM n
+)
+SELECT r.conv_id, r.turn, r.status, CASE WHEN r.blocked THEN 0 ELSE coalesce(r.a, 6) END::INT AS attempts,
+  CASE WHEN NOT r.blocked THEN r.tried END::BIGINT AS first_at, CASE WHEN NOT r.blocked THEN r.last END::BIGINT AS last_at, s.release_no, s.state
+FROM r LEFT JOIN s ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.p = s.p
+"""

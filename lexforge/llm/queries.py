@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bit_sliced, decontaminate, html_text, kneser_ney, language, mixing, near_copies, substrings, token_count, token_file
+from . import bit_sliced, decontaminate, html_text, kneser_ney, language, mixing, near_copies, release, substrings, token_count, token_file
 from .common import table
 
 
@@ -55,4 +55,8 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_bit_sliced_search, op3_language_id, op4_decontamination, op5_html_text, op6_token_file, op7_token_counts, op8_substring_dedup, op9_jaccard_join, op10_source_mix)}
+def op11_cascading_release(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return release.released(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_bit_sliced_search, op3_language_id, op4_decontamination, op5_html_text, op6_token_file, op7_token_counts, op8_substring_dedup, op9_jaccard_join, op10_source_mix, op11_cascading_release)}
