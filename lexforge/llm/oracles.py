@@ -146,3 +146,65 @@ SELECT r.conv_id, r.turn, r.status, CASE WHEN r.blocked THEN 0 ELSE coalesce(r.a
   CASE WHEN NOT r.blocked THEN r.tried END::BIGINT AS first_at, CASE WHEN NOT r.blocked THEN r.last END::BIGINT AS last_at, s.release_no, s.state
 FROM r LEFT JOIN s ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.p = s.p
 """
+
+ORACLES["op12_spelling_variants"] = rf"""
+WITH RECURSIVE {_CRC_TABLE}, r AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents)
+), h AS (
+  SELECT run, n, {_crc("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM (SELECT doc_id, run, count(*) AS n FROM r GROUP BY doc_id, run), crc_table
+), v AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % len(run)) || substr(run, h % len(run) + 2) ELSE run END AS word, n FROM h)
+  GROUP BY word HAVING len(word) >= 5 AND sum(n) >= 3
+), x AS (
+  SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM (SELECT word, unnest(range(1, len(word) + 1)) AS i FROM v)
+), p AS (
+  SELECT a.word AS a, b.word AS b FROM x a JOIN x b ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+  UNION SELECT x.word, v.word FROM x JOIN v ON x.less = v.word
+  UNION SELECT v.word, x.word FROM x JOIN v ON x.less = v.word
+), best AS (
+  SELECT a, count(*) AS n_near, first(b ORDER BY n DESC, b) AS form, max(n) AS form_n FROM p JOIN v ON v.word = b GROUP BY a
+), f AS (
+  SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN form_n >= 2 * n THEN form END AS form, CASE WHEN form_n >= 2 * n THEN form_n END AS form_n
+  FROM v LEFT JOIN best ON a = word
+), walk AS (
+  SELECT word, word AS root FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.root WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, walk.root, f.n, f.n_near, f.form_n FROM f JOIN walk ON walk.word = f.word JOIN f AS e ON e.word = walk.root AND e.form IS NULL
+"""
+
+
+def _levels() -> str:
+    """A level of the tree after the other: nodes are split across their widest dimension."""
+    out = ["l0 AS (SELECT *, 0 AS shard FROM c)"]
+    for k, left in enumerate((8, 4, 2, 1)):
+        out.append(f"""w{k} AS (
+  SELECT *, max(c0) OVER s - min(c0) OVER s AS w0, max(c1) OVER s - min(c1) OVER s AS w1, max(c2) OVER s - min(c2) OVER s AS w2, sum(size) OVER s AS total
+  FROM l{k} WINDOW s AS (PARTITION BY shard)
+), o{k} AS (
+  SELECT *, sum(size) OVER (PARTITION BY shard ORDER BY CASE WHEN w0 >= w1 AND w0 >= w2 THEN c0 WHEN w1 >= w2 THEN c1 ELSE c2 END, tie ROWS UNBOUNDED PRECEDING) AS upto FROM w{k}
+), l{k + 1} AS (
+  SELECT doc_id, size, text_crc32, tie, c0, c1, c2, shard + CASE WHEN upto - size / 2.0::DOUBLE <= total / 2.0::DOUBLE THEN 0 ELSE {left} END AS shard FROM o{k}
+)""")
+    return ", ".join(out)
+
+
+def _place(x: str) -> str:
+    ends = f"(SELECT min({x}) FROM x)", f"(SELECT max({x}) FROM x)"
+    return f"coalesce(CASE WHEN {ends[1]} > {ends[0]} THEN floor(({x} - {ends[0]}) / ({ends[1]} - {ends[0]}) * 16777214::DOUBLE) + 1 WHEN {x} IS NOT NULL THEN 1 END, 0)::BIGINT"
+
+
+def _prefix(x: str) -> str:
+    return f"('0x' || rpad(substr(hex(encode({x})), 1, 12), 12, '0'))::BIGINT::DOUBLE"
+
+
+ORACLES["op13_kd_shards"] = f"""
+WITH {_CRC_TABLE}, x AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size, {_crc("coalesce(text, '')")} AS text_crc32,
+    {_prefix("source")} AS x0, {_prefix("lang")} AS x1, n_chars::DOUBLE AS x2
+  FROM documents, crc_table
+), c AS (
+  SELECT doc_id, size, text_crc32, substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || text_crc32::VARCHAR), 1, 6) AS tie, {_place("x0")} AS c0, {_place("x1")} AS c1, {_place("x2")} AS c2 FROM x
+), {_levels()}
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard::INT AS shard, row_number() OVER (PARTITION BY shard ORDER BY tie) - 1 AS slot, NULL::INT AS grown_shard FROM l4
+"""

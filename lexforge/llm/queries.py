@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bit_sliced, decontaminate, html_text, kneser_ney, language, mixing, near_copies, release, substrings, token_count, token_file
+from . import bit_sliced, decontaminate, html_text, kneser_ney, language, mixing, near_copies, release, sharding, spelling, substrings, token_count, token_file
 from .common import table
 
 
@@ -59,4 +59,12 @@ def op11_cascading_release(spark: SparkSession, sf_dir: str) -> DataFrame:
     return release.released(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_bit_sliced_search, op3_language_id, op4_decontamination, op5_html_text, op6_token_file, op7_token_counts, op8_substring_dedup, op9_jaccard_join, op10_source_mix, op11_cascading_release)}
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.contract(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_bit_sliced_search, op3_language_id, op4_decontamination, op5_html_text, op6_token_file, op7_token_counts, op8_substring_dedup, op9_jaccard_join, op10_source_mix, op11_cascading_release, op12_spelling_variants, op13_kd_shards)}
