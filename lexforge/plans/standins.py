@@ -16,26 +16,27 @@ def _ymd(c: str = "o_orderdate"):
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """document_chunks: a vector and a text each, five to a document."""
+    """document_chunks: all texts, five to a document, with a vector each; vectors go round, as there are fewer."""
     e = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
     d = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
-    rows = e.join(d, e["vec_id"] == d["doc_id"]).withColumn("document_id", F.expr("vec_id div 5")).join(o, F.col("document_id") == F.col("o_orderkey"))
+    i = F.col("doc_id")
+    rows = d.join(e, e["vec_id"] == i % e.count()).withColumn("document_id", F.expr("doc_id div 5")).join(o, F.col("document_id") == F.col("o_orderkey"))
     return rows.select(
-        F.col("vec_id").alias("id"), "document_id", (F.col("vec_id") % 5).cast("int").alias("chunk_index"),
-        F.concat("text", F.lit(" "), (F.col("vec_id") % 97).cast("string"), F.lit("%")).alias("content"), F.when(F.col("vec_id") % 7 == 0, F.concat(F.lit("סעיף "), (F.col("vec_id") % 5).cast("string"))).otherwise("").alias("section_header"),
+        i.alias("id"), "document_id", (i % 5).cast("int").alias("chunk_index"),
+        F.concat("text", F.lit(" "), (i % 97).cast("string"), F.lit("%")).alias("content"), F.when(i % 7 == 0, F.concat(F.lit("סעיף "), (i % 5).cast("string"))).otherwise("").alias("section_header"),
         F.concat("source", F.lit(" "), _ymd()).alias("document_title"), F.col("source").alias("document_ref"), F.lit(None).cast("string").alias("effective_date"),
-        F.when(F.col("vec_id") % 3 == 0, (F.col("vec_id") % 5 + 1).cast("int")).alias("page_start"), F.when(F.col("vec_id") % 3 == 0, (F.col("vec_id") % 5 + 1 + F.col("vec_id") % 2).cast("int")).alias("page_end"),
+        F.when(i % 3 == 0, (i % 5 + 1).cast("int")).alias("page_start"), F.when(i % 3 == 0, (i % 5 + 1 + i % 2).cast("int")).alias("page_end"),
         "embedding",
     )
 
 
 CHUNKS = """chunks AS (
-  SELECT vec_id AS id, vec_id // 5 AS document_id, (vec_id % 5)::INT AS chunk_index, d.text || ' ' || (vec_id % 97)::VARCHAR || '%' AS content, CASE WHEN vec_id % 7 = 0 THEN 'סעיף ' || (vec_id % 5)::VARCHAR ELSE '' END AS section_header,
+  SELECT doc_id AS id, doc_id // 5 AS document_id, (doc_id % 5)::INT AS chunk_index, d.text || ' ' || (doc_id % 97)::VARCHAR || '%' AS content, CASE WHEN doc_id % 7 = 0 THEN 'סעיף ' || (doc_id % 5)::VARCHAR ELSE '' END AS section_header,
     d.source || ' ' || strftime(o_orderdate, '%Y-%-m-%-d') AS document_title, d.source AS document_ref, NULL::VARCHAR AS effective_date,
-    CASE WHEN vec_id % 3 = 0 THEN (vec_id % 5 + 1)::INT END AS page_start, CASE WHEN vec_id % 3 = 0 THEN (vec_id % 5 + 1 + vec_id % 2)::INT END AS page_end,
+    CASE WHEN doc_id % 3 = 0 THEN (doc_id % 5 + 1)::INT END AS page_start, CASE WHEN doc_id % 3 = 0 THEN (doc_id % 5 + 1 + doc_id % 2)::INT END AS page_end,
     embedding::DOUBLE[] AS embedding
-  FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id JOIN orders o ON o_orderkey = vec_id // 5
+  FROM documents d JOIN embeddings e ON e.vec_id = doc_id % (SELECT count(*) FROM embeddings) JOIN orders o ON o_orderkey = doc_id // 5
 )"""
 
 
