@@ -80,14 +80,17 @@ def _cuts(rows: DataFrame, n_dims: int) -> DataFrame:
     for shift in range(KEY - LEVEL, -1, -LEVEL):
         joined = keyed.join(state, keyed["shard"] == state["at"]).withColumn("key", _key(n_dims))
         joined = joined.where(F.shiftright("key", shift + LEVEL) == F.col("prefix"))
-        hist = joined.groupBy("at", "at_leaves", "dim", "left", "want", "below", F.shiftright("key", shift).alias("bucket")).agg(F.sum("size").alias("bytes"))
+        hist = joined.groupBy("at", "at_leaves", "dim", "left", "want", "below", F.shiftright("key", shift).alias("bucket")).agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
         order = W.partitionBy("at").orderBy("bucket")
         hist = hist.withColumn("after", F.col("below") + F.sum("bytes").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))).where("after > want")
         hist = hist.withColumn("nth", F.row_number().over(order)).where("nth = 1")
-        old, state = state, stored(hist.select("at", "at_leaves", "dim", "left", "want", F.col("bucket").alias("prefix"), (F.col("after") - F.col("bytes")).alias("below"), "bytes"), "shard-cuts")
+        old, state = state, stored(hist.select("at", "at_leaves", "dim", "left", "want", F.col("bucket").alias("prefix"), (F.col("after") - F.col("bytes")).alias("below"), "bytes", "n"), "shard-cuts")
         release(old)
+        if (state.agg(F.max("n")).first()[0] or 1) == 1:  # each cut is next to one row
+            break
     fits = F.col("below") + F.col("bytes") / 2 <= F.col("want")
-    return stored(state.select("at", "dim", "left", (F.col("prefix") - F.when(fits, 0).otherwise(1)).alias("cut")), "shard-cuts")
+    cut = F.shiftleft(F.col("prefix") + F.when(fits, 1).otherwise(0), shift) - 1  # the last key of the bucket, or the last before it
+    return stored(state.select("at", "dim", "left", cut.alias("cut")), "shard-cuts")
 
 
 def _key(n_dims: int) -> Column:
