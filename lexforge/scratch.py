@@ -67,12 +67,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
-    """Like :func:`stored`, in buckets by ``key``: joins and groups by it don't move these rows again."""
+def bucketed(df: DataFrame, name: str, key: str, buckets: int, level: int = 3) -> DataFrame:
+    """Like :func:`stored`, in buckets by ``key``: joins and groups by it don't move these rows again.
+
+    ``level`` is zstd's: a higher one takes less disk and more time.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     table = path.rsplit("/", 1)[1].replace("-", "_")
-    df.write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").saveAsTable(table)
+    df.write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).saveAsTable(table)
     out = spark.table(table)
     out._scratch, out._table = path, table
     return out
