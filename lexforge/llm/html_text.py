@@ -44,31 +44,38 @@ RAW_TAGS = frozenset("script style noscript template textarea iframe svg math ca
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 #: Elements that never hold main text; words in class, id or role that mark such, alone or
-#: with words that only describe a place.
-SIDE_TAGS = frozenset("nav footer aside form dialog menu head".split())
-SIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
+#: with words that only describe a place.  A form, and what is marked by words, may yet be the
+#: page's layout, when its only article is inside.
+SIDE_TAGS = frozenset("nav footer aside dialog menu head".split())
+SIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar".split())
 SIDE_WORDS = frozenset(
     "nav navbar navigation menu submenu breadcrumb breadcrumbs footer sidebar aside ad ads advert adverts advertisement advertising sponsor sponsored "
-    "promo promotion cta banner cookie cookies consent gdpr notice popup modal newsletter subscribe subscription signup login signin "
+    "promo promotion promoted cta banner cookie cookies consent gdpr notice popup modal newsletter subscribe subscription signup login signin "
     "comment comments commentlist reply replies disqus respond toolbar pager pagination paging copyright masthead topbar".split()
 )
-PLACE_WORDS = frozenset("box wrapper wrap container block slot area section list bar unit inner outer item items row col column panel module group holder top bottom left right site page global small large widget zone".split())
+PLACE_WORDS = frozenset("box wrapper wrap container block slot area section list bar unit inner outer item items row col column panel module group holder top bottom left right site page global small large widget zone offer offers message link links".split())
 #: Words that may mark such; in an article, repeats decide.
 DOUBT_WORDS = SIDE_WORDS | frozenset("share sharing social discussion related recommended recommendations teaser widget skip legal search overlay".split())
-#: These hold a title too, so only headings in them count as main text, and only in an article.
+#: An element named by these, with words that only describe, is no article though its tag is one.
+LESSER_WORDS = frozenset("comment comments reply replies teaser related recommended promo promoted ad ads".split())
+PLAIN_WORDS = PLACE_WORDS | frozenset("article post entry story content card body text title odd even depth".split())
+#: These hold a title and a standfirst (which ends like a sentence; names and dates don't) in an article, and none of it elsewhere.
 HEAD_WORDS = frozenset("header".split())
 MAIN_WORDS = frozenset("article articlebody content maincontent post postbody entry story main body text".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>")
-_ATTR = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_SENTENCE = re.compile(r"[.!?\u2026\u3002][\"')\]\u00bb\u2019\u201d]*$")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
-MAIN, DOUBT, SIDE, OPEN = "m", "d", "s", "o"
+#: Headings and quotes of an article are FIXED: no repeat removes them.
+MAIN, FIXED, DOUBT, SIDE, OPEN = "m", "h", "d", "s", "o"
+QUOTES = frozenset("blockquote pre".split())
 
 
 def _kind(tag: str, attrs: str) -> str:
-    """'side', 'doubt', 'head', 'main', 'maybe' or '' for an element."""
+    """'side', 'soft', 'doubt', 'head', 'main', 'maybe' or '' for an element; attributes count by their whole names."""
     names: list[list[str]] = []
     role = ""
     if attrs:
@@ -85,15 +92,16 @@ def _kind(tag: str, attrs: str) -> str:
     if tag in ("html", "body"):
         return ""
     words = {w for n in names for w in n}
-    if tag not in ("main", "article") or words & {"comment", "comments", "reply", "teaser", "related", "promo", "ad"}:
-        if any(SIDE_WORDS & set(n) and SIDE_WORDS | PLACE_WORDS >= set(n) for n in names):
-            return "side"
-        if words & DOUBT_WORDS:
+    article = tag in ("main", "article") and not any(LESSER_WORDS & set(n) and LESSER_WORDS | PLAIN_WORDS >= set(n) for n in names)
+    if not article:
+        if tag == "form" or role == "form" or any(SIDE_WORDS & set(n) and SIDE_WORDS | PLACE_WORDS >= set(n) for n in names):
+            return "soft"
+        if tag == "article" or words & DOUBT_WORDS:
             return "doubt"
-    if tag == "header" or words & HEAD_WORDS and tag not in ("main", "article"):
-        return "head"
-    if tag in ("main", "article") or role in ("main", "article"):
+    if article or role in ("main", "article"):
         return "main"
+    if tag == "header" or words & HEAD_WORDS:
+        return "head"
     if words & MAIN_WORDS and tag in ("div", "section", "td"):
         return "maybe"
     return ""
@@ -103,17 +111,18 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
     """(zone, text) of each block of a page in order; empty blocks are left out.
 
     MAIN: in an article or main element (or, without such, in a container named like
-    one); DOUBT: there too, but in something that may be none of it.  SIDE: in something
-    marked as a menu, header, footer, sidebar, notice, advert, form or comments, or
-    mostly links.  OPEN: anything else.
+    one); FIXED: a heading or quote there; DOUBT: there too, but in something that may be none
+    of it.  SIDE: in something marked as a menu, header, footer, sidebar, notice, advert, form
+    or comments, or mostly links.  OPEN: anything else.  Forms and containers marked by words
+    that hold the page's only article (class="right-sidebar" around all of it) are its layout.
     """
     if not page:
         return []
-    out: list[tuple[str, str, str]] = []  # zone, text, strength of the container
+    out: list[tuple[str, str, str, bool]] = []  # zone, text, strength of the container, whether soft ones hold that
     parts: list[str] = []
     linked = total = links = 0
     stack: list[tuple[str, str]] = []  # (tag, kind)
-    side = head = main = maybe = doubt = heading = 0
+    side = soft = head = main = maybe = doubt = heading = quote = layout = vague = 0  # layout, vague: soft and doubtful ones around the outermost article
     open_: Counter[str] = Counter()  # tags on the stack
     unclosed: set[str] = set()  # raw elements that nothing closes from here on
 
@@ -123,29 +132,35 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                if side or head and not (main and heading):
+                if side or soft > layout or head and not (main and (heading or _SENTENCE.search(text))):
                     zone = SIDE
                 elif main:
-                    zone = DOUBT if doubt else MAIN
+                    zone = DOUBT if doubt > vague else FIXED if heading or quote else MAIN
                 else:
                     zone = SIDE if linked > 0.6 * total else OPEN
-                out.append((zone, text, "main" if main else "maybe" if maybe else ""))
+                out.append((zone, text, "main" if main else "maybe" if maybe else "", layout > 0))
         linked = total = 0
 
     def count(kind: str, by: int) -> None:
-        nonlocal side, head, main, maybe, doubt
+        nonlocal side, soft, head, main, maybe, doubt, layout, vague
+        if kind in ("main", "maybe") and by > 0 and not main + maybe:
+            layout, vague = soft, doubt
         side += by * (kind == "side")
+        soft += by * (kind == "soft")
         doubt += by * (kind == "doubt")
         head += by * (kind == "head")
         main += by * (kind == "main")
         maybe += by * (kind == "maybe")
+        if not main + maybe:
+            layout = vague = 0
 
     def pop() -> None:
-        nonlocal heading
+        nonlocal heading, quote
         tag, kind = stack.pop()
         count(kind, -1)
         open_[tag] -= 1
         heading -= tag in HEADINGS
+        quote -= tag in QUOTES
 
     at, n = 0, len(page)
     while at < n:
@@ -210,10 +225,14 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
             open_[tag] += 1
             count(kind, 1)
             heading += tag in HEADINGS
+            quote += tag in QUOTES
     flush()
-    if not any(z in (MAIN, DOUBT) for z, _, _ in out) and any(z == OPEN and how == "maybe" for z, _, how in out):
-        return [(MAIN if z == OPEN and how == "maybe" else z, t) for z, t, how in out]
-    return [(z, t) for z, t, _ in out]
+    for strength, zones in (("main", (MAIN, FIXED, DOUBT)), ("maybe", (OPEN,))):
+        for held in (False, True):  # an article that nothing soft holds goes before others
+            if any(z in zones and how == strength and h == held for z, _, how, h in out):
+                mine = lambda how, h, strength=strength, held=held: how == strength and h <= held
+                return [((MAIN if z == OPEN else z) if mine(how, h) else SIDE if h else z, t) for z, t, how, h in out]
+    return [(SIDE if h else z, t) for z, t, _, h in out]
 
 
 # -- the suffixes of a host -------------------------------------------------------------
@@ -407,11 +426,12 @@ def _main_text(one: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         at += len(page)
         covered.append(int(in_twice[own].sum()))
         z = np.array(list(zones))
-        main = MAIN in zones or DOUBT in zones  # where a page says what its article is, the rest is none
-        may = np.isin(z, [MAIN, DOUBT] if main else [OPEN]) if len(z) else np.zeros(0, bool)
+        main = any(x in zones for x in (MAIN, FIXED, DOUBT))  # where a page says what its article is, the rest is none
+        may = np.isin(z, [MAIN, FIXED, DOUBT] if main else [OPEN]) if len(z) else np.zeros(0, bool)
         m = size[own]
         copy = in_twice[own][may].sum() >= COPY * max(1, m[may].sum())
-        hit = np.where(z == MAIN, in_often[own], wholly[own]) if len(z) else m
+        hit = np.where(np.isin(z, [MAIN, FIXED]), in_often[own], wholly[own]) if len(z) else m
+        hit[z == FIXED] = 0
         keep = may & (copy | (hit < COVERED * np.maximum(m, 1)))
         texts.append("\n".join(b for b, k in zip(page, keep, strict=True) if k))
     page_id = pd.array([None if x is None or x != x else int(x) for x in r["page_id"]], "Int64")
@@ -428,7 +448,7 @@ def extract(pages: DataFrame) -> DataFrame:
     them that may be none of it, go when runs on two distinct pages cover them (or all of a
     block that is shorter than a run repeats); blocks of the article itself only when
     runs cover them that stand on MANY pages and MOST of the host's, since an article may
-    quote another.  A page whose text such runs cover is a copy and keeps it.
+    quote another, and never its headings and quotes.  A page whose text such runs cover is a copy and keeps it.
     n_repeated counts the tokens of all blocks in runs of two pages or more.
 
     Pages are parsed once, into a table of slices; slices send each kind of anchor, and
@@ -447,7 +467,7 @@ def extract(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), "html")
     size = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
     buckets, shards = (max(partitions(spark), -(-size // most)) for most in (BUCKET, RANGE))
-    slices = bucketed(rows.mapInArrow(_parser, _SLICES), "html-slices", "src", buckets)
+    slices = bucketed(rows.mapInArrow(_parser, _SLICES), "html-slices", "src", buckets, level=9)
     by_src = slices.groupBy("src")
     anchors = slices.select("src", "host", "zones", "text").mapInPandas(_anchor_maker(shards), _SENT).groupBy("k").applyInPandas(_shared(False), _REPLY)
     runs = by_src.cogroup(anchors.groupBy("src")).applyInPandas(_run_maker(shards), _SENT).groupBy("k").applyInPandas(_shared(True), _REPLY)
