@@ -203,8 +203,9 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: f
     good and not toxic; all of them train the model.  A language's threshold is the
     ``quantile`` of its trusted texts' perplexities, each under a model of the FOLDS - 1
     parts of the trusted texts that it is not in (a model of words knows its own texts
-    too well), rounded up to a step of exp(1 / STEPS); with too few texts for that, all
-    are scored by the one model; a language without trusted texts, and null, has that of all
+    too well), rounded up to a step of exp(1 / STEPS); where all trusted texts are one and the
+    same, it is scored by its own model; parts are ranges of a hash of the text, cut where
+    as many trusted texts are below as above, so any choice of labels has them; a language without trusted texts, and null, has that of all
     trusted texts.  A text is kept when its perplexity does not exceed its threshold.
 
     Null, empty and blank texts: null perplexity, not kept.  Without any trusted text
@@ -219,11 +220,16 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: f
     # a filter of fixed size first, so that few other texts meet the exact join
     some = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(_passing(bits), "doc_id long, lang string, text string")
     trusted = some.join(good, some["doc_id"] == good["good_id"], "left_semi")
-    each = scores(docs, train(trusted, order), order)
+    model = train(trusted, order)
+    each = scores(docs, model, order)
     ppl = F.when((F.col("n_words") > 0) & (F.col("logp") < 0), F.exp(-F.col("logp") / F.col("n_words")))
     step = F.ceil(F.round(F.log("perplexity") * STEPS, 6))
     each = stored(each.withColumn("perplexity", F.round(ppl, 9)).withColumn("step", step), "perplexity")
-    fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS))
+    release(model)
+    # parts of equal numbers of texts, whichever texts are trusted; equal texts are in one part
+    of_text = F.xxhash64("text")
+    cuts = trusted.where("text is not null").agg(F.percentile_approx(of_text, F.array(*(F.lit(k / FOLDS) for k in range(1, FOLDS))), 10_000)).first()[0] or []
+    fold = sum(((of_text > c).cast("int") for c in cuts), F.lit(0))
     others = [train(trusted.where(fold != f), order) for f in range(FOLDS)]
     if all(m.count() for m in others):
         unseen = reduce(DataFrame.unionByName, (scores(trusted.where(fold == f), m, order) for f, m in enumerate(others)))
@@ -231,6 +237,7 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: f
     else:
         unseen = each.join(good, each["doc_id"] == good["good_id"], "left_semi")
     limits = stored(_thresholds(unseen.where("perplexity is not null"), quantile), "kn-thresholds")
+    release(*others)
     of_all = limits.where("lang is null").select(F.col("step").alias("any_limit"))
     own = limits.where("lang is not null").select(F.col("lang").alias("own_lang"), F.col("step").alias("own_limit"))
     everywhere = F.lit((of_all.first() or [None])[0]).cast("long")

@@ -188,6 +188,20 @@ def test_quality_classifier_keeps_unseen_texts(spark):
     assert sum(got[i] for i in range(80, 120)) >= 36 and not any(got[200 + i] for i in range(5))
 
 
+def test_quality_classifier_whatever_is_labelled(spark):
+    """Labels that a hash of the id chooses leave both parts of the trusted texts filled."""
+    rng = random.Random(5)
+    vocabulary = [f"v{i}" for i in range(60)]
+    docs = frame(spark, [(i, " ".join(rng.choices(vocabulary, range(60, 0, -1), k=40))) for i in range(240)])
+    for part in (0, 1):
+        labels = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == part).select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+        seen = {r.doc_id for r in labels.collect()}
+        got = {r.doc_id: r.keep for r in kneser_ney.classify(docs, labels).collect()}
+        assert sum(got[i] for i in range(240) if i not in seen) >= 0.8 * (240 - len(seen))
+    one = docs.where("doc_id = 3").select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    assert {r.doc_id for r in kneser_ney.classify(docs, one).where("keep").collect()} >= {3}
+
+
 def test_quality_classifier(spark):
     good = [(i, "the cat sat on the mat and the dog on the log " * 3 + str(i % 3)) for i in range(40)]
     docs = frame(spark, [*good, (90, "%$# @@ !! QZX " * 9), (91, None), (92, " "), (None, good[0][1])])
