@@ -10,7 +10,8 @@ from ..functions import rules as L, text as T
 from ..functions.tokens import ESTIMATE as T_ESTIMATE
 from ..operators import analytics as A, audit, catalog as M, chunking as K, context as C, evaluation as E, ranking as R
 from ..scratch import scratch_path
-from ..sources import files as S
+from ..session import ship
+from ..sources import files as S, pdf
 from . import standins as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -844,6 +845,26 @@ def s08_html_text(spark, sf_dir):
     return X.read(spark, sf_dir, "pages").select("page_id", S.html_text(F.col("html")).alias("text"))
 
 
+#: Lines of a page of the PDFs that are made of documents.
+PAGE_LINES = 40
+
+
+def _as_pdf(frames):
+    for f in frames:
+        made = [pdf.write([list(x[a : a + PAGE_LINES]) for a in range(0, len(x), PAGE_LINES)], i % 2 == 0, i % 3 == 0) for i, x in zip(f["doc_id"], f["lines"], strict=True)]
+        yield f[["doc_id"]].assign(content=made)
+
+
+@query(rf"""SELECT doc_id, (p + 1)::INT AS page_number, {_CLEAN.format("array_to_string(lines[p * 40 + 1:p * 40 + 40], chr(10))")} AS text
+  FROM (SELECT doc_id, lines, unnest(range(0, (len(lines) + 39) // 40)) AS p FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S')) AS lines FROM documents))""")
+def s04_pdf_pages(spark, sf_dir):
+    """Documents as PDFs, packed or not, with tables or streams of cross references, and read back page by page."""
+    ship(spark)
+    lines = X.read(spark, sf_dir, "documents").select("doc_id", F.filter(F.split("text", "\n"), lambda x: F.regexp_like(x, F.lit(r"\S"))).alias("lines"))
+    files = lines.mapInPandas(_as_pdf, "doc_id long, content binary").withColumns({"url": F.lit("a.pdf"), "content_type": F.lit("application/pdf")})
+    return S.extract(files, pdf_reader=pdf.read).select("doc_id", F.inline("pages"))
+
+
 @query("SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'pdf' WHEN page_id % 4 = 1 THEN 'docx' WHEN page_id % 4 = 2 THEN 'doc' ELSE 'html' END AS kind FROM pages")
 def s09_kind(spark, sf_dir):
     i = F.col("page_id")
