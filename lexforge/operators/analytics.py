@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as T
@@ -48,25 +50,53 @@ def question_before(messages: DataFrame) -> DataFrame:
 
 
 def log_filter(created_at: Column, date_from: str | None, date_to: str | None) -> Column:
-    """Whole days, both included, compared as text to the second."""
+    """Whole days, both included, compared as text to the second.
+
+    Dates are compared as times, which goes down to the files; other texts by their letters.
+    """
     t = F.date_format(created_at, "yyyy-MM-dd HH:mm:ss")
     out = F.lit(True)
     if date_from:
-        out = out & (t >= date_from)
+        out = out & (created_at >= F.lit(date_from) if _day(date_from) else t >= date_from)
     if date_to:
-        out = out & (t <= date_to + " 23:59:59")
+        day = _day(date_to)
+        out = out & (created_at < F.lit(str(day + timedelta(days=1))) if day else t <= date_to + " 23:59:59")
     return out
 
 
+def _day(x: str) -> date | None:
+    try:
+        return date.fromisoformat(x) if len(x) == 10 else None
+    except ValueError:
+        return None
+
+
 def logs(messages: DataFrame, date_from: str | None = None, date_to: str | None = None) -> DataFrame:
     """Answers in a range of days, each with the last question of its conversation."""
     rows = messages.where(F.col("role") == "assistant").where(log_filter(F.col("created_at"), date_from, date_to))
-    return rows.join(last_questions(messages), "conversation_id", "left")
+    if not date_from and not date_to:
+        return rows.join(last_questions(messages), "conversation_id", "left")
+    wanted = rows.select("conversation_id").distinct()  # of other conversations no question is sought
+    return rows.join(last_questions(messages.join(wanted, "conversation_id", "left_semi")), "conversation_id", "left")
 
 
 def page(rows: DataFrame, number: int, size: int = 20) -> DataFrame:
-    """One page, newest first."""
-    return rows.orderBy(F.desc("created_at"), F.desc("id")).offset((number - 1) * size).limit(size)
+    """One page, newest first.
+
+    Counts by day, then by second, tell which rows a page can be among, so only these are
+    ordered: the last page costs what the first does.
+    """
+    skip = (number - 1) * size
+    for seconds in (86_400, 1):
+        at = F.coalesce(F.floor(F.unix_seconds(F.col("created_at").cast("timestamp")) / seconds), F.lit(-(1 << 62)))  # null is last
+        counts = rows.groupBy(at.alias("at")).agg(F.count("*").alias("n"))
+        before = F.coalesce(F.sum("n").over(W.orderBy(F.desc("at")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        counts = counts.withColumn("before", before).where((F.col("before") < skip + size) & (F.col("before") + F.col("n") > skip))
+        first, last, passed = counts.agg(F.max("at"), F.min("at"), F.min("before")).first()
+        if first is None:  # a page behind the last
+            return rows.limit(0)
+        rows, skip = rows.where(at.between(F.lit(last), F.lit(first))), skip - passed
+    return rows.orderBy(F.desc("created_at"), F.desc("id")).offset(skip).limit(size)
 
 
 def page_count(rows: DataFrame, size: int = 20) -> DataFrame:

@@ -187,13 +187,14 @@ def reindex(documents: DataFrame, chunks: DataFrame, embedder: Callable[[list[st
     return replace_chunks(chunks, new.select(*[c for c in new.columns if c in chunks.columns])), outcomes
 
 
-def reingest(documents: DataFrame, chunks: DataFrame, fetch: Callable[[DataFrame], DataFrame], ids: DataFrame | None = None, apply: bool = False, **how) -> tuple[DataFrame, DataFrame, DataFrame]:
+def reingest(documents: DataFrame, chunks: DataFrame, fetch: Callable[[DataFrame], DataFrame], ids: DataFrame | None = None, apply: bool = False, at: str | None = None, **how) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents from addresses fetched, extracted and chunked again: (documents, chunks, outcomes).
 
     ``fetch`` takes rows (id, url) and returns rows (id, content, text, pages, kind,
     error), as sources.files.fetch_documents does.  Without ``apply`` nothing changes
     and the outcomes say what would be done.  A document that can't be fetched or has no
-    text fails and stays as it is.
+    text fails and stays as it is.  With ``at``, statuses, errors, counts and that time are
+    set as well.
     """
     urls = documents.where("is_active and source_type = 'url'")
     plan = reindex_plan(urls, ids).select("id", "url")
@@ -210,7 +211,11 @@ def reingest(documents: DataFrame, chunks: DataFrame, fetch: Callable[[DataFrame
     outcomes = plan.join(got.select("id", "error"), "id", "left").join(counts, "id", "left")
     what = F.when(F.col("url").isNull(), "skipped").when(F.col("error").isNotNull(), "failed").otherwise("succeeded")
     outcomes = outcomes.select("id", what.alias("outcome"), "error", F.coalesce("n", F.lit(0)).alias("chunks"))
-    return set_artifact(documents, artifact), replace_chunks(chunks, new.select(*[c for c in new.columns if c in chunks.columns])), outcomes
+    out = set_artifact(documents, artifact)
+    if at is not None:
+        state = outcomes.where("outcome != 'skipped'").select("id", F.when(F.col("outcome") == "succeeded", "ready").otherwise("failed").alias("index_status"), F.col("error").alias("index_error"), F.when(F.col("outcome") == "succeeded", F.col("chunks")).alias("chunk_count"), F.lit(at).cast("timestamp").alias("at"))
+        out = set_status(out, state)
+    return out, replace_chunks(chunks, new.select(*[c for c in new.columns if c in chunks.columns])), outcomes
 
 
 def tally(outcomes: DataFrame) -> DataFrame:
@@ -232,6 +237,19 @@ def publish(df: DataFrame, path: str) -> str:
     return where
 
 
+def publish_all(tables: dict[str, DataFrame], path: str) -> str:
+    """Write tables as one version: a folder each, seen together when the version's marker is there."""
+    spark = next(iter(tables.values())).sparkSession
+    done = versions(spark, path)
+    nth = int(re.search(r"v(\d+)-", done[-1])[1]) + 1 if done else 1
+    where = f"{path}/v{nth:09d}-{uuid.uuid4().hex}"
+    for name, df in tables.items():
+        df.write.parquet(f"{where}/{name}")
+    marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{where}/_SUCCESS")
+    marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(marker).close()
+    return where
+
+
 def versions(spark: SparkSession, path: str) -> list[str]:
     """Complete versions of a table, oldest first."""
     jvm = spark.sparkContext._jvm

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .. import scan
 from ..functions import text as T
 
 SCORES = ("conclusion_score", "required_concepts_score", "actionability_score", "clarification_score")
@@ -22,12 +23,17 @@ def ranking_metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame
     """
     gold = relevant.distinct()
     n = gold.groupBy("query_id").agg(F.count("*").alias("n_relevant"))
-    rows = ranked.join(gold.withColumn("hit", F.lit(1)), ["query_id", "item"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
-    seen = F.sum("hit").over(W.partitionBy("query_id").orderBy("rank").rowsBetween(W.unboundedPreceding, W.currentRow))
-    per = rows.withColumn("precision_here", F.when(F.col("hit") == 1, seen / F.col("rank"))).groupBy("query_id").agg(
-        F.sum(F.when(F.col("rank") <= k, F.col("hit"))).alias("hits"), F.count_if(F.col("rank") <= k).alias("shown"),
-        F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first"), F.sum("precision_here").alias("precisions"),
+    # hits alone are counted up, in ranges of ranks whose sums are scanned: no task has all of a query's
+    hits = ranked.join(gold, ["query_id", "item"], "left_semi").withColumn("range", F.floor(F.col("rank") / scan.FAN).cast("long"))
+    top = hits.agg(F.max("range")).first()[0] or 0
+    before = scan.before(hits.groupBy("query_id", "range").agg(F.count("*").alias("n")), ["query_id"], "range", ["n"], top)
+    before = before.select(F.col("query_id").alias("of_query"), F.col("range").alias("of_range"), "before_n")
+    nth = F.row_number().over(W.partitionBy("query_id", "range").orderBy("rank"))
+    rows = hits.withColumn("nth", nth).join(before, scan.same(hits, before, [("query_id", "of_query"), ("range", "of_range")]))
+    found = rows.groupBy("query_id").agg(
+        F.count_if(F.col("rank") <= k).alias("hits"), F.min("rank").alias("first"), F.sum((F.col("before_n") + F.col("nth")) / F.col("rank")).alias("precisions"),
     )
+    per = ranked.groupBy("query_id").agg(F.count_if(F.col("rank") <= k).alias("shown")).join(found, "query_id", "left")
     every = ranked.select("query_id").unionByName(relevant.select("query_id")).distinct().join(per, "query_id", "left").join(n, "query_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return every.select(
