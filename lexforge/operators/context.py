@@ -12,7 +12,8 @@ from ..functions import rules as R, text as T
 from ..functions.tokens import ESTIMATE, Estimate, Library
 from ..scratch import stored
 from ..session import ship
-from . import ranking
+from ..sources import files as S, pdf
+from . import catalog, ranking
 
 BUDGET, WINDOW = 50_000, 1
 #: Chunks that a follow-up question gets.
@@ -150,6 +151,36 @@ def pack_documents(scored: DataFrame, budget: int, least_left: int = 3000, least
     return out.select("query_id", "place", "document_id", title.alias("title"), text.alias("text"), (F.col("what") == "skipped").alias("skipped"))
 
 
+def complete_parameters(
+    questions: DataFrame, parameters: DataFrame, sources: DataFrame, as_of_year: int, verified_at: str, fetch: Callable[[DataFrame], DataFrame] = S.fetch, key: str = R.PARAMETER_KEY,
+    phrase: str = R.PARAMETER_PHRASE, unit: str = "ILS_PER_YEAR", subject: str = R.PARAMETER_SUBJECT, terms: list[str] = R.PARAMETER_TERMS, pdf_reader: Callable[[bytes], list[str]] = pdf.read,
+) -> tuple[DataFrame, DataFrame]:
+    """The parameters with those that questions ask for, and no table has yet; and what was fetched.
+
+    ``sources`` (tax_year, source_title, source_url, source_page) are the curated addresses.
+    A year that is asked for and missing is fetched once, however many questions ask for it;
+    its amount stands next to ``phrase`` in the pages of a PDF.  Years without an address,
+    addresses that fail and pages without the amount leave no row: outcomes (tax_year,
+    value_text, error) say so, and the next call tries again.  ``fetch`` takes rows (tax_year,
+    url) and adds content and error.
+    """
+    ship(questions.sparkSession)
+    about = T.is_parameter_question(F.col("question"), subject, terms)
+    years = questions.where(about).select(T.question_year(F.col("question"), F.lit(as_of_year)).cast("int").alias("tax_year")).distinct()
+    missing = years.join(parameters.where(F.col("parameter_key") == key).select("tax_year"), "tax_year", "left_anti")
+    known = sources.select(F.col("tax_year").cast("int").alias("tax_year"), "source_title", "source_url", "source_page")
+    got = fetch(missing.join(known, "tax_year").select("tax_year", F.col("source_url").alias("url")))
+    pages = S.extract(got.select("tax_year", "url", "content", F.lit("application/pdf").alias("content_type"), "error"), pdf_reader=pdf_reader)
+    amount = T.amount_by_phrase(F.col("text"), phrase)
+    found = stored(pages.select("tax_year", amount.alias("value_text"), F.when(F.col("error").isNull() & amount.isNull(), "no amount").otherwise(F.col("error")).alias("error")), "parameters")
+    new = found.where("value_text IS NOT NULL AND error IS NULL").select("tax_year", "value_text").join(known, "tax_year").withColumns({
+        "parameter_key": F.lit(key), "unit": F.lit(unit), "source_type": F.lit("official_web_fallback"), "verified_at": F.lit(verified_at).cast("timestamp"),
+    })
+    new = new.select(*[F.col(c).cast(t).alias(c) for c, t in parameters.dtypes if c in new.columns])
+    outcomes = missing.join(found, "tax_year", "left").select("tax_year", "value_text", F.when(F.col("value_text").isNull() & F.col("error").isNull(), "no address").otherwise(F.col("error")).alias("error"))
+    return catalog.upsert(parameters, new, ["parameter_key", "tax_year"]), outcomes
+
+
 def parameter_context(
     questions: DataFrame, parameters: DataFrame, as_of_year: int, fallback: DataFrame | None = None, key: str = R.PARAMETER_KEY, subject: str = R.PARAMETER_SUBJECT, terms: list[str] = R.PARAMETER_TERMS
 ) -> DataFrame:

@@ -880,6 +880,18 @@ def s17_export(spark, sf_dir):
     return A.export(u.withColumns(none).withColumn("question", F.col("id").cast("string"))).select("created_at", F.col("question").cast("long").alias("id"), "cache_write_tokens")
 
 
+@query(_with(X.MESSAGES, _LOGS) + """SELECT strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, left(coalesce(question, ''), 100) AS question, CASE WHEN id % 3 = 0 THEN '' ELSE 'HIGH' END AS confidence,
+  (id % 900)::VARCHAR AS response_time_ms, CASE WHEN id % 5 = 0 THEN '' ELSE (id % 7000)::VARCHAR END AS input_tokens, (id % 11)::VARCHAR AS output_tokens, '' AS cache_read_tokens, (id % 13)::VARCHAR AS cache_write_tokens, (id % 17)::VARCHAR AS cost_usd
+  FROM logs ORDER BY logs.created_at DESC, id DESC LIMIT 10000""")
+def s17_export_rows(spark, sf_dir):
+    """All columns of the export; questions are texts, cut to 100 characters."""
+    i = F.col("id")
+    rows = A.logs(X.messages(spark, sf_dir), "2024-01-05", "2024-01-20").withColumns({
+        "confidence": F.when(i % 3 != 0, "HIGH"), "response_time_ms": i % 900, "input_tokens": F.when(i % 5 != 0, i % 7000), "output_tokens": i % 11, "cache_read_tokens": F.lit(None).cast("long"), "cache_write_tokens": i % 13, "cost_usd": i % 17,
+    })
+    return A.export(rows)
+
+
 @query("SELECT p_partkey, concat_ws(',', CASE WHEN p_size > 40 THEN 'too_large' END, CASE WHEN p_partkey % 3 = 0 THEN 'unsupported_type' END, CASE WHEN p_partkey % 7 = 0 THEN 'no_text' END) AS errors FROM part")
 def s22_upload_errors(spark, sf_dir):
     p = X.read(spark, sf_dir, "part")
