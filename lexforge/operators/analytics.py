@@ -144,6 +144,11 @@ def document_stats(documents: DataFrame, chunks: DataFrame, warn: int = 500_000)
     return d.crossJoin(chunks.agg(F.count("*").alias("chunks"))).withColumn("warning", F.col("tokens") > warn)
 
 
+def version(chunks: DataFrame, name: str) -> DataFrame:
+    """The version that runs, and how many chunks there are."""
+    return chunks.agg(F.lit(name).alias("version"), F.count("*").alias("total_chunks"))
+
+
 def tiles(documents: DataFrame) -> DataFrame:
     """A10: the dashboard's numbers; a ready document without chunks counts as ready and as failed."""
     none = F.coalesce("chunk_count", F.lit(0)) == 0

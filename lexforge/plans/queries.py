@@ -899,13 +899,6 @@ def s22_upload_errors(spark, sf_dir):
     return p.select("p_partkey", F.array_join(e, ",").alias("errors"))
 
 
-@query("SELECT conv_id AS id, string_agg(text, '' ORDER BY turn) AS text FROM conversations GROUP BY 1")
-def s21_event_text(spark, sf_dir):
-    c = X.read(spark, sf_dir, "conversations")
-    line = F.concat(F.lit("data: "), F.to_json(F.struct("text")))
-    return S.event_text(c.select(F.col("conv_id").alias("id"), F.col("turn").alias("nth"), line.alias("line"))).select("id", "text")
-
-
 # -- more of the inventory --------------------------------------------------------------
 
 

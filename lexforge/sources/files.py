@@ -148,17 +148,22 @@ def extract(files: DataFrame, between_pages: str = "\n", pdf_reader: Callable[[b
     return rows.withColumn("text", text).withColumn("error", error)
 
 
-def fetch(addresses: DataFrame, timeout: float = 30.0, column: str = "url") -> DataFrame:
+#: Beginnings of addresses that are fetched.
+SCHEMES = ("http://", "https://")
+
+
+def fetch(addresses: DataFrame, timeout: float = 30.0, column: str = "url", schemes: tuple[str, ...] = SCHEMES) -> DataFrame:
     """Rows with an address, each with content, content_type, final address (as url) and error.
 
-    Redirects are followed.  An address that fails is a row with an error; requests run
+    Redirects are followed.  Addresses that begin with none of ``schemes`` are errors (``data:``
+    takes content that the address itself holds).  An address that fails is a row with an error; requests run
     in the tasks, one after the other.
     """
     schema = ", ".join(f"{c} {t}" for c, t in addresses.dtypes if c != column) + f", {column} string, content binary, content_type string, error string"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            got = [_get(u, timeout) for u in pdf[column]]
+            got = [_get(u, timeout, schemes) for u in pdf[column]]
             out = pdf.drop(columns=[column])
             for i, name in enumerate((column, "content", "content_type", "error")):
                 out[name] = pd.Series([g[i] for g in got], index=out.index, dtype=object)
@@ -167,11 +172,11 @@ def fetch(addresses: DataFrame, timeout: float = 30.0, column: str = "url") -> D
     return addresses.mapInPandas(run, schema.removeprefix(", "))
 
 
-def _get(url: str | None, timeout: float) -> tuple[str | None, bytes | None, str | None, str | None]:
+def _get(url: str | None, timeout: float, schemes: tuple[str, ...]) -> tuple[str | None, bytes | None, str | None, str | None]:
     from urllib.request import Request, urlopen
 
     try:
-        if not url or not url.lower().startswith(("http://", "https://")):
+        if not url or not url[:16].lower().startswith(schemes):
             raise ValueError("no web address")
         with urlopen(Request(url, headers={"User-Agent": "lexforge"}), timeout=timeout) as r:  # noqa: S310
             return r.geturl(), r.read(), (r.headers.get("content-type") or "").lower(), None
@@ -179,12 +184,12 @@ def _get(url: str | None, timeout: float) -> tuple[str | None, bytes | None, str
         return url, None, None, f"{type(e).__name__}: {e}"
 
 
-def fetch_documents(addresses: DataFrame, timeout: float = 30.0, pdf_reader: Callable[[bytes], list[str]] | None = None) -> DataFrame:
+def fetch_documents(addresses: DataFrame, timeout: float = 30.0, pdf_reader: Callable[[bytes], list[str]] | None = None, schemes: tuple[str, ...] = SCHEMES) -> DataFrame:
     """Rows with url, fetched and extracted: content, kind, text, pages and error."""
-    return extract(fetch(addresses, timeout), between_pages="\n\n", pdf_reader=pdf_reader)
+    return extract(fetch(addresses, timeout, schemes=schemes), between_pages="\n\n", pdf_reader=pdf_reader)
 
 
-def fetch_shared(links: DataFrame, timeout: float = 30.0, pdf_reader: Callable[[bytes], list[str]] | None = None, template: str = "https://drive.google.com/uc?export=download&id={id}") -> DataFrame:
+def fetch_shared(links: DataFrame, timeout: float = 30.0, pdf_reader: Callable[[bytes], list[str]] | None = None, template: str = "https://drive.google.com/uc?export=download&id={id}", schemes: tuple[str, ...] = SCHEMES) -> DataFrame:
     """Rows with the url of a shared file, downloaded by its id: text, kind and error.
 
     What is neither PDF nor a text document is taken as plain text.
@@ -193,7 +198,7 @@ def fetch_shared(links: DataFrame, timeout: float = 30.0, pdf_reader: Callable[[
     before, after = template.split("{id}")
     found = T.drive_id(F.col("url"))
     rows = links.withColumn("url", F.when(found.isNotNull(), F.concat(F.lit(before), found, F.lit(after))))
-    got = fetch(rows, timeout)
+    got = fetch(rows, timeout, schemes=schemes)
     t = F.coalesce("content_type", F.lit(""))
     got = got.withColumn("kind", F.when(t.contains("pdf"), "pdf").when(t.contains("document") | t.contains("docx"), "docx").otherwise("text"))
     pages = _pdf(F.when(F.col("kind") == "pdf", F.col("content")), pdf_reader)
@@ -269,12 +274,34 @@ def read_register(spark: SparkSession, path: str, columns: list[str]) -> DataFra
     return x.select(F.array_join(F.slice("f", 1, F.size("f") - n), ",").alias(columns[0]), *(F.element_at("f", i - n).alias(c) for i, c in enumerate(columns[1:])))
 
 
+#: The error of an error event without a text.
+NO_MESSAGE = "unknown error"
+
+
+def events(lines: DataFrame) -> DataFrame:
+    """Id, nth, type and text of lines of event streams; the text of ``usage`` is its data.
+
+    A line that is no event has an empty type.
+    """
+    data = F.regexp_extract(T.strip(F.col("line")), r"(?s)^data: (.*)$", 1)
+    rows = lines.select("id", "nth", F.from_json(data, "type string, text string, data string").alias("e"))
+    return rows.select("id", "nth", F.coalesce("e.type", F.lit("")).alias("type"), F.when(F.col("e.type") == "usage", F.col("e.data")).otherwise(F.col("e.text")).alias("text"))
+
+
 def event_text(lines: DataFrame) -> DataFrame:
-    """Answers out of event streams: rows (id, nth, line) to (id, text, error)."""
-    e = F.from_json(F.regexp_extract("line", r"^data: (.*)$", 1), "text string, error string")
-    rows = lines.where(F.col("line").startswith("data: ")).select("id", "nth", e.alias("e"))
-    parts = F.array_sort(F.collect_list(F.struct("nth", F.coalesce("e.text", F.lit("")).alias("t"))))
-    return rows.groupBy("id").agg(F.array_join(F.transform(parts, lambda x: x["t"]), "").alias("text"), F.max("e.error").alias("error"))
+    """Answers out of event streams: rows (id, nth, line) to (id, text, error).
+
+    The text is that of ``text`` events alone, up to the first ``error`` event, whose
+    text is the error.  A stream without any text has an empty one; lines that are no
+    events are left out, and streams of only such lines.
+    """
+    bad = F.col("type") == "error"
+    rows = events(lines).where("type != ''").groupBy("id").agg(
+        F.min(F.when(bad, F.struct("nth", F.coalesce("text", F.lit(NO_MESSAGE)).alias("t")))).alias("bad"),
+        F.array_sort(F.collect_list(F.when(F.col("type") == "text", F.struct("nth", F.coalesce("text", F.lit("")).alias("t"))))).alias("said"),
+    )
+    said = F.filter("said", lambda x: F.col("bad").isNull() | (x["nth"] < F.col("bad.nth")))
+    return rows.select("id", F.array_join(F.transform(said, lambda x: x["t"]), "").alias("text"), F.col("bad.t").alias("error"))
 
 
 def review_sheet(cases: DataFrame, product: str = "lexforge") -> DataFrame:

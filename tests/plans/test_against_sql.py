@@ -10,6 +10,7 @@ DATA = "/root/testdata/sf0.001"
 NAMES = [
     "hybrid_topk", "r06_forced", "r13_own_k", "h02_answer_context", "f20_term_scores", "r12_pack_documents", "k03_token_cap", "k04_parts", "e01_ranking_metrics", "a12_compared", "f26_deltas",
     "m06_insert_or_ignore", "m14_chunks", "s18_report", "s20_review_sheet", "j14_parameter_lookup",
+    "s05_s10_fetched", "h05_ingest", "m15_apply", "r14_fetched_parameters", "s21_event_text", "h02_answer_stream",
 ]
 
 
