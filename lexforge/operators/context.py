@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import rules as R, text as T
 from ..functions.tokens import ESTIMATE, Estimate, Library
-from ..scratch import stored
+from ..scratch import release, stored
 from ..session import ship
 from ..sources import files as S, pdf
 from . import catalog, ranking
@@ -70,34 +71,44 @@ def context(ranked: DataFrame, chunks: DataFrame, window: int = WINDOW, budget:
     return blocks(expanded(ranked, chunks, window)).select("query_id", F.array_join(fit(F.col("blocks"), budget, sizer), "\n\n").alias("context"))
 
 
+#: Neighbouring documents of a question that one task walks along at a time.
+BLOCK = 4096
 _DECIDED = "query_id {0}, place long, document_id long, what string, room long"
 
 
-def _packer(budget: int, least_left: int):
-    """Walk along each question's documents, best first, from where the round before it stopped."""
-
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        query, place, used, halted = None, 0, 0, False
-        for pdf in frames:
-            out = []
-            for q, doc, score, n, begun, at in zip(*(pdf[c] for c in ("query_id", "document_id", "score", "tokens", "used", "after")), strict=True):
-                if q != query:
-                    query, place, used, halted = q, 0, int(begun), False
-                place += 1
-                left = budget - used
-                if halted or place <= at:
-                    continue
-                if n <= left:
-                    used += int(n)
-                    out.append((q, place, doc, "whole", used))
-                elif left > least_left and score > 0:
-                    halted = True  # how much of its text fits is found outside
-                    out.append((q, place, doc, "cut", used))
-                else:
-                    out.append((q, place, doc, "skipped", used))
-            yield pd.DataFrame(out, columns=["query_id", "place", "document_id", "what", "room"])
-
-    return pack
+def _walk(budget: int, least_left: int):
+    """Walk along one block of a question's documents, best first, from where it was left."""
+
+    def walk(block: pd.DataFrame) -> pd.DataFrame:
+        rows = block.sort_values("place")
+        rows = rows[rows["place"] > rows["after"]]
+        q, used, out = block["query_id"].iloc[0], int(block["used"].iloc[0]), []
+        for place, doc, score, n in zip(rows["place"], rows["document_id"], rows["score"], rows["tokens"], strict=True):
+            left = budget - used
+            if n <= left:
+                used += int(n)
+                out.append((q, place, doc, "whole", used))
+            elif left > least_left and score > 0:  # how much of its text fits is found outside
+                out.append((q, place, doc, "cut", used))
+                break
+        else:
+            out.append((q, block["place"].max(), None, "end", used))
+        return pd.DataFrame(out, columns=["query_id", "place", "document_id", "what", "room"]).astype({"document_id": "Int64"})
+
+    return walk
+
+
+def _placed(scored: DataFrame) -> DataFrame:
+    """``scored`` with the place of each document by falling score; ranges of ranks are counted, so no task sees a whole question."""
+    ranges = stored(scored.repartitionByRange(F.col("query_id"), F.desc("score"), F.col("document_id")).withColumn("part", F.spark_partition_id()), "pack-ranges")
+    sizes = ranges.groupBy("query_id", "part").agg(F.count("*").alias("size"))
+    before = F.sum("size").over(W.partitionBy("query_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    offsets = sizes.select("query_id", "part", F.coalesce(before, F.lit(0)).alias("offset"))
+    nth = F.row_number().over(W.partitionBy("query_id", "part").orderBy(F.desc("score"), "document_id"))
+    rows = ranges.withColumn("nth", nth).join(offsets, ["query_id", "part"])
+    out = stored(rows.withColumn("place", (F.col("offset") + F.col("nth")).cast("long")).drop("part", "nth", "offset"), "pack-places")
+    release(ranges)
+    return out
 
 
 def pack_documents(scored: DataFrame, budget: int, least_left: int = 3000, least_chars: int = 500, sizer: Estimate | Library = ESTIMATE) -> DataFrame:
@@ -107,44 +118,54 @@ def pack_documents(scored: DataFrame, budget: int, least_left: int = 3000, least
     doesn't fit is cut if enough is left and it scores at all: to 0.8 of the share
     that would fit, then by 0.8 again and again until it does; or it is skipped.
 
-    The walk along a question's documents sees ids, scores and sizes, a row at a time,
-    and stops where one is to be cut; that text alone is looked at, and the walk goes on
-    after it.  A cut takes most of what is left, so there are few such rounds.  Returns
+    Places of documents are found by counted ranges.  A round walks along one block of BLOCK places of each question, by ids,
+    scores and sizes: the next one in which a document may fit (by its smallest size) or may be
+    cut.  What is left only falls, so blocks that are passed over hold nothing but skipped and
+    empty documents.  A walk stops at a document that is to be cut; that text alone is
+    looked at, and the walk goes on after it.  A cut takes most of what is left, so there are few rounds.  Returns
     query_id, place, document_id, title, text and skipped.
     """
-    ship(scored.sparkSession)
+    spark = scored.sparkSession
+    ship(spark)
     kind = dict(scored.dtypes)["query_id"]
-    narrow = stored(scored.select("query_id", F.col("document_id").cast("long").alias("document_id"), "score", sizer.of(F.col("text")).cast("long").alias("tokens")), "pack-sizes")
-    state, rounds = None, []
+    texts = scored.select("query_id", F.col("document_id").cast("long").alias("document_id"), "title", "text")
+    placed = _placed(scored.select("query_id", F.col("document_id").cast("long").alias("document_id"), "score", sizer.of(F.col("text")).cast("long").alias("tokens")))
+    placed = placed.withColumn("block", F.floor((F.col("place") - 1) / BLOCK).cast("long"))
+    hope = F.coalesce(F.max((F.col("score") > 0) & (F.col("tokens") > 0)), F.lit(False))
+    blocks = stored(placed.groupBy("query_id", "block").agg(F.min(F.when(F.col("tokens") > 0, F.col("tokens"))).alias("smallest"), hope.alias("hope"), F.max("place").alias("last")), "pack-blocks")
+    state, rounds = blocks.select("query_id").distinct().withColumns({"used": F.lit(0).cast("long"), "after": F.lit(0).cast("long")}), []
     while True:
-        if state is None:
-            rows = narrow.withColumns({"used": F.lit(0).cast("long"), "after": F.lit(0).cast("long")})
-        else:  # the questions that stopped
-            rows = narrow.join(state, "query_id")
-        rows = rows.repartition("query_id").sortWithinPartitions("query_id", F.desc("score"), "document_id")
-        done = stored(rows.mapInPandas(_packer(budget, least_left), _DECIDED.format(kind)), "pack")
-        rounds.append(done.where("what != 'cut'").withColumn("chars", F.lit(None).cast("long")))
-        cuts = done.where("what = 'cut'")
-        if not cuts.take(1):
+        left = F.lit(budget) - F.col("used")
+        due = blocks.join(state, "query_id").where((F.col("last") > F.col("after")) & ((F.col("smallest") <= left) | ((left > least_left) & F.col("hope"))))
+        due = due.groupBy("query_id").agg(F.min("block").alias("block"), F.first("used").alias("used"), F.first("after").alias("after"))
+        rows = placed.join(due, ["query_id", "block"]).select("query_id", "place", "document_id", "score", "tokens", "used", "after")
+        done = stored(rows.groupBy("query_id").applyInPandas(_walk(budget, least_left), _DECIDED.format(kind)), "pack")
+        if not done.take(1):
             break
-        texts = scored.select("query_id", F.col("document_id").cast("long").alias("document_id"), "text")
-        found = cuts.join(texts, ["query_id", "document_id"])
-        left = F.lit(budget) - F.col("room")
-        first = F.floor(F.length("text") * (left / sizer.of(F.col("text"))) * 0.8).cast("long")
-        found = found.withColumns({"left": left, "first": first}).withColumn("tries", F.transform(F.sequence(F.lit(0), F.lit(60)), lambda i: F.aggregate(F.sequence(F.lit(0), i), F.col("first"), lambda a, j: F.when(j == 0, a).otherwise(F.floor(a * 0.8)))))
-        found = found.withColumn("cut", F.transform("tries", lambda n: F.substring(F.col("text"), F.lit(1), n.cast("int")))).withColumn("sizes", sizer.of_each(F.col("cut")))
-        fits = F.filter(F.arrays_zip("tries", "sizes"), lambda x: (x["sizes"] <= F.col("left")) | (x["tries"] <= least_chars))
-        found = found.withColumn("fit", F.element_at(fits, 1))
-        enough = F.col("fit.tries") > least_chars
-        found = found.select("query_id", "place", "document_id", F.when(enough, "cut").otherwise("skipped").alias("what"), (F.col("room") + F.when(enough, F.col("fit.sizes")).otherwise(0)).alias("room"), F.col("fit.tries").alias("chars"))
-        found = stored(found, "pack-cut")
-        rounds.append(found)
-        state = found.select("query_id", F.col("room").alias("used"), F.col("place").alias("after"))
-    every = rounds[0]
-    for more in rounds[1:]:
-        every = every.unionByName(more)
-    texts = scored.select("query_id", F.col("document_id").cast("long").alias("document_id"), "title", "text")
-    out = every.join(texts, ["query_id", "document_id"])
+        rounds.append(done.where("what = 'whole'").select("query_id", "place", "what", F.lit(None).cast("long").alias("chars")))
+        ends = done.where("what = 'end'").select("query_id", F.col("room").alias("used"), F.col("place").alias("after"))
+        cuts = done.where("what = 'cut'")
+        if cuts.take(1):
+            found = cuts.join(texts.drop("title"), ["query_id", "document_id"])
+            left = F.lit(budget) - F.col("room")
+            first = F.floor(F.length("text") * (left / sizer.of(F.col("text"))) * 0.8).cast("long")
+            found = found.withColumns({"left": left, "first": first}).withColumn("tries", F.transform(F.sequence(F.lit(0), F.lit(60)), lambda i: F.aggregate(F.sequence(F.lit(0), i), F.col("first"), lambda a, j: F.when(j == 0, a).otherwise(F.floor(a * 0.8)))))
+            found = found.withColumn("cut", F.transform("tries", lambda n: F.substring(F.col("text"), F.lit(1), n.cast("int")))).withColumn("sizes", sizer.of_each(F.col("cut")))
+            fits = F.filter(F.arrays_zip("tries", "sizes"), lambda x: (x["sizes"] <= F.col("left")) | (x["tries"] <= least_chars))
+            found = found.withColumn("fit", F.element_at(fits, 1))
+            enough = F.col("fit.tries") > least_chars
+            found = found.select("query_id", "place", F.when(enough, "cut").otherwise("skipped").alias("what"), (F.col("room") + F.when(enough, F.col("fit.sizes")).otherwise(0)).alias("room"), F.col("fit.tries").alias("chars"))
+            found = stored(found, "pack-cut")
+            rounds.append(found.where("what = 'cut'").select("query_id", "place", "what", "chars"))
+            ends = ends.unionByName(found.select("query_id", F.col("room").alias("used"), F.col("place").alias("after")))
+        state = ends
+    every = placed.select("query_id", "place", "document_id", F.when(F.col("tokens") == 0, "whole").otherwise("skipped").alias("else"))
+    if rounds:
+        decided = reduce(DataFrame.unionByName, rounds)
+        every = every.join(decided, ["query_id", "place"], "left")
+    else:
+        every = every.withColumns({"what": F.lit(None).cast("string"), "chars": F.lit(None).cast("long")})
+    out = every.withColumn("what", F.coalesce("what", "else")).drop("else").join(texts, ["query_id", "document_id"])
     cut = F.col("what") == "cut"
     title = F.when(cut, F.concat("title", F.lit(R.CUT_TITLE))).otherwise(F.col("title"))
     text = F.when(cut, F.concat(F.substring(F.col("text"), F.lit(1), F.col("chars").cast("int")), F.lit(R.CUT_TEXT))).when(F.col("what") == "whole", F.col("text"))

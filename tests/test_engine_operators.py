@@ -1,6 +1,7 @@
 """Operators on small tables."""
 
 import io
+import random
 import zipfile
 
 import pytest
@@ -114,6 +115,30 @@ def test_pack_documents(spark):
         assert got == brute_pack(docs, budget)
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_pack_many_documents_of_a_question(spark, monkeypatch, parts):
+    monkeypatch.setattr(C, "BLOCK", 8)
+    rng = random.Random(parts)
+    of = {q: [(d, rng.choice("abé") * rng.choice([0, 3, 900, 4000, 7000]), rng.choice([0.0, 0.1, 0.2, 0.5])) for d in range(n)] for q, n in ((1, 60), (2, 3), (3, 25))}
+    df = spark.createDataFrame([(q, d, f"t{d}", t, s) for q, v in of.items() for d, t, s in v], "query_id int, document_id long, title string, text string, score double").repartition(parts)
+    seen = []
+    walk = C._walk
+
+    def watched(budget, least):
+        seen.append(budget)
+        return walk(budget, least)
+
+    monkeypatch.setattr(C, "_walk", watched)
+    for budget in (9000, 30_000):
+        got = C.pack_documents(df, budget).orderBy("query_id", "place").collect()
+        for q, docs in of.items():
+            mine = [(r.document_id, None if r.skipped else len(r.text.removesuffix("\n[... המסמך נחתך עקב מגבלת גודל ...]"))) for r in got if r.query_id == q]
+            assert mine == brute_pack(docs, budget)
+            assert [r.place for r in got if r.query_id == q] == list(range(1, len(docs) + 1))
+    assert len(seen) > 4
+    assert C.pack_documents(df.limit(0), 9000).collect() == []
+
+
 def test_parameter_context(spark):
     p = spark.createDataFrame([("training_fund_favored_deposit_limit", 2025, "20,566", "ILS", "book", "http://x", None, None)], "parameter_key string, tax_year int, value_text string, unit string, source_title string, source_url string, source_page string, source_type string")
     q = spark.createDataFrame([(1, "כמה בקרן השתלמות ב 2025"), (2, "כמה בקרן השתלמות"), (3, "שלום")], "id int, question string")
