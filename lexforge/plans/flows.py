@@ -53,7 +53,9 @@ def _file(kind: str, lines: list[str]) -> bytes:
 
 def _made(frames):
     for f in frames:
-        yield f[["doc_id", "kind"]].assign(content=[_file(k, x) for k, x in zip(f["kind"], f["lines"], strict=True)])
+        for a in range(0, len(f), S.FETCHED):
+            some = f.iloc[a : a + S.FETCHED]
+            yield some[["doc_id", "kind"]].assign(content=[_file(k, x) for k, x in zip(some["kind"], some["lines"], strict=True)])
 
 
 def _files(spark, sf_dir: str, kind: Column) -> DataFrame:

@@ -150,6 +150,8 @@ def extract(files: DataFrame, between_pages: str = "\n", pdf_reader: Callable[[b
 
 #: Beginnings of addresses that are fetched.
 SCHEMES = ("http://", "https://")
+#: Contents that a task holds at a time before it hands them on.
+FETCHED = 64
 
 
 def fetch(addresses: DataFrame, timeout: float = 30.0, column: str = "url", schemes: tuple[str, ...] = SCHEMES) -> DataFrame:
@@ -163,11 +165,13 @@ def fetch(addresses: DataFrame, timeout: float = 30.0, column: str = "url", sche
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            got = [_get(u, timeout, schemes) for u in pdf[column]]
-            out = pdf.drop(columns=[column])
-            for i, name in enumerate((column, "content", "content_type", "error")):
-                out[name] = pd.Series([g[i] for g in got], index=out.index, dtype=object)
-            yield out
+            for a in range(0, len(pdf), FETCHED):
+                some = pdf.iloc[a : a + FETCHED]
+                got = [_get(u, timeout, schemes) for u in some[column]]
+                out = some.drop(columns=[column])
+                for i, name in enumerate((column, "content", "content_type", "error")):
+                    out[name] = pd.Series([g[i] for g in got], index=out.index, dtype=object)
+                yield out
 
     return addresses.mapInPandas(run, schema.removeprefix(", "))
 
