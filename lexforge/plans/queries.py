@@ -1038,7 +1038,7 @@ def f26_f27_f36_shown(spark, sf_dir):
 def f28_vectors(spark, sf_dir):
     v = F.transform("embedding", lambda x: x.cast("double"))
     back = T.vector_from_json(T.vector_to_json(v))
-    return X.read(spark, sf_dir, "embeddings").select("vec_id", F.array_join(F.transform(back, lambda x: F.format_string("%.6f", x)), " ").alias("vector"))
+    return X.read(spark, sf_dir, "embeddings").select("vec_id", F.array_join(F.transform(back, lambda x: T.fixed(x, 6)), " ").alias("vector"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name || '.pdf' ELSE 'x.bin' END AS original, CASE WHEN p_partkey % 3 = 0 THEN p_name WHEN p_partkey % 3 = 1 THEN 'document' ELSE '.hidden' END || '.txt' AS text FROM part")
