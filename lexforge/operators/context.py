@@ -7,11 +7,11 @@ from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import rules as R, text as T
 from ..functions.tokens import ESTIMATE, Estimate, Library
-from ..scratch import release, stored
+from ..scratch import stored
 from ..session import ship
 from ..sources import files as S, pdf
 from . import catalog, ranking
@@ -73,6 +73,8 @@ def context(ranked: DataFrame, chunks: DataFrame, window: int = WINDOW, budget:
 
 #: Neighbouring documents of a question that one task walks along at a time.
 BLOCK = 4096
+#: Documents given to all questions that are broadcast to the texts; more are joined by shuffle.
+FEW = 1_000_000
 _DECIDED = "query_id {0}, place long, document_id long, what string, room long"
 
 
@@ -98,47 +100,40 @@ def _walk(budget: int, least_left: int):
     return walk
 
 
-def _placed(scored: DataFrame) -> DataFrame:
-    """``scored`` with the place of each document by falling score; ranges of ranks are counted, so no task sees a whole question."""
-    ranges = stored(scored.repartitionByRange(F.col("query_id"), F.desc("score"), F.col("document_id")).withColumn("part", F.spark_partition_id()), "pack-ranges")
-    sizes = ranges.groupBy("query_id", "part").agg(F.count("*").alias("size"))
-    before = F.sum("size").over(W.partitionBy("query_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
-    offsets = sizes.select("query_id", "part", F.coalesce(before, F.lit(0)).alias("offset"))
-    nth = F.row_number().over(W.partitionBy("query_id", "part").orderBy(F.desc("score"), "document_id"))
-    rows = ranges.withColumn("nth", nth).join(offsets, ["query_id", "part"])
-    out = stored(rows.withColumn("place", (F.col("offset") + F.col("nth")).cast("long")).drop("part", "nth", "offset"), "pack-places")
-    release(ranges)
-    return out
-
-
-def pack_documents(scored: DataFrame, budget: int, least_left: int = 3000, least_chars: int = 500, sizer: Estimate | Library = ESTIMATE) -> DataFrame:
+def pack_documents(scored: DataFrame, budget: int, least_left: int = 3000, least_chars: int = 500, sizer: Estimate | Library = ESTIMATE, texts: DataFrame | None = None) -> DataFrame:
     """Whole documents by falling score while they fit; the best of the rest cut to size.
 
-    ``scored`` has query_id, document_id, title, text and score.  A document that
+    ``scored`` has query_id, document_id, title, score and text; or, where all questions see the same
+    texts, tokens (:meth:`sizer.of` the text), and ``texts`` has (document_id, text), so that no text is there
+    once for each question.  A document that
     doesn't fit is cut if enough is left and it scores at all: to 0.8 of the share
     that would fit, then by 0.8 again and again until it does; or it is skipped.
 
     Places of documents are found by counted ranges.  A round walks along one block of BLOCK places of each question, by ids,
     scores and sizes: the next one in which a document may fit (by its smallest size) or may be
     cut.  What is left only falls, so blocks that are passed over hold nothing but skipped and
-    empty documents.  A walk stops at a document that is to be cut; that text alone is
+    empty documents.  Only texts that are given or cut are joined.  A walk stops at a document that is to be cut; that text alone is
     looked at, and the walk goes on after it.  A cut takes most of what is left, so there are few rounds.  Returns
     query_id, place, document_id, title, text and skipped.
     """
     spark = scored.sparkSession
     ship(spark)
     kind = dict(scored.dtypes)["query_id"]
-    texts = scored.select("query_id", F.col("document_id").cast("long").alias("document_id"), "title", "text")
-    placed = _placed(scored.select("query_id", F.col("document_id").cast("long").alias("document_id"), "score", sizer.of(F.col("text")).cast("long").alias("tokens")))
+    key = F.col("document_id").cast("long").alias("document_id")
+    if texts is None:
+        texts, on, tokens = scored.select("query_id", key, "text"), ["query_id", "document_id"], sizer.of(F.col("text"))
+    else:
+        texts, on, tokens = texts.select(key, "text"), ["document_id"], F.col("tokens")
+    placed = ranking.placed(scored.select("query_id", key, "title", "score", tokens.cast("long").alias("tokens")), "query_id", [F.desc("score"), F.col("document_id")], "place")
     placed = placed.withColumn("block", F.floor((F.col("place") - 1) / BLOCK).cast("long"))
     hope = F.coalesce(F.max((F.col("score") > 0) & (F.col("tokens") > 0)), F.lit(False))
-    blocks = stored(placed.groupBy("query_id", "block").agg(F.min(F.when(F.col("tokens") > 0, F.col("tokens"))).alias("smallest"), hope.alias("hope"), F.max("place").alias("last")), "pack-blocks")
+    blocks = stored(placed.groupBy("query_id", "block").agg(F.min(F.when(F.col("tokens") > 0, F.col("tokens"))).alias("smallest"), hope.alias("hope"), F.max("place").alias("last"), F.count_if(F.col("tokens") == 0).alias("empty")), "pack-blocks")
     state, rounds = blocks.select("query_id").distinct().withColumns({"used": F.lit(0).cast("long"), "after": F.lit(0).cast("long")}), []
     while True:
         left = F.lit(budget) - F.col("used")
         due = blocks.join(state, "query_id").where((F.col("last") > F.col("after")) & ((F.col("smallest") <= left) | ((left > least_left) & F.col("hope"))))
         due = due.groupBy("query_id").agg(F.min("block").alias("block"), F.first("used").alias("used"), F.first("after").alias("after"))
-        rows = placed.join(due, ["query_id", "block"]).select("query_id", "place", "document_id", "score", "tokens", "used", "after")
+        rows = placed.join(F.broadcast(due), ["query_id", "block"]).select("query_id", "place", "document_id", "score", "tokens", "used", "after")
         done = stored(rows.groupBy("query_id").applyInPandas(_walk(budget, least_left), _DECIDED.format(kind)), "pack")
         if not done.take(1):
             break
@@ -146,7 +141,7 @@ def pack_documents(scored: DataFrame, budget: int, least_left: int = 3000, least
         ends = done.where("what = 'end'").select("query_id", F.col("room").alias("used"), F.col("place").alias("after"))
         cuts = done.where("what = 'cut'")
         if cuts.take(1):
-            found = cuts.join(texts.drop("title"), ["query_id", "document_id"])
+            found = texts.join(F.broadcast(cuts), on)
             left = F.lit(budget) - F.col("room")
             first = F.floor(F.length("text") * (left / sizer.of(F.col("text"))) * 0.8).cast("long")
             found = found.withColumns({"left": left, "first": first}).withColumn("tries", F.transform(F.sequence(F.lit(0), F.lit(60)), lambda i: F.aggregate(F.sequence(F.lit(0), i), F.col("first"), lambda a, j: F.when(j == 0, a).otherwise(F.floor(a * 0.8)))))
@@ -159,17 +154,21 @@ def pack_documents(scored: DataFrame, budget: int, least_left: int = 3000, least
             rounds.append(found.where("what = 'cut'").select("query_id", "place", "what", "chars"))
             ends = ends.unionByName(found.select("query_id", F.col("room").alias("used"), F.col("place").alias("after")))
         state = ends
-    every = placed.select("query_id", "place", "document_id", F.when(F.col("tokens") == 0, "whole").otherwise("skipped").alias("else"))
+    rows = placed.select("query_id", "place", "document_id", "title", F.when(F.col("tokens") == 0, "whole").otherwise("skipped").alias("else"))
     if rounds:
-        decided = reduce(DataFrame.unionByName, rounds)
-        every = every.join(decided, ["query_id", "place"], "left")
+        decided = stored(reduce(DataFrame.unionByName, rounds), "decided")
+        few = F.broadcast if decided.count() + blocks.agg(F.sum("empty")).first()[0] <= FEW else lambda df: df
+        rows = rows.join(few(decided), ["query_id", "place"], "left")
     else:
-        every = every.withColumns({"what": F.lit(None).cast("string"), "chars": F.lit(None).cast("long")})
-    out = every.withColumn("what", F.coalesce("what", "else")).drop("else").join(texts, ["query_id", "document_id"])
+        few = lambda df: df
+        rows = rows.withColumns({"what": F.lit(None).cast("string"), "chars": F.lit(None).cast("long")})
+    rows = rows.withColumn("what", F.coalesce("what", "else")).drop("else")
+    given = texts.join(few(rows.where("what != 'skipped'")), on)
     cut = F.col("what") == "cut"
     title = F.when(cut, F.concat("title", F.lit(R.CUT_TITLE))).otherwise(F.col("title"))
     text = F.when(cut, F.concat(F.substring(F.col("text"), F.lit(1), F.col("chars").cast("int")), F.lit(R.CUT_TEXT))).when(F.col("what") == "whole", F.col("text"))
-    return out.select("query_id", "place", "document_id", title.alias("title"), text.alias("text"), (F.col("what") == "skipped").alias("skipped"))
+    given = given.select("query_id", "place", "document_id", title.alias("title"), text.alias("text"), F.lit(False).alias("skipped"))
+    return given.unionByName(rows.where("what = 'skipped'").select("query_id", "place", "document_id", "title", F.lit(None).cast("string").alias("text"), F.lit(True).alias("skipped")))
 
 
 def complete_parameters(

@@ -350,10 +350,11 @@ _TF = f"""tf AS (
 )"""
 
 
-def _tf(spark, sf_dir):
-    d = X.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text", "source")
+def _tf(spark, sf_dir, keep=()):
+    title = F.concat("source", F.lit("#"), F.col("doc_id").cast("string"))
+    d = X.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text", title.alias("title"), T_ESTIMATE.of(F.col("text")).alias("tokens"))
     b = X.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    return d, R.term_scores(b, d).withColumn("score", F.round("score", 9))
+    return d, R.term_scores(b, d, keep).withColumn("score", F.round("score", 9))
 
 
 @query(_with(_TF) + "SELECT query_id, document_id, round(score, 6) AS score FROM tf")
@@ -381,9 +382,8 @@ _PLACES = f"""fold AS (
 
 @query("WITH RECURSIVE " + _TF + ", " + _PACKED + ", " + _PLACES + " SELECT query_id, place, document_id, title, n_chars::INT AS n_chars, skipped FROM fold WHERE place > 0")
 def r12_pack_documents(spark, sf_dir):
-    d, s = _tf(spark, sf_dir)
-    rows = s.join(d, "document_id").select("query_id", "document_id", F.concat("source", F.lit("#"), F.col("document_id").cast("string")).alias("title"), "text", "score")
-    return C.pack_documents(rows, 20_000).select("query_id", "place", "document_id", "title", F.length("text").alias("n_chars"), "skipped")
+    d, s = _tf(spark, sf_dir, ("title", "tokens"))
+    return C.pack_documents(s, 20_000, texts=d).select("query_id", "place", "document_id", "title", F.length("text").alias("n_chars"), "skipped")
 
 
 def _parameters(spark, sf_dir):
