@@ -702,10 +702,8 @@ metrics AS (SELECT query_id, round(coalesce(sum(hit) FILTER (rank <= 20) / any_v
 
 
 def _metrics(spark, sf_dir):
-    from pyspark.sql import Window as W
-
     s = _tf(spark, sf_dir)[1]
-    ranked = s.select("query_id", F.col("document_id").alias("item"), F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "document_id")).alias("rank"))
+    ranked = R.placed(s, "query_id", [F.desc("score"), F.col("document_id")], "rank").select("query_id", F.col("document_id").alias("item"), "rank")
     good = X.read(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("item"), (F.col("doc_id") % 5).alias("kind"))
     asked = X.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 5).alias("kind"))
     m = E.ranking_metrics(ranked, asked.join(good, "kind").select("query_id", "item"), 20)
