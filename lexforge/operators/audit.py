@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
+from ..scratch import stored
 
 #: Columns of a document that the report repeats, where the table has them.
 DESCRIPTION = ("title", "source_type", "source_ref", "token_count", "valid_until", "superseded_by", "topic", "document_type", "lifecycle_status")
@@ -78,7 +79,9 @@ def report(audited: DataFrame) -> DataFrame:
     """(nth, line): the lines of one JSON object with summary, issues and documents, in order.
 
     A line per document, so that a report of any size can be written as text by many tasks.
+    ``audited`` is read several times, so it is made once; it has no texts.
     """
+    audited = stored(audited, "audited")
     head = report_head(audited).select(F.lit(-1).cast("long").alias("nth"), F.concat(F.lit('{"summary": '), "summary", F.lit(', "issues": '), "issues", F.lit(', "documents": [')).alias("line"))
     docs = report_documents(audited)
     last = docs.agg(F.max("id").alias("last"))
