@@ -13,7 +13,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Pairs of a question and a chunk that are scored at a time.
-PAIRS = 1 << 20
+PAIRS = 1 << 19
+#: Places of a word and a text that are looked at together.
+FOUND = 1 << 22
 #: Titles and sources whose words are remembered.
 REMEMBERED = 10_000
 
@@ -139,7 +141,12 @@ class Scorer:
         return out
 
     def _lexical(self, title: list[str], ref: list[str], section: list[str], content: list[str]) -> np.ndarray:
-        """Points for identifiers, then for words in their order, each in title, source and content."""
+        """Points for identifiers, then for words in their order, each in title, source and content; some texts at a time."""
+        some, texts = max(64, FOUND // max(1, self.n_words)), (title, ref, section, content)
+        parts = [self._points(*(x[a : a + some] for x in texts)) for a in range(0, len(title), some)]
+        return np.concatenate(parts, axis=1) if parts else np.zeros((len(self.questions), 0))
+
+    def _points(self, title: list[str], ref: list[str], section: list[str], content: list[str]) -> np.ndarray:
         self.remembered = getattr(self, "remembered", {})
         t, r, c = self._found(title, self.remembered), self._found(ref, self.remembered), self._found(content)
         s = self._found(section, self.remembered)
