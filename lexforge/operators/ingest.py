@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as T
 from ..scratch import stored
-from ..session import ship
+from ..session import ship, sliced
 from ..sources import files as S, pdf
 from . import catalog, chunking
 
@@ -35,19 +35,23 @@ def embed_each(chunks: DataFrame, embedder: Callable[[list[str]], list[list[floa
             out += got
         return out
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf_ in frames:
-            vectors, errors = [None] * len(pdf_), [None] * len(pdf_)
-            for _, at in pdf_.reset_index(drop=True).groupby("document_id", sort=False).indices.items():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in sliced(batches):
+            vectors, errors, texts = [None] * rows.num_rows, [None] * rows.num_rows, rows.column("content").to_pylist()
+            of: dict[object, list[int]] = {}
+            for k, d in enumerate(rows.column("document_id").to_pylist()):
+                if d is not None:
+                    of.setdefault(d, []).append(k)
+            for at in of.values():
                 try:
-                    for k, v in zip(at, ask([pdf_["content"].iloc[k] for k in at]), strict=True):
+                    for k, v in zip(at, ask([texts[k] for k in at]), strict=True):
                         vectors[k] = v
                 except Exception as e:  # noqa: BLE001  the document fails, the job goes on
                     for k in at:
                         errors[k] = f"{type(e).__name__}: {e}"
-            yield pdf_.assign(embedding=vectors, embed_error=errors)
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(vectors, pa.list_(pa.float64())), pa.array(errors, pa.string())], [*rows.schema.names, "embedding", "embed_error"])
 
-    return chunks.mapInPandas(run, schema)
+    return chunks.mapInArrow(run, schema)
 
 
 def ingest(

@@ -7,6 +7,7 @@ import io
 import zipfile
 from xml.sax.saxutils import escape
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 import lexforge
@@ -15,7 +16,7 @@ from ..functions import rules as L
 from ..operators import analytics as A, catalog as M, context as C, evaluation as E, ingest
 from ..schemas import CHUNKS, DOCUMENTS, PARAMETERS, migrate
 from ..scratch import scratch_path
-from ..session import ship
+from ..session import ship, sliced
 from ..sources import files as S, pdf
 from ..streaming import answers
 from . import standins as X
@@ -51,17 +52,17 @@ def _file(kind: str, lines: list[str]) -> bytes:
     return ("<html><head><style>p {}</style></head><body><nav>menu</nav>" + "".join(f"<p>{escape(x)}</p>" for x in lines) + "<footer>end</footer></body></html>").encode()
 
 
-def _made(frames):
-    for f in frames:
-        for a in range(0, len(f), S.FETCHED):
-            some = f.iloc[a : a + S.FETCHED]
-            yield some[["doc_id", "kind"]].assign(content=[_file(k, x) for k, x in zip(some["kind"], some["lines"], strict=True)])
+def _made(batches):
+    for rows in sliced(batches):
+        kinds = rows.column("kind")
+        files = [_file(k, x) for k, x in zip(kinds.to_pylist(), rows.column("lines").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), kinds, pa.array(files, pa.binary())], ["doc_id", "kind", "content"])
 
 
 def _files(spark, sf_dir: str, kind: Column) -> DataFrame:
     """doc_id, kind and content: a file of its kind for each document."""
     ship(spark)
-    return _lines(spark, sf_dir).withColumn("kind", kind).mapInPandas(_made, "doc_id long, kind string, content binary")
+    return _lines(spark, sf_dir).withColumn("kind", kind).mapInArrow(_made, "doc_id long, kind string, content binary")
 
 
 _KINDS = ("pdf", "docx", "doc", "html", "lost")

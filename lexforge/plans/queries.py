@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import rules as L, text as T
 from ..functions.tokens import ESTIMATE as T_ESTIMATE
 from ..operators import analytics as A, audit, catalog as M, chunking as K, context as C, evaluation as E, ranking as R
 from ..scratch import scratch_path
-from ..session import ship
+from ..session import ship, sliced
 from ..sources import files as S, pdf
 from . import standins as X
 
@@ -847,10 +848,11 @@ def s08_html_text(spark, sf_dir):
 PAGE_LINES = 40
 
 
-def _as_pdf(frames):
-    for f in frames:
-        made = [pdf.write([list(x[a : a + PAGE_LINES]) for a in range(0, len(x), PAGE_LINES)], i % 2 == 0, i % 3 == 0) for i, x in zip(f["doc_id"], f["lines"], strict=True)]
-        yield f[["doc_id"]].assign(content=made)
+def _as_pdf(batches):
+    for rows in sliced(batches):
+        i, lines = rows.column("doc_id").to_pylist(), rows.column("lines").to_pylist()
+        made = [pdf.write([x[a : a + PAGE_LINES] for a in range(0, len(x), PAGE_LINES)], k % 2 == 0, k % 3 == 0) for k, x in zip(i, lines, strict=True)]
+        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(made, pa.binary())], ["doc_id", "content"])
 
 
 @query(rf"""SELECT doc_id, (p + 1)::INT AS page_number, {_CLEAN.format("array_to_string(lines[p * 40 + 1:p * 40 + 40], chr(10))")} AS text
@@ -859,7 +861,7 @@ def s04_pdf_pages(spark, sf_dir):
     """Documents as PDFs, packed or not, with tables or streams of cross references, and read back page by page."""
     ship(spark)
     lines = X.read(spark, sf_dir, "documents").select("doc_id", F.filter(F.split("text", "\n"), lambda x: F.regexp_like(x, F.lit(r"\S"))).alias("lines"))
-    files = lines.mapInPandas(_as_pdf, "doc_id long, content binary").withColumns({"url": F.lit("a.pdf"), "content_type": F.lit("application/pdf")})
+    files = lines.mapInArrow(_as_pdf, "doc_id long, content binary").withColumns({"url": F.lit("a.pdf"), "content_type": F.lit("application/pdf")})
     return S.extract(files, pdf_reader=pdf.read).select("doc_id", F.inline("pages"))
 
 

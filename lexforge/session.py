@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import zipfile
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -14,6 +15,8 @@ from pyspark.sql import SparkSession
 _ROOT = Path(__file__).resolve().parents[1]
 _PACKAGE = Path(__file__).resolve().parent.name
 _shipped: set[str] = set()
+#: Rows of a batch that a task turns into Python objects at a time.
+SLICE = 64
 
 
 def session(name: str = "lexforge", **conf: str) -> SparkSession:
@@ -49,3 +52,10 @@ def ship(spark: SparkSession | None = None) -> None:
         for p in sorted((_ROOT / _PACKAGE).rglob("*.py")):
             z.write(p, p.relative_to(_ROOT))
     sc.addPyFile(str(out))
+
+
+def sliced(batches: Iterable, rows: int = SLICE) -> Iterator:
+    """Arrow batches or arrays in slices: a batch itself has some 10000 rows, which as Python objects take many times its bytes."""
+    for b in batches:
+        for a in range(0, len(b), rows):
+            yield b.slice(a, rows)
