@@ -239,7 +239,7 @@ def _id():
 
 @query(_with(X.CHUNKS, X.DOCUMENTS, X.QUESTIONS, _SCORES) + "SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id, chunk_index)::INT AS dense_rank FROM scored")
 def r02_dense_scores(spark, sf_dir):
-    return _fused(spark, sf_dir).select("query_id", _id(), F.round("score", 6).alias("score"), "dense_rank")
+    return R.dense_ranked(_scored(spark, sf_dir)).select("query_id", _id(), F.round("score", 6).alias("score"), "dense_rank")
 
 
 @query(_with(X.CHUNKS, X.DOCUMENTS, X.QUESTIONS, _SCORES, _LEXICAL) + "SELECT query_id, id, round(lexical, 6) AS lexical FROM lexed")
