@@ -12,6 +12,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
+from .ranges import block
+
 #: Pairs of a question and a chunk that are scored at a time.
 PAIRS = 1 << 19
 #: Places of a word and a text that are looked at together.
@@ -200,6 +202,19 @@ def pairs(scorer, kind: pa.DataType):
     return run
 
 
+def pair_blocks(scorer, kind: pa.DataType):
+    """The rows of :func:`pairs` as packed blocks of a question each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = scorer.value
+        for x in s.run(batches):
+            for k, q in enumerate(s.questions):
+                columns = [x.documents, x.indexes, pa.array(x.score[k], from_pandas=True), *map(pa.array, (x.lexical[k], x.bonus[k], x.penalty, x.marked[k]))]
+                yield block(q.id, kind, pa.table(columns, ["document_id", "chunk_index", "score", "lexical", "bonus", "penalty", "marked"]))
+
+    return run
+
+
 def cut(q: np.ndarray, kind: np.ndarray, value: np.ndarray, place: np.ndarray, most: int) -> np.ndarray:
     """The ``most`` first rows of each (q, kind) by falling value, then place: a mask."""
     order = np.lexsort((place, -value, kind, q))

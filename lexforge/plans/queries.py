@@ -229,8 +229,9 @@ def _scored(spark, sf_dir, forced=FORCED):
     return R.scores(X.questions(spark, sf_dir), R.joined(X.chunks(spark, sf_dir), X.documents(spark, sf_dir), X.AS_OF), forced=forced)
 
 
-def _fused(spark, sf_dir):
-    return R.fuse(_scored(spark, sf_dir))
+def _fused(spark, sf_dir, keep, packed=False):
+    chunks = R.joined(X.chunks(spark, sf_dir), X.documents(spark, sf_dir), X.AS_OF)
+    return R.fuse(R.score_blocks(X.questions(spark, sf_dir), chunks, forced=FORCED), packed=packed, keep=keep)
 
 
 def _id():
@@ -249,12 +250,12 @@ def r03_lexical(spark, sf_dir):
 
 @query(_with(*_RETRIEVAL) + "SELECT query_id, id, dense_rank::INT AS dense_rank, lexical_rank::INT AS lexical_rank, round(fused, 6) AS fused FROM fused")
 def r04_fused(spark, sf_dir):
-    return _fused(spark, sf_dir).select("query_id", _id(), "dense_rank", "lexical_rank", F.round("fused", 6).alias("fused"))
+    return _fused(spark, sf_dir, ("dense_rank", "lexical_rank", "fused")).select("query_id", _id(), "dense_rank", "lexical_rank", F.round("fused", 6).alias("fused"))
 
 
 @query(_with(*_RETRIEVAL) + "SELECT query_id, document_id, chunk_index, place::INT AS rank, round(fused, 6) AS fused FROM capped")
 def r05_document_cap(spark, sf_dir):
-    return R.cap(_fused(spark, sf_dir)).select("query_id", "document_id", "chunk_index", "rank", F.round("fused", 6).alias("fused"))
+    return R.cap(_fused(spark, sf_dir, ("fused", "nth"), packed=True)).select("query_id", "document_id", "chunk_index", "rank", F.round("fused", 6).alias("fused"))
 
 
 def hybrid(spark, sf_dir, questions=None):
@@ -299,7 +300,7 @@ _FORCED = """forced AS (
 
 @query(_with(*_RETRIEVAL, _FORCED) + "SELECT query_id, document_id, chunk_index, rank::BIGINT AS rank, forced FROM final")
 def r06_forced(spark, sf_dir):
-    return R.cap_and_force(_fused(spark, sf_dir)).select("query_id", "document_id", "chunk_index", F.col("rank").cast("long").alias("rank"), "forced")
+    return R.cap_and_force(_fused(spark, sf_dir, ("fused", "nth", "marked"), packed=True)).select("query_id", "document_id", "chunk_index", F.col("rank").cast("long").alias("rank"), "forced")
 
 
 @query(_with(*_RETRIEVAL) + "SELECT query_id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY first)::INT AS position FROM (SELECT query_id, document_id, min(place) AS first FROM capped WHERE place <= 20 GROUP BY ALL)")
