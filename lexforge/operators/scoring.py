@@ -226,6 +226,35 @@ def cut(q: np.ndarray, kind: np.ndarray, value: np.ndarray, place: np.ndarray, m
     return out
 
 
+def last_of(q: np.ndarray, kind: np.ndarray, value: np.ndarray, place: np.ndarray, most: int) -> np.ndarray:
+    """The row at place ``most`` of each (q, kind) that has so many, in the order of :func:`cut`."""
+    order = np.lexsort((place, -value, kind, q))
+    at = order[most - 1 :]
+    first = order[: len(at)]
+    full = (q[first] == q[at]) & (kind[first] == kind[at])
+    beyond = np.r_[False, full[:-1] & (q[at[1:]] == q[at[:-1]]) & (kind[at[1:]] == kind[at[:-1]])] if len(at) else full
+    return at[full & ~beyond]
+
+
+def _may_pass(held: dict[str, np.ndarray], place: np.ndarray, x: Scored, score: np.ndarray, most: int) -> np.ndarray:
+    """Pairs of ``x`` that can be among the ``most`` of their class by either order, given those that are held: a mask."""
+    out = np.ones(score.shape, bool)
+    offset, kinds = x.bonus - x.penalty[None, :], held["bonus"] - held["penalty"]
+    documents, indexes = (c.to_numpy(zero_copy_only=False) for c in (x.documents, x.indexes))
+    lasts = []
+    for name, mine in (("score", score), ("lexical", x.lexical)):
+        at = last_of(held["q"], kinds, held[name], place, most)
+        lasts.append((mine, {(int(held["q"][r]), float(kinds[r])): (held[name][r], held["document"][r], held["index"][r]) for r in at}))
+    for (k, c), _ in lasts[0][1].items():
+        if (k, c) in lasts[1][1]:
+            away = offset[k] == c
+            for mine, of in lasts:
+                value, document, index = of[k, c]
+                away = away & ((mine[k] < value) | (mine[k] == value) & ((documents > document) | (documents == document) & (indexes > index)))
+            out[k] &= ~away
+    return out
+
+
 def dominated(q: np.ndarray, kind: np.ndarray, document: np.ndarray, score: np.ndarray, lexical: np.ndarray, place: np.ndarray, most: int) -> np.ndarray:
     """Rows that ``most`` others of the same question, kind and document beat in both orders: a document never shows them."""
     out = np.zeros(len(q), bool)
@@ -260,6 +289,9 @@ def candidates(scorer, kind: pa.DataType, most: int, per_document: int):
                 "q": np.repeat(np.arange(n), m), "score": score.reshape(-1), "lexical": x.lexical.reshape(-1), "bonus": x.bonus.reshape(-1), "penalty": x.penalty[at],
                 "document": x.documents.to_numpy(zero_copy_only=False)[at], "index": x.indexes.to_numpy(zero_copy_only=False)[at],
             }
+            if held is not None:
+                passing = _may_pass(held, place, x, score, most).reshape(-1)
+                now = {k: v[passing] for k, v in now.items()}
             held = now if held is None else {k: np.concatenate([held[k], now[k]]) for k in now}
             place = np.empty(len(held["q"]), np.int64)
             place[np.lexsort((held["index"], held["document"]))] = np.arange(len(place))
@@ -267,7 +299,7 @@ def candidates(scorer, kind: pa.DataType, most: int, per_document: int):
             live = np.flatnonzero(~dominated(held["q"], offset, held["document"], held["score"], held["lexical"], place, per_document))
             args = held["q"][live], offset[live]
             keep = live[cut(*args, held["score"][live], place[live], most) | cut(*args, held["lexical"][live], place[live], most)]
-            held = {k: v[keep] for k, v in held.items()}
+            held, place = {k: v[keep] for k, v in held.items()}, place[keep]
         if held is None:
             return
         names = {"document": "document_id", "index": "chunk_index"}

@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
 
-from lexforge.operators import ranges, ranking as R
+from lexforge.operators import ranges, ranking as R, scoring
 
 PAIR = "query_id string, document_id long, chunk_index int, score double, lexical double, bonus double, penalty double, marked boolean"
 
@@ -57,3 +58,36 @@ def test_ranks_by_bounded_ranges(spark, monkeypatch, most):
 def test_ranks_of_nothing(spark):
     none = spark.createDataFrame([], PAIR)
     assert R.fuse(none).collect() == [] and R.cap_and_force(R.fuse(none)).collect() == []
+
+
+def test_last_rows_of_classes():
+    rng = random.Random(9)
+    q, kind, value = (np.array([rng.randint(0, 3) for _ in range(200)], float) for _ in range(3))
+    place = np.array(rng.sample(range(200), 200))
+    for most in (1, 5, 12, 500):
+        kept = scoring.cut(q, kind, value, place, most)
+        want = set()
+        for key in {*zip(q, kind)}:
+            mine = sorted((r for r in range(200) if (q[r], kind[r]) == key), key=lambda r: (-value[r], place[r]))
+            assert set(mine[:most]) == {r for r in mine if kept[r]}
+            want |= set(mine[most - 1 : most])
+        assert set(scoring.last_of(q, kind, value, place, most).tolist()) == want
+
+
+def test_a_question_is_asked_once_and_joins_are_done_once(spark, monkeypatch):
+    seen, scanned = [], []
+    keep, candidates = R.stored, R.candidates
+    monkeypatch.setattr(R, "stored", lambda df, name: seen.append(name) or keep(df, name))
+    monkeypatch.setattr(R, "candidates", lambda *x: scanned.append(x[2]) or candidates(*x))
+    rng = random.Random(3)
+    n = 3000
+    # two classes: the 48 first of one are some 96 of all, which closes what the 49th of a class alone would leave open
+    chunks = [(i // 5, i % 5, rng.choice(["alpha", "beta", ""]), "", "t", "r", None, [rng.random(), rng.random()]) for i in range(n)]
+    c = spark.createDataFrame(chunks, "document_id long, chunk_index int, content string, section_header string, document_title string, document_ref string, effective_date string, embedding array<double>").repartition(3)
+    d = spark.createDataFrame([(i, True, 7 if i % 2 else None, None, None, None) for i in range(n // 5)], "id long, is_active boolean, superseded_by long, valid_until string, document_type string, effective_date string")
+    q = spark.createDataFrame([(k, "alpha", "alpha", [[1.0, k / 9]]) for k in range(6)], "query_id long, question string, ranking_question string, vectors array<array<double>>")
+    own = q.selectExpr("*", "CAST(query_id % 4 + 3 AS INT) AS k")
+    got = sorted(map(tuple, R.retrieve(own, c, d).select("query_id", "rank", "document_id", "chunk_index", "fused").collect()))
+    assert seen.count("searched") == 1 and scanned == [R.FIRST * 6]
+    every = R.top(R.cap_and_force(R.fuse(R.scores(own, R.joined(c, d, "9999-12-31")))), own=own)
+    assert got == sorted(map(tuple, every.select("query_id", "rank", "document_id", "chunk_index", "fused").collect())) and len(got) == sum(k % 4 + 3 for k in range(6))
