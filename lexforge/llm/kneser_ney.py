@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from . import bitset, words as K
+from . import bitset, gram_blocks, words as K
 from .common import release, ship, stored
 
 #: Words of the longest n-gram.
@@ -211,38 +211,89 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: f
     Null, empty and blank texts: null perplexity, not kept.  Without any trusted text
     nothing has a perplexity and nothing is kept.  Null ids are never trusted; an id
     with differing labels is trusted if one of them is good and none toxic.
+
+    Models of ORDER are counted and asked in packed blocks (:mod:`gram_blocks`), others
+    by joins of :func:`train` and :func:`scores`; both give the same.
     """
     spark = docs.sparkSession
     ship(spark)
     good = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("good_id")).agg(F.max(F.coalesce("quality", F.lit(0))).alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
     good = stored(good.where("q = 1 and t = 0").select("good_id"), "trusted")
+    each, unseen = (_in_blocks if order == ORDER and FOLDS == 2 else _by_joins)(docs, good, order)
+    ppl = F.when((F.col("n_words") > 0) & (F.col("logp") < 0), F.exp(-F.col("logp") / F.col("n_words")))
+    step = F.ceil(F.round(F.log("perplexity") * STEPS, 6))
+    each, unseen = (x.withColumn("perplexity", F.round(ppl, 9)).withColumn("step", step) for x in (each, unseen))
+    limits = stored(_thresholds(unseen.where("perplexity is not null"), quantile), "kn-thresholds")
+    of_all = limits.where("lang is null").select(F.col("step").alias("any_limit"))
+    own = limits.where("lang is not null").select(F.col("lang").alias("own_lang"), F.col("step").alias("own_limit"))
+    everywhere = F.lit((of_all.first() or [None])[0]).cast("long")
+    out = each.join(own, each["lang"] == own["own_lang"], "left").withColumn("limit", F.coalesce("own_limit", everywhere))
+    return out.select("doc_id", "lang", "n_chars", "perplexity", F.round(F.exp(F.col("limit") / STEPS), 9).alias("threshold"), F.coalesce(F.col("step") <= F.col("limit"), F.lit(False)).alias("keep"))
+
+
+def _cuts(trusted: DataFrame, of_text: Column) -> list[int]:
+    """Hashes of texts that cut the trusted ones into FOLDS parts of equal numbers; equal texts are in one part."""
+    return trusted.where("text is not null").agg(F.percentile_approx(of_text, F.array(*(F.lit(k / FOLDS) for k in range(1, FOLDS))), 10_000)).first()[0] or []
+
+
+def _in_blocks(docs: DataFrame, good: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
+    """Scores of all texts, and of the trusted ones under a model of the other part."""
+    spark = docs.sparkSession
     bits = spark.sparkContext.broadcast(bitset.gather(good))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", F.xxhash64("doc_id", "text").alias("key"), F.xxhash64("text").alias("of_text"))
+    # ids that the filter of fixed size lets pass and that no label calls good: few, and so no text meets a join
+    passed = rows.where("doc_id is not null").select("doc_id").mapInArrow(_passing(bits), "doc_id long")
+    wrong = passed.join(good, passed["doc_id"] == good["good_id"], "left_anti").distinct()
+    wrong = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in wrong.collect()], np.int64)))
+    hashes = rows.where("doc_id is not null and text is not null").select("doc_id", "of_text").mapInArrow(_trusted_only(_halves(bits, wrong, 0)), "doc_id long, of_text long")
+    cuts = hashes.agg(F.percentile_approx("of_text", F.array(F.lit(0.5)), 10_000)).first()[0] or [0]
+    each, law = gram_blocks.scores(rows, _halves(bits, wrong, cuts[0]))
+    unseen = each.where("half >= 0")
+    if law.has(1) and law.has(2):
+        unseen = unseen.withColumn("logp", F.col("other_logp"))
+    return each, unseen
+
+
+def _halves(bits, wrong, cut: int):
+    """Which half of the trusted texts each row is in, or -1."""
+
+    def halves(batch: pa.RecordBatch) -> np.ndarray:
+        ids = batch.column("doc_id")
+        known = ids.is_valid().to_numpy(zero_copy_only=False)
+        ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
+        at = np.minimum(np.searchsorted(wrong.value, ids), max(len(wrong.value) - 1, 0))
+        barred = wrong.value[at] == ids if len(wrong.value) else np.zeros(len(ids), bool)
+        return np.where(known & bitset.has(bits.value, ids) & ~barred, batch.column("of_text").to_numpy(zero_copy_only=False) > cut, -1).astype(np.int64)
+
+    return halves
+
+
+def _trusted_only(halves):
+    def trusted_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(halves(batch) >= 0))
+
+    return trusted_only
+
+
+def _by_joins(docs: DataFrame, good: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
+    """The same for a model of any order, by joins of n-grams."""
+    bits = docs.sparkSession.sparkContext.broadcast(bitset.gather(good))
     # a filter of fixed size first, so that few other texts meet the exact join
     some = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(_passing(bits), "doc_id long, lang string, text string")
     trusted = some.join(good, some["doc_id"] == good["good_id"], "left_semi")
     model = train(trusted, order)
-    each = scores(docs, model, order)
-    ppl = F.when((F.col("n_words") > 0) & (F.col("logp") < 0), F.exp(-F.col("logp") / F.col("n_words")))
-    step = F.ceil(F.round(F.log("perplexity") * STEPS, 6))
-    each = stored(each.withColumn("perplexity", F.round(ppl, 9)).withColumn("step", step), "perplexity")
+    each = stored(scores(docs, model, order), "perplexity")
     release(model)
-    # parts of equal numbers of texts, whichever texts are trusted; equal texts are in one part
     of_text = F.xxhash64("text")
-    cuts = trusted.where("text is not null").agg(F.percentile_approx(of_text, F.array(*(F.lit(k / FOLDS) for k in range(1, FOLDS))), 10_000)).first()[0] or []
-    fold = sum(((of_text > c).cast("int") for c in cuts), F.lit(0))
+    fold = sum(((of_text > c).cast("int") for c in _cuts(trusted, of_text)), F.lit(0))
     others = [train(trusted.where(fold != f), order) for f in range(FOLDS)]
     if all(m.count() for m in others):
-        unseen = reduce(DataFrame.unionByName, (scores(trusted.where(fold == f), m, order) for f, m in enumerate(others)))
-        unseen = unseen.withColumn("perplexity", F.round(ppl, 9)).withColumn("step", step)
+        unseen = stored(reduce(DataFrame.unionByName, (scores(trusted.where(fold == f), m, order) for f, m in enumerate(others))), "perplexity")
     else:
         unseen = each.join(good, each["doc_id"] == good["good_id"], "left_semi")
-    limits = stored(_thresholds(unseen.where("perplexity is not null"), quantile), "kn-thresholds")
     release(*others)
-    of_all = limits.where("lang is null").select(F.col("step").alias("any_limit"))
-    own = limits.where("lang is not null").select(F.col("lang").alias("own_lang"), F.col("step").alias("own_limit"))
-    everywhere = F.lit((of_all.first() or [None])[0]).cast("long")
-    out = each.join(own, each["lang"] == own["own_lang"], "left").withColumn("limit", F.coalesce("own_limit", everywhere))
-    return out.select("doc_id", "lang", "n_chars", "perplexity", F.round(F.exp(F.col("limit") / STEPS), 9).alias("threshold"), F.coalesce(F.col("step") <= F.col("limit"), F.lit(False)).alias("keep"))
+    return each, unseen
 
 
 def _passing(bits):
