@@ -2,8 +2,8 @@
 
 No table of 3-grams is written.  A text's cost is a sum over its words: what a word costs
 alone, what the word before adds, and what the two before add.  Words go packed, dealt by
-word, to where the counts of that word are, some at a time (``COUNT_PASSES``, ``COST_PASSES``:
-fixed numbers, by hash), so that the disk that one pass takes is free before the next; each
+word, to where the counts of that word are, some at a time (``COUNT_PASSES``,
+``WORD_PASSES``, ``COST_PASSES``: fixed numbers, by hash), so that the disk that one pass takes is free before the next; each
 pass reads the texts again.  Three models are counted at once: of all trusted texts and of
 each half; a trusted text is also scored by the model of the half that it is not in.
 """
@@ -23,10 +23,12 @@ from .common import partitions, release, scratch_path, ship, stored
 
 #: Parts of the trusted 3-grams, by a hash of the last word, that are counted one after the other.
 COUNT_PASSES = 3
+#: Parts of all words, by hash, that are looked up one after the other.
+WORD_PASSES = 2
 #: Parts of all 3-grams, by a hash of the first two words, that are looked up one after the other.
 COST_PASSES = 6
 #: Bytes of text that a task looks at at a time.
-SLICE = 8 << 20
+SLICE = 3 << 20
 #: Of all trusted texts, and of either half.
 MODELS = 3
 
@@ -167,12 +169,14 @@ def _count(shards: int):
         size = np.diff(np.append(at, len(w3)))
         stats = np.array([_counts_of(x) for x in (*words, *before, *counts)], np.int64)
         out = [(0, int(table.column("shard")[0].as_py()), pack(stats.reshape(-1))), (1, int(table.column("shard")[0].as_py()), pack(_gaps(w3[at]), *map(_small, words)))]
+        name = np.repeat(np.arange(len(at)), size)
         o = np.argsort(w2, kind="stable")
-        rows = [w3[o], *(x[o] for x in before), *(np.repeat(x, size)[o] for x in words)]
-        cut = _cuts(w2[o], shards)
+        w2, name, before = w2[o], name[o], [x[o] for x in before]
+        cut = _cuts(w2, shards)
         for s in np.flatnonzero(np.diff(cut)).tolist():
             x = slice(cut[s], cut[s + 1])
-            out.append((2, s, pack(_gaps(w2[o][x]), rows[0][x], *(_small(r[x]) for r in rows[1:]))))
+            names, of = np.unique(name[x], return_inverse=True)
+            out.append((2, s, pack(_gaps(w2[x]), _gaps(w3[at[names]]), _small(of), *(_small(r[x]) for r in before), *(_small(r[names]) for r in words))))
         return pa.table([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary())], names=["kind", "shard", "blob"])
 
     return count
@@ -248,14 +252,16 @@ def _costs(role: np.ndarray, of: Callable) -> tuple[np.ndarray, np.ndarray]:
     return of(0, slice(None)), other
 
 
-def _to_words(trusted: Callable, shards: int):
+def _to_words(trusted: Callable, nth: int, shards: int):
     parts = _Parts(trusted)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, part, role in parts(batches):
             w = K.split(part.column("text"))
-            o = np.argsort(w.hash, kind="stable")
-            h, code = w.hash[o], (w.doc * 3 + role[w.doc] + 1)[o]
+            at = np.flatnonzero((w.hash >> np.uint64(8) & np.uint64(0xFFFF)) % np.uint64(WORD_PASSES) == nth)
+            at = at[np.argsort(w.hash[at], kind="stable")]
+            h, doc = w.hash[at], w.doc[at]
+            code = doc * 3 + role[doc] + 1
             cut, rows = _cuts(h, shards), []
             for s in np.flatnonzero(np.diff(cut)).tolist():
                 x = h[cut[s] : cut[s + 1]]
@@ -306,7 +312,8 @@ def _to_pairs(trusted: Callable, nth: int, shards: int):
             at, first = at[own], first[own]
             o = np.argsort(h[at - 1], kind="stable")
             at, first = at[o], first[o]
-            code, cut, rows = w.doc[at] * 3 + role[w.doc[at]] + 1, _cuts(h[at - 1], shards), []
+            doc = w.doc[at]
+            code, cut, rows = doc * 3 + role[doc] + 1, _cuts(h[at - 1], shards), []
             for s in np.flatnonzero(np.diff(cut)).tolist():
                 i = slice(cut[s], cut[s + 1])
                 names, of = np.unique(np.concatenate([first[i], h[at[i]]]), return_inverse=True)
@@ -333,8 +340,9 @@ def _pair_costs(law):
         w1, w2, w3, role, two = (np.concatenate(c) for c in columns)
         table = [unpack(b.as_py()) for b in counted.column("blob")]
         m2 = np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(t[0]) for t in table)])
-        m3 = np.concatenate([np.zeros(0, np.uint64), *(t[1] for t in table)])
-        before, words = ([np.concatenate([np.zeros(0, np.int64), *(t[k + m].astype(np.int64) for t in table)]) for m in range(MODELS)] for k in (2, 5))
+        m3 = np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(t[1])[t[2]] for t in table)])
+        before = [np.concatenate([np.zeros(0, np.int64), *(t[3 + m].astype(np.int64) for t in table)]) for m in range(MODELS)]
+        words = [np.concatenate([np.zeros(0, np.int64), *(t[6 + m].astype(np.int64)[t[2]] for t in table)]) for m in range(MODELS)]
         if not len(m2):  # no word here is before another in a trusted text
             costs = np.zeros(len(w1)), np.zeros(len(w1))
         else:
@@ -479,7 +487,8 @@ def scores(rows: DataFrame, trusted: Callable) -> tuple[DataFrame, Law]:
 
         sums = []
         if law.has(0):
-            sums.append(looked_up(rows.mapInArrow(_to_words(trusted, shards), _BLOCK), "words", _word_costs(sent)))
+            for nth in range(WORD_PASSES):
+                sums.append(looked_up(rows.mapInArrow(_to_words(trusted, nth, shards), _BLOCK), "words", _word_costs(sent)))
             for nth in range(COST_PASSES):
                 sums.append(looked_up(rows.mapInArrow(_to_pairs(trusted, nth, shards), _BLOCK), "pairs", _pair_costs(sent)))
         total = spark.createDataFrame([], "slice long, nth int, logp double, other_logp double")
