@@ -1,11 +1,16 @@
 """Word 3-grams of a corpus in packed blocks: the model of :mod:`kneser_ney` and what texts cost under it.
 
 No table of 3-grams is written.  A text's cost is a sum over its words: what a word costs
-alone, what the word before adds, and what the two before add.  Words go packed, dealt by
-word, to where the counts of that word are, some at a time (``COUNT_PASSES``,
-``WORD_PASSES``, ``COST_PASSES``: fixed numbers, by hash), so that the disk that one pass takes is free before the next; each
-pass reads the texts again.  Three models are counted at once: of all trusted texts and of
-each half; a trusted text is also scored by the model of the half that it is not in.
+alone, what the word before adds, and what the two before add.  Each word goes packed with
+the words beside it, dealt by word, to where its counts and those of the words that follow
+it are, some at a time (``COUNT_PASSES``, ``COST_PASSES``: fixed numbers, by hash), so that
+the disk that one pass takes is free before the next; each pass reads the texts again.
+Three models are counted at once: of all trusted texts and of each half; a trusted text is
+also scored by the model of the half that it is not in.
+
+Words are told apart by their 64-bit hashes.  Within a block or a group each kind gets a
+number, and n-grams of numbers are exact keys; what an n-gram costs is found once for each
+kind, not for each place.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -22,13 +28,13 @@ from . import words as K
 from .common import partitions, release, scratch_path, ship, stored
 
 #: Parts of the trusted 3-grams, by a hash of the last word, that are counted one after the other.
-COUNT_PASSES = 3
-#: Parts of all words, by hash, that are looked up one after the other.
-WORD_PASSES = 2
-#: Parts of all 3-grams, by a hash of the first two words, that are looked up one after the other.
+COUNT_PASSES = 2
+#: Parts of all words, by a hash of a word and the one before, that are looked up one after the other.
 COST_PASSES = 6
-#: Bytes of text that a task looks at at a time.
-SLICE = 3 << 20
+#: Bytes of text whose n-grams a task packs at a time.
+SLICE = 16 << 20
+#: Bytes of text that a task cuts into words at a time.
+PIECE = 3 << 20
 #: Of all trusted texts, and of either half.
 MODELS = 3
 
@@ -68,13 +74,30 @@ def _small(a: np.ndarray) -> np.ndarray:
     return a.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64)
 
 
-def _pair(a: np.ndarray, b: np.ndarray, seed: int = 0) -> np.ndarray:
-    return K.mix(K.mix(a + np.uint64(seed)) * _STEP + b)
+def _part_of(h: np.ndarray, parts: int) -> np.ndarray:
+    """In which of ``parts`` ranges each hash is."""
+    return (h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
 
 
-def _cuts(sorted_words: np.ndarray, shards: int) -> np.ndarray:
-    """Where each shard's words begin among sorted ones: shards are ranges of hashes."""
-    return np.searchsorted(((sorted_words >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64), np.arange(shards + 1))
+def _numbers(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the kinds of ``a``, the number of each row's kind), kinds by where they first are."""
+    d = pc.dictionary_encode(pa.array(a), memory_pool=pa.system_memory_pool())  # its freed memory goes back to the system
+    return d.dictionary.to_numpy(), d.indices.to_numpy()
+
+
+def _in(a: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """The number of each row's kind among ``kinds``, which are all different; -1 if it is none of them."""
+    at = pc.index_in(pa.array(a), value_set=pa.array(kinds), memory_pool=pa.system_memory_pool())
+    return at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _key(a: np.ndarray, kinds: int, b: np.ndarray) -> np.ndarray:
+    """A number for each pair of numbers, the second of which is below ``kinds``."""
+    return a.astype(np.int64) * kinds + b
+
+
+def _join(arrays: list[np.ndarray], kind=np.int64) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *arrays]).astype(kind, copy=False)
 
 
 def _starts(*keys: np.ndarray) -> np.ndarray:
@@ -109,13 +132,52 @@ class _Parts:
                 at, nth = at + part.num_rows, nth + 1
 
 
-def _blocks(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+def _pieces(part: pa.RecordBatch, hashes: bool = True) -> Iterator[tuple[int, K.Words]]:
+    """(rows before, words) of the texts of a slice, some at a time."""
+    at = 0
+    for piece in K.slices(part, "text", PIECE):
+        yield at, K.split(piece.column("text"), hashes=hashes)
+        at += piece.num_rows
+
+
+def _beside(w: K.Words) -> tuple[np.ndarray, np.ndarray]:
+    """The words before and after each one in the same text; 0 where there is none."""
+    before, after = np.zeros(len(w.hash), np.uint64), np.zeros(len(w.hash), np.uint64)
+    before[1:], after[:-1] = w.hash[:-1], w.hash[1:]
+    some = w.count > 0
+    before[w.first[:-1][some]] = after[w.first[1:][some] - 1] = 0
+    return before, after
+
+
+def _dealt(number: int, shards: int, words: tuple[np.ndarray, ...], by: np.ndarray, mark: np.ndarray, ascends: bool = False) -> pa.RecordBatch:
+    """A block for each shard: its kinds of words, the numbers of ``words`` among them, and ``mark`` (its steps, if it ascends)."""
+    shard = _part_of(by, shards).astype(np.uint16 if shards < 1 << 16 else np.uint32)
+    o = np.argsort(shard, kind="stable")
+    cut = np.searchsorted(shard[o], np.arange(shards + 1))
+    words, mark, rows = [x[o] for x in words], mark[o], []
+    for s in np.flatnonzero(np.diff(cut)).tolist():
+        i = slice(cut[s], cut[s + 1])
+        kinds, at = _numbers(np.concatenate([x[i] for x in words]))
+        o = np.argsort(kinds)
+        place = np.empty(len(o), np.int64)
+        place[o] = np.arange(len(o))
+        at = _small(place[at])
+        rows.append((s, number, pack(_gaps(kinds[o]), *np.split(at, len(words)), _small(np.diff(mark[i], prepend=0) if ascends else mark[i]))))
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["shard", "slice", "blob"])
 
 
-def _places(w: K.Words) -> np.ndarray:
-    """How many words of its text are before each word."""
-    return np.arange(len(w.hash)) - np.repeat(w.first[:-1], w.count)
+def _together(blobs: pa.ChunkedArray, n: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """(kinds of words, the numbers of the ``n`` words of each row among them, the marks of each block)."""
+    kinds, columns, marks, at = [], [[] for _ in range(n)], [], 0
+    for b in blobs:
+        own, *numbers, mark = unpack(b.as_py())
+        kinds.append(np.cumsum(own))
+        for c, x in zip(columns, numbers):
+            c.append(x.astype(np.int32) + np.int32(at))
+        marks.append(mark)
+        at += len(own)
+    kinds, of = _numbers(_join(kinds, np.uint64))
+    return kinds, [of[_join(c, np.int32)] for c in columns], marks
 
 
 def _to_count(trusted: Callable, nth: int, shards: int):
@@ -123,18 +185,14 @@ def _to_count(trusted: Callable, nth: int, shards: int):
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, part, role in parts(batches):
-            w = K.split(part.column("text"))
-            own = (w.hash >> np.uint64(8) & np.uint64(0xFFFF)) % np.uint64(COUNT_PASSES) == nth
-            at = np.flatnonzero(own & (_places(w) >= 2))
-            at = at[np.argsort(w.hash[at], kind="stable")]
-            h, half, cut = w.hash, role[w.doc[at]].astype(np.uint8), _cuts(w.hash[at], shards)
-            rows = []
-            for s in np.flatnonzero(np.diff(cut)).tolist():
-                x = at[cut[s] : cut[s + 1]]
-                names, code = np.unique(np.concatenate([h[x - 1], h[x - 2]]), return_inverse=True)
-                rows.append((s, number, pack(_gaps(h[x]), _gaps(names), _small(code), half[cut[s] : cut[s + 1]])))
-            if rows:
-                yield _blocks(rows)
+            found = []
+            for at, w in _pieces(part):
+                place = np.arange(len(w.hash)) - np.repeat(w.first[:-1], w.count)
+                own = np.flatnonzero(((w.hash >> np.uint64(8) & np.uint64(0xFFFF)) % np.uint64(COUNT_PASSES) == nth) & (place >= 2))
+                found.append((w.hash[own - 2], w.hash[own - 1], w.hash[own], role[at + w.doc[own]]))
+            w1, w2, w3, half = (np.concatenate(x) for x in zip(*found))
+            if len(w3):
+                yield _dealt(number, shards, (w1, w2, w3), w3, half)
 
     return grams
 
@@ -147,36 +205,32 @@ def _counts_of(c: np.ndarray) -> list[int]:
 
 def _count(shards: int):
     def count(table: pa.Table) -> pa.Table:
-        columns = [[], [], [], []]
-        for blob in table.column("blob"):
-            last, names, code, half = unpack(blob.as_py())
-            code = np.cumsum(names)[code]
-            for c, x in zip(columns, (code[len(last) :], code[: len(last)], np.cumsum(last), half)):
-                c.append(x)
-        w1, w2, w3, half = (np.concatenate(c) for c in columns)
-        o = np.lexsort((w1, w2, w3))
-        w1, w2, w3, half = w1[o], w2[o], w3[o], half[o].astype(np.int64)
-        at = _starts(w3, w2, w1)
-        c = _sum(np.ones(len(o), np.int64), at)
-        of1 = _sum(half, at)
+        hashes, (a1, a2, a3), half = _together(table.column("blob"), 3)
+        half, kinds = np.concatenate(half), len(hashes)
+        pairs, of = _numbers(_key(a3, kinds, a2))
+        grams, of = _numbers(_key(of, kinds, a1))
+        c = np.bincount(of, minlength=len(grams))
+        of1 = np.bincount(of, half, len(grams)).astype(np.int64)
         counts = [c, c - of1, of1]
-        w2, w3 = w2[at], w3[at]
-        at = _starts(w3, w2)
-        before = [_sum((x > 0).astype(np.int64), at) for x in counts]
-        w2, w3 = w2[at], w3[at]
-        at = _starts(w3)
-        words = [_sum((x > 0).astype(np.int64), at) for x in before]
-        size = np.diff(np.append(at, len(w3)))
+        before = [np.bincount(grams // kinds, x > 0, len(pairs)).astype(np.int64) for x in counts]
+        w3, w2 = np.divmod(pairs, kinds)
+        words = [np.bincount(w3, x > 0, kinds).astype(np.int64) for x in before]
         stats = np.array([_counts_of(x) for x in (*words, *before, *counts)], np.int64)
-        out = [(0, int(table.column("shard")[0].as_py()), pack(stats.reshape(-1))), (1, int(table.column("shard")[0].as_py()), pack(_gaps(w3[at]), *map(_small, words)))]
-        name = np.repeat(np.arange(len(at)), size)
-        o = np.argsort(w2, kind="stable")
-        w2, name, before = w2[o], name[o], [x[o] for x in before]
-        cut = _cuts(w2, shards)
+        order = np.argsort(hashes)
+        place = np.empty(kinds, np.int64)
+        place[order] = np.arange(kinds)
+        last = order[words[0][order] > 0]
+        own = int(table.column("shard")[0].as_py())
+        out = [(0, own, pack(stats.reshape(-1))), (1, own, pack(_gaps(hashes[last]), *(_small(x[last]) for x in words)))]
+        o = np.argsort(place[w2], kind="stable")
+        w2, w3, before = place[w2[o]], place[w3[o]], [x[o] for x in before]
+        hashes, words = hashes[order], [x[order] for x in words]
+        cut = np.searchsorted(_part_of(hashes[w2], shards), np.arange(shards + 1))
         for s in np.flatnonzero(np.diff(cut)).tolist():
-            x = slice(cut[s], cut[s + 1])
-            names, of = np.unique(name[x], return_inverse=True)
-            out.append((2, s, pack(_gaps(w2[x]), _gaps(w3[at[names]]), _small(of), *(_small(r[x]) for r in before), *(_small(r[names]) for r in words))))
+            i = slice(cut[s], cut[s + 1])
+            at = _starts(w2[i])
+            names, of = np.unique(w3[i], return_inverse=True)
+            out.append((2, s, pack(_gaps(hashes[w2[i][at]]), _small(np.diff(np.append(at, cut[s + 1] - cut[s]))), _gaps(hashes[names]), _small(of), *(_small(x[i]) for x in before), *(_small(x[names]) for x in words))))
         return pa.table([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary())], names=["kind", "shard", "blob"])
 
     return count
@@ -224,192 +278,116 @@ class Law:
         return (c - lose) / some[of], np.round(np.bincount(of, lose, histories), 9) / some
 
 
-def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Place of each wanted key in sorted ones, or of some other key."""
-    return np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
-
-
 def _logs(x: np.ndarray) -> np.ndarray:
     return np.log(x, out=np.zeros(len(x)), where=x > 0)
 
 
-def _sums(number: np.ndarray, shard: int, docs: list[np.ndarray], costs: list[np.ndarray]) -> pa.Table:
-    """A row for each block: its documents, what they cost by all and by the other half."""
-    blobs = []
-    for doc, cost in zip(docs, costs):
-        kinds, at = np.unique(doc, return_inverse=True)
-        blobs.append(pack(_small(kinds), *(np.bincount(at, c, len(kinds)) for c in cost)))
-    return pa.table([pa.array(number, pa.int64()), pa.array([shard] * len(blobs), pa.int32()), pa.array(blobs, pa.binary())], names=["slice", "shard", "blob"])
-
-
-def _costs(role: np.ndarray, of: Callable) -> tuple[np.ndarray, np.ndarray]:
-    """Of each word by the model of all, and by that of the half its text is not in (0 if it is in none)."""
-    other = np.zeros(len(role))
-    for half in (0, 1):
-        at = np.flatnonzero(role == half)
-        if len(at):
-            other[at] = of(2 - half, at)
-    return of(0, slice(None)), other
-
-
-def _to_words(trusted: Callable, nth: int, shards: int):
+def _to_look_up(trusted: Callable, nth: int, shards: int):
     parts = _Parts(trusted)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, part, role in parts(batches):
-            w = K.split(part.column("text"))
-            at = np.flatnonzero((w.hash >> np.uint64(8) & np.uint64(0xFFFF)) % np.uint64(WORD_PASSES) == nth)
-            at = at[np.argsort(w.hash[at], kind="stable")]
-            h, doc = w.hash[at], w.doc[at]
-            code = doc * 3 + role[doc] + 1
-            cut, rows = _cuts(h, shards), []
-            for s in np.flatnonzero(np.diff(cut)).tolist():
-                x = h[cut[s] : cut[s + 1]]
-                at = _starts(x)
-                rows.append((s, number, pack(_gaps(x[at]), _small(np.diff(np.append(at, len(x)))), _small(code[cut[s] : cut[s + 1]]))))
-            if rows:
-                yield _blocks(rows)
+            found = []
+            for at, w in _pieces(part):
+                before, after = _beside(w)
+                own = np.flatnonzero(_part_of((w.hash ^ before * np.uint64(K._SEED)) * _STEP, COST_PASSES) == nth)
+                found.append((before[own], w.hash[own], after[own], (at + w.doc[own]).astype(np.int32)))
+            w1, w2, w3, doc = (np.concatenate(x) for x in zip(*found))
+            if len(w2):
+                yield _dealt(number, shards, (w1, w2, w3), w2, doc * 3 + role[doc].astype(np.int32) + 1, ascends=True)
 
     return words
 
 
-def _word_costs(law):
-    def cost(blocks: pa.Table, counted: pa.Table) -> pa.Table:
-        table = [unpack(b.as_py()) for b in counted.column("blob")]
-        word = np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(t[0]) for t in table)])
-        counts = [np.concatenate([np.zeros(0, np.int64), *(t[1 + m].astype(np.int64) for t in table)]) for m in range(MODELS)]
-        o = np.argsort(word)
-        word, counts = word[o], [c[o] for c in counts]
-        logs = [np.log(law.value.alone(m, np.append(c, 0))) if law.value.has(m) else np.zeros(len(c) + 1) for m, c in enumerate(counts)]
-        docs, costs = [], []
-        for b in blocks.column("blob"):
-            x, n, code = unpack(b.as_py())
-            x = np.cumsum(x)
-            at = _find(word, x)
-            at[word[at] != x if len(word) else slice(None)] = len(word)
-            at = np.repeat(at, n)
-            docs.append(code // 3)
-            costs.append(_costs(code % 3 - 1.0, lambda m, i: logs[m][at[i]]))
-        return _sums(blocks.column("slice").to_numpy(), _shard(blocks), docs, costs)
-
-    return cost
-
-
-def _shard(blocks: pa.Table) -> int:
-    return int(blocks.column("shard")[0].as_py()) if blocks.num_rows else 0
-
-
-def _to_pairs(trusted: Callable, nth: int, shards: int):
-    parts = _Parts(trusted)
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, part, role in parts(batches):
-            w = K.split(part.column("text"))
-            h, place = w.hash, _places(w)
-            at = np.flatnonzero(place >= 1)
-            first = np.where(place[at] >= 2, h[at - 2], np.uint64(0))
-            own = _pair(h[at - 1], first) % np.uint64(COST_PASSES) == nth
-            at, first = at[own], first[own]
-            o = np.argsort(h[at - 1], kind="stable")
-            at, first = at[o], first[o]
-            doc = w.doc[at]
-            code, cut, rows = doc * 3 + role[doc] + 1, _cuts(h[at - 1], shards), []
-            for s in np.flatnonzero(np.diff(cut)).tolist():
-                i = slice(cut[s], cut[s + 1])
-                names, of = np.unique(np.concatenate([first[i], h[at[i]]]), return_inverse=True)
-                rows.append((s, number, pack(_gaps(h[at[i] - 1]), _gaps(names), _small(of), _small(code[i]), np.packbits(place[at[i]] >= 2))))
-            if rows:
-                yield _blocks(rows)
-
-    return pairs
-
-
-def _pair_costs(law):
+class _Counted:
+    """The counts of a shard: its words, and the pairs that begin with them."""
+
+    def __init__(self, table: pa.Table):
+        kind = table.column("kind").to_numpy()
+        blobs = [[unpack(table.column("blob")[i].as_py()) for i in np.flatnonzero(kind == k).tolist()] for k in (1, 2)]
+        self.word = _join([np.cumsum(t[0]) for t in blobs[0]], np.uint64)
+        self.of_word = [_join([t[1 + m] for t in blobs[0]]) for m in range(MODELS)]
+        #: first words, and of each pair the number of its first word, its last word, and its counts and those of its last word
+        self.first, at = _numbers(_join([np.cumsum(t[0]) for t in blobs[1]], np.uint64))
+        self.begins = np.repeat(at, _join([t[1] for t in blobs[1]]))
+        self.last, at = _numbers(_join([np.cumsum(t[2]) for t in blobs[1]], np.uint64))
+        off = np.cumsum([0, *(len(t[2]) for t in blobs[1])]).tolist()
+        self.ends = at[_join([t[3].astype(np.int64) + k for t, k in zip(blobs[1], off)])]
+        self.before = [_join([t[4 + m] for t in blobs[1]]) for m in range(MODELS)]
+        self.of_last = [_join([t[7 + m][t[3]] for t in blobs[1]]) for m in range(MODELS)]
+
+
+def _costs_of(law: Law, hashes: np.ndarray, a1: np.ndarray, a2: np.ndarray, a3: np.ndarray, role: np.ndarray, table: _Counted) -> tuple[np.ndarray, list[np.ndarray | None]]:
+    """(number of each row's 3-gram, what each 3-gram costs by each model)."""
+    kinds = len(hashes)
+    none = int(_in(np.zeros(1, np.uint64), hashes)[0])
+    pairs, of = _numbers(_key(a2, kinds, a3))
+    grams, row = _numbers(_key(of, kinds, a1))
+    del of
+    of, g1 = np.divmod(grams, kinds)
+    p2, p3 = np.divmod(pairs, kinds)
+    two, three = (p3 != none)[of], (p3 != none)[of] & (g1 != none)
+    histories, h = _numbers(_key(p2[of], kinds, g1))
+    seen = role >= 0
+    c = np.bincount(row[seen], minlength=len(grams)) * three
+    of1 = np.bincount(row[role == 1], minlength=len(grams)) * three
+    counts = [c, c - of1, of1]
+    known = np.flatnonzero(c)
+    own = np.flatnonzero(np.bincount(p2, minlength=kinds))
+    at = _in(hashes[own], table.word)
+    begins, ends = _in(table.first, hashes)[table.begins], _in(table.last, hashes)[table.ends]
+    some = np.flatnonzero((begins >= 0) & (ends >= 0))
+    found = _in(pairs, _key(begins[some], kinds, ends[some]))
+    in_table = np.flatnonzero(found >= 0)
+    pair = some[found[in_table]]
+    first = np.full(kinds, -1)
+    first[own] = _in(hashes[own], table.first)
+    out = []
+    for m in range(MODELS):
+        if not law.has(m):
+            out.append(np.zeros(len(grams)))
+            continue
+        alone = np.zeros(kinds)
+        alone[own] = np.log(law.alone(m, np.append(table.of_word[m], 0)[at]))
+        share, freed = law.after(2, m, table.before[m], table.begins, len(table.first))
+        e2 = np.append(_logs(freed), 0)[first[p2]]
+        last = law.alone(m, table.of_last[m][pair])
+        below = np.zeros(len(pairs))
+        below[in_table] = share[pair] + freed[table.begins[pair]] * last
+        has = table.before[m][pair] > 0
+        e2[in_table[has]] = np.log(below[in_table[has]] / last[has])
+        share, freed = law.after(3, m, counts[m][known], h[known], len(histories))
+        e3 = _logs(freed)[h]
+        has = counts[m][known] > 0
+        g = known[has]
+        e3[g] = np.log((share[has] + freed[h[g]] * below[of[g]]) / below[of[g]])
+        out.append(alone[p2[of]] + np.where(two, e2[of], 0) + np.where(three, e3, 0))
+    return row, out
+
+
+def _costs(law):
     def cost(blocks: pa.Table, counted: pa.Table) -> pa.Table:
-        law_, columns, docs, size = law.value, [[], [], [], [], []], [], []
-        for b in blocks.column("blob"):
-            mid, names, of, code, two = unpack(b.as_py())
-            of = np.cumsum(names)[of]
-            n = len(mid)
-            for c, x in zip(columns, (of[:n], np.cumsum(mid), of[n:], code % 3 - 1.0, np.unpackbits(two, count=n).astype(bool))):
-                c.append(x)
-            docs.append(code // 3)
-            size.append(n)
-        if not docs:
-            return _sums(np.zeros(0, np.int64), 0, [], [])
-        w1, w2, w3, role, two = (np.concatenate(c) for c in columns)
-        table = [unpack(b.as_py()) for b in counted.column("blob")]
-        m2 = np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(t[0]) for t in table)])
-        m3 = np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(t[1])[t[2]] for t in table)])
-        before = [np.concatenate([np.zeros(0, np.int64), *(t[3 + m].astype(np.int64) for t in table)]) for m in range(MODELS)]
-        words = [np.concatenate([np.zeros(0, np.int64), *(t[6 + m].astype(np.int64)[t[2]] for t in table)]) for m in range(MODELS)]
-        if not len(m2):  # no word here is before another in a trusted text
-            costs = np.zeros(len(w1)), np.zeros(len(w1))
-        else:
-            costs = _costs_of_pairs(law_, w1, w2, w3, role, two, m2, m3, before, words)
-        cut = np.cumsum(size)[:-1]
-        return _sums(blocks.column("slice").to_numpy(), _shard(blocks), docs, list(zip(*(np.split(c, cut) for c in costs))))
+        hashes, words, marks = _together(blocks.column("blob"), 3)
+        cut = np.cumsum([0, *map(len, marks)]).tolist()
+        mark = _join([np.cumsum(x) for x in marks])
+        role = mark % 3 - 1
+        one, other = np.zeros(len(mark)), np.zeros(len(mark))
+        if len(mark):
+            row, by = _costs_of(law.value, hashes, *words, role, _Counted(counted))
+            one = by[0][row]
+            for half in (0, 1):  # by the model of the half that a text is not in
+                at = np.flatnonzero(role == half)
+                other[at] = by[2 - half][row[at]]
+        blobs, shard = [], int(blocks.column("shard")[0].as_py()) if blocks.num_rows else 0
+        for i, j in zip(cut, cut[1:]):  # documents ascend in a block
+            doc = mark[i:j] // 3
+            at = _starts(doc)
+            blobs.append(pack(_small(doc[at]), _sum(one[i:j], at), _sum(other[i:j], at)))
+        return pa.table([pa.array(blocks.column("slice").to_numpy(), pa.int64()), pa.array([shard] * len(blobs), pa.int32()), pa.array(blobs, pa.binary())], names=["slice", "shard", "blob"])
 
     return cost
 
 
-def _costs_of_pairs(law: Law, w1, w2, w3, role, two, m2, m3, before, words) -> tuple[np.ndarray, np.ndarray]:
-    # n-grams meet by 64-bit hashes, then their words are compared; a seed under which trusted ones collide is not used
-    seed = 0
-    while True:
-        key = _pair(m2, m3, seed)
-        o = np.argsort(key)
-        seen = np.flatnonzero((role >= 0) & two)
-        history, own = _pair(w2, w1, seed), _pair(w2, w3, seed)
-        gram = _pair(history, w3)
-        kinds, first, of = np.unique(gram[seen], return_index=True, return_inverse=True)
-        first = seen[first]
-        histories, h_first, h_of = np.unique(history[first], return_index=True, return_inverse=True)
-        h_first = first[h_first]
-        same = all((x[first[of]] == x[seen]).all() for x in (w1, w2, w3)) and all((x[h_first[h_of]] == x[first]).all() for x in (w1, w2))
-        if same and (key[o][1:] != key[o][:-1]).all():
-            break
-        seed += 1
-    key, m2, m3, before, words = key[o], m2[o], m3[o], [x[o] for x in before], [x[o] for x in words]
-    mids, m_of = np.unique(m2, return_inverse=True)
-    c1 = np.bincount(of, role[seen], len(kinds)).astype(np.int64)
-    c = np.bincount(of, minlength=len(kinds))
-    counts = [c, c - c1, c1]
-    b = _find(key, own)
-    b = np.where((m2[b] == w2) & (m3[b] == w3), b, len(key))
-    mid = _find(mids, w2)
-    mid = np.where(mids[mid] == w2, mid, len(mids))
-    if len(kinds):
-        t = _find(kinds, gram)
-        t = np.where(two & (w1[first[t]] == w1) & (w2[first[t]] == w2) & (w3[first[t]] == w3), t, len(kinds))
-        h = _find(histories, history)
-        h = np.where(two & (w1[h_first[h]] == w1) & (w2[h_first[h]] == w2), h, len(histories))
-    else:
-        t = h = np.zeros(len(w1), np.int64)
-    kind_b = b[first]  # each trusted 3-gram ends in a pair of the table
-    model = {}
-
-    def tables(m: int):
-        if m not in model:
-            share, freed = law.after(2, m, before[m], m_of, len(mids))
-            alone = law.alone(m, words[m])
-            p2 = share + freed[m_of] * alone
-            e2 = np.where(before[m] > 0, _logs(p2 / alone), _logs(freed)[m_of])
-            share, freed3 = law.after(3, m, counts[m], h_of, len(histories))
-            below = p2[kind_b]
-            e3 = np.where(counts[m] > 0, _logs((share + freed3[h_of] * below) / np.where(counts[m] > 0, below, 1)), _logs(freed3)[h_of])
-            model[m] = np.append(e2, 0), np.append(_logs(freed), 0), np.append(e3, 0), np.append(_logs(freed3), 0)
-        return model[m]
-
-    def of_model(m: int, i) -> np.ndarray:
-        if not law.has(m):
-            return np.zeros(len(b[i]))
-        e2, free2, e3, free3 = tables(m)
-        return np.where(b[i] < len(key), e2[b[i]], free2[mid[i]]) + np.where(t[i] < len(kinds), e3[t[i]], free3[h[i]])
-
-    return _costs(role, of_model)
-
-
 def _gather(table: pa.Table) -> pa.Table:
     """One row for a slice: its documents and sums, added in the order of shards."""
     docs, sums = [], [[], []]
@@ -418,8 +396,9 @@ def _gather(table: pa.Table) -> pa.Table:
         docs.append(doc.astype(np.int64))
         for s, c in zip(sums, cost):
             s.append(c)
-    kinds, at = np.unique(np.concatenate(docs), return_inverse=True)
-    blob = pack(_small(kinds), *(np.bincount(at, np.concatenate(s), len(kinds)) for s in sums))
+    docs = np.concatenate(docs)
+    kinds = np.flatnonzero(np.bincount(docs))
+    blob = pack(_small(kinds), *(np.bincount(docs, np.concatenate(s))[kinds] for s in sums))
     return pa.table([pa.array(table.column("slice")[:1].to_pylist(), pa.int64()), pa.array([0], pa.int32()), pa.array([blob], pa.binary())], names=["slice", "shard", "blob"])
 
 
@@ -436,7 +415,7 @@ def _measured(trusted: Callable):
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, part, role in parts(batches):
             chars = [len(" ".join(t.as_py().split())) if t.is_valid else 0 for t in part.column("text")]
-            words = K.split(part.column("text"), hashes=False).count
+            words = np.concatenate([w.count for _, w in _pieces(part, False)])
             n = part.num_rows
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), pa.array(np.arange(n, dtype=np.int32)), part.column("doc_id"), part.column("lang"), pa.array(role, pa.int32()), pa.array(chars, pa.int64()), pa.array(words, pa.int64())], ["slice", "nth", "doc_id", "lang", "half", "n_chars", "n_words"])
 
@@ -466,31 +445,23 @@ def scores(rows: DataFrame, trusted: Callable) -> tuple[DataFrame, Law]:
     shards = partitions(spark)
     with _files_of_shuffles_go(spark):
         each = stored(rows.mapInArrow(_measured(trusted), "slice long, nth int, doc_id long, lang string, half int, n_chars long, n_words long"), "kn-texts")
-        path = {k: scratch_path(spark, f"kn-{k}") for k in ("words", "pairs")}
-        names = {k: p.rsplit("/", 1)[1].replace("-", "_") for k, p in path.items()}
-        stats = np.zeros(3 * MODELS * 6, np.int64)
+        rows = rows.drop("lang")
+        path = scratch_path(spark, "kn-counts")
+        name = path.rsplit("/", 1)[1].replace("-", "_")
         for nth in range(COUNT_PASSES):
-            blocks = rows.mapInArrow(_to_count(trusted, nth, shards), _BLOCK)
-            counted = stored(blocks.groupBy("shard").applyInArrow(_count(shards), _COUNTED), "kn-counts")
-            for r in counted.where("kind = 0").select("blob").toLocalIterator():
-                stats += unpack(bytes(r[0]))[0]
-            for kind, k in enumerate(("words", "pairs"), 1):
-                out = counted.where(F.col("kind") == kind).select("shard", "blob").repartition(shards, "shard")
-                out.write.mode("append").bucketBy(shards, "shard").option("path", path[k]).option("compression", "none").saveAsTable(names[k])
-            release(counted)
+            counted = rows.mapInArrow(_to_count(trusted, nth, shards), _BLOCK).groupBy("shard").applyInArrow(_count(shards), _COUNTED)
+            counted.repartition(shards, "shard").write.mode("append").bucketBy(shards, "shard").option("path", path).option("compression", "none").saveAsTable(name)
+        counts = spark.table(name)
+        stats = np.zeros(3 * MODELS * 6, np.int64)
+        for r in counts.where("kind = 0").select("blob").toLocalIterator():
+            stats += unpack(bytes(r[0]))[0]
         law = Law(stats)
         sent = spark.sparkContext.broadcast(law)
-
-        def looked_up(blocks: DataFrame, kind: str, cost: Callable) -> DataFrame:
-            found = blocks.groupBy("shard").cogroup(spark.table(names[kind]).groupBy("shard")).applyInArrow(cost, _SUMS)
-            return stored(found.groupBy("slice").applyInArrow(_gather, _SUMS), "kn-sums")
-
         sums = []
-        if law.has(0):
-            for nth in range(WORD_PASSES):
-                sums.append(looked_up(rows.mapInArrow(_to_words(trusted, nth, shards), _BLOCK), "words", _word_costs(sent)))
-            for nth in range(COST_PASSES):
-                sums.append(looked_up(rows.mapInArrow(_to_pairs(trusted, nth, shards), _BLOCK), "pairs", _pair_costs(sent)))
+        for nth in range(COST_PASSES if law.has(0) else 0):
+            blocks = rows.mapInArrow(_to_look_up(trusted, nth, shards), _BLOCK)
+            found = blocks.groupBy("shard").cogroup(counts.where("kind > 0").groupBy("shard")).applyInArrow(_costs(sent), _SUMS)
+            sums.append(stored(found.groupBy("slice").applyInArrow(_gather, _SUMS), "kn-sums"))
         total = spark.createDataFrame([], "slice long, nth int, logp double, other_logp double")
         for k, s in enumerate(sums):
             part = s.withColumn("shard", F.lit(k))
@@ -501,9 +472,7 @@ def scores(rows: DataFrame, trusted: Callable) -> tuple[DataFrame, Law]:
         lost = F.col("n_words").isNull() | ((F.col("n_words") > 0) & F.col("logp").isNull() & F.lit(bool(sums)))
         logp = F.when(lost, F.raise_error(F.lit("the table of texts came in another order in another pass")).cast("double")).otherwise(F.coalesce("logp", F.lit(0.0)))
         out = stored(out.select("doc_id", "lang", "half", "n_chars", "n_words", logp.alias("logp"), F.coalesce("other_logp", F.lit(0.0)).alias("other_logp")), "kn-scores")
-        for k in names:
-            table = spark.table(names[k])
-            table._scratch, table._table = path[k], names[k]
-            release(table)
+        counts._scratch, counts._table = path, name
+        release(counts)
         release(each, *sums)
     return out, law

@@ -240,7 +240,7 @@ def _in_blocks(docs: DataFrame, good: DataFrame, order: int) -> tuple[DataFrame,
     """Scores of all texts, and of the trusted ones under a model of the other part."""
     spark = docs.sparkSession
     bits = spark.sparkContext.broadcast(bitset.gather(good))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", F.xxhash64("doc_id", "text").alias("key"), F.xxhash64("text").alias("of_text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", F.xxhash64("text").alias("of_text")).withColumn("key", F.xxhash64("doc_id", "of_text"))
     # ids that the filter of fixed size lets pass and that no label calls good: few, and so no text meets a join
     passed = rows.where("doc_id is not null").select("doc_id").mapInArrow(_passing(bits), "doc_id long")
     wrong = passed.join(good, passed["doc_id"] == good["good_id"], "left_anti").distinct()

@@ -58,3 +58,26 @@ def test_no_table_of_n_grams_is_written(spark, monkeypatch):
     docs = spark.createDataFrame(texts, DOCS).repartition(3)
     assert kneser_ney.classify(docs, labels(spark, range(1500))).count() == 1500
     assert 0 < max(size) < sum(len(t[1]) for t in texts)
+
+
+def test_words_beside():
+    w = gram_blocks.K.split(gram_blocks.pa.array(["", "a b c", "d", None, "e f", ""]))
+    a, b, c, d, e, f = w.hash.tolist()
+    before, after = gram_blocks._beside(w)
+    assert before.tolist() == [0, a, b, 0, 0, e] and after.tolist() == [b, c, 0, 0, f, 0]
+    none = gram_blocks._beside(gram_blocks.K.split(gram_blocks.pa.array(["", None])))
+    assert [len(x) for x in none] == [0, 0]
+
+
+def test_texts_are_read_few_times(spark, monkeypatch):
+    """Each word meets its counts and those of the pair after it in one pass."""
+    docs = spark.createDataFrame([(i, f"a b c {i}", "en") for i in range(20)], DOCS)
+    read, kind = [], type(docs)
+
+    def passes(df, f, *args, real=kind.mapInArrow):
+        read.extend(["text"] * ("text" in df.columns))
+        return real(df, f, *args)
+
+    monkeypatch.setattr(kind, "mapInArrow", passes)
+    assert kneser_ney.classify(docs, labels(spark, range(10))).count() == 20
+    assert 0 < len(read) <= 9
