@@ -445,7 +445,6 @@ def scores(rows: DataFrame, trusted: Callable) -> tuple[DataFrame, Law]:
     shards = partitions(spark)
     with _files_of_shuffles_go(spark):
         each = stored(rows.mapInArrow(_measured(trusted), "slice long, nth int, doc_id long, lang string, half int, n_chars long, n_words long"), "kn-texts")
-        rows = rows.drop("lang")
         path = scratch_path(spark, "kn-counts")
         name = path.rsplit("/", 1)[1].replace("-", "_")
         for nth in range(COUNT_PASSES):
