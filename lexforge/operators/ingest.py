@@ -23,6 +23,7 @@ BATCH = 20
 
 def embed_each(chunks: DataFrame, embedder: Callable[[list[str]], list[list[float]]], batch: int = BATCH) -> DataFrame:
     """K07 with failures kept apart: ``embedding`` and ``embed_error`` of each chunk, asked for by document."""
+    ship(chunks.sparkSession)
     schema = ", ".join(f"{c} {t}" for c, t in chunks.dtypes) + ", embedding array<double>, embed_error string"
 
     def ask(texts: list[str]) -> list[list[float]]:

@@ -1101,7 +1101,7 @@ def k06_index_choice(spark, sf_dir):
 @query("SELECT doc_id, (ord(text[1]) + length(text))::DOUBLE AS first, 1.0::DOUBLE AS second FROM documents")
 def k07_embed(spark, sf_dir):
     d = X.read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
-    out = K.embed(d, lambda texts: [[float(ord(t[0]) + len(t)), 1.0] for t in texts])
+    out = K.embed(d, lambda texts: [[None if t is None else float(ord(t[0]) + len(t)) if t else -1.0, 1.0] for t in texts])
     return out.select("doc_id", F.element_at("embedding", 1).alias("first"), F.element_at("embedding", 2).alias("second"))
 
 
