@@ -388,8 +388,8 @@ def _costs(law):
     return cost
 
 
-def _gather(table: pa.Table) -> pa.Table:
-    """One row for a slice: its documents and sums, added in the order of shards."""
+def _added(table: pa.Table) -> tuple[int, np.ndarray, list[np.ndarray]]:
+    """Of a slice: its number, its documents, and their sums, added in the order of shards."""
     docs, sums = [], [[], []]
     for k in np.argsort(table.column("shard").to_numpy(), kind="stable").tolist():
         doc, *cost = unpack(table.column("blob")[k].as_py())
@@ -398,15 +398,23 @@ def _gather(table: pa.Table) -> pa.Table:
             s.append(c)
     docs = np.concatenate(docs)
     kinds = np.flatnonzero(np.bincount(docs))
-    blob = pack(_small(kinds), *(np.bincount(docs, np.concatenate(s))[kinds] for s in sums))
-    return pa.table([pa.array(table.column("slice")[:1].to_pylist(), pa.int64()), pa.array([0], pa.int32()), pa.array([blob], pa.binary())], names=["slice", "shard", "blob"])
+    return table.column("slice")[0].as_py(), kinds, [np.bincount(docs, np.concatenate(s))[kinds] for s in sums]
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    """One row for a slice: its documents and sums."""
+    number, docs, sums = _added(table)
+    return pa.table([pa.array([number], pa.int64()), pa.array([0], pa.int32()), pa.array([pack(_small(docs), *sums)], pa.binary())], names=["slice", "shard", "blob"])
+
 
+def _by_document(table: pa.Table) -> pa.Table:
+    """A row for each document of a slice.
 
-def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for number, blob in zip(batch.column("slice").to_pylist(), batch.column("blob")):
-            doc, one, other = unpack(blob.as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), number)), pa.array(doc.astype(np.int32)), pa.array(one), pa.array(other)], ["slice", "nth", "logp", "other_logp"])
+    Made where the sums are added: a second Python step in that stage would take a second worker for each core, which
+    stays and keeps its memory.
+    """
+    number, docs, (one, other) = _added(table)
+    return pa.table([pa.array(np.full(len(docs), number)), pa.array(docs.astype(np.int32)), pa.array(one), pa.array(other)], names=["slice", "nth", "logp", "other_logp"])
 
 
 def _measured(trusted: Callable):
@@ -466,7 +474,7 @@ def scores(rows: DataFrame, trusted: Callable) -> tuple[DataFrame, Law]:
             part = s.withColumn("shard", F.lit(k))
             whole = part if k == 0 else whole.unionByName(part)
         if sums:
-            total = whole.groupBy("slice").applyInArrow(_gather, _SUMS).mapInArrow(_by_document, total.schema)
+            total = whole.groupBy("slice").applyInArrow(_by_document, total.schema)
         out = each.join(total, ["slice", "nth"], "full")
         lost = F.col("n_words").isNull() | ((F.col("n_words") > 0) & F.col("logp").isNull() & F.lit(bool(sums)))
         logp = F.when(lost, F.raise_error(F.lit("the table of texts came in another order in another pass")).cast("double")).otherwise(F.coalesce("logp", F.lit(0.0)))
